@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, minhash, secrets, token_counts, toxicity
+from . import bpe, decontam, embed_dedup, minhash, secrets, token_counts, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -36,6 +36,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.report(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_duplicates(_read(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
@@ -43,10 +47,12 @@ QUERIES = {
     "op6_bpe_round_trip": op6_bpe_round_trip,
     "op7_secret_scan": op7_secret_scan,
     "op10_toxicity": op10_toxicity,
+    "op9_embedding_near_dedup": op9_embedding_near_dedup,
 }
 
 SQL = {
     "op2_minhash_near_dedup": minhash.SQL,
     "op4_benchmark_decontamination": decontam.SQL,
     "op7_secret_scan": secrets.SQL,
+    "op9_embedding_near_dedup": embed_dedup.SQL,
 }
