@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, embed_dedup, minhash, secrets, token_counts, toxicity
+from . import bpe, decontam, embed_dedup, minhash, secrets, token_counts, toxicity, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -40,6 +40,10 @@ def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.near_duplicates(_read(spark, sf_dir, "embeddings"))
 
 
+def op8_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_read(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
@@ -48,6 +52,7 @@ QUERIES = {
     "op7_secret_scan": op7_secret_scan,
     "op10_toxicity": op10_toxicity,
     "op9_embedding_near_dedup": op9_embedding_near_dedup,
+    "op8_warc_round_trip": op8_warc_round_trip,
 }
 
 SQL = {
@@ -55,4 +60,5 @@ SQL = {
     "op4_benchmark_decontamination": decontam.SQL,
     "op7_secret_scan": secrets.SQL,
     "op9_embedding_near_dedup": embed_dedup.SQL,
+    "op8_warc_round_trip": warc.SQL,
 }
