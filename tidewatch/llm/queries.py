@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, embed_dedup, minhash, secrets, token_counts, toxicity, warc
+from . import bpe, decontam, embed_dedup, lattice_lm, minhash, secrets, token_counts, toxicity, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -44,6 +44,10 @@ def op8_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_read(spark, sf_dir, "pages"))
 
 
+def op3_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice_lm.score(_read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES = {
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
@@ -53,6 +57,7 @@ QUERIES = {
     "op10_toxicity": op10_toxicity,
     "op9_embedding_near_dedup": op9_embedding_near_dedup,
     "op8_warc_round_trip": op8_warc_round_trip,
+    "op3_lattice_lm": op3_lattice_lm,
 }
 
 SQL = {
