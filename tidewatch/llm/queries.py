@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, embed_dedup, lattice_lm, minhash, secrets, token_counts, toxicity, warc
+from . import bpe, chat, decontam, embed_dedup, lattice_lm, minhash, secrets, token_counts, toxicity, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -48,6 +48,10 @@ def op3_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice_lm.score(_read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.render(_read(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
@@ -58,6 +62,7 @@ QUERIES = {
     "op9_embedding_near_dedup": op9_embedding_near_dedup,
     "op8_warc_round_trip": op8_warc_round_trip,
     "op3_lattice_lm": op3_lattice_lm,
+    "op1_chat_format": op1_chat_format,
 }
 
 SQL = {
