@@ -13,7 +13,8 @@ its pairs.  First each bucket ties its members to one pivot, the member that mee
 others over all buckets; these pairs are verified and give components.  Then
 only buckets whose members lie in several components are looked at again: in
 tiles of bounded size, members of different components are compared by whole
-sketches, and pairs whose sketches agree nearly enough are verified.  Members
+sketches and by what they share with the pivot, and pairs that may be links are
+verified.  Members
 already joined need no comparison: a further link could not change anything.
 
 Verification takes whole shingle sets of whole texts.
@@ -109,36 +110,58 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([held[0]]), pa.array([held[1]])], names=["key", "node"])
 
 
-def _verify(words: int, percent: int):
+def _relate(words: int, percent: int, with_rest: bool):
+    """Exact sizes of pairs of texts a and b, and which pairs are links.
+
+    rest: 16-bit hashes of what a has beyond b, given from a similarity of a half on.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, "text_a", 1 << 19):
-                a = bt.shingle_sets(part.column("text_a"), words)
-                b = bt.shingle_sets(part.column("text_b"), words)
-                ok = np.zeros(part.num_rows, dtype=bool)
-                for i, (x, y) in enumerate(zip(a, b)):
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    union = len(x) + len(y) - both
-                    ok[i] = union > 0 and 100 * both >= percent * union
-                yield pa.RecordBatch.from_arrays([part.column("a").filter(pa.array(ok)), part.column("b").filter(pa.array(ok))], names=["a", "b"])
+                sizes, rest = [], []
+                for x, y in zip(bt.shingle_sets(part.column("text_a"), words), bt.shingle_sets(part.column("text_b"), words)):
+                    shared = np.intersect1d(x, y, assume_unique=True)
+                    both, union = len(shared), len(x) + len(y) - len(shared)
+                    sizes.append((len(x), both, union > 0 and 100 * both >= percent * union))
+                    rest.append((np.setdiff1d(x, shared, assume_unique=True) >> U(48)).astype(np.uint16).tobytes() if with_rest and 2 * both >= union else None)
+                n, both, link = zip(*sizes)
+                yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(n, pa.int64()), pa.array(both, pa.int64()), pa.array(link, pa.bool_()), pa.array(rest, pa.binary())], names=["a", "b", "n", "both", "link", "rest"])
 
     return run
 
 
-def _tiles(coordinates: int, least: float):
-    """Rows of a tile pair, sorted by it: sketches of different components that agree nearly enough."""
+def _tiles(coordinates: int, least: float, percent: int):
+    """Rows of a tile pair, sorted by it: pairs of different components that may be links.
+
+    Two filters.  Sketches must agree in ``least`` coordinates.  And with p the
+    bucket's pivot, x and y share at most min(|x & p|, |y & p|) shingles inside p,
+    and outside p at most as many as y's rest has hashes among those of x's rest;
+    where even that is too little for a link, the pair is none.
+    """
 
     def flush(rows: list[tuple]) -> pa.RecordBatch:
-        tile_of, node, comp, side, sig = zip(*rows)
-        node, comp, side = np.array(node), np.array(comp), np.array(side)
+        _, node, comp, side, sig, n, both, rest = zip(*rows)
+        node, comp, side, n, both = (np.array(x) for x in (node, comp, side, n, both))
         s = np.frombuffer(b"".join(sig), dtype=np.uint8).reshape(len(node), coordinates)
+        known = np.array([x is not None for x in rest])
+        # each rest with one hash in front that no rest can have, so that none is empty
+        flat = [np.concatenate([[1 << 16], np.frombuffer(x or b"", dtype=np.uint16)]) for x in rest]
+        starts = np.concatenate([[0], np.cumsum([len(x) for x in flat])[:-1]])
+        flat = np.concatenate(flat).astype(np.int64)
+        mark = np.zeros((1 << 16) + 1, dtype=np.int64)
         left, right = np.flatnonzero(side <= 1), np.flatnonzero(side >= 1)
         found: set[tuple[int, int]] = set()
         for i in left:
             other = right[comp[right] != comp[i]]
-            if len(other):
-                close = other[(s[other] == s[i]).sum(axis=1) >= least]
-                found.update((min(int(node[i]), int(node[j])), max(int(node[i]), int(node[j]))) for j in close)
+            other = other[(s[other] == s[i]).sum(axis=1) >= least]
+            if len(other) and known[i]:
+                mine = flat[starts[i] + 1 : starts[i + 1] if i + 1 < len(starts) else len(flat)]
+                mark[mine] = 1
+                most = np.minimum(both[i], both[other]) + np.add.reduceat(mark[flat], starts)[other]
+                mark[mine] = 0
+                other = other[~known[other] | (100 * most >= percent * (n[i] + n[other] - most))]
+            found.update((min(int(node[i]), int(node[j])), max(int(node[i]), int(node[j]))) for j in other)
         a, b = zip(*found) if found else ((), ())
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
@@ -178,24 +201,25 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: float = THRE
     classes = scan.where("n_shingles > 0 and doc_id is not null").groupBy("c1", "c2", "n_shingles").agg(F.min("doc_id").alias("node"))
     classes = scratch.table(classes)
     # one row of each class, by its smallest doc_id; equal keys on both sides, so no class is a hot key
-    reps = scan.join(classes.withColumn("doc_id", F.col("node")), ["c1", "c2", "n_shingles", "doc_id"]).select("node", "sig", "bands").dropDuplicates(["node", "bands"])
+    reps = scan.join(classes.withColumn("doc_id", F.col("node")), ["c1", "c2", "n_shingles", "doc_id"]).select("node", "n_shingles", "sig", "bands").dropDuplicates(["node", "bands"])
     reps = scratch.table(reps)
     hexed = F.hex("bands")
     keyed = reps.select("node", F.explode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.conv(hexed.substr(i * 16 + 1, F.lit(16)), 16, -10).cast("long"))).alias("key")).select("key", "node")
     members = scratch.table(keyed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_buckets, "key long, node long").distinct())
     texts = scratch.table(text.join(members.select(F.col("node").alias("doc_id")).distinct(), "doc_id").distinct())
 
-    def verified(pairs: DataFrame) -> DataFrame:
+    def related(pairs: DataFrame, with_rest: bool = False) -> DataFrame:
         a = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
         b = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-        return scratch.table(pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(_verify(words, percent), "a long, b long"))
+        return scratch.table(pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(_relate(words, percent, with_rest), "a long, b long, n long, both long, link boolean, rest binary"))
 
     # first: each bucket's members with its pivot
     sizes = members.groupBy("key").agg(F.count("*").alias("size"))
     central = members.join(sizes, "key").groupBy("node").agg(F.sum("size").alias("met"))
     pivots = members.join(central, "node").groupBy("key").agg(F.max(F.struct("met", (-F.col("node")).alias("low"))).alias("top")).select("key", (-F.col("top.low")).alias("pivot"))
-    star = members.join(pivots, "key").where("node != pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-    links = verified(star)
+    pivots = scratch.table(pivots)
+    star = related(members.join(pivots, "key").where("node != pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct(), True)
+    links = star.where("link").select("a", "b")
     comps = scratch.table(components(scratch, links))
 
     # second: buckets that still hold several components, in tiles
@@ -207,18 +231,21 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: float = THRE
     # side 1 in the own tile, else 0 (left) or 2 (right) of a pair of blocks
     tiled = tiled.select("key", "node", "comp", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     tiled = tiled.select(
-        F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("tile"), "node", "comp",
+        F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("tile"), "key", "node", "comp",
         F.when(F.col("mine") == F.col("other"), 1).when(F.col("mine") < F.col("other"), 0).otherwise(2).alias("side"),
     )
     least = t * threshold - DEVIATIONS * (t * threshold * (1 - threshold)) ** 0.5
-    rows = tiled.join(reps.select("node", "sig"), "node").select("tile", "node", "comp", "side", "sig")
-    more = rows.repartition("tile").sortWithinPartitions("tile").mapInArrow(_tiles(t, least), "a long, b long").distinct()
-    more = verified(scratch.table(more))
+    # what each member shares with its bucket's pivot; the pivot itself has no rest
+    rows = tiled.join(pivots, "key").join(star.select(F.col("a").alias("node"), F.col("b").alias("pivot"), "both", "rest"), ["node", "pivot"], "left").join(reps.select("node", "sig", "n_shingles"), "node")
+    rest = F.when(F.col("node") == F.col("pivot"), F.lit(b"")).otherwise(F.col("rest"))
+    rows = rows.select("tile", "node", "comp", "side", "sig", "n_shingles", F.coalesce("both", "n_shingles").alias("both"), rest.alias("rest"))
+    more = rows.repartition("tile").sortWithinPartitions("tile").mapInArrow(_tiles(t, least, percent), "a long, b long").distinct()
+    more = related(scratch.table(more)).where("link").select("a", "b")
     if not more.isEmpty():
         old = comps
         comps = scratch.table(components(scratch, links.unionByName(more)))
         scratch.drop(old)
-    scratch.drop(texts, members, reps, links, more)
+    scratch.drop(texts, members, reps, star, pivots)
 
     final = classes.join(comps, "node", "left").select("c1", "c2", "n_shingles", F.coalesce("component", "node").alias("component"))
     out = scan.select("doc_id", "n_shingles", "c1", "c2").join(final, ["c1", "c2", "n_shingles"], "left")
@@ -227,9 +254,15 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: float = THRE
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """docs without near duplicates: of each component the row with the smallest doc_id, once."""
-    kept = near_duplicates(docs, **options).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept_id"))).drop("_kept_id").dropDuplicates(["doc_id"])
+    """docs without near duplicates: of each component the document with the smallest doc_id.
+
+    All columns stay.  Rows that share a doc_id are one document, of which one row
+    stays.  A row without a doc_id is named by its text and comes after all with one.
+    """
+    name = F.coalesce(F.col("doc_id").cast("long"), F.lit(1 << 62) + F.xxhash64("text").bitwiseAND((1 << 61) - 1))
+    named = docs.withColumn("_name", name)
+    kept = near_duplicates(named.select(F.col("_name").alias("doc_id"), "text"), **options).where("kept").select(F.col("doc_id").alias("_name")).distinct()
+    return named.join(kept, "_name").dropDuplicates(["_name"]).select(docs.columns)
 
 
 SQL = r"""
