@@ -31,7 +31,9 @@ from .shared import Scratch, chunks
 
 U = np.uint64
 #: Rounds of re-estimation, frequent words that are broadcast, added count of each piece, longest piece in bytes.
-ROUNDS, HEAD_WORDS, ADDED, LONGEST = 2, 1 << 20, 0.05, 24
+ROUNDS, HEAD_WORDS, ADDED, LONGEST = 2, 1 << 19, 0.05, 16
+#: Words that a task takes at once, so that those of one length make long arrays.
+TOGETHER = 1 << 16
 _SLOTS = 22
 BLANK = "▁"
 
@@ -131,7 +133,20 @@ def lattice(path: str) -> Lattice:
     return Lattice(pieces(path)[0])
 
 
-def _by_length(words: list[str], most: int = 4096) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches joined up to TOGETHER rows."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= TOGETHER:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def _by_length(words: list[str], most: int = 8192) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Words with their blank as letter matrices of one length each, with their places."""
     raw = [b" " + w.encode() for w in words]
     size = np.array([len(x) for x in raw])
@@ -161,7 +176,7 @@ def _expect(path: str, log_p):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lat, p = lattice(path), log_p.value
         total = np.zeros(len(p))
-        for batch in batches:
+        for batch in _gathered(batches):
             for rows, letters in _by_length(batch.column("word").to_pylist()):
                 total += lat.expected(lat.arcs(letters), len(rows), p, np.ones(len(rows)))
         at = np.flatnonzero(total)
@@ -175,7 +190,7 @@ def _score_words(path: str, log_p, word_mass: float, discount: float, tokens: in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lat, p = lattice(path), log_p.value
-        for batch in batches:
+        for batch in _gathered(batches):
             out = np.zeros(batch.num_rows)
             for rows, letters in _by_length(batch.column("word").to_pylist()):
                 out[rows] = lat.forward(lat.arcs(letters), len(rows), p)[-1]
@@ -259,7 +274,7 @@ def score(docs: DataFrame, vocabulary: str, hold_out=(7, 2), rounds: int = ROUND
         if room < 0:
             least = r["n"] + 1
             break
-    common = scored.where(F.col("n") >= least).select("word", "known", "log10_p").mapInArrow(_hash_words, "h long, known long, log10_p double").toPandas()
+    common = scored.where(F.col("n") >= least).select("word", "known", "log10_p").mapInArrow(_hash_words, "h long, known long, log10_p double").toArrow()
     h = common["h"].to_numpy().astype(np.int64).view(U)
     order = np.argsort(h)
     head = spark.sparkContext.broadcast((h[order], common["known"].to_numpy().astype(float)[order], common["log10_p"].to_numpy().astype(float)[order]))
