@@ -130,36 +130,48 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, block_
     null and wordless items have no windows; items that share a window are all
     found; an item without an id counts as the id ''.  Repeated rows give repeated rows.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "decontam")
+    scratch = Scratch(docs.sparkSession, "decontam")
+    known, blocks = _known(benchmark, n, block_bytes, scratch)
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    # several passes find each other's rows by a number that a written table fixes
+    text = scratch.table(text.withColumn("row", F.monotonically_increasing_id())) if blocks > 1 else text.withColumn("row", F.lit(0).cast("long"))
+    return _passes(text, known, blocks, scratch).drop("row")
+
+
+def _known(benchmark: DataFrame, n: int, block_bytes: int, scratch: Scratch) -> tuple[DataFrame, int]:
+    """Distinct windows with the items that have them, written; and how many broadcasts they take."""
     item = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.col("text").cast("string").alias("text"))
     known = scratch.table(item.mapInArrow(_benchmark_windows(n), "item_id string, window binary, k int").groupBy("window", "k").agg(F.array_sort(F.collect_set("item_id")).alias("items")))
     size = known.agg(F.sum(F.octet_length("window") + F.lit(64) + F.aggregate("items", F.lit(0), lambda a, x: a + F.octet_length(x) + 8))).first()[0] or 0
-    blocks = max(1, math.ceil(size / block_bytes))
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    if blocks > 1:  # several passes find each other's rows by a number that a written table fixes
-        text = scratch.table(text.withColumn("row", F.monotonically_increasing_id()))
-    text = text.select("doc_id", "text", "row" if blocks > 1 else F.lit(0).cast("long").alias("row"))
-    scans = []
+    return known, max(1, math.ceil(size / block_bytes))
+
+
+def _sets(known: DataFrame, blocks: int) -> Iterator:
+    """The window sets of all blocks, as broadcast variables, one after another."""
+    sc = known.sparkSession.sparkContext
     for b in range(blocks):
         mine = known if blocks == 1 else known.where(F.pmod(F.xxhash64("window"), F.lit(blocks)) == b)
-        rows = [(bytes(r["window"]), r["k"], r["items"]) for r in mine.toLocalIterator()]
-        scans.append(text.mapInArrow(_scan(spark.sparkContext.broadcast(WindowSet(rows))), _SCAN))
+        yield sc.broadcast(WindowSet([(bytes(r["window"]), r["k"], r["items"]) for r in mine.toLocalIterator()]))
+
+
+def _passes(text: DataFrame, known: DataFrame, blocks: int, scratch: Scratch) -> DataFrame:
+    """row, doc_id, n_words, runs, items of text (row, doc_id, text), over all blocks."""
+    scans = [text.select("row", "doc_id", "text").mapInArrow(_scan(x), _SCAN) for x in _sets(known, blocks)]
     if blocks == 1:
-        return scans[0].drop("row")
-    hits = scratch.table(scans[0].select("row", "doc_id", "n_words", "runs", "items"))
+        return scans[0]
+    hits = scans[0]
     for more in scans[1:]:
         hits = hits.unionByName(more.where(F.size("items") > 0).withColumn("n_words", F.lit(None).cast("long")))
     # runs of several passes can touch or overlap: flatten, order, merge
     flat = hits.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("runs"))).alias("runs"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    end = lambda a: F.element_at(a, -1)
+    last = lambda a: F.get(a, F.size(a) - 1)
     merged = F.aggregate(
         "runs", F.expr("cast(array() as array<struct<first:int,last:int,from:int,to:int>>)"),
-        lambda a, x: F.when((F.size(a) > 0) & (F.get(a, F.size(a) - 1)["last"] >= x["first"]), F.concat(
+        lambda a, x: F.when((F.size(a) > 0) & (last(a)["last"] >= x["first"]), F.concat(
             F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0))),
-            F.array(F.struct(end(a)["first"].alias("first"), F.greatest(end(a)["last"], x["last"]).alias("last"), end(a)["from"].alias("from"), F.greatest(end(a)["to"], x["to"]).alias("to"))))).otherwise(F.concat(a, F.array(x))),
+            F.array(F.struct(last(a)["first"].alias("first"), F.greatest(last(a)["last"], x["last"]).alias("last"), last(a)["from"].alias("from"), F.greatest(last(a)["to"], x["to"]).alias("to"))))).otherwise(F.concat(a, F.array(x))),
     )
-    return flat.select("doc_id", "n_words", merged.alias("runs"), "items")
+    return scratch.table(flat.select("row", "doc_id", "n_words", merged.alias("runs"), "items"))
 
 
 def report(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, **options) -> DataFrame:
@@ -169,7 +181,25 @@ def report(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, **options) ->
     return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", F.array_sort("items")).cast("binary"), 256).alias("items_sha256")).withColumn("contaminated", F.col("n_hit") > 0)
 
 
+def _kept_text(text: str, runs: list[tuple[int, int]], words: int, hit: int, share: float | None) -> str | None:
+    """text without its runs of bytes; None if too many of its words are hit."""
+    if share is not None and hit > share * words:
+        return None
+    raw, out, at = text.encode(), [], 0
+    for a, z in runs:
+        out.append(raw[at:a])
+        at = z
+    return b"".join([*out, raw[at:]]).decode()
+
+
+def _rewritten(part: pa.RecordBatch, texts: list, keep: np.ndarray, names: list[str]) -> pa.RecordBatch:
+    cols = [pa.array(texts, pa.string()) if name == "text" else part.column(name) for name in names]
+    return pa.RecordBatch.from_arrays(cols, names=names).filter(pa.array(keep))
+
+
 def _clean(broadcast, share: float | None):
+    """Scan and cut in one pass."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: WindowSet = broadcast.value
         for batch in batches:
@@ -179,17 +209,27 @@ def _clean(broadcast, share: float | None):
                 texts, keep = part.column("text").to_pylist(), np.ones(part.num_rows, dtype=bool)
                 for i in found:
                     a, z = int(words.first[i]), int(words.first[i + 1])
-                    if share is not None and hit[a:z].mean() > share:
-                        keep[i] = False
-                        continue
-                    raw, base = texts[i].encode(), int(words.offsets[i])
-                    out, at = [], 0
-                    for s, e in _runs(hit[a:z]):
-                        out.append(raw[at : int(words.start[a + s]) - base])
-                        at = int(words.end[a + e - 1]) - base
-                    texts[i] = b"".join([*out, raw[at:]]).decode()
-                cols = [pa.array(texts, pa.string()) if name == "text" else part.column(name) for name in part.schema.names]
-                yield pa.RecordBatch.from_arrays(cols, names=part.schema.names).filter(pa.array(keep))
+                    base = int(words.offsets[i])
+                    runs = [(int(words.start[a + s]) - base, int(words.end[a + e - 1]) - base) for s, e in _runs(hit[a:z])]
+                    texts[i] = _kept_text(texts[i], runs, z - a, int(hit[a:z].sum()), share)
+                    keep[i] = texts[i] is not None
+                yield _rewritten(part, texts, keep, part.schema.names)
+
+    return run
+
+
+def _cut(share: float | None, names: list[str]):
+    """Cut by runs that were found in several passes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks(batch, "text"):
+                texts, keep = part.column("text").to_pylist(), np.ones(part.num_rows, dtype=bool)
+                for i, (n, runs) in enumerate(zip(part.column("__words").to_pylist(), part.column("__runs").to_pylist())):
+                    if runs:
+                        texts[i] = _kept_text(texts[i], [(r["from"], r["to"]) for r in runs], n, sum(r["last"] - r["first"] for r in runs), share)
+                        keep[i] = texts[i] is not None
+                yield _rewritten(part, texts, keep, names)
 
     return run
 
@@ -198,20 +238,17 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, drop_s
     """docs with benchmark passages cut out of their texts, and without documents that are mostly benchmark.
 
     A document goes when more than ``drop_share`` of its words are hit (None: none
-    goes); from others the hit spans are removed.  All columns stay as they are.  Blocks of the
-    benchmark beyond one broadcast are applied one after another.
+    goes); from others the hit words are removed, with what stands between them.  All columns
+    stay as they are; null and wordless texts stay; repeated rows are treated alike.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "decontam")
-    item = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.col("text").cast("string").alias("text"))
-    known = scratch.table(item.mapInArrow(_benchmark_windows(n), "item_id string, window binary, k int").groupBy("window", "k").agg(F.lit(1).alias("one")).drop("one"))
-    size = known.agg(F.sum(F.octet_length("window") + F.lit(64))).first()[0] or 0
-    blocks = max(1, math.ceil(size / block_bytes))
-    for b in range(blocks):
-        mine = known if blocks == 1 else known.where(F.pmod(F.xxhash64("window"), F.lit(blocks)) == b)
-        rows = [(bytes(r["window"]), r["k"], [""]) for r in mine.toLocalIterator()]
-        docs = docs.mapInArrow(_clean(spark.sparkContext.broadcast(WindowSet(rows)), drop_share), docs.schema)
-    return docs
+    scratch = Scratch(docs.sparkSession, "decontam")
+    known, blocks = _known(benchmark, n, block_bytes, scratch)
+    if blocks == 1:
+        return docs.mapInArrow(_clean(next(_sets(known, 1)), drop_share), docs.schema)
+    rows = scratch.table(docs.withColumn("__row", F.monotonically_increasing_id()))
+    found = _passes(rows.select(F.col("__row").alias("row"), F.lit(None).cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), known, blocks, scratch)
+    hit = found.where(F.size("runs") > 0).select(F.col("row").alias("__row"), F.col("n_words").alias("__words"), F.col("runs").alias("__runs"))
+    return rows.join(hit, "__row", "left").drop("__row").mapInArrow(_cut(drop_share, docs.columns), docs.schema)
 
 
 SQL = r"""

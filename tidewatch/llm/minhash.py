@@ -260,9 +260,9 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     stays.  A row without a doc_id is named by its text and comes after all with one.
     """
     name = F.coalesce(F.col("doc_id").cast("long"), F.lit(1 << 62) + F.xxhash64("text").bitwiseAND((1 << 61) - 1))
-    named = docs.withColumn("_name", name)
-    kept = near_duplicates(named.select(F.col("_name").alias("doc_id"), "text"), **options).where("kept").select(F.col("doc_id").alias("_name")).distinct()
-    return named.join(kept, "_name").dropDuplicates(["_name"]).select(docs.columns)
+    named = docs.withColumn("__name", name)
+    kept = near_duplicates(named.select(F.col("__name").alias("doc_id"), "text"), **options).where("kept").select(F.col("doc_id").alias("__name")).distinct()
+    return named.join(kept, "__name").dropDuplicates(["__name"]).select(docs.columns)
 
 
 SQL = r"""

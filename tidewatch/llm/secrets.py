@@ -114,14 +114,14 @@ def redact(docs: DataFrame, owner: str = "source", mask: str = "[secret]", **opt
     """
     digest = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
     found = scan(docs, owner=owner, keep=("digest", digest), **options)
-    live = found.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), F.filter("spans", lambda x: x["live"]).alias("_spans")).where(F.size("_spans") > 0).dropDuplicates(["_id", "_digest"])
-    joined = docs.withColumn("_d", digest).join(live, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_d") == F.col("_digest")), "left")
+    live = found.select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"), F.filter("spans", lambda x: x["live"]).alias("__spans")).where(F.size("__spans") > 0).dropDuplicates(["__id", "__digest"])
+    joined = docs.withColumn("__d", digest).join(live, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__d") == F.col("__digest")), "left")
     cut = F.aggregate(
-        "_spans", F.expr("named_struct('at', 0, 'out', '')"),
+        "__spans", F.expr("named_struct('at', 0, 'out', '')"),
         lambda a, x: F.struct(F.greatest(a["at"], x["end"]).alias("at"), F.when(x["start"] >= a["at"], F.concat(a["out"], F.substring("text", a["at"] + 1, x["start"] - a["at"]), F.lit(mask))).otherwise(a["out"]).alias("out")),
         lambda a: F.concat(a["out"], F.substring("text", a["at"] + 1, F.length("text"))),
     )
-    return joined.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(cut)).select(docs.columns)
+    return joined.withColumn("text", F.when(F.col("__spans").isNull(), F.col("text")).otherwise(cut)).select(docs.columns)
 
 
 def _sql_runs(name: str, pattern: str, value: str) -> str:

@@ -269,4 +269,6 @@ def report(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
 
 def reject(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """docs that are not predicted toxic, with their columns as they were."""
-    return score(docs, labels, **options).where("predicted = 0").select(docs.columns)
+    own = {c: f"__{c}" for c in docs.columns if c.lower() in ("score", "predicted")}
+    kept = score(docs.withColumnsRenamed(own), labels, **options).where("predicted = 0").drop("score", "predicted")
+    return kept.withColumnsRenamed({v: k for k, v in own.items()}).select(docs.columns)
