@@ -105,6 +105,11 @@ def fill_rates(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.agg(F.count("*").alias("n"), *[F.count_if(X.filled(c)).alias(c) for c in columns])
 
 
+def pull_stats(records: DataFrame) -> DataFrame:
+    """One row: records, those with reads, and those with a usable creation date."""
+    return records.agg(F.count("*").alias("records"), F.count_if(X.ws_strip(F.coalesce("run_acc", F.lit(""))) != "").alias("with_reads"), F.count_if(T.parse_day("target_creation_date").isNotNull()).alias("dated"))
+
+
 def month_histogram(df: DataFrame, column: str) -> DataFrame:
     """(month, n) of values that begin with a four-digit year and have a month."""
     v = F.col(column)

@@ -447,3 +447,58 @@ def positional_join(spark, sf):
     place = lambda df, v, n: df.select(F.col("l_orderkey").alias("file"), "l_linenumber", F.col(v).alias(n)).withColumn("model", F.row_number().over(w)).drop("l_linenumber")
     both = G.with_scores(place(l.withColumn("line", F.col("l_linenumber")), "line", "dist"), place(l.where("l_discount >= 0.02"), "l_quantity", "score"))
     return both.groupBy(F.col("file").alias("l_orderkey")).agg(F.sum(F.col("dist") * F.col("score")).alias("v"), F.count("*").alias("n"))
+
+
+_CALLS_SQL = """calls as (select doc_id, case when quality = 1 then 'sra-recaller:called' else 'pending:sra-recaller' end as source, case doc_id % 4 when 0 then 'Y132F,K143R' when 1 then 'k143r;Y132H' when 2 then 'F126L F126L' else '' end as call from labels)"""
+
+
+@query(f"""with {_CALLS_SQL}, t as (select doc_id, unnest(list_distinct(list_filter(regexp_split_to_array(upper(call), '[,;/|\\s]+'), lambda x: x <> ''))) as token from calls where source = 'sra-recaller:called')
+select token, count(*) as n, regexp_extract(token, '[0-9]+')::int as residue from t where token in ('Y132F', 'K143R', 'F126L', 'V125A') group by 1""")
+def panel_token_counts(spark, sf):
+    m = F.col("doc_id") % 4
+    call = F.when(m == 0, "Y132F,K143R").when(m == 1, "k143r;Y132H").when(m == 2, "F126L F126L").otherwise("")
+    rows = _t(spark, sf, "labels").select(F.when(F.col("quality") == 1, "sra-recaller:called").otherwise("pending:sra-recaller").alias("resistance_source"), call.alias("erg11_call"))
+    return B.panel_tokens(rows, C.AZOLE_PANEL)
+
+
+@query("""with w as (select * from (""" + SQL["walk_forward"] + """))
+select count(*) as steps, count(*) filter (callable) as callable_steps, count(*) filter (hit) as flagged_steps, min(as_of) filter (hit) as first_flag, bool_or(callable) as any_callable, date_diff('day', (min(as_of) filter (hit))::date, date '2000-01-01')::int as lead_days from w""")
+def first_flag(spark, sf):
+    walk = B.walk_forward(_order_records(spark, sf), target="17O", window_days=60, min_delta=0.02)
+    return B.first_flag(walk, "2000-01-01").withColumn("first_flag", F.date_format("first_flag", "yyyy-MM-dd"))
+
+
+@query("select count(*) as records, count(*) filter (o_orderkey % 3 = 0) as with_reads, count(*) filter (o_orderkey % 5 <> 0) as dated from orders")
+def pull_stats(spark, sf):
+    k = F.col("o_orderkey")
+    return S.pull_stats(_t(spark, sf, "orders").select(F.when(k % 3 == 0, "R1").otherwise(" ").alias("run_acc"), F.when(k % 5 == 0, F.date_format("o_orderdate", "yyyy")).otherwise(F.date_format("o_orderdate", "yyyy-MM")).alias("target_creation_date")))
+
+
+@query(f"with {_RANKED_SQL} select name, r::int as rank, case when key is null then 'no_pose' else printf('%.3f', key) end as dist, case when key2 = 6 then 'NA' else printf('%.1f', key2) end as score from rk where r <= 50 or key is null")
+def ranked_output(spark, sf):
+    from ..sources.sinks import ranked_table
+
+    r = R.rank_rows(_cohort(spark, sf)).where("rank <= 50 or key is null").select("name", "rank", F.col("key").alias("dist"), F.when(F.col("key2") != 6, F.col("key2")).alias("score"))
+    return ranked_table(r)
+
+
+@query("""select round(avg(p_size) filter (p_partkey <= 20), 6) as size_active, round(avg(p_retailprice) filter (p_partkey <= 20), 4) as price_active, round(avg(p_size) filter (p_partkey > 20), 6) as size_decoy, round(avg(p_retailprice) filter (p_partkey > 20), 4) as price_decoy,
+  round(abs(avg(p_size) filter (p_partkey <= 20) - avg(p_size) filter (p_partkey > 20)), 6) as size_diff from part""")
+def match_quality(spark, sf):
+    p = _t(spark, sf, "part").select("p_partkey", F.col("p_size").alias("size"), F.col("p_retailprice").alias("price"))
+    q = L.match_quality(p.where("p_partkey <= 20"), p.where("p_partkey > 20"), ("size", "price"))
+    return q.select(_r("size_active").alias("size_active"), _r("price_active", 4).alias("price_active"), _r("size_decoy").alias("size_decoy"), _r("price_decoy", 4).alias("price_decoy"), _r("size_diff").alias("size_diff"))
+
+
+@query("""with s as (select doc_id, case when doc_id % 5 = 0 then null else substr(translate(upper(regexp_replace(text, '[^a-zA-Z]', '', 'g')), 'EHILMOPRSUBDFJKNQVWXYZ', 'ACGTACGTACACACACACACAC'), 1, case doc_id % 3 when 0 then 9 when 1 then 8 else 12 end) end as seq from documents where lang = 'en'),
+c as (select doc_id, seq, list_transform(range(0, 3), lambda i: substr(seq, (3 * i + 1)::int, 3)) as cod from s),
+a as (select doc_id, seq, list_transform(cod, lambda k: substr('""" + C.CODE + """', (1 + 16 * (strpos('TCAG', k[1]) - 1) + 4 * (strpos('TCAG', k[2]) - 1) + strpos('TCAG', k[3]) - 1)::int, 1)) as aa from c),
+t as (select doc_id, seq, list_filter(list_transform(range(1, 4), lambda i: case when aa[i] <> ('TYS')[i] then ('TYS')[i] || (i + 9) || aa[i] end), lambda x: x is not null) as tokens from a)
+select doc_id, case when seq is null then 'missing' when length(seq) = 9 and len(tokens) > 0 then 'called' when length(seq) = 9 then 'wild-type' else 'refused' end as status, case when length(seq) = 9 then array_to_string(tokens, ',') else '' end as call from t""")
+def window_calls(spark, sf):
+    k = F.col("doc_id")
+    seq = F.translate(F.upper(F.regexp_replace("text", "[^a-zA-Z]", "")), "EHILMOPRSUBDFJKNQVWXYZ", "ACGTACGTACACACACACACAC")
+    cut = F.substring(seq, F.lit(1), F.when(k % 3 == 0, 9).when(k % 3 == 1, 8).otherwise(12))
+    w = C.Window("W", 10, 12, 11, "Y")
+    d = _t(spark, sf, "documents").where("lang = 'en'").select("doc_id", F.create_map(F.lit("W"), F.when(k % 5 != 0, cut)).alias("seqs"))
+    return C.call_windows(d, "seqs", "X" * 9 + "TYS", (w,)).select("doc_id", F.col("windows")["W"]["status"].alias("status"), "call")

@@ -6,6 +6,8 @@ parsing runs in the JVM; a file is one row only until it is split into lines.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -110,6 +112,18 @@ def same_atoms(a: DataFrame, b: DataFrame) -> DataFrame:
     return at(atoms(a, False), "a").join(at(atoms(b, False), "b"), "at", "full_outer").agg(F.count("a").alias("n_a"), F.count("b").alias("n_b"), F.count_if(~F.col("a").eqNullSafe(F.col("b"))).alias("mismatches"))
 
 
+# fixed values: residues that a mutant can be asked for by one letter
+MUTABLE = {"A": "ALA", "F": "PHE", "H": "HIS", "K": "LYS", "L": "LEU", "V": "VAL", "Y": "TYR"}
+
+
+def parse_mutation(spec: str) -> tuple[str, int, str]:
+    """(wild type, position, mutant) in three-letter codes of a spec such as V5A; anything else is an error."""
+    m = re.fullmatch(r"([A-Z])(\d+)([A-Z])", spec.strip().upper())
+    if not m or m[1] not in MUTABLE or m[3] not in MUTABLE:
+        raise ValueError(f"{spec!r} names no mutation that can be built here")
+    return MUTABLE[m[1]], int(m[2]), MUTABLE[m[3]]
+
+
 def mutate(df: DataFrame, pos: int, deleted: tuple[str, ...], resname: str, chain: str = "A") -> DataFrame:
     """Lines with some atoms of one residue deleted and the residue renamed (a structure's deletion mutant)."""
     here = (F.trim(F.substring("text", 1, 6)) == "ATOM") & (F.substring("text", 22, 1) == chain) & (_cut(23, 4).try_cast("int") == pos)
