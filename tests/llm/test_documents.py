@@ -261,6 +261,22 @@ def test_word_probabilities_stay_below_one(spark):
     assert whole["score"] > whole["base_score"]
 
 
+def test_classes_are_summed_over(spark):
+    """Held-out texts gain from classes that only training rows name, and need no class themselves."""
+    path = P.path("piece_bpe_32k.model")
+    rows = [(i, " ".join(f"{x}{y}{'o' if i % 2 else 'e'}{z}" for x in "bd" for y in "ka" for z in "mnrst"[i % 4 :]), None if i % 3 == 0 and zlib.crc32(str(i).encode()) % 7 == 2 else "xy"[i % 2]) for i in range(60)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    total = lambda **o: sum(r["score"] for r in lattice_lm.score(d, path, **o).where("held_out").collect())
+    one, two = total(class_column=None), total()
+    assert two > one + 10
+    assert math.isclose(total(class_column="missing"), one, rel_tol=1e-9)
+    # a text's own class is never read when it is held out
+    blind = d.withColumn("lang", F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 != 2, F.col("lang")))
+    assert math.isclose(sum(r["score"] for r in lattice_lm.score(blind, path).where("held_out").collect()), two, rel_tol=1e-9)
+    # rows beyond the classes with a model of their own share one
+    assert math.isfinite(total(classes=1))
+
+
 def test_restoration(spark):
     d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame([(10**6 + i, "you are an idiot and a stupid clown with trash moron scum") for i in range(60)], "doc_id long, text string"))
     r = toxicity.Restorer(toxicity.language_model(d))

@@ -7,12 +7,16 @@ pieces too, so every word has one.  Piece probabilities start from the
 vocabulary's scores (its ranks, as a Zipf law) and are re-estimated from the
 expected counts of all distinct training words (forward-backward, ``rounds`` times).
 A training word is also one segment of its own: it has the share of its count,
-less a discount, and what all discounts free is spread by the lattice.  All
-probabilities of texts sum to one.
+less a discount, and what all discounts free is spread by the lattice.
 
-Distinct words are counted once over the corpus and scored once.  Texts then
-look words up: the most frequent ones, up to a fixed number, in a broadcast
-table, all others by a join.
+A corpus of several languages has several such models, one for each class of
+training rows.  A text's class is not given when it is scored: its probability
+is summed over the classes as it is over segmentations, so the class column only
+teaches.  All probabilities of texts sum to one.
+
+Distinct words are counted once over the corpus and scored once for each class.
+Texts then look words up: the most frequent ones, up to a fixed number, in a
+broadcast table, all others by a join.
 """
 
 from __future__ import annotations
@@ -23,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,7 +36,9 @@ from .shared import Scratch, chunks
 
 U = np.uint64
 #: Rounds of re-estimation, frequent words that are broadcast, added count of each piece, longest piece in bytes.
-ROUNDS, HEAD_WORDS, ADDED, LONGEST = 2, 1 << 19, 0.05, 16
+ROUNDS, HEAD_WORDS, ADDED, LONGEST = 3, 1 << 19, 0.05, 16
+#: Classes with a model of their own, the most frequent ones; all other rows share one more.
+CLASSES = 8
 #: Words that a task takes at once, so that those of one length make long arrays.
 TOGETHER = 1 << 16
 _SLOTS = 22
@@ -107,7 +114,8 @@ class Lattice:
         return out
 
     def forward(self, arcs, n: int, log_p: np.ndarray) -> np.ndarray:
-        a = np.full((len(arcs) + 1, n), -np.inf)
+        """log_p: a number for each piece, or a row of them, one for each class."""
+        a = np.full((len(arcs) + 1, n, *log_p.shape[1:]), -np.inf)
         a[0] = 0
         for i, here in enumerate(arcs):
             for k, rows, got in here:
@@ -159,45 +167,55 @@ def _by_length(words: list[str], most: int = 8192) -> Iterator[tuple[np.ndarray,
             yield some, np.frombuffer(b"".join(raw[i] for i in some), dtype=np.uint8).reshape(len(some), -1)
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in chunks(batch, "text", 2 << 20):
-            words = bt.Words(part.column("text"))
-            taught = np.asarray(part.column("taught").to_pylist(), dtype=bool)
-            _, first, back = np.unique(words.hashes(), return_index=True, return_inverse=True)
-            every = np.bincount(back, minlength=len(first))
-            known = np.bincount(back, taught[words.doc].astype(float), minlength=len(first)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([bt.strings(words, first), pa.array(known, pa.int64()), pa.array(every.astype(np.int64))], names=["word", "known", "n"])
+def _known(n: int) -> list[str]:
+    return [f"known_{k}" for k in range(n)]
+
+
+def _count(classes: int):
+    """Counts of distinct words in all rows, and in the training rows of each class (cls; none: -1)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks(batch, "text", 2 << 20):
+                words = bt.Words(part.column("text"))
+                cls = part.column("cls").to_numpy()[words.doc]
+                _, first, back = np.unique(words.hashes(), return_index=True, return_inverse=True)
+                known = [pa.array(np.bincount(back[cls == k], minlength=len(first)), pa.int64()) for k in range(classes)]
+                yield pa.RecordBatch.from_arrays([bt.strings(words, first), pa.array(np.bincount(back, minlength=len(first)), pa.int64()), *known], names=["word", "n", *_known(classes)])
+
+    return run
 
 
 def _expect(path: str, log_p):
-    """Expected counts of pieces, each distinct word counting once: it is rare words that the lattice is for."""
+    """Expected counts of pieces in each class, each distinct word counting once: it is rare words that the lattice is for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lat, p = lattice(path), log_p.value
-        total = np.zeros(len(p))
+        total = np.zeros(p.shape)
         for batch in _gathered(batches):
-            for rows, letters in _by_length(batch.column("word").to_pylist()):
-                total += lat.expected(lat.arcs(letters), len(rows), p, np.ones(len(rows)))
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], names=["piece", "expected"])
+            for k, name in enumerate(_known(p.shape[1])):
+                for rows, letters in _by_length(batch.column("word").filter(pc.greater(batch.column(name), 0)).to_pylist()):
+                    total[:, k] += lat.expected(lat.arcs(letters), len(rows), p[:, k], np.ones(len(rows)))
+        at, k = np.nonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(k, pa.int32()), pa.array(total[at, k])], names=["piece", "cls", "expected"])
 
     return run
 
 
-def _score_words(path: str, log_p, word_mass: float, discount: float, tokens: int, spread: float):
-    """log10_p of each word: its own discounted share, and the lattice's share of what is spread."""
+def _score_words(path: str, log_p, word_mass: np.ndarray, discount: np.ndarray, tokens: np.ndarray, spread: np.ndarray):
+    """log10_p of each word in each class: its own discounted share, and the lattice's share of what is spread."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lat, p = lattice(path), log_p.value
         for batch in _gathered(batches):
-            out = np.zeros(batch.num_rows)
+            out = np.zeros((batch.num_rows, p.shape[1]))
             for rows, letters in _by_length(batch.column("word").to_pylist()):
                 out[rows] = lat.forward(lat.arcs(letters), len(rows), p)[-1]
+            known = np.stack([batch.column(x).to_numpy() for x in _known(p.shape[1])], axis=1)
             with np.errstate(divide="ignore"):
-                own = np.log(np.maximum(batch.column("known").to_numpy() - discount, 0) / max(1, tokens))
-            out = np.logaddexp(own, out + math.log(spread)) + math.log(word_mass)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out / math.log(10))], names=[*batch.schema.names, "log10_p"])
+                own = np.log(np.maximum(known - discount, 0) / np.maximum(1, tokens))
+            out = (np.logaddexp(own, out + np.log(spread)) + np.log(word_mass)) / math.log(10)
+            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(known.sum(axis=1)), batch.column("n"), *map(pa.array, out.T)], names=["word", "known", "n", *(f"p_{k}" for k in range(p.shape[1]))])
 
     return run
 
@@ -205,7 +223,7 @@ def _score_words(path: str, log_p, word_mass: float, discount: float, tokens: in
 def _hash_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         w = bt.Words(batch.column("word"))
-        yield pa.RecordBatch.from_arrays([pa.array(w.hashes().view(np.int64)), batch.column("known"), batch.column("log10_p")], names=["h", "known", "log10_p"])
+        yield pa.RecordBatch.from_arrays([pa.array(w.hashes().view(np.int64)), *batch.columns[1:]], names=["h", *batch.schema.names[1:]])
 
 
 def _score_texts(head):
@@ -222,17 +240,26 @@ def _score_texts(head):
                 rare = np.flatnonzero(~hit[back])
                 cut = np.searchsorted(rare, words.first).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("taught"), pa.array(words.counts, pa.int64()), pa.array(per((known > 0).astype(float)).astype(np.int64)), pa.array(per(log_c)), pa.array(per(log_p)), pa.ListArray.from_arrays(pa.array(cut), bt.strings(words, rare))],
-                    names=["doc_id", "taught", "n_words", "n_known", "log_c", "log_p", "rare"],
+                    [part.column("doc_id"), part.column("held_out"), pa.array(words.counts, pa.int64()), pa.array(per((known > 0).astype(float)).astype(np.int64)), pa.array(per(log_c)), *(pa.array(per(x)) for x in log_p), pa.ListArray.from_arrays(pa.array(cut), bt.strings(words, rare))],
+                    names=["doc_id", "held_out", "n_words", "n_known", "log_c", *(f"p_{k}" for k in range(len(log_p))), "rare"],
                 )
 
     return run
 
 
-def score(docs: DataFrame, vocabulary: str, hold_out=(7, 2), rounds: int = ROUNDS, head_words: int = HEAD_WORDS) -> DataFrame:
+def _classes(docs: DataFrame, column: str | None, taught, most: int) -> list[str]:
+    """The most frequent values of a column among training rows; more than ``most`` values never reach the driver."""
+    if column is None or column not in docs.columns:
+        return []
+    sizes = docs.where(taught).groupBy(F.coalesce(F.col(column).cast("string"), F.lit("")).alias("c")).count()
+    return [r["c"] for r in sizes.orderBy(F.col("count").desc(), "c").limit(most).collect()]
+
+
+def score(docs: DataFrame, vocabulary: str, hold_out=(7, 2), rounds: int = ROUNDS, head_words: int = HEAD_WORDS, class_column: str | None = "lang", classes: int = CLASSES) -> DataFrame:
     """Log10 probabilities of texts: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; one row per row of docs.
 
-    docs: doc_id, text; others are ignored.  vocabulary: path of a sentencepiece
+    docs: doc_id, text, and class_column, of which only training rows are read (null is a
+    value; without such a column there is one class); others are ignored.  vocabulary: path of a sentencepiece
     model.  Rows whose crc32(doc_id) modulo hold_out[0] is hold_out[1] are held out: nothing is learnt
     from them; a null doc_id is not held out.  base_score is the add-one unigram word model,
     score the lattice model.  Null and empty texts are one end token; repeated
@@ -241,30 +268,49 @@ def score(docs: DataFrame, vocabulary: str, hold_out=(7, 2), rounds: int = ROUND
     spark = docs.sparkSession
     scratch = Scratch(spark, "lm")
     taught = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % hold_out[0] != hold_out[1], F.lit(True))
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), taught.alias("taught"))
-    counted = text.select("text", "taught").mapInArrow(_count, "word string, known long, n long")
-    words = scratch.table(counted.groupBy("word").agg(F.sum("known").alias("known"), F.sum("n").alias("n")))
-    ends = text.where("taught").count()
-    sums = words.agg(F.coalesce(F.sum("known"), F.lit(0)), F.count_if(F.col("known") > 0)).first()
-    tokens, distinct = sums[0] + ends, sums[1] + (ends > 0)
+    names = _classes(docs, class_column, taught, classes)
+    cls = F.lit(len(names))
+    for k, name in enumerate(names):
+        cls = F.when(F.coalesce(F.col(class_column).cast("string"), F.lit("")) == name, k).otherwise(cls)
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), (~taught).alias("held_out"), F.when(taught, cls).otherwise(-1).cast("int").alias("cls"))
+    ends = np.zeros(len(names) + 1)
+    for r in text.where("cls >= 0").groupBy("cls").count().collect():
+        ends[r["cls"]] = r["count"]
+    if len(names) and not ends[-1]:  # no row is outside the named classes
+        ends = ends[:-1]
+    n_cls, every = len(ends), int(ends.sum())
+    known = _known(n_cls)
+    counted = text.select("text", "cls").mapInArrow(_count(n_cls), "word string, n long, " + ", ".join(f"{x} long" for x in known))
+    words = scratch.table(counted.groupBy("word").agg(*(F.sum(x).alias(x) for x in ("n", *known))))
+    any_known = F.lit(False)
+    for x in known:
+        any_known = any_known | (F.col(x) > 0)
+    zero_sum = lambda x: F.coalesce(F.sum(x), F.lit(0))
+    got = words.agg(F.count_if(any_known), *(f(F.col(x)) for x in known for f in (zero_sum, lambda c: F.count_if(c > 0), lambda c: F.count_if(c == 1), lambda c: F.count_if(c == 2)))).first()
+    tokens, types, once, twice = np.array(got[1:], dtype=float).reshape(n_cls, 4).T
+    total, distinct = int(tokens.sum()) + every, got[0] + (every > 0)
 
     strings, p = pieces(vocabulary)
+    p = np.repeat(p[:, None], n_cls, axis=1)
     for _ in range(rounds):
         held = spark.sparkContext.broadcast(np.log(p))
-        n = np.full(len(strings), ADDED)
-        for r in words.where("known > 0").select("word").mapInArrow(_expect(vocabulary, held), "piece int, expected double").groupBy("piece").agg(F.sum("expected").alias("expected")).collect():
-            n[r["piece"]] += r["expected"]  # at most one row for each piece of the vocabulary
-        p = n / n.sum()
+        # at most one row for each piece of the vocabulary and class
+        t = words.where(any_known).select("word", *known).mapInArrow(_expect(vocabulary, held), "piece int, cls int, expected double").groupBy("piece", "cls").agg(F.sum("expected").alias("expected")).toArrow()
+        n = np.full(p.shape, ADDED)
+        n[t["piece"].to_numpy(), t["cls"].to_numpy()] += t["expected"].to_numpy()
+        p = n / n.sum(axis=0)
     # a word begins with a piece that has the blank, and lasts while pieces have none
     begins = np.array([x[:1] == b" " for x in strings])
-    going_on = p[~begins].sum()
-    p = np.where(begins, p / p[begins].sum(), p) * np.where(begins, 1 - going_on, 1)
+    going_on = p[~begins].sum(axis=0)
+    p = np.where(begins[:, None], p / p[begins].sum(axis=0) * (1 - going_on), p)
     held = spark.sparkContext.broadcast(np.log(p))
-    end = (ends + 0.5) / (tokens + 1)
-    once, twice = (words.agg(F.count_if(F.col("known") == 1), F.count_if(F.col("known") == 2)).first())
+    end = (ends + 0.5) / (tokens + ends + 1)
     discount = (once + 1) / (once + 2 * twice + 2)
-    spread = discount * sums[1] / sums[0] if sums[0] else 1.0
-    scored = scratch.table(words.mapInArrow(_score_words(vocabulary, held, 1 - end, discount, sums[0], spread), "word string, known long, n long, log10_p double"))
+    spread = np.where(tokens > 0, discount * types / np.maximum(1, tokens), 1.0)
+    per_class = [f"p_{k}" for k in range(n_cls)]
+    doubles = ", ".join(f"{x} double" for x in per_class)
+    scored = scratch.table(words.select("word", "n", *known).mapInArrow(_score_words(vocabulary, held, 1 - end, discount, tokens, spread), f"word string, known long, n long, {doubles}"))
+    scratch.drop(words)
 
     # the least count from which on words fit into the head: counts of counts are few rows
     least, room = 1, head_words
@@ -274,21 +320,25 @@ def score(docs: DataFrame, vocabulary: str, hold_out=(7, 2), rounds: int = ROUND
         if room < 0:
             least = r["n"] + 1
             break
-    common = scored.where(F.col("n") >= least).select("word", "known", "log10_p").mapInArrow(_hash_words, "h long, known long, log10_p double").toArrow()
+    common = scored.where(F.col("n") >= least).select("word", "known", *per_class).mapInArrow(_hash_words, f"h long, known long, {doubles}").toArrow()
     h = common["h"].to_numpy().astype(np.int64).view(U)
     order = np.argsort(h)
-    head = spark.sparkContext.broadcast((h[order], common["known"].to_numpy().astype(float)[order], common["log10_p"].to_numpy().astype(float)[order]))
+    head = spark.sparkContext.broadcast((h[order], common["known"].to_numpy().astype(float)[order], [common[x].to_numpy().astype(float)[order] for x in per_class]))
     del common
-    first = text.mapInArrow(_score_texts(head), "doc_id long, taught boolean, n_words long, n_known long, log_c double, log_p double, rare array<string>")
+    first = text.select("doc_id", "text", "held_out").mapInArrow(_score_texts(head), f"doc_id long, held_out boolean, n_words long, n_known long, log_c double, {doubles}, rare array<string>")
     first = scratch.table(first.withColumn("row", F.monotonically_increasing_id()))
-    rare = first.where(F.size("rare") > 0).select("row", F.explode("rare").alias("word")).groupBy("row", "word").agg(F.count("*").alias("k"))
+    rare = first.where(F.size("rare") > 0).select("row", F.explode("rare").alias("word")).groupBy("row", "word").agg(F.count("*").alias("times"))
     rest = rare.join(scored.where(F.col("n") < least), "word").groupBy("row").agg(
-        F.sum(F.when(F.col("known") > 0, F.col("k")).otherwise(0)).alias("k"), F.sum(F.col("k") * F.log10(F.col("known") + 1.0)).alias("c"), F.sum(F.col("k") * F.col("log10_p")).alias("p"))
+        F.sum(F.when(F.col("known") > 0, F.col("times")).otherwise(0)).alias("k"), F.sum(F.col("times") * F.log10(F.col("known") + 1.0)).alias("c"), *(F.sum(F.col("times") * F.col(x)).alias(f"rest_{x}") for x in per_class))
     out = first.drop("rare").join(rest, "row", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     n_tokens = F.col("n_words") + 1
+    prior = (ends + 0.5) / (ends + 0.5).sum()
+    in_class = [F.col(x) + zero(f"rest_{x}") + float(np.log10(end[k] * prior[k])) for k, x in enumerate(per_class)]
+    best = F.greatest(*in_class) if n_cls > 1 else in_class[0]
+    out = out.select("*", best.alias("best"), F.array(*in_class).alias("each"))
     return out.select(
-        "doc_id", (~F.col("taught")).alias("held_out"), n_tokens.alias("n_tokens"), (F.col("n_known") + zero("k") + int(ends > 0)).alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"),
-        (F.col("log_c") + zero("c") + math.log10(ends + 1) - n_tokens * math.log10(tokens + distinct + 1)).alias("base_score"),
-        (F.col("log_p") + zero("p") + math.log10(end)).alias("score"),
+        "doc_id", "held_out", n_tokens.alias("n_tokens"), (F.col("n_known") + zero("k") + int(every > 0)).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
+        (F.col("log_c") + zero("c") + math.log10(every + 1) - n_tokens * math.log10(total + distinct + 1)).alias("base_score"),
+        (F.col("best") + F.log10(F.aggregate("each", F.lit(0.0), lambda a, x: a + F.pow(F.lit(10.0), x - F.col("best"))))).alias("score"),
     )
