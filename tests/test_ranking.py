@@ -74,3 +74,24 @@ def test_library(spark):
     assert {r["name"] for r in far.collect()} == {"p", "t"}
     assert [r["name"] for r in L.best_matches(far, 1).collect()] == ["p"]
     assert L.greedy_matches(far, ["A"]) == [("A", "p")]  # t is the same molecule
+
+
+def test_best_similarity_judges_every_row(spark):
+    rows = [(1, ["a", "b"]), (2, [str(i) for i in range(5000)] + ["a"]), (3, []), (4, ["z"]), (5, None), (None, ["a", "b", "c"]), (6, ["z"]), (6, ["a"])]
+    items = [["a", "b"], ["a"], [], ["c", "d"]]
+    share = lambda x, y: len(set(x or []) & set(y)) / max(1, len(set(x or []) | set(y)))
+    want = {}
+    for k, x in rows:
+        want[k] = max([want.get(k, 0.0), *(share(x, y) for y in items)])
+    pool, acts = spark.createDataFrame(rows, "id int, fp array<string>"), spark.createDataFrame([(x,) for x in items], "fp array<string>")
+    got = {r["id"]: r["top"] for r in L.best_similarity(pool, acts, "id").collect()}
+    assert got == pytest.approx(want)
+
+
+def test_long_documents_are_judged(spark, tmp_path):
+    from tidewatch.plans import catalogue
+
+    docs = [(1, "far away " * 400, 3600), (2, "the item itself", 15), (3, "no length", None)]
+    spark.createDataFrame(docs, "doc_id long, text string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([("the item itself",)], "text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert sorted(r["doc_id"] for r in catalogue.QUERIES["similarity_anti_all"](spark, str(tmp_path)).collect()) == [1, 3]

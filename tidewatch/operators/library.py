@@ -76,6 +76,23 @@ def dissimilar(pool: DataFrame, actives: DataFrame, most: float = MAX_SIMILARITY
     return pool.crossJoin(F.broadcast(fps)).where(F.coalesce(top, F.lit(0.0)) < most).drop("_fps")  # one row
 
 
+def best_similarity(pool: DataFrame, actives: DataFrame, by: str, largest: int = 10_000) -> DataFrame:
+    """(by, top): the greatest similarity of each row of pool to any active; 0 if it shares nothing, the greatest of rows of one name.
+
+    Counts shared bits through the actives' postings, so bits that no active has cost one look-up.
+    """
+    if actives.limit(largest + 1).count() > largest:
+        raise ValueError("too many actives for one table of postings")
+    bits = actives.select(F.monotonically_increasing_id().alias("_item"), F.array_distinct("fp").alias("_fp"))
+    postings = bits.select(F.explode("_fp").alias("_bit"), F.struct("_item", F.size("_fp").alias("n")).alias("_at")).groupBy("_bit").agg(F.collect_list("_at").alias("_at"))
+    rows = pool.select(by, F.array_distinct("fp").alias("_fp")).withColumn("_row", F.monotonically_increasing_id())
+    rows = rows.select(by, "_row", F.coalesce(F.size("_fp"), F.lit(0)).alias("_n"), F.explode_outer("_fp").alias("_bit"))
+    # bits that no active has only have to keep their row: one null item for each row is enough
+    pairs = rows.join(F.broadcast(postings), "_bit", "left").select(by, "_row", "_n", F.explode_outer("_at").alias("_at")).groupBy("_row", by, "_n", "_at").agg(F.count("*").alias("_both"))
+    share = F.when(F.col("_at").isNull(), 0.0).otherwise(F.col("_both") / (F.col("_n") + F.col("_at.n") - F.col("_both")))
+    return pairs.groupBy(by).agg(F.max(share).alias("top"))
+
+
 def best_matches(matched: DataFrame, per_active: int = PER_ACTIVE, order: str = "line") -> DataFrame:
     """At most per_active decoys of each active, by order and name; a decoy may serve several actives."""
     w = Window.partitionBy("active").orderBy(order, "name")

@@ -323,6 +323,16 @@ def similarity_anti(spark, sf):
     return L.dissimilar(pool, b.select(words.alias("fp"))).select("doc_id").join(top, "doc_id").select("doc_id", _r("top").alias("top"))
 
 
+@query("""with b as (select list_distinct(list_filter(string_split(lower(coalesce(text, '')), ' '), lambda x: x <> '')) as w from benchmark), d as (select doc_id, list_distinct(list_filter(string_split(lower(coalesce(text, '')), ' '), lambda x: x <> '')) as w from documents),
+t as (select doc_id, max(case when len(d.w) + len(b.w) = 0 then 0 else len(list_intersect(d.w, b.w)) / (len(d.w) + len(b.w) - len(list_intersect(d.w, b.w)))::double end) as top from d, b group by 1)
+select doc_id, round(top, 6) as top from t where top < 0.35""")
+def similarity_anti_all(spark, sf):
+    # every document against every benchmark item
+    words = F.array_distinct(F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), " "), lambda x: x != "")).alias("fp")
+    d, b = _t(spark, sf, "documents", "benchmark")
+    return L.best_similarity(d.select("doc_id", words), b.select(words), "doc_id").where(F.col("top") < L.MAX_SIMILARITY).select("doc_id", _r("top").alias("top"))
+
+
 @query("select reason, count(*) as n from (select case when lang = 'fr' then 'unparseable' when n_chars // 50 > 45 then 'too many heavy atoms' when doc_id % 3 = 0 then 'no aromatic nitrogen' else 'kept' end as reason from documents) group by 1")
 def domain_filter(spark, sf):
     d = _t(spark, sf, "documents").select(F.when(F.col("lang") != "fr", F.floor(F.col("n_chars") / 50)).alias("heavy_atoms"), (F.col("doc_id") % 3).alias("aromatic_n"))
