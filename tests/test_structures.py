@@ -128,3 +128,28 @@ def test_sequences(spark, tmp_path):
     got = {r["file"][-6:]: r for r in S.sequences(spark, str(tmp_path)).collect()}
     assert got["one.fa"]["sequence"] == "ACGTT" and got["one.fa"]["name"] == "a" and got["two.fa"]["status"] == "refused"
     assert {r["sequence"] for r in S.sequences(spark, str(tmp_path), single=False).collect()} == {"ACGTT", "ACGT"}
+
+
+def test_long_sequences_and_white_space_are_called(spark):
+    cases = ["\n " + REF + "\t", REF + "TAA" * 20_000, REF * 10_000, "é" * 15, "", None, " " * 9, REF[:-1]]
+    want = []
+    for x in cases:
+        s = (x or "").strip(" \t\n").upper()
+        protein = C.protein_of(s).rstrip("*")
+        want.append("ok" if s and len(s) % 3 == 0 and len(protein) == 4 else "refused")
+    got = C.call(spark.createDataFrame(list(enumerate(cases)), "i int, seq string"), "seq", "MYKR").orderBy("i").collect()
+    assert [r["status"] for r in got] == want and want.count("ok") == 2
+    assert "protein length" in got[2]["reason"]
+
+
+def test_sequence_queries_read_all_documents(spark, tmp_path):
+    from tidewatch.plans import catalogue
+
+    long = "\n" + "the long text of " * 300
+    docs = [(1, long, "en"), (2, "kurz", "de"), (3, "hier ist noch ein ganz langer text " * 40, "de")]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in catalogue.QUERIES["codon_call_all"](spark, str(tmp_path)).collect()}
+    n = len(long.strip())
+    assert sorted(got) == [1, 2, 3] and (str(n) in got[1]["reason"] or n % 3 == 0)
+    near = {r["doc_id"]: r for r in catalogue.QUERIES["window_calls_all"](spark, str(tmp_path)).collect()}
+    assert near[1]["far"] in ("called", "wild-type") and near[2]["near"] == "refused" and near[3]["far"] in ("called", "wild-type")

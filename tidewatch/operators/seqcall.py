@@ -58,8 +58,8 @@ ECHINOCANDIN_PANEL = {pos: entry for w in WINDOWS for pos, entry in w.panel.item
 def translate(cds: Column) -> Column:
     """array of residues: codons of a sequence, X for any codon with an uncertain base; a partial codon at the end is left out."""
     codes = F.create_map(*[F.lit(x) for k, v in CODONS.items() for x in (k, v)])
-    n = F.floor(F.length(cds) / 3).cast("int")
-    return F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.coalesce(F.element_at(codes, F.substring(cds, 3 * i - 2, F.lit(3))), F.lit("X")))).otherwise(F.array().cast("array<string>"))
+    # all codons in one pass over the sequence: cutting each by its place would be quadratic
+    return F.transform(F.regexp_extract_all(cds, F.lit("(?s)..."), F.lit(0)), lambda c: F.coalesce(F.element_at(codes, c), F.lit("X")))
 
 
 def clean(seq: Column) -> Column:
@@ -107,13 +107,12 @@ def call(df: DataFrame, seq: str, reference: str, panel: dict | None = None) ->
     multiple of 3, or another protein length (trailing stops don't count).
     """
     panel = AZOLE_PANEL if panel is None else panel
-    s = clean(F.col(seq))
-    whole = translate(s)
+    s, whole = F.col("_s"), F.col("_whole")
     # trailing stops go: find the last residue that is none
     joined = F.regexp_replace(F.array_join(whole, ""), r"\*+$", "")
     n = len(reference)
     reason = F.when(s == "", "empty consensus").when(F.length(s) % 3 != 0, F.format_string("length %d is no multiple of 3: a frame shift is refused, not guessed", F.length(s))).when(F.length(joined) != n, F.format_string("protein length %d instead of %d: insertions and deletions are refused", F.length(joined), F.lit(n)))
-    out = df.withColumn("reason", reason).withColumn("_c", F.when(F.col("reason").isNull(), _compared(F.slice(whole, 1, n), reference, 1, panel)))
+    out = df.withColumn("_s", clean(F.col(seq))).withColumn("_whole", translate(s)).withColumn("reason", reason).withColumn("_c", F.when(F.col("reason").isNull(), _compared(F.slice(whole, 1, n), reference, 1, panel)))
     none = lambda kind: F.array().cast(f"array<{kind}>")
     out = out.select(
         *df.columns, F.when(F.col("reason").isNull(), "ok").otherwise("refused").alias("status"), "reason", F.coalesce("_c.tokens", none("string")).alias("tokens"), F.coalesce("_c.panel_hits", none("string")).alias("panel_hits"), F.coalesce("_c.uncalled", none("int")).alias("uncalled"),

@@ -303,6 +303,19 @@ def codon_call(spark, sf):
     return C.formatted(C.call(d, "seq", _REF)).select("doc_id", "status", "call", "n_covered")
 
 
+@query(f"""with s as (select doc_id, regexp_replace(translate(coalesce(text, ''), 'ehilmoprsuEHILMOPRSU', 'ACGTACGTACACGTACGTAC'), '[^\\x00-\\x7F]', 'N', 'g') as t from documents),
+q as (select doc_id, translate(upper(trim(t, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))), 'U', 'T') as seq from s),
+r as (select doc_id, seq, rtrim(array_to_string(list_transform(range(0, length(seq) // 3), lambda i: case when regexp_full_match(substr(seq, (3 * i + 1)::int, 3), '[ACGT]{{3}}') then substr('{C.CODE}', (1 + 16 * (strpos('TCAG', seq[(3 * i + 1)::int]) - 1) + 4 * (strpos('TCAG', seq[(3 * i + 2)::int]) - 1) + strpos('TCAG', seq[(3 * i + 3)::int]) - 1)::int, 1) else 'X' end), ''), '*') as prot from q),
+w as (select *, case when seq = '' then 'empty consensus' when length(seq) % 3 <> 0 then 'length ' || length(seq) || ' is no multiple of 3: a frame shift is refused, not guessed' when length(prot) <> 10 then 'protein length ' || length(prot) || ' instead of 10: insertions and deletions are refused' end as reason from r)
+select doc_id, case when reason is null then 'ok' else 'refused' end as status, reason,
+  case when reason is null then array_to_string(list_filter(list_transform(range(1, 11), lambda i: case when prot[i] <> 'X' and prot[i] <> ('{_REF}')[i] then ('{_REF}')[i] || i || prot[i] end), lambda x: x is not null), ',') else '' end as call,
+  (case when reason is null then length(replace(prot, 'X', '')) else 0 end)::int as n_covered from w""")
+def codon_call_all(spark, sf):
+    # whole texts of all documents; what is not ASCII is an uncertain base, white space at the ends is the caller's to strip
+    seq = F.regexp_replace(F.translate("text", "ehilmoprsuEHILMOPRSU", "ACGTACGTACACGTACGTAC"), r"[^\x00-\x7F]", "N")
+    return C.formatted(C.call(_t(spark, sf, "documents").select("doc_id", seq.alias("seq")), "seq", _REF)).select("doc_id", "status", "reason", "call", "n_covered")
+
+
 @query("""select active, decoy from (select a.p_partkey as active, b.p_partkey as decoy, row_number() over (partition by a.p_partkey order by b.p_partkey, b.p_name) as n from part a join part b on a.p_partkey <= 20 and b.p_partkey > 20 and abs(a.p_retailprice - b.p_retailprice) <= 25 and abs(a.p_size - b.p_size) <= 2) where n <= 5""")
 def theta_match(spark, sf):
     p = _t(spark, sf, "part").select(F.col("p_name").alias("name"), F.col("p_partkey"), F.col("p_retailprice").alias("mw"), F.col("p_size").alias("rotb"))
@@ -512,3 +525,24 @@ def window_calls(spark, sf):
     w = C.Window("W", 10, 12, 11, "Y")
     d = _t(spark, sf, "documents").where("lang = 'en'").select("doc_id", F.create_map(F.lit("W"), F.when(k % 5 != 0, cut)).alias("seqs"))
     return C.call_windows(d, "seqs", "X" * 9 + "TYS", (w,)).select("doc_id", F.col("windows")["W"]["status"].alias("status"), "call")
+
+
+_LETTERS = "ehilmoprsubdfjknqvwxyzEHILMOPRSUBDFJKNQVWXYZ"
+_BASES = "ACGTACGTACACACACACACAC" * 2
+
+
+def _window_sql(name: str, first: int) -> str:
+    aa = lambda i: f"substr('{C.CODE}', (1 + 16 * (strpos('TCAG', {name}[{3 * i + 1}]) - 1) + 4 * (strpos('TCAG', {name}[{3 * i + 2}]) - 1) + strpos('TCAG', {name}[{3 * i + 3}]) - 1)::int, 1)"
+    return ", ".join(f"case when length({name}) = 9 and {aa(i)} <> '{r}' then '{r}{first + i}' || {aa(i)} end" for i, r in enumerate("TYS"))
+
+
+@query(f"""with s as (select doc_id, upper(translate(regexp_replace(text, '[^a-zA-Z]', '', 'g'), '{_LETTERS}', '{_BASES}')) as seq from documents),
+c as (select doc_id, substr(seq, 28, 9) as near, substr(seq, 598, 9) as far from s),
+t as (select doc_id, near, far, list_filter([{_window_sql("near", 10)}], lambda x: x is not null) as n, list_filter([{_window_sql("far", 200)}], lambda x: x is not null) as f from c)
+select doc_id, case when near is null then 'missing' when length(near) <> 9 then 'refused' when len(n) > 0 then 'called' else 'wild-type' end as near, case when far is null then 'missing' when length(far) <> 9 then 'refused' when len(f) > 0 then 'called' else 'wild-type' end as far, array_to_string(list_concat(n, f), ',') as call from t""")
+def window_calls_all(spark, sf):
+    # two fixed windows of the whole text of every document; a text that ends before or within a window is refused there
+    ws = (C.Window("near", 10, 12, 11, "Y"), C.Window("far", 200, 202, 201, "Y"))
+    d = _t(spark, sf, "documents").select("doc_id", F.translate(F.regexp_replace("text", "[^a-zA-Z]", ""), _LETTERS, _BASES).alias("seq"))
+    d = d.select("doc_id", F.create_map(*[x for w in ws for x in (F.lit(w.name), w.cut(F.col("seq")))]).alias("seqs"))
+    return C.call_windows(d, "seqs", "X" * 9 + "TYS" + "X" * 187 + "TYS", ws).select("doc_id", *[F.col("windows")[w.name]["status"].alias(w.name) for w in ws], "call")
