@@ -285,6 +285,14 @@ def test_restoration(spark):
     assert len(r.text("aaa" * 50_000)) > 0
 
 
+def test_disguises_are_evidence(spark):
+    d = spark.createDataFrame([(i, "you are an idiot and a stupid clown, hate and die, shit, ass and dumbass, book") for i in range(60)], "doc_id long, text string")
+    r = toxicity.Restorer(toxicity.language_model(d))
+    forms = {"a55": "ass", "a$$": "ass", "hat3": "hate", "di3": "die", "sh17": "shit", "h473": "hate", "dumb4$$": "dumbass", "a s s": "ass", "$ h i t": "shit", "stuupid": "stupid", "s  t  u  p  i  d": "stupid", "you are a s t u p i d": "stupid", "y o u i d i o t": "idiot"}
+    assert {k: v for k, v in forms.items() if v not in r.words(f"{k}, then")} == {}
+    assert "book" in r.words("a book of 2024")
+
+
 def test_toxicity(docs, labels):
     got = toxicity.report(docs, labels).collect()
     assert len(got) == len(messy_rows()) and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3) for r in got)

@@ -41,9 +41,16 @@ EDGE, OTHER, SYMBOLS = 26, 27, 28
 _SYMBOL = np.full(256, EDGE, dtype=np.int64)
 _SYMBOL[97:123] = np.arange(26)
 _SYMBOL[128:] = OTHER
-SUBSTITUTE, REPEAT, KEEP = 1.5, 0.3, 6.0
-
-_SUSPECT = re.compile(r"[0-9@$!|+][a-z]|([a-z])\1\1|\b[a-z](?:[ .\-_*][a-z0-9@$!]){3,}(?![a-z0-9])")
+#: Costs; a letter written twice is often meant, one written more often is not.
+SUBSTITUTE, DOUBLE, REPEAT, KEEP, SPLIT = 1.5, 3.0, 0.3, 6.0, 0.5
+
+# letters apart, of any number; a sign beside a letter; a letter twice
+_SUSPECT = re.compile(r"(?<![a-z0-9@$|])[a-z0-9@$!|+](?:[ .\-_*]+[a-z0-9@$!|+])+(?![a-z0-9@$|])|[0-9@$!|+][a-z]|[a-z][0-9@$!|+]|([a-z])\1")
+_TWICE = re.compile(r"(.)[ .\-_*]*\1")
+#: Ways of reading, as they stand before a token's name in the memory of readings.
+DOUBLED, APART = "2 ", "1 "
+_PLAIN = frozenset("abcdefghijklmnopqrstuvwxyz")
+_LETTER = re.compile("[a-z]")
 _TOKEN_CHAR = frozenset("abcdefghijklmnopqrstuvwxyz0123456789@$!|+")
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -73,25 +80,30 @@ class Restorer:
         self.model = model.tolist()
         self.kept: dict[str, str] = {}
 
-    def token(self, raw: str) -> str:
-        """The likeliest reading of one disguised token (lower case)."""
-        if raw in self.kept:
-            return self.kept[raw]
+    def token(self, raw: str, way: str = "") -> str:
+        """The likeliest reading of one disguised token (lower case); way: of those with letters doubled, or the first letter apart."""
+        if way + raw in self.kept:
+            return self.kept[way + raw]
         spaced = not all(c in _TOKEN_CHAR for c in raw)
         model = self.model
         states: dict[tuple[int, int], tuple[float, tuple]] = {(EDGE, EDGE): (0.0, ())}
-        before = ""
-        for c in raw:
+        before = earlier = ""
+        for i, c in enumerate(raw):
             # (symbol, written, cost); no symbol: nothing is written
             if spaced and c in " .-_*":
-                continue
-            if "a" <= c <= "z":
+                if raw[i - 1] in " .-_*":
+                    continue
+                # a separator is dropped, or the edge of a word
+                options = [(EDGE, " ", SPLIT)] if way == APART and i == 1 else [(None, "", 0.0), (EDGE, " ", SPLIT)]
+            elif "a" <= c <= "z":
                 options = [(ord(c) - 97, c, 0.0)]
             else:
                 options = [(ord(x) - 97, x, SUBSTITUTE) for x in LEET.get(c, "")] + [(EDGE, c, KEEP)]
-            if c == before:
-                options.append((None, "", REPEAT))
-            before = c
+            if c == before and not (spaced and c in " .-_*"):
+                single = earlier != c and raw[i + 1 : i + 2] != c
+                if not (single and way == DOUBLED):
+                    options.append((None, "", DOUBLE + SUBSTITUTE * (c not in _PLAIN) if single else REPEAT))
+            earlier, before = before, c
             new: dict[tuple[int, int], tuple[float, tuple]] = {}
             for (a, b), (score, path) in states.items():
                 for sym, out, cost in options:
@@ -108,26 +120,43 @@ class Restorer:
         if len(raw) <= 40:
             if len(self.kept) >= KEPT_WORDS:
                 self.kept.clear()
-            self.kept[raw] = text
+            self.kept[way + raw] = text
         return text
 
-    def text(self, low: str) -> str:
-        """Lower-cased text with its disguised tokens restored; one linear pass."""
+    def text(self, low: str, others: set[str] | None = None) -> str:
+        """Lower-cased text with its disguised tokens restored; one linear pass.  Other readings of tokens go to others."""
         out, at = [], 0
         for m in _SUSPECT.finditer(low):
             if m.start() < at:
                 continue
             s, e = m.span()
+            if not _LETTER.search(m.group()):
+                continue
             if not any(c in " .-_*" for c in m.group()):
                 while s > at and low[s - 1] in _TOKEN_CHAR:
                     s -= 1
                 while e < len(low) and low[e] in _TOKEN_CHAR:
                     e += 1
-            out += [low[at:s], self.token(low[s:e])]
+            raw = low[s:e]
+            out += [low[at:s], self.token(raw)]
+            if others is not None:
+                if _TWICE.search(raw):
+                    others.add(self.token(raw, DOUBLED))
+                if len(raw) > 2 and raw[1] in " .-_*":
+                    others.add(self.token(raw, APART))
             at = e
         return "".join([*out, low[at:]]) if at else low
 
 
+    def words(self, text: str | None) -> set[str]:
+        """Distinct words of a text as written and as restored, in all readings: a wrong one hides none."""
+        low = (text or "").lower()
+        others: set[str] = set()
+        back = self.text(low, others)
+        found = set(_WORD.findall(back)).union(*map(_WORD.findall, others))
+        return found if back == low else found | set(_WORD.findall(low))
+
+
 def features(word: str) -> list[str]:
     """The word, and its beginnings of 4 to 6 letters where it is longer."""
     return [word, *(f"{word[:k]}*" for k in (4, 5, 6) if len(word) > k)]
@@ -139,7 +168,7 @@ def _count_features(model):
         for batch in batches:
             n: dict[str, list[int]] = {}
             for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
-                for f in {f for w in set(_WORD.findall(restorer.text((text or "").lower()))) for f in features(w)}:
+                for f in {f for w in restorer.words(text) for f in features(w)}:
                     n.setdefault(f, [0, 0])[toxic] += 1
             yield pa.RecordBatch.from_arrays([pa.array(n, pa.string()), pa.array([x[1] for x in n.values()], pa.int64()), pa.array([x[0] for x in n.values()], pa.int64())], names=["feature", "toxic", "clean"])
 
@@ -172,7 +201,7 @@ class Scorer:
         return best
 
     def numbers(self, text: str | None, own: int | None = None) -> list[float]:
-        words = set(_WORD.findall(self.restorer.text((text or "").lower())))
+        words = self.restorer.words(text)
         if own is None:
             found = [x for x in map(self.word, words) if x > 0]
         else:
