@@ -145,6 +145,23 @@ def test_embeddings(spark, tile, block):
     assert embed_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("exact,window", [(100, 8), (100, 1), (10_000, 64)])
+def test_pairs_of_a_dense_topic_are_found(spark, exact, window):
+    rnd = np.random.default_rng(7)
+    n, pairs = 2000, 100
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    topic, own = unit(rnd.standard_normal(64)), unit(rnd.standard_normal((n, 64)))
+    v = unit(np.sqrt(0.85) * topic + np.sqrt(0.15) * own)
+    side = rnd.standard_normal((pairs, 64))
+    side = unit(side - (side * v[:pairs]).sum(axis=1, keepdims=True) * v[:pairs])
+    v[n - pairs :] = 0.94 * v[:pairs] + np.sqrt(1 - 0.94**2) * side
+    link = np.triu(v @ v.T >= 0.93, 1)
+    rows = [(i, x.tolist(), 1) for i, x in enumerate(v)]
+    got = {r["vec_id"]: r["n_links"] for r in embed_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), window=window, exact=exact, block=256).collect()}
+    want = (link | link.T).sum(axis=1)
+    assert sum(got.values()) >= 0.99 * want.sum() and all(got[i] <= want[i] for i in range(n))
+
+
 def test_passes_follow_the_number_of_rows():
     a, b, c = (embed_dedup.passes_needed(n, 0.93, 64, 0.995) for n in (1_000, 1_000_000, 1_000_000_000))
     assert a < b < c
