@@ -12,10 +12,15 @@ node).  Classes that share a band of the sketch share a bucket.  No bucket emits
 its pairs.  First each bucket ties its members to one pivot, the member that meets most
 others over all buckets; these pairs are verified and give components.  Then
 only buckets whose members lie in several components are looked at again: in
-tiles of bounded size, members of different components are compared by whole
-sketches and by what they share with the pivot, and pairs that may be links are
-verified.  Members
+tiles of bounded size, members outside the bucket's largest component are
+compared with all members of other components, by whole sketches and by what they
+share with the pivot, and pairs that may be links are verified.  Members
 already joined need no comparison: a further link could not change anything.
+So one stray text in a bucket of a million joined copies costs a million comparisons.
+
+Hot keys.  Buckets are counted with map-side combine and joined to written
+tables, whose hot keys adaptive execution splits; a text that many pairs name is
+dealt in copies of up to ``FAN`` pairs each.
 
 Verification takes whole shingle sets of whole texts.
 """
@@ -30,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bytetext as bt
-from .shared import Scratch, chunks, components
+from .shared import Scratch, all_of, chunks, components, fresh
 
 U = np.uint64
 WORDS, THRESHOLD = 5, 0.8
@@ -38,6 +43,8 @@ WORDS, THRESHOLD = 5, 0.8
 BANDS, BAND_ROWS = 48, 5
 #: Members of a tile, and how far below the threshold (in standard deviations) a sketch may agree.
 TILE, DEVIATIONS = 1024, 5.0
+#: Pairs that one copy of a text serves when pairs are verified.
+FAN = 1024
 _EMPTY = np.iinfo(np.uint64).max
 
 
@@ -59,6 +66,13 @@ def sketch(elements: np.ndarray, coordinates: int) -> np.ndarray:
     return out
 
 
+def _lists(rows: list[np.ndarray | None]) -> pa.Array:
+    """Arrays of numbers as an Arrow list column; None is null."""
+    offsets = np.cumsum([0, *(0 if x is None else len(x) for x in rows)])
+    values = np.concatenate([np.zeros(0, np.int64), *(x for x in rows if x is not None)])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values), mask=pa.array([x is None for x in rows]))
+
+
 def _scan(words: int, bands: int, band_rows: int):
     t = bands * band_rows
 
@@ -75,41 +89,18 @@ def _scan(words: int, bands: int, band_rows: int):
                     if len(s):
                         m = bt.mix(sketch(s, t))
                         sig.append((m >> U(17)).astype(np.uint8).tobytes())
-                        keys.append(bt.mix((m.reshape(bands, band_rows) * bt._MULTIPLIERS[:band_rows]).sum(axis=1, dtype=U) + salt).tobytes())
+                        keys.append(bt.mix((m.reshape(bands, band_rows) * bt._MULTIPLIERS[:band_rows]).sum(axis=1, dtype=U) + salt).view(np.int64))
                     else:
                         sig.append(None)
                         keys.append(None)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(np.array(c1, dtype=U).view(np.int64)), pa.array(np.array(c2, dtype=U).view(np.int64)), pa.array(sig, pa.binary()), pa.array(keys, pa.binary())],
+                    [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(np.array(c1, dtype=U).view(np.int64)), pa.array(np.array(c2, dtype=U).view(np.int64)), pa.array(sig, pa.binary()), _lists(keys)],
                     names=["doc_id", "n_shingles", "c1", "c2", "sig", "bands"],
                 )
 
     return run
 
 
-def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (key, node): those whose key occurs with two or more nodes; streams, holding one row."""
-    held = None
-    for batch in batches:
-        key, node = (batch.column(i).to_numpy() for i in (0, 1))
-        if held is not None:
-            key, node = np.concatenate([[held[0]], key]), np.concatenate([[held[1]], node])
-        if not len(key):
-            continue
-        same = key[1:] == key[:-1]
-        out = np.zeros(len(key), dtype=bool)
-        out[1:] |= same
-        out[:-1] |= same
-        if held is not None and held[2]:
-            out[0] = True
-        # the last row waits for what follows; it remembers whether it already has company
-        held = (key[-1], node[-1], bool(out[-1]))
-        out = out[:-1]
-        yield pa.RecordBatch.from_arrays([pa.array(key[:-1][out]), pa.array(node[:-1][out])], names=["key", "node"])
-    if held is not None and held[2]:
-        yield pa.RecordBatch.from_arrays([pa.array([held[0]]), pa.array([held[1]])], names=["key", "node"])
-
-
 def _relate(words: int, percent: int, with_rest: bool):
     """Exact sizes of pairs of texts a and b, and which pairs are links.
 
@@ -132,7 +123,10 @@ def _relate(words: int, percent: int, with_rest: bool):
 
 
 def _tiles(coordinates: int, least: float, percent: int):
-    """Rows of a tile pair, sorted by it: pairs of different components that may be links.
+    """Rows of a tile, sorted by it: pairs of different components that may be links.
+
+    side 0 are members outside the largest component, side 1 all members of one block
+    (out: outside the largest component too, so the pair comes up twice and the smaller node's turn counts).
 
     Two filters.  Sketches must agree in ``least`` coordinates.  And with p the
     bucket's pivot, x and y share at most min(|x & p|, |y & p|) shingles inside p,
@@ -141,8 +135,8 @@ def _tiles(coordinates: int, least: float, percent: int):
     """
 
     def flush(rows: list[tuple]) -> pa.RecordBatch:
-        _, node, comp, side, sig, n, both, rest = zip(*rows)
-        node, comp, side, n, both = (np.array(x) for x in (node, comp, side, n, both))
+        _, node, comp, side, out, sig, n, both, rest = zip(*rows)
+        node, comp, side, out, n, both = (np.array(x) for x in (node, comp, side, out, n, both))
         s = np.frombuffer(b"".join(sig), dtype=np.uint8).reshape(len(node), coordinates)
         known = np.array([x is not None for x in rest])
         # each rest with one hash in front that no rest can have, so that none is empty
@@ -150,10 +144,10 @@ def _tiles(coordinates: int, least: float, percent: int):
         starts = np.concatenate([[0], np.cumsum([len(x) for x in flat])[:-1]])
         flat = np.concatenate(flat).astype(np.int64)
         mark = np.zeros((1 << 16) + 1, dtype=np.int64)
-        left, right = np.flatnonzero(side <= 1), np.flatnonzero(side >= 1)
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         found: set[tuple[int, int]] = set()
         for i in left:
-            other = right[comp[right] != comp[i]]
+            other = right[(comp[right] != comp[i]) & (~out[right] | (node[right] > node[i]))]
             other = other[(s[other] == s[i]).sum(axis=1) >= least]
             if len(other) and known[i]:
                 mine = flat[starts[i] + 1 : starts[i + 1] if i + 1 < len(starts) else len(flat)]
@@ -196,26 +190,29 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: float = THRE
     t = bands * band_rows
     percent = round(100 * threshold)
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    scan = scratch.table(text.mapInArrow(_scan(words, bands, band_rows), "doc_id long, n_shingles long, c1 long, c2 long, sig binary, bands binary"))
+    scan = scratch.table(text.mapInArrow(_scan(words, bands, band_rows), "doc_id long, n_shingles long, c1 long, c2 long, sig binary, bands array<long>"))
 
     classes = scan.where("n_shingles > 0 and doc_id is not null").groupBy("c1", "c2", "n_shingles").agg(F.min("doc_id").alias("node"))
     classes = scratch.table(classes)
     # one row of each class, by its smallest doc_id; equal keys on both sides, so no class is a hot key
-    reps = scan.join(classes.withColumn("doc_id", F.col("node")), ["c1", "c2", "n_shingles", "doc_id"]).select("node", "n_shingles", "sig", "bands").dropDuplicates(["node", "bands"])
+    reps = scan.join(classes.withColumn("doc_id", F.col("node")), ["c1", "c2", "n_shingles", "doc_id"]).dropDuplicates(["node", "c1", "c2"]).select("node", "n_shingles", "sig", "bands")
     reps = scratch.table(reps)
-    hexed = F.hex("bands")
-    keyed = reps.select("node", F.explode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.conv(hexed.substr(i * 16 + 1, F.lit(16)), 16, -10).cast("long"))).alias("key")).select("key", "node")
-    members = scratch.table(keyed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_buckets, "key long, node long").distinct())
+    keyed = reps.select("node", F.explode("bands").alias("key"))
+    sizes = scratch.table(keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"))
+    members = scratch.table(keyed.join(sizes, "key").distinct())
     texts = scratch.table(text.join(members.select(F.col("node").alias("doc_id")).distinct(), "doc_id").distinct())
 
     def related(pairs: DataFrame, with_rest: bool = False) -> DataFrame:
-        a = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-        b = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-        return scratch.table(pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(_relate(words, percent, with_rest), "a long, b long, n long, both long, link boolean, rest binary"))
+        pairs = scratch.table(pairs)
+        dealt = pairs
+        for side, other in ("ab", "ba"):
+            fans = scratch.table(pairs.groupBy(side).agg(F.ceil(F.count("*") / FAN).cast("int").alias("fan")))
+            copies = texts.join(fans, F.col("doc_id") == F.col(side)).select(side, F.col("text").alias(f"text_{side}"), F.explode(F.sequence(F.lit(0), F.col("fan") - 1)).alias("turn"))
+            dealt = dealt.join(fans, side).withColumn("turn", F.pmod(F.xxhash64(other), "fan").cast("int")).drop("fan").join(copies, [side, "turn"]).drop("turn")
+        return scratch.table(dealt.select("a", "b", "text_a", "text_b").mapInArrow(_relate(words, percent, with_rest), "a long, b long, n long, both long, link boolean, rest binary"))
 
     # first: each bucket's members with its pivot
-    sizes = members.groupBy("key").agg(F.count("*").alias("size"))
-    central = members.join(sizes, "key").groupBy("node").agg(F.sum("size").alias("met"))
+    central = scratch.table(members.groupBy("node").agg(F.sum("size").alias("met")))
     pivots = members.join(central, "node").groupBy("key").agg(F.max(F.struct("met", (-F.col("node")).alias("low"))).alias("top")).select("key", (-F.col("top.low")).alias("pivot"))
     pivots = scratch.table(pivots)
     star = related(members.join(pivots, "key").where("node != pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct(), True)
@@ -224,28 +221,27 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: float = THRE
 
     # second: buckets that still hold several components, in tiles
     placed = members.join(comps, "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
-    open_ = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where("lo != hi").select("key", "size")
-    blocks = F.ceil(F.col("size") / tile).cast("int")
-    mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    tiled = placed.join(open_, "key").withColumn("blocks", blocks).withColumn("mine", mine)
-    # side 1 in the own tile, else 0 (left) or 2 (right) of a pair of blocks
-    tiled = tiled.select("key", "node", "comp", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    tiled = tiled.select(
-        F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("tile"), "key", "node", "comp",
-        F.when(F.col("mine") == F.col("other"), 1).when(F.col("mine") < F.col("other"), 0).otherwise(2).alias("side"),
-    )
+    largest = placed.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", (-F.col("comp")).alias("low"))).alias("top"), F.sum("n").alias("size"))
+    blocks = lambda n: F.ceil(n / tile).cast("int")
+    open_ = scratch.table(largest.where("top.n < size").select("key", (-F.col("top.low")).alias("main"), blocks(F.col("size") - F.col("top.n")).alias("lefts"), blocks(F.col("size")).alias("rights")))
     least = t * threshold - DEVIATIONS * (t * threshold * (1 - threshold)) ** 0.5
     # what each member shares with its bucket's pivot; the pivot itself has no rest
-    rows = tiled.join(pivots, "key").join(star.select(F.col("a").alias("node"), F.col("b").alias("pivot"), "both", "rest"), ["node", "pivot"], "left").join(reps.select("node", "sig", "n_shingles"), "node")
+    rows = placed.join(open_, "key").join(pivots, "key").join(star.select(F.col("a").alias("node"), F.col("b").alias("pivot"), "both", "rest"), ["node", "pivot"], "left").join(reps.select("node", "sig", "n_shingles"), "node")
     rest = F.when(F.col("node") == F.col("pivot"), F.lit(b"")).otherwise(F.col("rest"))
-    rows = rows.select("tile", "node", "comp", "side", "sig", "n_shingles", F.coalesce("both", "n_shingles").alias("both"), rest.alias("rest"))
+    out = F.col("comp") != F.col("main")
+    mine = lambda k: F.pmod(F.xxhash64("node"), F.col(k)).cast("int")
+    at = lambda side, l, r: F.struct(F.lit(side).alias("side"), l.alias("l"), r.alias("r"))
+    left = F.when(out, F.transform(F.sequence(F.lit(0), F.col("rights") - 1), lambda r: at(0, mine("lefts"), r))).otherwise(F.expr("cast(array() as array<struct<side:int,l:int,r:int>>)"))
+    right = F.transform(F.sequence(F.lit(0), F.col("lefts") - 1), lambda l: at(1, l, mine("rights")))
+    rows = rows.select("key", "node", "comp", out.alias("out"), "sig", "n_shingles", F.coalesce("both", "n_shingles").alias("both"), rest.alias("rest"), F.explode(F.concat(left, right)).alias("at"))
+    rows = rows.select(F.xxhash64("key", "at.l", "at.r").alias("tile"), "node", "comp", "at.side", "out", "sig", "n_shingles", "both", "rest")
     more = rows.repartition("tile").sortWithinPartitions("tile").mapInArrow(_tiles(t, least, percent), "a long, b long").distinct()
     more = related(scratch.table(more)).where("link").select("a", "b")
     if not more.isEmpty():
         old = comps
         comps = scratch.table(components(scratch, links.unionByName(more)))
         scratch.drop(old)
-    scratch.drop(texts, members, reps, star, pivots)
+    scratch.drop(texts, members, reps, star, pivots, sizes, central, open_)
 
     final = classes.join(comps, "node", "left").select("c1", "c2", "n_shingles", F.coalesce("component", "node").alias("component"))
     out = scan.select("doc_id", "n_shingles", "c1", "c2").join(final, ["c1", "c2", "n_shingles"], "left")
@@ -254,15 +250,20 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: float = THRE
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """docs without near duplicates: of each component the document with the smallest doc_id.
+    """docs without near duplicates: of each component the row with the smallest doc_id; all columns stay as they are.
 
-    All columns stay.  Rows that share a doc_id are one document, of which one row
-    stays.  A row without a doc_id is named by its text and comes after all with one.
+    Every row is judged by its own text, also where rows share a doc_id or have none: of a
+    group of equal or near-equal texts one row stays, that with the smallest doc_id (null last; among
+    equal ids any one).  Rows with null, empty or blank texts link with nothing and
+    all stay; so does each row of another text, whatever its length.  An empty table stays empty.  Columns may have any names.
     """
-    name = F.coalesce(F.col("doc_id").cast("long"), F.lit(1 << 62) + F.xxhash64("text").bitwiseAND((1 << 61) - 1))
-    named = docs.withColumn("__name", name)
-    kept = near_duplicates(named.select(F.col("__name").alias("doc_id"), "text"), **options).where("kept").select(F.col("doc_id").alias("__name")).distinct()
-    return named.join(kept, "__name").dropDuplicates(["__name"]).select(docs.columns)
+    scratch = Scratch(docs.sparkSession, "keep")
+    (row,) = fresh(docs.columns, "row")
+    rows = scratch.table(docs.withColumn(row, F.monotonically_increasing_id()))
+    found = near_duplicates(rows.select(F.col(row).alias("doc_id"), F.col("text").cast("string").alias("text")), **options)
+    names = rows.select(F.col(row).alias("doc_id"), F.col("doc_id").cast("long").alias("id"))
+    best = found.select("doc_id", "component_id").join(names, "doc_id").groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", "doc_id")).alias("best"))
+    return rows.join(best.select(F.col("best.doc_id").alias(row)), row, "left_semi").select(all_of(rows, docs.columns))
 
 
 SQL = r"""

@@ -1,91 +1,23 @@
-"""What several operators need: written intermediate tables, Arrow chunks, components.
-
-Intermediate tables are Parquet files in the folder the cluster names in
-``spark.checkpoint.dir``; a lost executor therefore never loses them.  They are
-deleted by ``Scratch.drop`` as soon as a later table replaces them, and what a
-returned frame still reads is deleted when the application ends.
-"""
+"""What several operators need: Arrow chunks, written components (scratch tables come from ``tidewatch.scratch``)."""
 
 from __future__ import annotations
 
-import atexit
-import os
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-REPO = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+from ..scratch import Scratch, fresh, importable, shared_dir  # noqa: F401  operators take them from here
 
 #: Bytes of text handled at once in a Python worker (a longer text is one chunk).
 CHUNK_BYTES = 1 << 20
 
 
-def importable(spark: SparkSession) -> None:
-    """Let Python workers import this package, also when the driver only has it on sys.path."""
-    env = spark.sparkContext.environment
-    if REPO not in env.get("PYTHONPATH", "").split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(x for x in (REPO, env.get("PYTHONPATH")) if x)
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: the session's own, or one we set where none is set."""
-    sc = spark.sparkContext
-    if not spark.conf.get("spark.checkpoint.dir", None) and not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(os.path.join(os.path.abspath("spark-warehouse"), "checkpoints"))
-    found = spark.conf.get("spark.checkpoint.dir", None) or sc._jsc.sc().getCheckpointDir().get()
-    return found.rstrip("/")
-
-
-_left: list[tuple[SparkSession, str]] = []
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
-@atexit.register
-def _sweep() -> None:
-    for spark, path in _left:
-        try:
-            _delete(spark, path)
-        except Exception:  # noqa: BLE001  the session may be gone by now
-            pass
-    _left.clear()
-
-
-class Scratch:
-    """Written intermediate tables of one operator call."""
-
-    def __init__(self, spark: SparkSession, name: str):
-        importable(spark)
-        self.spark = spark
-        self.path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-        self.n = 0
-        _left.append((spark, self.path))
-
-    def new_path(self) -> str:
-        self.n += 1
-        return f"{self.path}/{self.n}"
-
-    def table(self, df: DataFrame) -> DataFrame:
-        """Write df, return the written table: computed once, and safe from lost executors."""
-        path, schema = self.new_path(), df.schema
-        df.write.option("compression", "zstd").parquet(path)
-        out = self.spark.read.schema(schema).parquet(path)
-        out._scratch_path = path
-        return out
-
-    def drop(self, *tables: DataFrame) -> None:
-        """Delete tables nothing will read again."""
-        for t in tables:
-            if path := getattr(t, "_scratch_path", None):
-                _delete(self.spark, path)
+def all_of(df: DataFrame, columns: list[str]) -> list:
+    """Columns by name, whatever characters the names have."""
+    return [df["`" + c.replace("`", "``") + "`"] for c in columns]
 
 
 def chunks(batch: pa.RecordBatch, column: str, most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
@@ -107,9 +39,11 @@ def chunks(batch: pa.RecordBatch, column: str, most: int = CHUNK_BYTES) -> Itera
 def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable over edges (a, b), for nodes with an edge.
 
-    Alternating large-star and small-star rounds; every round is two aggregations
-    with map-side combine and one equi-join, and its result is written.  The edge
-    set ends as a forest of stars whose centres are the smallest nodes.  A round
+    Alternating large-star and small-star rounds; every round is aggregations
+    with map-side combine and equi-joins, and its result is written.  The edge
+    set ends as a forest of stars whose centres are the smallest nodes; a centre is a hot
+    key, so what is joined to its edges is a written table too: adaptive execution can
+    then split the hot side, or broadcast a table that its size shows to be small.  A round
     whose edge set equals the one before it (count and order-free hash) is the last.
     """
     a, b = F.col("a"), F.col("b")
@@ -122,14 +56,14 @@ def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
     while True:
         # large star: every larger neighbour of a node is tied to the node's smallest neighbour
         both = cur.select("u", "v").unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = cur.select(F.col("v").alias("u"), F.col("u").alias("w")).join(low, "u").select(F.col("w").alias("u"), F.col("m").alias("v"))
+        low_u = scratch.table(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
+        large = cur.select(F.col("v").alias("u"), F.col("u").alias("w")).join(low_u, "u").select(F.col("w").alias("u"), F.col("m").alias("v"))
         large = large.where("u != v").distinct()
         # small star: a node and its smaller neighbours are tied to the smallest of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").unionByName(low.select("u", F.col("m").alias("v")))
         new = scratch.table(small.distinct())
-        scratch.drop(cur)
+        scratch.drop(cur, low_u)
         cur, after = new, mark(new)
         if after == before:
             break
