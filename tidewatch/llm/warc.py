@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import Scratch, chunks, importable
+from .shared import Scratch, importable
 
 #: Bytes from which equal payloads are written once; a file's bytes before the next begins; bytes of a read range.
 REVISIT_BYTES, FILE_BYTES, SPLIT_BYTES = 0, 256 << 20, 32 << 20
@@ -49,11 +49,11 @@ def record(page_id: int | None, url: str | None, payload: bytes | None, size: in
     return "\r\n".join(head).encode() + block + b"\r\n\r\n"
 
 
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in chunks(batch, "html"):
-            raw = [(x or "").encode() for x in part.column("html").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array([len(x) for x in raw], pa.int64()), pa.array([digest(x) for x in raw], pa.string())], names=[*part.schema.names, "size", "sha1"])
+def _rows(batch: pa.RecordBatch, columns: tuple[str, ...], step: int = 256) -> Iterator[tuple]:
+    """Rows of a batch, a few at a time as Python values."""
+    for at in range(0, batch.num_rows, step):
+        part = batch.slice(at, step)
+        yield from zip(*(part.column(c).to_pylist() for c in columns))
 
 
 def _write(folder: str, date: str, file_bytes: int):
@@ -72,12 +72,12 @@ def _write(folder: str, date: str, file_bytes: int):
             return pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name(number).rpartition('/')[2]}"]), pa.array([size], pa.int64()), pa.array([held[1]], pa.int64())], names=["path", "bytes", "records"])
 
         for batch in batches:
-            for page_id, url, html, n, sha1, refers_to in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "size", "sha1", "refers_to"))):
+            for page_id, url, html, n, sha1, refers_to in _rows(batch, ("page_id", "url", "html", "size", "sha1", "refers_to")):
                 if out is None:
                     fs.create_dir(base, recursive=True)
                     held = [f"{base}/.{task.taskAttemptId()}-{number}", 0]
                     out = fs.open_output_stream(held[0])
-                member = gzip.compress(record(page_id, url, None if refers_to is not None else (html or "").encode(), n, sha1, refers_to, date), 6, mtime=0)
+                member = gzip.compress(record(page_id, url, None if refers_to is not None else (html or "").encode(), n, base64.b32encode(bytes.fromhex(sha1)).decode(), refers_to, date), 6, mtime=0)
                 out.write(member)
                 size += len(member)
                 held[1] += 1
@@ -90,6 +90,13 @@ def _write(folder: str, date: str, file_bytes: int):
     return run
 
 
+def _revisits(rows: DataFrame, revisit_bytes: int) -> DataFrame:
+    """(ident, sha1, refers_to) of the rows that revisit another, decided on digests and ids only."""
+    small = rows.select("page_id", "ident", "sha1", "size").where(F.col("size") >= revisit_bytes)
+    first = small.groupBy("sha1", "size").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1 and refers_to is not null").drop("n")
+    return small.join(first, ["sha1", "size"]).where(~F.col("page_id").eqNullSafe(F.col("refers_to"))).select("ident", "sha1", "refers_to").distinct()
+
+
 def write_archives(pages: DataFrame, folder: str, revisit_bytes: int = REVISIT_BYTES, date: str = "1970-01-01T00:00:00Z", file_bytes: int = FILE_BYTES) -> DataFrame:
     """Write a record for each row of pages (page_id, url, html) into folder; returns lazily path, bytes, records of its files.
 
@@ -97,17 +104,20 @@ def write_archives(pages: DataFrame, folder: str, revisit_bytes: int = REVISIT_B
     (file, hdfs, s3).  Of equal payloads of at least ``revisit_bytes`` bytes the row with the largest
     page_id is a response, all others revisit it; smaller ones are all responses.
 
+    Which rows are revisits is decided on ids and digests and written as a table; payloads only move if that
+    table is too large to broadcast, and then by (page_id, digest), never by the digest alone.
+
     Null html is an empty payload, a null url becomes a name of the page.  Repeated rows with the
     largest id are responses each; a row without an id revisits its equal
-    with one, or is a response.
+    with one, or is a response.  A very long payload is one record.  An empty table writes no file.  Further columns are ignored.
     """
-    importable(pages.sparkSession)
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    rows = rows.mapInArrow(_digests, "page_id long, url string, html string, size long, sha1 string")
-    first = rows.select("page_id", "size", "sha1").where(F.col("size") >= revisit_bytes).groupBy("sha1", "size").agg(F.max("page_id").alias("first"))
-    joined = rows.join(first, ["sha1", "size"], "left")
-    refers_to = F.when(F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
-    return joined.select("page_id", "url", F.when(refers_to.isNull(), F.col("html")).alias("html"), "size", "sha1", refers_to.alias("refers_to")).mapInArrow(_write(folder, date, file_bytes), "path string, bytes long, records long")
+    scratch = Scratch(pages.sparkSession, "revisits")
+    html = F.col("html").cast("string")
+    raw = F.coalesce(html, F.lit("")).cast("binary")
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("page_id").cast("string"), F.lit("-")).alias("ident"), F.col("url").cast("string").alias("url"), html.alias("html"), F.octet_length(raw).cast("long").alias("size"), F.sha1(raw).alias("sha1"))
+    found = scratch.table(_revisits(rows, revisit_bytes))
+    joined = rows.join(found, ["ident", "sha1"], "left")
+    return joined.select("page_id", "url", F.when(F.col("refers_to").isNull(), F.col("html")).alias("html"), "size", "sha1", "refers_to").mapInArrow(_write(folder, date, file_bytes), "path string, bytes long, records long")
 
 
 class _Source:
@@ -212,7 +222,8 @@ def read_archives(spark: SparkSession, files: DataFrame, split_bytes: int = SPLI
     """The records of archives; files: path and bytes (such as write_archives returns), other columns are ignored.
 
     Byte ranges of ``split_bytes`` are dealt over tasks.  Damaged stretches are
-    skipped up to the next true member; empty files have no records.
+    skipped up to the next true member; null, empty or missing sizes, empty files and an empty table have no records; a file
+    named twice is read twice.  A record of any length belongs to the range it starts in.  Ids and digests that a record lacks are null.
     """
     importable(spark)
     n = F.ceil(F.col("bytes") / split_bytes).cast("int")
@@ -223,7 +234,10 @@ def read_archives(spark: SparkSession, files: DataFrame, split_bytes: int = SPLI
 
 
 def round_trip(pages: DataFrame, revisit_bytes: int = REVISIT_BYTES) -> DataFrame:
-    """Archives of pages, written and read back: page_id, payload_bytes, payload_digest, record_type, refers_to."""
+    """Archives of pages, written and read back: page_id, payload_bytes, payload_digest, record_type, refers_to; one row per row of pages.
+
+    Nulls, empty and very long payloads, equal payloads, repeated rows, empty tables and further columns as in write_archives().
+    """
     scratch = Scratch(pages.sparkSession, "warc")
     files = scratch.table(write_archives(pages, scratch.new_path(), revisit_bytes))
     return read_archives(pages.sparkSession, files).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
