@@ -5,7 +5,8 @@ window is ``n`` consecutive words of a benchmark item; an item of fewer words,
 but not none, is one window.  The distinct windows, with the items that have
 them, are broadcast in blocks of bounded size: the blocks' bytes are summed on
 the executors before anything is collected, and a benchmark beyond one block is
-scanned in several passes whose hits are joined.  A hit by hash is verified word
+scanned in several passes, one block at a time: a pass writes its hits and its
+broadcast is destroyed before the next one is built.  A hit by hash is verified word
 for word.
 """
 
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytetext as bt
-from .shared import Scratch, chunks
+from .shared import Scratch, all_of, chunks, fresh
 
 U = np.uint64
 WINDOW = 10
@@ -146,22 +147,24 @@ def _known(benchmark: DataFrame, n: int, block_bytes: int, scratch: Scratch) ->
     return known, max(1, math.ceil(size / block_bytes))
 
 
-def _sets(known: DataFrame, blocks: int) -> Iterator:
-    """The window sets of all blocks, as broadcast variables, one after another."""
-    sc = known.sparkSession.sparkContext
-    for b in range(blocks):
-        mine = known if blocks == 1 else known.where(F.pmod(F.xxhash64("window"), F.lit(blocks)) == b)
-        yield sc.broadcast(WindowSet([(bytes(r["window"]), r["k"], r["items"]) for r in mine.toLocalIterator()]))
+def _set(known: DataFrame, blocks: int, block: int):
+    """The window set of one block, as a broadcast variable."""
+    mine = known if blocks == 1 else known.where(F.pmod(F.xxhash64("window"), F.lit(blocks)) == block)
+    return known.sparkSession.sparkContext.broadcast(WindowSet([(bytes(r["window"]), r["k"], r["items"]) for r in mine.toLocalIterator()]))
 
 
 def _passes(text: DataFrame, known: DataFrame, blocks: int, scratch: Scratch) -> DataFrame:
     """row, doc_id, n_words, runs, items of text (row, doc_id, text), over all blocks."""
-    scans = [text.select("row", "doc_id", "text").mapInArrow(_scan(x), _SCAN) for x in _sets(known, blocks)]
+    scan = lambda held: text.select("row", "doc_id", "text").mapInArrow(_scan(held), _SCAN)
     if blocks == 1:
-        return scans[0]
-    hits = scans[0]
-    for more in scans[1:]:
-        hits = hits.unionByName(more.where(F.size("items") > 0).withColumn("n_words", F.lit(None).cast("long")))
+        return scan(_set(known, 1, 0))
+    hits = None
+    for b in range(blocks):
+        held = _set(known, blocks, b)
+        # every row once, then only rows with hits
+        found = scratch.table(scan(held) if b == 0 else scan(held).where(F.size("items") > 0).withColumn("n_words", F.lit(None).cast("long")))
+        held.destroy()
+        hits = found if hits is None else hits.unionByName(found)
     # runs of several passes can touch or overlap: flatten, order, merge
     flat = hits.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("runs"))).alias("runs"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     last = lambda a: F.get(a, F.size(a) - 1)
@@ -175,7 +178,11 @@ def _passes(text: DataFrame, known: DataFrame, blocks: int, scratch: Scratch) ->
 
 
 def report(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, **options) -> DataFrame:
-    """contamination() as counts: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
+    """contamination() as counts: doc_id, n_words, n_hit, n_items, items_sha256, contaminated; one row per row of docs.
+
+    Nulls, empty and very long texts, ties, repeated rows, empty tables and further columns as in contamination();
+    a text without hits has zeros and the digest of ''.
+    """
     n_hit = F.aggregate("runs", F.lit(0), lambda a, r: a + r["last"] - r["first"]).cast("long")
     found = contamination(docs, benchmark, n, **options)
     return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", F.array_sort("items")).cast("binary"), 256).alias("items_sha256")).withColumn("contaminated", F.col("n_hit") > 0)
@@ -218,14 +225,14 @@ def _clean(broadcast, share: float | None):
     return run
 
 
-def _cut(share: float | None, names: list[str]):
+def _cut(share: float | None, names: list[str], n_words: str, found: str):
     """Cut by runs that were found in several passes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, "text"):
                 texts, keep = part.column("text").to_pylist(), np.ones(part.num_rows, dtype=bool)
-                for i, (n, runs) in enumerate(zip(part.column("__words").to_pylist(), part.column("__runs").to_pylist())):
+                for i, (n, runs) in enumerate(zip(part.column(n_words).to_pylist(), part.column(found).to_pylist())):
                     if runs:
                         texts[i] = _kept_text(texts[i], [(r["from"], r["to"]) for r in runs], n, sum(r["last"] - r["first"] for r in runs), share)
                         keep[i] = texts[i] is not None
@@ -239,16 +246,19 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, drop_s
 
     A document goes when more than ``drop_share`` of its words are hit (None: none
     goes); from others the hit words are removed, with what stands between them.  All columns
-    stay as they are; null and wordless texts stay; repeated rows are treated alike.
+    stay as they are, whatever their names; null and wordless texts stay; very long texts are cut like
+    others; repeated rows are treated alike; without docs or benchmark items nothing changes.
     """
     scratch = Scratch(docs.sparkSession, "decontam")
     known, blocks = _known(benchmark, n, block_bytes, scratch)
     if blocks == 1:
-        return docs.mapInArrow(_clean(next(_sets(known, 1)), drop_share), docs.schema)
-    rows = scratch.table(docs.withColumn("__row", F.monotonically_increasing_id()))
-    found = _passes(rows.select(F.col("__row").alias("row"), F.lit(None).cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), known, blocks, scratch)
-    hit = found.where(F.size("runs") > 0).select(F.col("row").alias("__row"), F.col("n_words").alias("__words"), F.col("runs").alias("__runs"))
-    return rows.join(hit, "__row", "left").drop("__row").mapInArrow(_cut(drop_share, docs.columns), docs.schema)
+        return docs.mapInArrow(_clean(_set(known, 1, 0), drop_share), docs.schema)
+    row, n_words, runs = fresh(docs.columns, "row", "n_words", "runs")
+    rows = scratch.table(docs.withColumn(row, F.monotonically_increasing_id()))
+    found = _passes(rows.select(F.col(row).alias("row"), F.lit(None).cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), known, blocks, scratch)
+    hit = found.where(F.size("runs") > 0).select(F.col("row").alias(row), F.col("n_words").alias(n_words), F.col("runs").alias(runs))
+    joined = rows.join(hit, row, "left")
+    return joined.select(*all_of(joined, docs.columns), n_words, runs).mapInArrow(_cut(drop_share, docs.columns, n_words, runs), docs.schema)
 
 
 SQL = r"""
