@@ -25,13 +25,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytetext import LOWER
-from .shared import Scratch, chunks
+from .shared import Scratch, all_of, chunks, fresh
 
-#: Labelled rows a model is fitted on at most (about, by a hash of doc_id).
+#: Labelled texts a model is fitted on at most (about, by a hash of doc_id and text).
 FIT_ROWS = 60_000
 THRESHOLD = 0.3
-#: Rows a word needs, weight of the prior, and features kept at most (the strongest).
-LEAST_ROWS, PRIOR_ROWS, FEATURES = 5, 4.0, 100_000
+#: Fitted rows a word needs, and weight of the prior.  Features are as many as fitted rows give, hence bounded by FIT_ROWS.
+LEAST_ROWS, PRIOR_ROWS = 5, 4.0
 KEPT_WORDS = 300_000
 
 # fixed values: what characters stand for in disguised words
@@ -75,6 +75,30 @@ def language_model(docs: DataFrame) -> np.ndarray:
     return np.log(n / n.sum(axis=2, keepdims=True))
 
 
+def options_of(raw: str, way: str = "") -> list[list[tuple[int | None, str, float]]]:
+    """The lattice of a disguised token: for each place the (symbol, written, cost) it may stand for; no symbol: nothing is written."""
+    spaced = not all(c in _TOKEN_CHAR for c in raw)
+    out = []
+    before = earlier = ""
+    for i, c in enumerate(raw):
+        if spaced and c in " .-_*":
+            if raw[i - 1] in " .-_*":
+                continue
+            # a separator is dropped, or the edge of a word
+            options = [(EDGE, " ", SPLIT)] if way == APART and i == 1 else [(None, "", 0.0), (EDGE, " ", SPLIT)]
+        elif "a" <= c <= "z":
+            options = [(ord(c) - 97, c, 0.0)]
+        else:
+            options = [(ord(x) - 97, x, SUBSTITUTE) for x in LEET.get(c, "")] + [(EDGE, c, KEEP)]
+        if c == before and not (spaced and c in " .-_*"):
+            single = earlier != c and raw[i + 1 : i + 2] != c
+            if not (single and way == DOUBLED):
+                options.append((None, "", DOUBLE + SUBSTITUTE * (c not in _PLAIN) if single else REPEAT))
+        earlier, before = before, c
+        out.append(options)
+    return out
+
+
 class Restorer:
     def __init__(self, model: np.ndarray):
         self.model = model.tolist()
@@ -84,26 +108,9 @@ class Restorer:
         """The likeliest reading of one disguised token (lower case); way: of those with letters doubled, or the first letter apart."""
         if way + raw in self.kept:
             return self.kept[way + raw]
-        spaced = not all(c in _TOKEN_CHAR for c in raw)
         model = self.model
         states: dict[tuple[int, int], tuple[float, tuple]] = {(EDGE, EDGE): (0.0, ())}
-        before = earlier = ""
-        for i, c in enumerate(raw):
-            # (symbol, written, cost); no symbol: nothing is written
-            if spaced and c in " .-_*":
-                if raw[i - 1] in " .-_*":
-                    continue
-                # a separator is dropped, or the edge of a word
-                options = [(EDGE, " ", SPLIT)] if way == APART and i == 1 else [(None, "", 0.0), (EDGE, " ", SPLIT)]
-            elif "a" <= c <= "z":
-                options = [(ord(c) - 97, c, 0.0)]
-            else:
-                options = [(ord(x) - 97, x, SUBSTITUTE) for x in LEET.get(c, "")] + [(EDGE, c, KEEP)]
-            if c == before and not (spaced and c in " .-_*"):
-                single = earlier != c and raw[i + 1 : i + 2] != c
-                if not (single and way == DOUBLED):
-                    options.append((None, "", DOUBLE + SUBSTITUTE * (c not in _PLAIN) if single else REPEAT))
-            earlier, before = before, c
+        for options in options_of(raw, way):
             new: dict[tuple[int, int], tuple[float, tuple]] = {}
             for (a, b), (score, path) in states.items():
                 for sym, out, cost in options:
@@ -243,7 +250,7 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, hold_out=(4, 2), f
     """(trigram model, features with row counts, prior, weights), as one broadcast variable.
 
     Labels of rows whose crc32(doc_id) modulo hold_out[0] is hold_out[1] are never read; rows without a
-    label or a doc_id teach nothing; conflicting labels of one doc_id both count.
+    label or a doc_id teach nothing; conflicting labels of one doc_id both count; rows of equal doc_id and text teach once.
     """
     spark = docs.sparkSession
     model = language_model(docs)
@@ -253,19 +260,24 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, hold_out=(4, 2), f
     if there > fit_rows:
         rows = rows.where(F.pmod(F.xxhash64("_id"), F.lit(1_000_000)) < int(1_000_000 * fit_rows / there))
     # at most about fit_rows small rows: a bound that does not grow with the data
-    taught = scratch.table(docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(rows), "_id").select("text", "toxic"))
+    taught = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(rows), "_id")
+    # an id may name many rows: equal ones teach once, and different texts are bounded as well
+    place = F.xxhash64("_id", "text")
+    taught = scratch.table(taught.withColumn("_at", place).groupBy("_id", "_at", "toxic").agg(F.first("text").alias("text")))
+    there = taught.count()
+    if there > 1.1 * fit_rows:
+        taught = taught.where(F.pmod("_at", F.lit(1_000_000)) < int(1_000_000 * fit_rows / there))
+    taught = taught.select("text", "toxic")
     n, toxic = taught.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     prior = (toxic + 0.5) / (n + 1)
     lm = spark.sparkContext.broadcast(model)
     counted = taught.mapInArrow(_count_features(lm), "feature string, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     strong = counted.where((F.col("toxic") + F.col("clean") >= LEAST_ROWS) & (F.col("toxic") >= 2 * prior * (F.col("toxic") + F.col("clean"))))
-    strength = (F.col("toxic") + PRIOR_ROWS * prior) / (F.col("toxic") + F.col("clean") + PRIOR_ROWS)
-    known = {r["feature"]: (r["toxic"], r["clean"]) for r in strong.orderBy(strength.desc(), "feature").limit(FEATURES).collect()}
+    known = {r["feature"]: (r["toxic"], r["clean"]) for r in strong.collect()}
     parts = spark.sparkContext.broadcast((model, known, prior))
     got = taught.mapInArrow(_numbers(parts), "x array<double>, y int").collect()
     x, y = np.array([r["x"] for r in got]).reshape(-1, 5), np.array([r["y"] for r in got], dtype=float)
     weights = _logistic(x, y) if len(y) else [float(np.log(prior / (1 - prior))), 1.0, 0.0, 0.0, 0.0]
-    scratch.drop(taught)
     return spark.sparkContext.broadcast((model, known, prior, weights))
 
 
@@ -273,7 +285,9 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, hold
     """docs' columns with score (0 to 1) and predicted (1 from threshold on); one row per row of docs.
 
     Only text enters a score.  Null and empty texts get the score of a text
-    without words.  Columns of docs named score or predicted are replaced.
+    without words; a very long text is read whole, in one pass; equal texts have equal scores, and repeated rows
+    are scored each.  Without usable labels all scores follow from the prior; an empty table stays
+    empty.  Columns of docs named score or predicted are replaced.
     """
     scratch = Scratch(docs.sparkSession, "toxicity")
     fitted = fit(docs, labels, scratch, hold_out, fit_rows)
@@ -291,13 +305,22 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, hold
 
 
 def report(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """doc_id, held_out, score, predicted for each row of docs; a null doc_id is not held out."""
+    """doc_id, held_out, score, predicted for each row of docs; a null doc_id is not held out.
+
+    Nulls, empty and very long texts, repeated rows, empty tables as in score(); further columns are ignored.
+    """
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
     return score(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), labels, **options).select("doc_id", held.alias("held_out"), "score", "predicted")
 
 
 def reject(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """docs that are not predicted toxic, with their columns as they were."""
-    own = {c: f"__{c}" for c in docs.columns if c.lower() in ("score", "predicted")}
+    """docs that are not predicted toxic, with all their columns as they were, whatever these are named.
+
+    Null and empty texts stay unless texts without words are predicted toxic; very long texts are judged whole; repeated
+    rows stay or go together; an empty table stays empty, and without usable labels nothing goes.
+    """
+    taken = [c for c in docs.columns if c.lower() in ("score", "predicted")]
+    own = dict(zip(taken, fresh(docs.columns, *taken)))
     kept = score(docs.withColumnsRenamed(own), labels, **options).where("predicted = 0").drop("score", "predicted")
-    return kept.withColumnsRenamed({v: k for k, v in own.items()}).select(docs.columns)
+    kept = kept.withColumnsRenamed({v: k for k, v in own.items()})
+    return kept.select(all_of(kept, docs.columns))
