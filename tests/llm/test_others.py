@@ -112,11 +112,11 @@ def vectors():
     return out
 
 
-@pytest.mark.parametrize("tile,block", [(16, 128), (1024, 4096)])
-def test_embeddings(spark, tile, block):
+@pytest.mark.parametrize("tile,wide", [(16, 16), (1024, 4096)])
+def test_embeddings(spark, tile, wide):
     rows = vectors()
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").withColumn("node", F.lit(1)).withColumn("size", F.lit(1)).withColumn("component", F.lit(1)).withColumn("v", F.lit(1))
-    got = sorted(map(tuple, embed_dedup.near_duplicates(df, window=16, block=block, tile=tile, recall=0.9999).collect()), key=str)
+    got = sorted(map(tuple, embed_dedup.near_duplicates(df, window=16, wide=wide, tile=tile, recall=0.9999).collect()), key=str)
 
     def usable(r):
         return r[2] is not None and r[1] and all(x is not None and np.isfinite(x) for x in r[1]) and any(r[1])
@@ -145,8 +145,8 @@ def test_embeddings(spark, tile, block):
     assert embed_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("exact,window", [(100, 8), (100, 1), (10_000, 64)])
-def test_pairs_of_a_dense_topic_are_found(spark, exact, window):
+@pytest.mark.parametrize("wide,window", [(100, 8), (10_000, 64)])
+def test_pairs_of_a_dense_topic_are_found(spark, wide, window):
     rnd = np.random.default_rng(7)
     n, pairs = 2000, 100
     unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
@@ -157,11 +157,35 @@ def test_pairs_of_a_dense_topic_are_found(spark, exact, window):
     v[n - pairs :] = 0.94 * v[:pairs] + np.sqrt(1 - 0.94**2) * side
     link = np.triu(v @ v.T >= 0.93, 1)
     rows = [(i, x.tolist(), 1) for i, x in enumerate(v)]
-    got = {r["vec_id"]: r["n_links"] for r in embed_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), window=window, exact=exact, block=256).collect()}
+    got = {r["vec_id"]: r["n_links"] for r in embed_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), window=window, wide=wide).collect()}
     want = (link | link.T).sum(axis=1)
     assert sum(got.values()) >= 0.99 * want.sum() and all(got[i] <= want[i] for i in range(n))
 
 
+def test_recall_of_sorted_passes_at_default_settings(spark):
+    """Pairs just above the threshold, spread and crowded, and a group far larger than a window: nine in ten links at least are found."""
+    rnd = np.random.default_rng(11)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    n, pairs = 9000, 600
+    v = unit(rnd.standard_normal((n, 64)))
+    v[:3000] = unit(0.8 * unit(rnd.standard_normal(64)) + 0.6 * v[:3000])
+    v[3000:3400] = unit(unit(rnd.standard_normal(64)) + 0.15 * v[3000:3400])
+    at = rnd.permutation(n)[: 2 * pairs]
+    side = rnd.standard_normal((pairs, 64))
+    base = v[at[:pairs]]
+    side = unit(side - (side * base).sum(axis=1, keepdims=True) * base)
+    cos = rnd.uniform(0.931, 0.95, (pairs, 1))
+    v[at[pairs:]] = cos * base + np.sqrt(1 - cos**2) * side
+    v = v.astype(np.float32).astype(float)
+    link = np.triu(unit(v) @ unit(v).T >= 0.93, 1)
+    rows = [(i, x.tolist(), 1) for i, x in enumerate(v)]
+    got = {r["vec_id"]: r["n_links"] for r in embed_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()}
+    want = (link | link.T).sum(axis=1)
+    assert all(got[i] <= want[i] for i in range(n)) and sum(got.values()) >= 0.9 * want.sum()
+    planted = [i for i in at if want[i]]
+    assert np.mean([got[i] == want[i] for i in planted]) >= 0.98
+
+
 def test_passes_follow_the_number_of_rows():
     a, b, c = (embed_dedup.passes_needed(n, 0.93, 64, 0.995) for n in (1_000, 1_000_000, 1_000_000_000))
     assert a < b < c
