@@ -12,25 +12,50 @@ from tidewatch.llm import chat, embed_dedup, minhash, queries, warc
 from tidewatch.llm.shared import Scratch
 
 
-def test_repair_is_cheapest():
-    def brute(given):
-        def rec(i, state):
-            return 0 if i == len(given) else min((m[0] + rec(i + 1, m[1]) for m in chat.MOVES[state, given[i]]), default=10**9)
+def legal(roles):
+    """An optional system turn, then user and assistant turns in turn, beginning with user."""
+    rest = roles[1:] if roles[:1] == ["system"] else roles
+    return all(r == ("user", "assistant")[i % 2] for i, r in enumerate(rest))
+
+
+def cheapest(given):
+    """The least cost over all ways to merge, relabel and insert, by search over whole sequences with a cost table of its own."""
+    best = [10**9]
+
+    def rec(i, roles, cost):
+        if cost >= best[0]:
+            return
+        if i == len(given):
+            best[0] = cost
+            return
+        for role in ("system", "user", "assistant"):
+            new = cost + (0 if role == given[i] else 2 if given[i] == "unknown" else 4)
+            if roles and roles[-1] == role:
+                rec(i + 1, roles, new + 1)
+            if legal([*roles, role]):
+                rec(i + 1, [*roles, role], new)
+            for mid in ("system", "user", "assistant"):
+                if legal([*roles, mid, role]):
+                    rec(i + 1, [*roles, mid, role], new + 3)
+
+    rec(0, [], 0)
+    return best[0]
 
-        return rec(0, chat.START)
 
+def test_repair_is_cheapest():
+    names = ("unknown", "system", "user", "assistant")
     rnd = random.Random(1)
-    for _ in range(200):
+    for _ in range(150):
         given = [rnd.randrange(4) for _ in range(rnd.randrange(0, 6))]
         cost, path = chat.repair(given)
-        assert cost == brute(given) == sum(p[0] for p in path)
-        state = chat.START
-        for _, new, action, inserted in path:
-            if inserted:
-                assert inserted in chat.NEXT[state]
-                state = inserted
-            assert new == state if action == "merge" else new in chat.NEXT[state]
-            state = new
+        assert cost == cheapest([names[g] for g in given]) == sum(p[0] for p in path)
+        roles = []
+        for g, (_, new, action, inserted) in zip(given, path):
+            roles += [names[inserted]] if inserted else []
+            assert action != "merge" or roles[-1] == names[new]
+            assert (action == "keep") <= (new == g)
+            roles += [] if action == "merge" else [names[new]]
+        assert legal(roles)
 
 
 def rendered(rows):
@@ -54,12 +79,13 @@ def test_chat(spark):
     rows += [rows[0], rows[0]]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("part", F.lit(1)).withColumn("n", F.lit(2)).withColumn("at", F.lit(3))
     got = {}
-    for r in sorted(chat.render(df, part_turns=100).collect(), key=lambda r: r["part"]):
+    for r in sorted(chat.render(df, part_turns=100, group_parts=3).collect(), key=lambda r: r["part"]):
         cost, text = got.get(r["conv_id"], (0, ""))
         got[r["conv_id"]] = (cost + r["cost"], text + r["text"])
     assert got == {c: rendered([r for r in rows if r[0] == c]) for c in {r[0] for r in rows}}
     assert chat.render(df).where("conv_id = 5").count() == 1 and chat.render(df.limit(0)).count() == 0
-    assert chat.repaired_turns(df).count() == len(rows)
+    assert chat.repaired_turns(df).count() == chat.repaired_turns(df, 100).count() == len(rows)
+    assert {r["conv_id"]: r["c"] for r in chat.repaired_turns(df, 7, 2).groupBy("conv_id").agg(F.sum("cost").alias("c")).collect()} == {c: rendered([r for r in rows if r[0] == c])[0] for c in got}
 
 
 def pages(spark):
