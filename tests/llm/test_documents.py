@@ -1,6 +1,7 @@
 """Operators on documents against brute force, on small and messy rows."""
 
 import collections
+import functools
 import hashlib
 import math
 import random
@@ -100,6 +101,48 @@ def test_keep_one(docs):
     assert sum(i is None for i in ids) == 1  # the one without a text; the other is a copy
 
 
+CLASHING = ("row", "__row", "_row", "__name", "__id", "__spans", "__d", "__digest", "__words", "__runs", "digest", "ident", "cuts", "rest", "n_words", "runs", "__score", "score", "Predicted", "_predicted")
+
+
+def test_columns_of_any_name_survive(spark, labels):
+    rows = [(i, f"{KEY[:-2]}{i:02d} some words number {i} and then more of them", f"s{i}") for i in range(4)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    d = d.select("*", *[F.concat(F.lit(n), F.col("doc_id")).alias(n) for n in CLASHING])
+    b = spark.createDataFrame([("q", "nothing of this"), ("r", "other things")], "item_id string, text string")
+    for out in (minhash.keep_one(d), secrets.redact(d), decontam.decontaminate(d, b), decontam.decontaminate(d, b, block_bytes=1), toxicity.reject(d, labels)):
+        assert out.columns == d.columns
+        got = out.collect()
+        assert len(got) == 4 and all(r[n] == f"{n}{r['doc_id']}" for r in got for n in CLASHING)
+
+
+def test_rows_that_share_an_id_are_judged_by_their_own_text(spark):
+    a, b = "one two three four five six seven", "quite another text with other words in it"
+    rows = [(1, a, "x"), (1, b, "y"), (2, a, "z"), (None, None, "n1"), (None, None, "n2"), (None, b, "n3"), (3, "", "e"), (None, "alone and without any name at all", "n4")]
+    kept = minhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string, tag string"))
+    assert sorted(r["tag"] for r in kept.collect()) == ["e", "n1", "n2", "n4", "x", "y"]
+    masked = {r["tag"]: r["text"] for r in secrets.redact(spark.createDataFrame([(1, "token=abcdef1 x", "p"), (1, "y token=abcdef2", "q"), (None, "token=abcdef3", "r"), (None, None, "s")], "doc_id long, text string, tag string").withColumn("source", F.col("tag"))).collect()}
+    assert masked == {"p": "[secret] x", "q": "y [secret]", "r": "[secret]", "s": None}
+
+
+def test_a_stray_text_in_a_bucket_of_copies(spark):
+    """Many near copies, and texts that share buckets with them but are no links, in small tiles and with few pairs a copy of a text."""
+    rnd = random.Random(8)
+    base = [f"w{i}" for i in range(80)]
+    rows = []
+    for i in range(160):
+        w = list(base)
+        w[rnd.randrange(80)] = f"v{i}"
+        rows.append((i, " ".join(w)))
+    rows += [(1000 + i, " ".join(base[: 66 + i] + [f"x{i}_{j}" for j in range(14 - i)])) for i in range(6)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    fan, minhash.FAN = minhash.FAN, 16
+    try:
+        got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(d, words=4, tile=32).collect()}
+    finally:
+        minhash.FAN = fan
+    assert got == {i: c for i, (_, c) in brute_components(rows, 4, 80).items()}
+
+
 def test_sketch_fills_and_estimates():
     import numpy as np
 
@@ -217,6 +260,28 @@ def test_ownership_and_redaction(docs):
     assert text[107] == f"x {KEY} y" and text[108] == f"{KEY}\n[secret]" and text[109] == "[secret]' [secret] end" and text[100] is None and text[6] == messy_rows()[6][1]
 
 
+def test_many_secrets_in_one_text(spark):
+    import time
+
+    text = " é ".join(f"token={i:08x} AKIA{'A' * 16}{i % 10} {'0123456789abcdef' * 2}" for i in range(3000))
+    d = spark.createDataFrame([(1, text, "a"), (2, text[: len(text) // 4], "a"), (3, "x", "b")], "doc_id long, text string, source string")
+    began = time.time()
+    r = {x["doc_id"]: x for x in secrets.report(d).collect()}
+    want = brute_secrets(text)
+    assert r[1]["base_sha256"] == hashlib.sha256(",".join(f"{k}:{a}:{z}" for a, _, z, k in want).encode()).hexdigest() and r[1]["n_assign"] == 3000
+    masked = {x["doc_id"]: x["text"] for x in secrets.redact(d).collect()}
+    assert masked[1].count("[secret]") == 9000 and masked[1].startswith("[secret] [secret] [secret] é [secret]") and masked[3] == "x"
+    assert time.time() - began < 90
+
+
+def test_repositories_and_owners_decide_together(spark):
+    rows = [(i, "token=shared11 token=mine2222 token=wide3333", "a") for i in range(7)] + [(7, "token=shared11 token=wide3333", "b"), (8, "token=wide3333", "c"), (9, "token=twice444", "a"), (10, "token=twice444", "b")]
+    got = secrets.scan(spark.createDataFrame(rows, "doc_id long, text string, source string")).select("doc_id", F.explode("spans").alias("x")).select("doc_id", "x.*").collect()
+    by = {(r["owners"], r["repositories"]): r["live"] for r in got}
+    # one owner in many repositories: theirs; two owners in eight: an example; two in two: not yet; three: an example
+    assert by == {(1, 7): True, (2, 8): False, (2, 2): True, (3, 9): False}
+
+
 def test_language_model(spark, docs):
     path = P.path("piece_bpe_32k.model")
     got = lattice_lm.score(docs, path, head_words=20).collect()
@@ -253,6 +318,80 @@ def test_lattice_sums_all_segmentations():
         assert math.isclose(sum(k * len(s) for k, s in zip(n, strings)), letters.size, rel_tol=1e-9)  # pieces cover the words
 
 
+def brute_scores(rows, table, rounds, weight):
+    """Log10 probabilities by enumerating all segmentations of all words, from the description of the model; rows: (id, text, class)."""
+    held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    classes = sorted({c for i, _, c in rows if not held(i)})
+
+    @functools.cache
+    def cuts(s):
+        return [[]] if not s else [[s[:k], *rest] for k in range(1, len(s) + 1) if s[:k] in table for rest in cuts(s[k:])]
+
+    models = []
+    for c in classes:
+        texts = [words(t) for i, t, x in rows if x == c and not held(i)]
+        n = collections.Counter(w for t in texts for w in t)
+        p = dict(table)
+        for _ in range(rounds):
+            new = {x: weight * v for x, v in table.items()}
+            for w in n:
+                ways = [(math.prod(p[x] for x in way), way) for way in cuts(b" " + w.encode())]
+                for share, way in ways:
+                    for x in way:
+                        new[x] += share / sum(s for s, _ in ways)
+            every = sum(new.values())
+        p = {x: v / every for x, v in new.items()}
+        going_on = sum(v for x, v in p.items() if not x.startswith(b" "))
+        starts = sum(v for x, v in p.items() if x.startswith(b" "))
+        p = {x: v / starts * (1 - going_on) if x.startswith(b" ") else v for x, v in p.items()}
+        tokens, once, twice = sum(n.values()), sum(v == 1 for v in n.values()), sum(v == 2 for v in n.values())
+        off = (once + 1) / (once + 2 * twice + 2)
+        models.append((n, p, tokens, off, off * len(n) / tokens, (len(texts) + 0.5) / (tokens + len(texts) + 1), len(texts) + 0.5))
+    out = {}
+    for i, t, _ in rows:
+        total = 0.0
+        for n, p, tokens, off, spread, end, size in models:
+            x = end * size / sum(m[-1] for m in models)
+            for w in words(t):
+                x *= (max(0, n[w] - off) / tokens + spread * sum(math.prod(p[y] for y in way) for way in cuts(b" " + w.encode()))) * (1 - end)
+            total += x
+        out[i] = math.log10(total)
+    return out
+
+
+def test_scores_against_enumeration(spark):
+    path = P.path("piece_bpe_32k.model")
+    rnd = random.Random(9)
+    pool = ["the", "then", "a", "on", "ton", "é", "über", "zq", "x1", "no"]
+    rows = [(i, " ".join(rnd.choice(pool[k % 2 :: 2] if k else pool) for _ in range(rnd.randrange(0, 9))), "ab"[k % 2]) for i in range(24) for k in [i % 3]]
+    strings, weights = lattice_lm.pieces(path)
+    want = brute_scores(rows, dict(zip(strings, weights)), 2, lattice_lm.PRIOR)
+    got = lattice_lm.score(spark.createDataFrame(rows, "doc_id long, text string, lang string"), path, rounds=2, head_words=3).collect()
+    assert {r["held_out"] for r in got} == {True, False} and all(math.isclose(r["score"], want[r["doc_id"]], rel_tol=1e-9) for r in got)
+
+
+def test_long_pieces_and_long_words(spark):
+    """No piece is too long for the lattice, and words beyond a length are summed over equally, in linear time."""
+    import time
+
+    import numpy as np
+
+    path = P.path("piece_bpe_32k.model")
+    strings, p = lattice_lm.pieces(path)
+    lat = lattice_lm.lattice(path)
+    assert lat.longest == max(map(len, strings)) > 16
+    longest = max(strings, key=len)
+    word = np.frombuffer(b" " + (longest.strip() + b"there") * 12, dtype=np.uint8)[None, :]
+    log_p = np.log(np.stack([p, np.full(len(p), 1 / len(p))], axis=1))
+    assert word.shape[1] > lattice_lm.LONG_BYTES
+    arcs = lat.arcs(word)
+    assert np.allclose(lat.log_sums(word, log_p), lat.forward(arcs, 1, log_p)[-1], rtol=1e-10)
+    assert np.allclose(lat.counts(word, log_p[:, 0]), lat.expected(arcs, 1, log_p[:, 0], np.ones(1)), atol=1e-8)
+    began = time.time()
+    got = lattice_lm.score(spark.createDataFrame([(1, "ab" * 60_000), (2, "a b")], "doc_id long, text string"), path).collect()
+    assert all(math.isfinite(r["score"]) for r in got) and time.time() - began < 120
+
+
 def test_word_probabilities_stay_below_one(spark):
     import itertools
 
@@ -285,6 +424,29 @@ def test_restoration(spark):
     assert len(r.text("aaa" * 50_000)) > 0
 
 
+def test_restored_tokens_are_the_likeliest():
+    """Viterbi against all paths through the lattices of short tokens, under a random character model."""
+    import itertools
+
+    import numpy as np
+
+    model = np.log(np.random.default_rng(5).dirichlet(np.ones(toxicity.SYMBOLS), (toxicity.SYMBOLS, toxicity.SYMBOLS)))
+    r = toxicity.Restorer(model)
+    for raw, way in [("1d10t", ""), ("a$$", ""), ("stuupid", ""), ("stuupid", toxicity.DOUBLED), ("s h 1 t", ""), ("a 5 5", toxicity.APART), ("n00b!", ""), ("c.l.0.w", ""), ("+r4sh", ""), ("aaa b", "")]:
+        best = {}
+        for path in itertools.product(*toxicity.options_of(raw, way)):
+            a = b = toxicity.EDGE
+            score = 0.0
+            for sym, _, cost in path:
+                score -= cost
+                if sym is not None:
+                    score += model[a, b, sym]
+                    a, b = b, sym
+            text = "".join(x[1] for x in path)
+            best[text] = max(best.get(text, -1e9), score + model[a, b, toxicity.EDGE])
+        assert math.isclose(best[r.token(raw, way)], max(best.values()), abs_tol=1e-9), (raw, way)
+
+
 def test_disguises_are_evidence(spark):
     d = spark.createDataFrame([(i, "you are an idiot and a stupid clown, hate and die, shit, ass and dumbass, book") for i in range(60)], "doc_id long, text string")
     r = toxicity.Restorer(toxicity.language_model(d))

@@ -3,9 +3,10 @@
 A text is words, each a blank and its bytes, and one end.  A word's probability
 is the sum over all its segmentations into pieces of an existing vocabulary,
 computed by forward recursion in log space over byte places; single bytes are
-pieces too, so every word has one.  Piece probabilities start from the
-vocabulary's scores (its ranks, as a Zipf law) and are re-estimated from the
-expected counts of all distinct training words (forward-backward, ``rounds`` times).
+pieces too, so every word has one.  The vocabulary's scores (its ranks, as a Zipf law)
+give the pieces' weights: those that the first round starts from, and in every round ``PRIOR``
+counts in their proportion, to which the expected counts of all distinct training words are
+added (forward-backward, ``rounds`` times).
 A training word is also one segment of its own: it has the share of its count,
 less a discount, and what all discounts free is spread by the lattice.
 
@@ -35,8 +36,10 @@ from . import bytetext as bt
 from .shared import Scratch, chunks
 
 U = np.uint64
-#: Rounds of re-estimation, frequent words that are broadcast, added count of each piece, longest piece in bytes.
-ROUNDS, HEAD_WORDS, ADDED, LONGEST = 3, 1 << 19, 0.05, 16
+#: Rounds of re-estimation, frequent words that are broadcast, and how many expected counts the vocabulary's own scores weigh.
+ROUNDS, HEAD_WORDS, PRIOR = 3, 1 << 19, 2000.0
+#: Words of more bytes are summed over one by one, in linear time, with scaled numbers instead of logarithms.
+LONG_BYTES = 256
 #: Classes with a model of their own, the most frequent ones; all other rows share one more.
 CLASSES = 8
 #: Words that a task takes at once, so that those of one length make long arrays.
@@ -58,7 +61,7 @@ def pieces(path: str) -> tuple[list[bytes], np.ndarray]:
             continue
         p = sp.id_to_piece(i)
         raw = p.replace(BLANK, " ").encode()
-        if BLANK in p[1:] or len(raw) > LONGEST or any(65 <= b <= 90 for b in raw):
+        if BLANK in p[1:] or any(65 <= b <= 90 for b in raw):
             continue
         out[raw] = 1 / (10 - min(0.0, scores[i]))  # the score of a merge is its negated rank
     low = min(v for v in out.values() if v > 0) / 10
@@ -95,22 +98,28 @@ class Lattice:
             out[ok] = got[ok]
         return out
 
-    def arcs(self, letters: np.ndarray) -> list[list[tuple[int, np.ndarray, np.ndarray]]]:
-        """For words of one length, a row each: at each place, (length, rows, pieces) of the pieces that begin there."""
+    def _arcs(self, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For words of one length, a row each: (place, length, row, piece) of all pieces in them, by place and length."""
         n, size = letters.shape
         up, down = bt.powers(size + 1)
         sums = np.zeros((n, size + 1), dtype=U)
         np.cumsum(bt._TABLE[letters] * up[:size], axis=1, out=sums[:, 1:])
-        out = []
-        for i in range(size):
-            here = []
-            for k in range(1, min(self.longest, size - i) + 1):
-                h = bt.mix((sums[:, i + k] - sums[:, i]) * down[i] + U(k * 0xA24BAED4963EE407 % 2**64))
-                got = self.find(h)
-                rows = np.flatnonzero(got >= 0)
-                if len(rows):
-                    here.append((k, rows, got[rows]))
-            out.append(here)
+        found = []
+        for k in range(1, min(self.longest, size) + 1):
+            got = self.find(bt.mix((sums[:, k:] - sums[:, :-k]) * down[: size - k + 1] + U(k * 0xA24BAED4963EE407 % 2**64)))
+            at, row = np.nonzero(got.T >= 0)
+            found.append((at, np.full(len(at), k), row, got.T[at, row]))
+        at, k, row, got = (np.concatenate(x) for x in zip(*found))
+        order = np.argsort(at * (self.longest + 1) + k, kind="stable")
+        return at[order], k[order], row[order], got[order]
+
+    def arcs(self, letters: np.ndarray) -> list[list[tuple[int, np.ndarray, np.ndarray]]]:
+        """At each place, (length, rows, pieces) of the pieces that begin there."""
+        at, k, row, got = self._arcs(letters)
+        cuts = np.concatenate([[0], np.flatnonzero((at[1:] != at[:-1]) | (k[1:] != k[:-1])) + 1, [len(at)]])
+        out: list[list] = [[] for _ in range(letters.shape[1])]
+        for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            out[at[a]].append((int(k[a]), row[a:z], got[a:z]))
         return out
 
     def forward(self, arcs, n: int, log_p: np.ndarray) -> np.ndarray:
@@ -135,6 +144,59 @@ class Lattice:
                 total += np.bincount(got, counts[rows] * np.exp(a[i, rows] + tail - a[-1, rows]), minlength=len(log_p))
         return total
 
+    def _swept(self, size: int, ends: np.ndarray, k: np.ndarray, p: np.ndarray, back: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Scaled forward (or backward) sums of one word at all places, and the logarithms of their scales; p: a row for each arc."""
+        f, scale = np.zeros((size + 1, p.shape[1])), np.zeros((size + 1, p.shape[1]))
+        f[size if back else 0] = 1
+        held = np.zeros(p.shape[1])
+        for i in range(size - 1, -1, -1) if back else range(size):
+            a, z = ends[i], ends[i + 1]
+            if back:
+                f[i] = (p[a:z] * f[i + k[a:z]]).sum(axis=0)
+            else:
+                f[i + k[a:z]] += f[i] * p[a:z]
+            scale[i] = held
+            if i % 8 == 0:  # what the next steps read, and write, gets a common scale
+                near = slice(i, i + self.longest + 1) if back else slice(i + 1, i + self.longest + 1)
+                most = f[near].max(axis=0)
+                f[near] /= most
+                held = held + np.log(most)
+                scale[near] = held
+        if not back:
+            scale[size] = held
+        return f, scale
+
+    def _one(self, letters: np.ndarray):
+        at, k, _, got = self._arcs(letters[None, :])
+        return np.searchsorted(at, np.arange(len(letters) + 1)), at, k, got
+
+    def log_sums(self, letters: np.ndarray, log_p: np.ndarray) -> np.ndarray:
+        """Log-probabilities of words of one length, a row for each; log_p: a row for each piece, a column for each class."""
+        n, size = letters.shape
+        if size <= LONG_BYTES:
+            return self.forward(self.arcs(letters), n, log_p)[-1]
+        out = []
+        for word in letters:
+            ends, _, k, got = self._one(word)
+            f, scale = self._swept(size, ends, k, np.exp(log_p)[got], False)
+            out.append(np.log(f[-1]) + scale[-1])
+        return np.array(out)
+
+    def counts(self, letters: np.ndarray, log_p: np.ndarray) -> np.ndarray:
+        """Expected counts of the pieces in words of one length, each word counting once."""
+        n, size = letters.shape
+        if size <= LONG_BYTES:
+            return self.expected(self.arcs(letters), n, log_p, np.ones(n))
+        total = np.zeros(len(log_p))
+        for word in letters:
+            ends, at, k, got = self._one(word)
+            p = np.exp(log_p)[got][:, None]
+            f, up = self._swept(size, ends, k, p, False)
+            b, down = self._swept(size, ends, k, p, True)
+            share = (f[at] * p * b[at + k])[:, 0] * np.exp(up[at] + down[at + k] - np.log(f[-1]) - up[-1])[:, 0]
+            total += np.bincount(got, share, minlength=len(log_p))
+        return total
+
 
 @functools.lru_cache(maxsize=2)
 def lattice(path: str) -> Lattice:
@@ -195,7 +257,7 @@ def _expect(path: str, log_p):
         for batch in _gathered(batches):
             for k, name in enumerate(_known(p.shape[1])):
                 for rows, letters in _by_length(batch.column("word").filter(pc.greater(batch.column(name), 0)).to_pylist()):
-                    total[:, k] += lat.expected(lat.arcs(letters), len(rows), p[:, k], np.ones(len(rows)))
+                    total[:, k] += lat.counts(letters, p[:, k])
         at, k = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(k, pa.int32()), pa.array(total[at, k])], names=["piece", "cls", "expected"])
 
@@ -210,7 +272,7 @@ def _score_words(path: str, log_p, word_mass: np.ndarray, discount: np.ndarray,
         for batch in _gathered(batches):
             out = np.zeros((batch.num_rows, p.shape[1]))
             for rows, letters in _by_length(batch.column("word").to_pylist()):
-                out[rows] = lat.forward(lat.arcs(letters), len(rows), p)[-1]
+                out[rows] = lat.log_sums(letters, p)
             known = np.stack([batch.column(x).to_numpy() for x in _known(p.shape[1])], axis=1)
             with np.errstate(divide="ignore"):
                 own = np.log(np.maximum(known - discount, 0) / np.maximum(1, tokens))
@@ -262,8 +324,12 @@ def score(docs: DataFrame, vocabulary: str, hold_out=(7, 2), rounds: int = ROUND
     value; without such a column there is one class); others are ignored.  vocabulary: path of a sentencepiece
     model.  Rows whose crc32(doc_id) modulo hold_out[0] is hold_out[1] are held out: nothing is learnt
     from them; a null doc_id is not held out.  base_score is the add-one unigram word model,
-    score the lattice model.  Null and empty texts are one end token; repeated
-    rows teach and are scored each.
+    score the lattice model.  Null and empty texts are one end token; words of any length are summed over
+    whole, in linear time; repeated
+    rows teach and are scored each; an empty table gives an empty one.
+
+    To the driver come at most ``head_words`` words with a number for each class (2**19 of 16 + 8 * 9 bytes: 46 MB),
+    a number for each piece and class, and counts of counts; however large the corpus is.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "lm")
@@ -290,13 +356,13 @@ def score(docs: DataFrame, vocabulary: str, hold_out=(7, 2), rounds: int = ROUND
     tokens, types, once, twice = np.array(got[1:], dtype=float).reshape(n_cls, 4).T
     total, distinct = int(tokens.sum()) + every, got[0] + (every > 0)
 
-    strings, p = pieces(vocabulary)
-    p = np.repeat(p[:, None], n_cls, axis=1)
+    strings, prior = pieces(vocabulary)
+    p = np.repeat(prior[:, None], n_cls, axis=1)
     for _ in range(rounds):
         held = spark.sparkContext.broadcast(np.log(p))
         # at most one row for each piece of the vocabulary and class
         t = words.where(any_known).select("word", *known).mapInArrow(_expect(vocabulary, held), "piece int, cls int, expected double").groupBy("piece", "cls").agg(F.sum("expected").alias("expected")).toArrow()
-        n = np.full(p.shape, ADDED)
+        n = PRIOR * np.repeat(prior[:, None], n_cls, axis=1)
         n[t["piece"].to_numpy(), t["cls"].to_numpy()] += t["expected"].to_numpy()
         p = n / n.sum(axis=0)
     # a word begins with a piece that has the blank, and lasts while pieces have none
@@ -333,8 +399,8 @@ def score(docs: DataFrame, vocabulary: str, hold_out=(7, 2), rounds: int = ROUND
     out = first.drop("rare").join(rest, "row", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     n_tokens = F.col("n_words") + 1
-    prior = (ends + 0.5) / (ends + 0.5).sum()
-    in_class = [F.col(x) + zero(f"rest_{x}") + float(np.log10(end[k] * prior[k])) for k, x in enumerate(per_class)]
+    shares = (ends + 0.5) / (ends + 0.5).sum()
+    in_class = [F.col(x) + zero(f"rest_{x}") + float(np.log10(end[k] * shares[k])) for k, x in enumerate(per_class)]
     best = F.greatest(*in_class) if n_cls > 1 else in_class[0]
     out = out.select("*", best.alias("best"), F.array(*in_class).alias("each"))
     return out.select(

@@ -148,9 +148,10 @@ def redact(docs: DataFrame, owner: str = "source", repository: str | None = None
     joined = docs.withColumn(names["ident"], ident).withColumn(names["digest"], digest).join(cuts, [names["ident"], names["digest"]], "left")
     cut, rest, text = F.col(names["cuts"]), F.col(names["rest"]), F.col("text").cast("string")
     # finding a place counts letters from the front: a text with many masks is taken apart into letters once
-    letters = F.split(text, "")
     few = F.concat(F.array_join(F.transform(cut, lambda x: F.concat(F.substring(text, x["from"] + 1, x["start"] - x["from"]), F.lit(mask))), ""), F.substring(text, rest + 1, F.length(text)))
-    many = F.concat(F.array_join(F.transform(cut, lambda x: F.concat(F.array_join(F.slice(letters, x["from"] + 1, x["start"] - x["from"]), ""), F.lit(mask))), ""), F.array_join(F.slice(letters, rest + 1, F.length(text)), ""))
+    part = lambda l, a, n: F.array_join(F.slice(l, a + 1, n), "")
+    # the letters are one element of an array, so that they are made once and not for each mask
+    many = F.transform(F.array(F.split(text, "")), lambda l: F.concat(F.array_join(F.transform(cut, lambda x: F.concat(part(l, x["from"], x["start"] - x["from"]), F.lit(mask))), ""), part(l, rest, F.size(l))))[0]
     masked = F.when(cut.isNull(), F.col("text")).when(F.size(cut) <= 64, few).otherwise(many)
     return joined.select([masked.alias(c) if c.lower() == "text" else col for c, col in zip(docs.columns, all_of(joined, docs.columns))])
 
