@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from tests.cohorts import demo
+from tests.cohorts import AS_OF, demo
 from tidewatch import provenance as P
 from tidewatch.operators.store import SNAPSHOT_COLUMNS, upsert
 from tidewatch.plans import surveillance as W
@@ -93,11 +93,11 @@ class Fixed:
 
 def test_delivery(spark):
     none = spark.createDataFrame([], "token string, tier string")
-    d = W.deliver(records(spark), none, Fixed(), "2024-12-31")
-    assert d.digest and d.title.startswith("4 new alerts") and d.note is None
-    again = W.deliver(records(spark), d.state, Fixed(), "2024-12-31")
+    d = W.deliver(records(spark), none, Fixed(), AS_OF)
+    assert d.digest and d.title.startswith("3 new alerts") and d.note is None
+    again = W.deliver(records(spark), d.state, Fixed(), AS_OF)
     assert again.digest is None and again.title is None
-    dry = W.deliver(records(spark), none, Fixed(), "2024-12-31", dry_run=True)
+    dry = W.deliver(records(spark), none, Fixed(), AS_OF, dry_run=True)
     assert dry.digest and dry.state.count() == 0
 
 
@@ -105,7 +105,7 @@ def test_fill(spark):
     r = records(spark).withColumn("run_acc", F.lit("R1"))
     got = W.fill(r, spark.createDataFrame([("P007", "ATGTTTAAACGT")], "isolate_key string, sequence string"), "MYKR", 1)
     rows = {x["isolate_key"]: x for x in got.collect()}
-    assert len(rows) == 25 and rows["P007"]["erg11_call"] == "Y2F" and rows["P008"]["resistance_source"].startswith("sra-recaller:failed(") and rows["P001"]["erg11_call"] == "Y132F"
+    assert len(rows) == 22 and rows["P007"]["erg11_call"] == "Y2F" and rows["P008"]["resistance_source"].startswith("sra-recaller:failed(") and rows["P001"]["erg11_call"] == "G54W"
 
 
 def test_stream_delivers_each_release_once(spark, tmp_path):

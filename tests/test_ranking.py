@@ -42,17 +42,18 @@ def test_no_or_only_actives_have_no_metrics(spark):
         assert R.metrics(R.rank_rows(rows(spark, [("a", 1.0, active)]))).withColumn("p", R.gate()).first()["p"] is False
 
 
-def test_two_pass_ranks_equal_one_window(spark, tmp_path):
-    df = spark.range(500).select(F.col("id").cast("string").alias("name"), F.when(F.col("id") % 7 != 0, F.col("id") % 13).cast("double").alias("key"))
-    n = iter(range(9))
-
-    def write(x):
-        path = str(tmp_path / str(next(n)))
-        x.write.parquet(path)
-        return spark.read.parquet(path)
-
-    a = {(r["name"], r["rank"]) for r in R.rank_rows(df).collect()}
-    assert a == {(r["name"], r["rank"]) for r in R.rank_rows(df, scratch=write).collect()}
+def test_ranks_are_those_of_one_sort(spark):
+    df = spark.range(500).select(F.col("id").cast("string").alias("name"), F.when(F.col("id") % 7 != 0, F.col("id") % 13).cast("double").alias("key"), F.when(F.col("id") % 5 != 0, -F.col("id")).alias("other"), F.lit(1).alias("at"))
+    rows = df.collect()
+    want = sorted(rows, key=lambda r: (r["key"] is None, r["key"] or 0, r["name"]))
+    ranked = R.rank_rows(df.repartition(7))
+    assert {r["name"]: r["rank"] for r in ranked.collect()} == {r["name"]: i for i, r in enumerate(want, 1)} and ranked.columns == [*df.columns, "rank"]
+    places = [{r["name"]: i for i, r in enumerate(sorted((r for r in rows if r[k] is not None), key=lambda r: (r[k], r["name"])))} for k in ("key", "other")]
+    got = {r["name"]: r["combined"] for r in R.combined_key(df, "key", "other").collect()}
+    assert got == {r["name"]: places[0][r["name"]] + places[1][r["name"]] if r["name"] in places[0] and r["name"] in places[1] else None for r in rows}
+    assert R.rank_rows(df.limit(0)).count() == 0
+    # no window, so no task that sorts all rows
+    assert "Window" not in R.rank_rows(df)._jdf.queryExecution().toString()
 
 
 def test_replicates(spark):
@@ -73,7 +74,37 @@ def test_library(spark):
     far = L.dissimilar(found, acts)
     assert {r["name"] for r in far.collect()} == {"p", "t"}
     assert [r["name"] for r in L.best_matches(far, 1).collect()] == ["p"]
-    assert L.greedy_matches(far, ["A"]) == [("A", "p")]  # t is the same molecule
+    turns = spark.createDataFrame([("A", 0)], "active string, turn int")
+    assert [tuple(r) for r in L.greedy_matches(far, turns).collect()] == [("A", "p")]  # t is the same molecule
+
+
+def test_greedy_rounds_equal_taking_turns(spark):
+    import random
+
+    rnd = random.Random(4)
+    rows = [(f"a{a}", f"s{s}", f"n{s}_{i}", rnd.randrange(30)) for a in range(8) for s in range(40) for i in range(2) if rnd.random() < 0.4]
+    turns = [(f"a{a}", (a * 5) % 8) for a in range(8)]
+    used, want = set(), set()
+    for active, _ in sorted(turns, key=lambda t: t[1]):
+        n = 0
+        for _, s, name, _ in sorted((r for r in rows if r[0] == active), key=lambda r: (r[3], r[2])):
+            if n < 6 and s not in used:
+                used.add(s)
+                want.add((active, name))
+                n += 1
+    got = L.greedy_matches(spark.createDataFrame(rows, "active string, smiles string, name string, line int"), spark.createDataFrame(turns, "active string, turn int"), per_active=6)
+    assert {tuple(r) for r in got.collect()} == want
+
+
+def test_more_actives_than_one_broadcast(spark):
+    pool, acts = spark.createDataFrame([(1, ["a", "b"]), (2, ["z"]), (3, [])], "id int, fp array<string>"), spark.createDataFrame([(["a"],), (["a", "b", "c"],)], "fp array<string>")
+    a, b = ({r["id"]: r["top"] for r in L.best_similarity(pool, acts, "id", largest=n).collect()} for n in (1, 10))
+    assert a == b == {1: pytest.approx(2 / 3), 2: 0, 3: 0}
+    points = spark.createDataFrame([(i % 3, float(i), 0.0, 0.0) for i in range(30)], "g int, x double, y double, z double")
+    from tidewatch.operators import geometry as G
+
+    near = lambda n: {r["g"]: r["dist"] for r in G.min_distance(points.where("x > 9"), points.where("x < 9").select("x", "y", "z"), ("g",), block=n).collect()}
+    assert near(2) == near(100) == {0: 4.0, 1: 2.0, 2: 3.0}
 
 
 def test_best_similarity_judges_every_row(spark):
@@ -94,4 +125,4 @@ def test_long_documents_are_judged(spark, tmp_path):
     docs = [(1, "far away " * 400, 3600), (2, "the item itself", 15), (3, "no length", None)]
     spark.createDataFrame(docs, "doc_id long, text string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([("the item itself",)], "text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    assert sorted(r["doc_id"] for r in catalogue.QUERIES["similarity_anti_all"](spark, str(tmp_path)).collect()) == [1, 3]
+    assert sorted(r["doc_id"] for r in catalogue.QUERIES["similarity_anti"](spark, str(tmp_path)).collect()) == [1, 3]

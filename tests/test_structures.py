@@ -148,8 +148,8 @@ def test_sequence_queries_read_all_documents(spark, tmp_path):
     long = "\n" + "the long text of " * 300
     docs = [(1, long, "en"), (2, "kurz", "de"), (3, "hier ist noch ein ganz langer text " * 40, "de")]
     spark.createDataFrame(docs, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r["doc_id"]: r for r in catalogue.QUERIES["codon_call_all"](spark, str(tmp_path)).collect()}
+    got = {r["doc_id"]: r for r in catalogue.QUERIES["codon_call"](spark, str(tmp_path)).collect()}
     n = len(long.strip())
     assert sorted(got) == [1, 2, 3] and (str(n) in got[1]["reason"] or n % 3 == 0)
-    near = {r["doc_id"]: r for r in catalogue.QUERIES["window_calls_all"](spark, str(tmp_path)).collect()}
+    near = {r["doc_id"]: r for r in catalogue.QUERIES["window_calls"](spark, str(tmp_path)).collect()}
     assert near[1]["far"] in ("called", "wild-type") and near[2]["near"] == "refused" and near[3]["far"] in ("called", "wild-type")

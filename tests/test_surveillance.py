@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tests.cohorts import FIELDS, demo, replay
+from tests.cohorts import AS_OF, FIELDS, demo, replay
 from tidewatch.functions import stats
 from tidewatch.functions import temporal as T
 from tidewatch.functions import text as X
@@ -87,14 +87,16 @@ def test_sample_is_seeded_and_limits_after_the_shuffle(spark):
 
 def test_emergence_on_the_demo_cohort(spark):
     records = frame(spark, demo())
-    cov = E.coverage(records, "2024-12-31").first()
-    assert (cov["baseline_total"], cov["baseline_called"], cov["recent_total"], cov["recent_called"], cov["undated"]) == (10, 6, 15, 13, 0)
-    got = E.detect(records, "2024-12-31").orderBy("rank").collect()
+    cov = E.coverage(records, AS_OF).first()
+    assert (cov["baseline_total"], cov["baseline_called"], cov["recent_total"], cov["recent_called"], cov["undated"]) == (8, 5, 14, 12, 0)
+    got = E.detect(records, AS_OF).orderBy("rank").collect()
+    # M220K 2/5 to 9/12 (four of nine are old: no backlog), H147Y 0 to 3/12, DUP46 0 to 4/12 (all old); G54W is gone
     assert [(r["token"], r["baseline_count"], r["recent_count"], r["first_appearance"], r["rising"], r["possible_backlog"], r["canonical"]) for r in got] == [
-        ("F126L", 0, 4, True, True, False, True), ("Y132F", 5, 13, False, True, False, True), ("K143R", 1, 4, False, True, False, True), ("TR34", 0, 5, True, True, True, False)]
-    assert E.carriers(records, E.detect(records, "2024-12-31"), "2024-12-31").where("token = 'TR34'").count() == 5
+        ("M220K", 2, 9, False, True, False, True), ("H147Y", 0, 3, True, True, False, True), ("DUP46", 0, 4, True, True, True, False)]
+    assert [round(r["delta"], 6) for r in got] == [0.35, 0.25, 0.333333]
+    assert E.carriers(records, E.detect(records, AS_OF), AS_OF).where("token = 'DUP46'").count() == 4
     assert E.note(cov) is None and "uncalled" in E.note({"recent_called": 0})
-    assert E.detect(records.withColumn("erg11_call", F.lit("")), "2024-12-31").count() == 0
+    assert E.detect(records.withColumn("erg11_call", F.lit("")), AS_OF).count() == 0
 
 
 def naive_signals(rows, as_of, window, min_count, min_delta):
@@ -137,9 +139,11 @@ def test_detection_and_replay_against_a_naive_evaluation(spark, seed):
 
 
 def test_replay_cohort(spark):
-    walk = B.walk_forward(frame(spark, replay()), target="Y132F")
-    r = B.first_flag(walk, "2024-09-01").first()
-    assert (r["steps"], r["flagged_steps"], r["first_flag"].isoformat(), r["lead_days"], r["any_callable"]) == (23, 4, "2023-08-01", 397, True)
+    # three carriers lie within 180 days of the first days of August to December; in January two are left
+    walk = B.walk_forward(frame(spark, replay()), target="L98H")
+    assert [r["as_of"].isoformat()[:7] for r in walk.where("hit").orderBy("as_of").collect()] == ["2021-08", "2021-09", "2021-10", "2021-11", "2021-12"]
+    r = B.first_flag(walk, "2022-06-01").first()
+    assert (r["steps"], r["flagged_steps"], r["first_flag"].isoformat(), r["lead_days"], r["any_callable"]) == (14, 5, "2021-08-01", 304, True)
 
 
 def test_lags(spark):
@@ -163,31 +167,32 @@ def test_prevalence(spark):
 
 
 def verdicts(tokens):
-    m = F.col("token")
-    return tokens.select("token", F.lit("e").alias("evidence_class"), F.when(m == "Y132F", "measured").otherwise("none").alias("confidence"), F.when(m == "Y132F", "weaker-fit").otherwise("uncertain").alias("direction"), F.lit("v").alias("verdict"))
+    known = F.col("token") == "M220K"
+    return tokens.select("token", F.lit("e").alias("evidence_class"), F.when(known, "measured").otherwise("none").alias("confidence"), F.when(known, "weaker-fit").otherwise("uncertain").alias("direction"), F.lit("v").alias("verdict"))
 
 
 def test_alerts_and_three_deliveries(spark):
     records = frame(spark, demo())
-    a = A.compose(records, verdicts, "2024-12-31")
+    a = A.compose(records, verdicts, AS_OF)
     rows = a.collect()
-    assert [(r["token"], r["priority"]) for r in rows] == [("Y132F", "act-now"), ("F126L", "watch"), ("K143R", "watch"), ("TR34", "context")]
-    y = rows[0]
-    assert y["regions"] == ["India", "Pakistan"] and y["n_carriers_total"] == 18 and y["first_collected"] == "2019" and y["first_visible"] == "2024-03-01"
+    assert [(r["token"], r["priority"]) for r in rows] == [("M220K", "act-now"), ("H147Y", "watch"), ("DUP46", "context")]
+    top = rows[0]
+    assert top["regions"] == ["Chile", "Kenya"] and top["n_carriers_total"] == 11 and top["first_collected"] == "2018" and top["first_visible"] == "2023-03-05"
     none = spark.createDataFrame([], "token string, tier string")
-    assert A.new_alerts(a, none).count() == 4
+    assert A.new_alerts(a, none).count() == 3
     state = A.next_state(a, none)
     assert A.is_noop(a, state)
-    newer = records.withColumn("collection_date", F.when(F.col("collection_date") == "2019", "2024").otherwise(F.col("collection_date")))
-    b = A.compose(newer, verdicts, "2024-12-31")
+    newer = records.withColumn("collection_date", F.when(F.col("collection_date") == "2018", "2023").otherwise(F.col("collection_date")))
+    b = A.compose(newer, verdicts, AS_OF)
     fresh = A.new_alerts(b, state).collect()
-    assert [(r["token"], r["prior"], r["priority"]) for r in fresh] == [("TR34", "context", "watch")]
+    assert [(r["token"], r["prior"], r["priority"]) for r in fresh] == [("DUP46", "context", "watch")]
     after = {r["token"]: r["tier"] for r in A.next_state(a, A.next_state(b, state)).collect()}
-    assert after["TR34"] == "watch"  # the most urgent ever
-    assert json.loads(A.dumps_state(state, "d"))["delivered"]["Y132F"] == "act-now"
-    assert "ACT-NOW" in A.render_markdown(a, "2024-12-31") and "was CONTEXT" in A.render_digest(b, A.new_alerts(b, state), "x") and A.issue_title(A.new_alerts(b, state), "x").startswith("1 new alert (WATCH)")
-    unknown = spark.createDataFrame([("Y132F", "nonsense")], "token string, tier string")
-    assert A.new_alerts(a, unknown).count() == 4
+    assert after["DUP46"] == "watch"  # the most urgent ever
+    assert json.loads(A.dumps_state(state, "d"))["delivered"]["M220K"] == "act-now"
+    assert "ACT-NOW" in A.render_markdown(a, AS_OF) and "was CONTEXT" in A.render_digest(b, A.new_alerts(b, state), "x") and A.issue_title(A.new_alerts(b, state), "x").startswith("1 new alert (WATCH)")
+    assert [x["token"] for x in json.loads(A.render_json(a))] == ["M220K", "H147Y", "DUP46"]
+    unknown = spark.createDataFrame([("M220K", "nonsense")], "token string, tier string")
+    assert A.new_alerts(a, unknown).count() == 3
 
 
 def test_fill_plan(spark):

@@ -37,7 +37,7 @@ def regions(records: DataFrame, signals: DataFrame, as_of: str, window_days: int
 
 def compose(records: DataFrame, verdicts: DataFrame, as_of: str, window_days: int = E.WINDOW_DAYS, **options) -> DataFrame:
     """Alerts in order, one row for each signal.  verdicts: a function of a frame of tokens, or estimates by token."""
-    signals = E.detect(records, as_of, window_days, **options)
+    signals = E.detect(records, as_of, window_days, ranked=False, **options)
     fit = verdicts(signals.select("token")) if callable(verdicts) else verdicts
     fit = fit.select("token", "evidence_class", "confidence", "direction", "verdict")
     out = signals.join(fit, "token").join(first_seen(records), "token", "left").join(regions(records, signals, as_of, window_days), "token", "left")

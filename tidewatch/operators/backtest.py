@@ -106,12 +106,12 @@ def resolution(source: str | Column) -> Column:
     return F.when(s.isin(*RESOLVED), "resolved").when(s.startswith("sra-recaller:partial"), "partial").when(s.startswith("sra-recaller:failed") | s.startswith("sra-recaller:refused"), "failed").otherwise("pending")
 
 
-def prevalence(records: DataFrame, panel: dict) -> DataFrame:
-    """One row: totals, resolved and positive records, event frequency with its Wilson interval, and what is excluded."""
+def prevalence(records: DataFrame, panel: dict, by: tuple[str, ...] = ()) -> DataFrame:
+    """One row (or one for each value of ``by``, in one aggregation): totals, resolved and positive records, event frequency with its Wilson interval, and what is excluded."""
     hits = F.filter(X.tokens("erg11_call"), lambda t: X.is_panel_token(t, panel))
-    rows = records.select(resolution("resistance_source").alias("state"), F.size(hits).alias("hits"), X.is_called("erg11_call").alias("called"))
+    rows = records.select(*by, resolution("resistance_source").alias("state"), F.size(hits).alias("hits"), X.is_called("erg11_call").alias("called"))
     ok = F.col("state") == "resolved"
-    out = rows.agg(
+    out = rows.groupBy(*by).agg(
         F.count("*").alias("n_total"), F.count_if(ok).alias("n_resolved"), F.count_if(ok & (F.col("hits") > 0)).alias("n_positive"),
         F.count_if(ok & (F.col("hits") == 0) & F.col("called")).alias("n_called_nonpanel"), *[F.count_if(F.col("state") == s).alias(f"excluded_{s}") for s in ("partial", "failed", "pending")],
     )

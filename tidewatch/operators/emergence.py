@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import stats
 from ..functions import temporal as T
 from ..functions import text as X
+from .ranking import numbered
 
 WINDOW_DAYS, MIN_COUNT, MIN_DELTA, BACKLOG_FRACTION, ARCHIVAL_YEARS = 180, 3, 0.05, 0.5, 2
 
@@ -42,8 +43,8 @@ def lag_years() -> tuple:
     return datable, F.coalesce(visible - collected >= ARCHIVAL_YEARS, F.lit(False))
 
 
-def detect(records: DataFrame, as_of: str, window_days: int = WINDOW_DAYS, min_count: int = MIN_COUNT, min_delta: float = MIN_DELTA, backlog_fraction: float = BACKLOG_FRACTION) -> DataFrame:
-    """Signals, one row for each flagged token, with their order in ``rank``.
+def detect(records: DataFrame, as_of: str, window_days: int = WINDOW_DAYS, min_count: int = MIN_COUNT, min_delta: float = MIN_DELTA, backlog_fraction: float = BACKLOG_FRACTION, ranked: bool = True) -> DataFrame:
+    """Signals, one row for each flagged token, with their order in ``rank`` unless ranked is false.
 
     Flagged: at least min_count recent carriers, and unseen in the baseline
     (first_appearance) or risen by min_delta in share (rising).  possible_backlog:
@@ -57,7 +58,8 @@ def detect(records: DataFrame, as_of: str, window_days: int = WINDOW_DAYS, min_c
         F.count_if(recent & datable).alias("datable"), F.count_if(recent & archival).alias("archival"),
     ).where(F.col("recent_count") >= min_count)
     joined = counts.crossJoin(F.broadcast(coverage(records, as_of, window_days).select("baseline_called", "recent_called")))  # one row
-    return _ranked(_judged(joined, min_delta, backlog_fraction))
+    signals = _judged(joined, min_delta, backlog_fraction)
+    return numbered(signals, [F.col("possible_backlog"), F.desc("delta"), F.desc("recent_count"), F.col("token")], "rank") if ranked else signals
 
 
 def _judged(counts: DataFrame, min_delta: float, backlog_fraction: float) -> DataFrame:
@@ -73,14 +75,6 @@ def _judged(counts: DataFrame, min_delta: float, backlog_fraction: float) -> Dat
     )
 
 
-def _ranked(signals: DataFrame) -> DataFrame:
-    """Signals are few (tokens above the thresholds), so one task can number them."""
-    from pyspark.sql import Window
-
-    w = Window.orderBy("possible_backlog", F.desc("delta"), F.desc("recent_count"), "token")
-    return signals.withColumn("rank", F.row_number().over(w))
-
-
 def carriers(records: DataFrame, signals: DataFrame, as_of: str, window_days: int = WINDOW_DAYS) -> DataFrame:
     """(token, isolate_key) of the recent carriers of signals; rows, as an array could outgrow a task."""
     recent = exploded(bucketed(records, as_of, window_days).where("bucket = 'recent'"))

@@ -52,14 +52,21 @@ def constrained_best(scored: DataFrame, by: tuple[str, ...], cutoff: float = POS
     )
 
 
-def min_distance(points: DataFrame, others: DataFrame, by: tuple[str, ...]) -> DataFrame:
-    """Least distance from the points of each group to a small set of others (checked to be small, then broadcast as one array); null if there are none."""
-    n = others.limit(100_001).count()
-    if n > 100_000:
-        raise ValueError("too many points for one array; split them")
-    array = others.agg(F.collect_list(F.struct("x", "y", "z")).alias("others"))
+def min_distance(points: DataFrame, others: DataFrame, by: tuple[str, ...], block: int = 100_000) -> DataFrame:
+    """Least distance from the points of each group to a set of others, null if there are none.
+
+    The others (a stated query set) are counted and taken in blocks of about ``block`` points, each broadcast as one
+    array; a block's least distances are aggregated before the blocks meet.
+    """
+    blocks = max(1, -(-others.count() // block))
     nearest = F.array_min(F.transform("others", lambda o: V.distance(F.struct("x", "y", "z"), o)))
-    return points.crossJoin(F.broadcast(array)).groupBy(*by).agg(F.min(nearest).alias("dist"))  # one row
+    out = None
+    for b in range(blocks):
+        mine = others if blocks == 1 else others.where(F.pmod(F.xxhash64("x", "y", "z"), F.lit(blocks)) == b)
+        array = mine.agg(F.collect_list(F.struct("x", "y", "z")).alias("others"))
+        least = points.crossJoin(F.broadcast(array)).groupBy(*by).agg(F.min(nearest).alias("dist"))  # one row
+        out = least if out is None else out.unionByName(least)
+    return out if blocks == 1 else out.groupBy(*by).agg(F.min("dist").alias("dist"))
 
 
 def rmsd(a: DataFrame, b: DataFrame, on: tuple[str, ...] = ("atom",), by: tuple[str, ...] = ()) -> DataFrame:

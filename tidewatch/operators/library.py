@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import Scratch, fresh
+
 MAX_HEAVY, PER_ACTIVE, MAX_SIMILARITY, MW_WINDOW = 45, 50, 0.35, 25.0
 TOLERANCE = {"logp": 1.0, "rotb": 2, "hbd": 1, "hba": 2}
 
@@ -47,18 +49,24 @@ def split_domain(molecules: DataFrame) -> tuple[DataFrame, DataFrame]:
     return m.where("reason = 'kept'").drop("reason"), m.where("reason != 'kept'")
 
 
-def candidates(actives: DataFrame, pool: DataFrame, tolerance: dict = TOLERANCE, mw: float = MW_WINDOW) -> DataFrame:
+def candidates(actives: DataFrame, pool: DataFrame, tolerance: dict = TOLERANCE, mw: float = MW_WINDOW, salt: int = 8) -> DataFrame:
     """(active, decoy columns) whose properties all lie within tolerance.
 
-    A band join: weights go into buckets as wide as the tolerance, each active
-    looks into its own and both neighbours, so the join is an equi-join.
+    A band join: weights, and the first property of tolerance, go into buckets as wide as their tolerance; each active
+    looks into its own and the neighbouring ones, so the join is an equi-join.  Buckets are salted, as
+    weights crowd.
     """
+    first, width = next(iter(tolerance.items())) if tolerance else (None, 1)
     bucket = F.floor(F.col("mw") / mw)
-    a = actives.select(F.col("name").alias("active"), F.col("mw").alias("a_mw"), *[F.col(p).alias(f"a_{p}") for p in tolerance], F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("_b"))
+    other = F.floor(F.col(first) / width) if first else F.lit(0)
+    around = lambda c: F.explode(F.array(c - 1, c, c + 1))
+    a = actives.select(F.col("name").alias("active"), F.col("mw").alias("a_mw"), *[F.col(p).alias(f"a_{p}") for p in tolerance], around(bucket).alias("_b"), other.alias("_o"))
+    a = a.withColumn("_o", around(F.col("_o")) if first else F.col("_o")).withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
     close = F.abs(F.col("mw") - F.col("a_mw")) <= mw
     for p, t in tolerance.items():
         close = close & (F.abs(F.col(p) - F.col(f"a_{p}")) <= t)
-    return pool.withColumn("_b", bucket).join(a, "_b").where(close).drop("_b", "a_mw", *[f"a_{p}" for p in tolerance])
+    dealt = pool.withColumn("_b", bucket).withColumn("_o", other).withColumn("_s", F.pmod(F.xxhash64("name"), F.lit(salt)).cast("int"))
+    return dealt.join(a, ["_b", "_o", "_s"]).where(close).drop("_b", "_o", "_s", "a_mw", *[f"a_{p}" for p in tolerance])
 
 
 def tanimoto(a: Column, b: Column) -> Column:
@@ -67,28 +75,28 @@ def tanimoto(a: Column, b: Column) -> Column:
     return F.coalesce(both / F.nullif(F.size(a) + F.size(b) - both, F.lit(0)), F.lit(0.0))
 
 
-def dissimilar(pool: DataFrame, actives: DataFrame, most: float = MAX_SIMILARITY, largest: int = 10_000) -> DataFrame:
-    """Rows of pool below ``most`` similarity to every active.  Actives are few: their number is checked before they are broadcast."""
-    if actives.limit(largest + 1).count() > largest:
-        raise ValueError("too many actives for one array")
-    fps = actives.agg(F.collect_list("fp").alias("_fps"))
-    top = F.array_max(F.transform("_fps", lambda f: tanimoto(F.col("fp"), f)))
-    return pool.crossJoin(F.broadcast(fps)).where(F.coalesce(top, F.lit(0.0)) < most).drop("_fps")  # one row
+def dissimilar(pool: DataFrame, actives: DataFrame, most: float = MAX_SIMILARITY, **options) -> DataFrame:
+    """Rows of pool below ``most`` similarity to every active."""
+    row, top = fresh(pool.columns, "row", "top")
+    rows = Scratch(pool.sparkSession, "dissimilar").table(pool.withColumn(row, F.monotonically_increasing_id()))
+    best = best_similarity(rows.select(row, "fp"), actives, row, **options).withColumnRenamed("top", top)
+    return rows.join(best.where(F.col(top) < most), row, "left_semi").select(pool.columns)
 
 
 def best_similarity(pool: DataFrame, actives: DataFrame, by: str, largest: int = 10_000) -> DataFrame:
     """(by, top): the greatest similarity of each row of pool to any active; 0 if it shares nothing, the greatest of rows of one name.
 
-    Counts shared bits through the actives' postings, so bits that no active has cost one look-up.
+    Counts shared bits through the actives' postings, so bits that no active has cost one look-up.  Postings of
+    up to ``largest`` actives are broadcast, those of more are joined.
     """
-    if actives.limit(largest + 1).count() > largest:
-        raise ValueError("too many actives for one table of postings")
+    small = actives.limit(largest + 1).count() <= largest
     bits = actives.select(F.monotonically_increasing_id().alias("_item"), F.array_distinct("fp").alias("_fp"))
-    postings = bits.select(F.explode("_fp").alias("_bit"), F.struct("_item", F.size("_fp").alias("n")).alias("_at")).groupBy("_bit").agg(F.collect_list("_at").alias("_at"))
+    postings = bits.select(F.explode("_fp").alias("_bit"), F.struct("_item", F.size("_fp").alias("n")).alias("_at"))
+    postings = F.broadcast(postings.groupBy("_bit").agg(F.collect_list("_at").alias("_at"))) if small else postings.select("_bit", F.array("_at").alias("_at"))
     rows = pool.select(by, F.array_distinct("fp").alias("_fp")).withColumn("_row", F.monotonically_increasing_id())
     rows = rows.select(by, "_row", F.coalesce(F.size("_fp"), F.lit(0)).alias("_n"), F.explode_outer("_fp").alias("_bit"))
     # bits that no active has only have to keep their row: one null item for each row is enough
-    pairs = rows.join(F.broadcast(postings), "_bit", "left").select(by, "_row", "_n", F.explode_outer("_at").alias("_at")).groupBy("_row", by, "_n", "_at").agg(F.count("*").alias("_both"))
+    pairs = rows.join(postings, "_bit", "left").select(by, "_row", "_n", F.explode_outer("_at").alias("_at")).groupBy("_row", by, "_n", "_at").agg(F.count("*").alias("_both"))
     share = F.when(F.col("_at").isNull(), 0.0).otherwise(F.col("_both") / (F.col("_n") + F.col("_at.n") - F.col("_both")))
     return pairs.groupBy(by).agg(F.max(share).alias("top"))
 
@@ -99,24 +107,25 @@ def best_matches(matched: DataFrame, per_active: int = PER_ACTIVE, order: str =
     return matched.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= per_active).drop("_n")
 
 
-def greedy_matches(matched: DataFrame, actives: list[str], per_active: int = PER_ACTIVE, order: str = "line") -> list[tuple[str, str]]:
-    """(active, decoy name), each molecule used once: actives in turn take candidates in source order.
+def greedy_matches(matched: DataFrame, actives: DataFrame, per_active: int = PER_ACTIVE, order: str = "line") -> DataFrame:
+    """(active, name), each molecule (smiles) used once: actives in turn (actives: active, turn) take up to per_active candidates by order and name.
 
-    Depends on order throughout, so the matched candidates (already filtered and
-    few) are walked on the driver, one active at a time.
+    In rounds: every active claims its first candidates, a molecule keeps the claim of the earliest turn, and is
+    struck off the lists of all later ones.  That a molecule's holder only ever gets earlier makes the end the
+    same as taking turns; as many rounds as chains of conflicts are long, each a window and a join.
     """
-    seen: set[str] = set()
-    out = []
-    for active in actives:
-        n = 0
-        for r in matched.where(F.col("active") == active).orderBy(order, "name").toLocalIterator():
-            if n == per_active:
-                break
-            if r["smiles"] not in seen:
-                seen.add(r["smiles"])
-                out.append((active, r["name"]))
-                n += 1
-    return out
+    scratch = Scratch(matched.sparkSession, "greedy")
+    once = Window.partitionBy("active", "smiles").orderBy(order, "name")
+    first = Window.partitionBy("active").orderBy(order, "name")
+    left = matched.join(actives, "active").select("active", "turn", "smiles", "name", order).withColumn("n", F.row_number().over(once)).where("n = 1").drop("n")
+    left = scratch.table(left)
+    while True:
+        claims = scratch.table(left.withColumn("n", F.row_number().over(first)).where(F.col("n") <= per_active).drop("n"))
+        held = scratch.table(claims.groupBy("smiles").agg(F.min("turn").alias("holder"), F.count("*").alias("claims")))
+        if held.where("claims > 1").isEmpty():
+            return claims.select("active", "name")
+        before, left = left, scratch.table(left.join(held.select("smiles", "holder"), "smiles", "left").where("holder is null or turn <= holder").drop("holder"))
+        scratch.drop(before, claims, held)
 
 
 def match_quality(actives: DataFrame, decoys: DataFrame, properties: tuple[str, ...] = ("mw", "logp", "rotb", "hbd", "hba")) -> DataFrame:

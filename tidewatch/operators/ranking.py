@@ -1,37 +1,37 @@
 """Rankings with what can't be ranked last, and their early-recognition metrics.
 
-metrics() needs no global window: rows are first summed by key value, and ranks
-within equal keys follow names.  So only rank_rows(), which numbers every row,
-orders all rows, by a range-partitioned sort and per-partition offsets.
+Rows are numbered in two distributed passes: a range-partitioned sort whose result is
+written, then offsets of its partitions; no task ever sees all rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import Scratch, fresh
+
 FRACTIONS, ALPHA = (0.01, 0.05, 0.10), 20.0
 MIN_AUC, MIN_EF1 = 0.70, 5.0
 
 
-def rank_rows(df: DataFrame, key: str = "key", name: str = "name", out: str = "rank", scratch=None) -> DataFrame:
-    """df with out = 1, 2, ... by key ascending, nulls last, ties by name.
+def numbered(df: DataFrame, order: list[Column], out: str) -> DataFrame:
+    """df with out = 1, 2, ... in an order that decides between all rows."""
+    at, part, before = fresh([*df.columns, out], "at", "part", "before")
+    placed = Scratch(df.sparkSession, "rank").table(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(at, F.monotonically_increasing_id()))
+    placed = placed.withColumn(part, F.shiftright(at, 33))
+    offsets, total = [], 0
+    for r in placed.groupBy(part).count().orderBy(part).collect():  # one row for each partition
+        offsets.append((r[part], total))
+        total += r["count"]
+    offsets = df.sparkSession.createDataFrame(offsets, f"{part} long, {before} long")
+    number = (F.col(before) + F.col(at).bitwiseAND((1 << 33) - 1) + 1).cast("int" if total < 1 << 31 else "long")
+    return placed.join(F.broadcast(offsets), part).withColumn(out, number).select(*df.columns, out)
 
-    With ``scratch`` (a callable that writes a frame and returns the written
-    one) ranks are computed in two distributed passes; without it by one
-    window, for cohorts of bounded size.
-    """
-    order = [F.col(key).asc_nulls_last(), F.col(name).asc()]
-    if scratch is None:
-        return df.withColumn(out, F.row_number().over(Window.orderBy(*order)))
-    placed = scratch(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
-    part = F.shiftright("_at", 33)
-    before, offsets = 0, []
-    for r in placed.groupBy(part.alias("p")).count().orderBy("p").collect():  # one row for each partition
-        offsets += [F.lit(r["p"]), F.lit(before)]
-        before += r["count"]
-    offset = F.element_at(F.create_map(*offsets), part.cast("long")) if offsets else F.lit(0)
-    return placed.withColumn(out, (offset + F.col("_at").bitwiseAND((1 << 33) - 1) + 1).cast("int" if before < 1 << 31 else "long")).drop("_at")
+
+def rank_rows(df: DataFrame, key: str = "key", name: str = "name", out: str = "rank") -> DataFrame:
+    """df with out = 1, 2, ... by key ascending, nulls last, ties by name."""
+    return numbered(df, [F.col(key).asc_nulls_last(), F.col(name).asc()], out)
 
 
 def metrics(ranked: DataFrame, rank: str = "rank", active: str = "is_active") -> DataFrame:
@@ -60,18 +60,21 @@ def metrics(ranked: DataFrame, rank: str = "rank", active: str = "is_active") ->
     return out.select("n", "n_active", F.when(ok, auc).alias("auc"), *[F.when(ok, ef(f)).alias(f"ef{round(100 * f)}") for f in FRACTIONS], F.when(ok, (rie - low) / (high - low)).alias("bedroc"))
 
 
-def report(df: DataFrame, key: str = "key", name: str = "name", active: str = "is_active", missing: str = "last", top: int = 15, scratch=None) -> tuple[DataFrame, DataFrame]:
+def report(df: DataFrame, key: str = "key", name: str = "name", active: str = "is_active", missing: str = "last", top: int = 15) -> tuple[DataFrame, DataFrame]:
     """(metrics with counts of rankable rows, top active rows).  missing: last keeps unrankable rows at the end, drop leaves them out."""
     rows = df.where(F.col(key).isNotNull()) if missing == "drop" else df
-    ranked = rank_rows(rows, key, name, scratch=scratch)
+    ranked = rank_rows(rows, key, name)
     counts = df.agg(F.count_if(F.col(key).isNotNull()).alias("rankable"), F.count_if(F.col(key).isNull()).alias("unrankable"))
     return metrics(ranked, active=active).crossJoin(counts), ranked.where((F.col("rank") <= top) & F.col(active)).orderBy("rank")
 
 
 def combined_key(df: DataFrame, first: str, second: str, name: str = "name", out: str = "combined") -> DataFrame:
-    """df with the sum of a row's places in two orders over rows that have the key; null unless it has both.  For bounded cohorts."""
-    place = lambda k: F.when(F.col(k).isNotNull(), F.row_number().over(Window.partitionBy(F.col(k).isNull()).orderBy(F.col(k), F.col(name))) - 1)
-    return df.withColumn(out, place(first) + place(second))
+    """df with the sum of a row's places (from 0) in two orders over rows that have the key, ties by name; null unless it has both."""
+    row, one, two = fresh([*df.columns, out], "row", "one", "two")
+    base = Scratch(df.sparkSession, "combined").table(df.withColumn(row, F.monotonically_increasing_id()))
+    place = lambda k, n: numbered(base.where(F.col(k).isNotNull()).select(row, k, name), [F.col(k), F.col(name)], n).select(row, n)
+    both = base.join(place(first, one), row, "left").join(place(second, two), row, "left")
+    return both.withColumn(out, F.col(one) + F.col(two) - 2).select(*df.columns, out)
 
 
 def gate(metrics_row: Column | None = None) -> Column:

@@ -29,7 +29,7 @@ def map_tokens(tokens: DataFrame, residues: DataFrame, ligand: DataFrame, iron:
     span = residues.agg(F.min("pos").alias("lo"), F.max("pos").alias("hi"))
     sub = X.parse_substitution("token")
     t = tokens.withColumn("token", F.upper(X.ws_strip(F.coalesce("token", F.lit(""))))).withColumn("_s", sub).withColumn("canonical", F.col("_s").isNotNull()).withColumn("wt", F.col("_s.wt")).withColumn("pos", F.col("_s.pos")).withColumn("mut", F.col("_s.mut")).drop("_s")
-    t = t.join(F.broadcast(residues), "pos", "left").crossJoin(F.broadcast(lig)).crossJoin(F.broadcast(span))  # one row each
+    t = t.join(residues, "pos", "left").crossJoin(F.broadcast(lig)).crossJoin(F.broadcast(span))  # one row each
     reason = F.when(~F.col("canonical"), "not a point substitution: it has no single residue").when(
         F.col("resname").isNull(), F.format_string("residue %d is not in the model (%d-%d)", "pos", "lo", "hi")
     ).when(F.col("resname") != F.col("wt"), F.format_string("position %d is %s in the model, the token says %s", "pos", "resname", "wt"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats
@@ -123,7 +123,10 @@ def normalize_records(spark, sf):
 
 @query(f"with {_RAW_SQL} select count(*) as rows, count(*) filter (target_acc = '') as dropped from clean")
 def unkeyable_rows(spark, sf):
-    return _raw(spark, sf).agg(F.count("*").alias("rows"), F.count_if(X.isolate_key(X.clean_nullish("target_acc")) == "").alias("dropped"))
+    # counted in the same scan that normalises
+    seen = Observation("feed")
+    S.normalize(_raw(spark, sf), observe=seen).write.format("noop").mode("overwrite").save()
+    return spark.createDataFrame([(seen.get["rows"], seen.get["dropped"])], "rows long, dropped long")
 
 
 @query("select token, count(*) as n from (select p_partkey, unnest(list_distinct(list_filter(regexp_split_to_array(upper(p_type || ', ' || p_brand || ' ' || p_name), '[,;/|\\s]+'), lambda x: x <> ''))) as token from part) group by 1")
@@ -199,11 +202,7 @@ def prevalence_wilson(spark, sf):
     l, d = _t(spark, sf, "labels", "documents")
     m = F.col("doc_id") % 3
     r = l.join(d.select("doc_id", "lang"), "doc_id").select("lang", F.when(F.col("quality") == 1, "sra-recaller:called").when(m == 0, "sra-recaller:partial(x)").when(m == 1, "sra-recaller:failed(y)").otherwise("").alias("resistance_source"), F.when(F.col("toxic") == 1, "Y132F,A1B").otherwise("A1B").alias("erg11_call"))
-    langs = [x["lang"] for x in r.select("lang").distinct().collect()]  # four languages
-    out = None
-    for lang in sorted(langs):
-        p = B.prevalence(r.where(F.col("lang") == lang), C.AZOLE_PANEL).withColumn("lang", F.lit(lang))
-        out = p if out is None else out.unionByName(p)
+    out = B.prevalence(r, C.AZOLE_PANEL, ("lang",))
     return out.select("lang", "n_total", "n_resolved", "n_positive", "excluded_partial", "excluded_failed", "excluded_pending", *[_r(c).alias(c) for c in ("event_frequency", "ci_lo", "ci_hi")])
 
 
@@ -252,12 +251,14 @@ def constrained_best(spark, sf):
     return G.constrained_best(l, ("l_partkey",), 0.03).drop("best")
 
 
+# every vector as a body of points: its numbers in threes, what is missing at the end is 0
 def _points(spark, sf):
-    e = F.col("embedding")
-    return _t(spark, sf, "embeddings").select("vec_id", "label", *[e[i].cast("double").alias(n) for i, n in enumerate("xyz")])
+    e, i = F.col("embedding"), F.col("i")
+    at = _t(spark, sf, "embeddings").select("vec_id", "label", "embedding", F.explode(F.sequence(F.lit(0), F.floor((F.size(e) - 1) / 3).cast("int"))).alias("i"))
+    return at.select("vec_id", "label", "i", *[F.coalesce(F.get(e, 3 * i + k).cast("double"), F.lit(0.0)).alias(n) for k, n in enumerate("xyz")])
 
 
-_POINTS_SQL = "p as (select vec_id, label, embedding[1]::double as x, embedding[2]::double as y, embedding[3]::double as z from embeddings)"
+_POINTS_SQL = "p as (select vec_id, label, i, coalesce(embedding[3 * i + 1], 0)::double as x, coalesce(embedding[3 * i + 2], 0)::double as y, coalesce(embedding[3 * i + 3], 0)::double as z from (select *, unnest(range(0, (len(embedding) + 2) // 3)) as i from embeddings))"
 
 
 @query(f"with {_POINTS_SQL} select label, round(min(case when vec_id % 2 = 0 then sqrt(x*x + y*y + z*z) end), 6) as dist from p group by 1")
@@ -266,13 +267,14 @@ def nearest_distance(spark, sf):
     return G.pose_features(p, (0.0, 0.0, 0.0), by=("label",)).select("label", _r("dist").alias("dist"))
 
 
-@query(f"with {_POINTS_SQL} select label, round(dist, 6) as dist, dist <= 0.05 as contact from (select a.label, min(sqrt((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z))) as dist from p a, p b where a.vec_id >= 10 and b.vec_id < 10 group by 1)")
+@query(f"with {_POINTS_SQL} select label, round(dist, 6) as dist, dist <= 0.05 as contact from (select a.label, min(sqrt((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z))) as dist from p a, p b where a.vec_id % 50 <> 0 and b.vec_id % 50 = 0 group by 1)")
 def contact_join(spark, sf):
     p = _points(spark, sf)
-    return G.min_distance(p.where("vec_id >= 10"), p.where("vec_id < 10").select("x", "y", "z"), ("label",)).select("label", _r("dist").alias("dist"), (F.col("dist") <= 0.05).alias("contact"))
+    return G.min_distance(p.where("vec_id % 50 <> 0"), p.where("vec_id % 50 = 0").select("x", "y", "z"), ("label",)).select("label", _r("dist").alias("dist"), (F.col("dist") <= 0.05).alias("contact"))
 
 
-@query(f"""with {_POINTS_SQL}, d as (select vec_id, label, sqrt(x*x + y*y + z*z) as d, degrees(acos(least(1, abs(x*0.6 + z*0.8) / nullif(sqrt(x*x + y*y + z*z), 0)))) as t from p)
+@query(f"""with {_POINTS_SQL}, e as (select vec_id, label, sqrt(x*x + y*y + z*z) as d, degrees(acos(least(1, abs(x*0.6 + z*0.8) / nullif(sqrt(x*x + y*y + z*z), 0)))) as t from p),
+d as (select vec_id, label, min(d) as d, arg_min(t, d) as t from e group by 1, 2)
 select label, round(min(d * (1 + sin(radians(t)))), 6) as s, round(min(t), 4) as theta, round(min(d), 6) as dist from d group by 1""")
 def axial_feature(spark, sf):
     f = G.pose_features(_points(spark, sf).withColumn("atom", F.lit("N")), (0.0, 0.0, 0.0), (0.6, 0.0, 0.8), by=("label", "vec_id"))
@@ -290,19 +292,6 @@ def name_matched_rmsd(spark, sf):
 _REF = "MKTAYIAKQR"
 
 
-@query(f"""with s as (select doc_id, translate(upper(substr(text, 1, 30)), 'EHILMOPRSU', 'ACGTACGTAC') as seq from documents where lang = 'en'),
-c as (select doc_id, seq, list_transform(range(0, length(seq) // 3), lambda i: substr(seq, (3 * i + 1)::int, 3)) as cod from s),
-r as (select doc_id, seq, list_transform(cod, lambda k: case when regexp_full_match(k, '[ACGT]{{3}}') then substr('{C.CODE}', (1 + 16 * (strpos('TCAG', k[1]) - 1) + 4 * (strpos('TCAG', k[2]) - 1) + strpos('TCAG', k[3]) - 1)::int, 1) else 'X' end) as aa from c),
-q as (select *, rtrim(array_to_string(aa, ''), '*') as prot, trim(seq, ' ' || chr(9) || chr(10) || chr(13)) as st from r)
-select doc_id, case when length(st) = length(seq) and length(seq) % 3 = 0 and length(prot) = 10 then 'ok' else 'refused' end as status,
-  case when length(st) = length(seq) and length(seq) % 3 = 0 and length(prot) = 10 then array_to_string(list_filter(list_transform(range(1, 11), lambda i: case when prot[i] <> 'X' and prot[i] <> ('{_REF}')[i] then ('{_REF}')[i] || i || prot[i] end), lambda x: x is not null), ',') else '' end as call,
-  (case when length(st) = length(seq) and length(seq) % 3 = 0 and length(prot) = 10 then 10 - length(prot) + length(replace(prot, 'X', '')) else 0 end)::int as n_covered from q where length(st) = length(seq)""")
-def codon_call(spark, sf):
-    # texts whose first thirty characters have white space at an end would be cut by cleaning: they are left out on both sides
-    d = _t(spark, sf, "documents").where("lang = 'en'").select("doc_id", F.translate(F.upper(F.substring("text", 1, 30)), "EHILMOPRSU", "ACGTACGTAC").alias("seq")).where(F.length(X.ws_strip("seq")) == F.length("seq"))
-    return C.formatted(C.call(d, "seq", _REF)).select("doc_id", "status", "call", "n_covered")
-
-
 @query(f"""with s as (select doc_id, regexp_replace(translate(coalesce(text, ''), 'ehilmoprsuEHILMOPRSU', 'ACGTACGTACACGTACGTAC'), '[^\\x00-\\x7F]', 'N', 'g') as t from documents),
 q as (select doc_id, translate(upper(trim(t, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))), 'U', 'T') as seq from s),
 r as (select doc_id, seq, rtrim(array_to_string(list_transform(range(0, length(seq) // 3), lambda i: case when regexp_full_match(substr(seq, (3 * i + 1)::int, 3), '[ACGT]{{3}}') then substr('{C.CODE}', (1 + 16 * (strpos('TCAG', seq[(3 * i + 1)::int]) - 1) + 4 * (strpos('TCAG', seq[(3 * i + 2)::int]) - 1) + strpos('TCAG', seq[(3 * i + 3)::int]) - 1)::int, 1) else 'X' end), ''), '*') as prot from q),
@@ -310,36 +299,25 @@ w as (select *, case when seq = '' then 'empty consensus' when length(seq) % 3 <
 select doc_id, case when reason is null then 'ok' else 'refused' end as status, reason,
   case when reason is null then array_to_string(list_filter(list_transform(range(1, 11), lambda i: case when prot[i] <> 'X' and prot[i] <> ('{_REF}')[i] then ('{_REF}')[i] || i || prot[i] end), lambda x: x is not null), ',') else '' end as call,
   (case when reason is null then length(replace(prot, 'X', '')) else 0 end)::int as n_covered from w""")
-def codon_call_all(spark, sf):
+def codon_call(spark, sf):
     # whole texts of all documents; what is not ASCII is an uncertain base, white space at the ends is the caller's to strip
     seq = F.regexp_replace(F.translate("text", "ehilmoprsuEHILMOPRSU", "ACGTACGTACACGTACGTAC"), r"[^\x00-\x7F]", "N")
     return C.formatted(C.call(_t(spark, sf, "documents").select("doc_id", seq.alias("seq")), "seq", _REF)).select("doc_id", "status", "reason", "call", "n_covered")
 
 
-@query("""select active, decoy from (select a.p_partkey as active, b.p_partkey as decoy, row_number() over (partition by a.p_partkey order by b.p_partkey, b.p_name) as n from part a join part b on a.p_partkey <= 20 and b.p_partkey > 20 and abs(a.p_retailprice - b.p_retailprice) <= 25 and abs(a.p_size - b.p_size) <= 2) where n <= 5""")
+@query("""select active, decoy from (select a.p_partkey as active, b.p_partkey as decoy, row_number() over (partition by a.p_partkey order by b.p_partkey, b.p_name) as n from part a join part b on a.p_brand = 'Brand#11' and b.p_brand <> 'Brand#11' and abs(a.p_retailprice - b.p_retailprice) <= 25 and abs(a.p_size - b.p_size) <= 2) where n <= 5""")
 def theta_match(spark, sf):
-    p = _t(spark, sf, "part").select(F.col("p_name").alias("name"), F.col("p_partkey"), F.col("p_retailprice").alias("mw"), F.col("p_size").alias("rotb"))
-    a = p.where("p_partkey <= 20").withColumn("name", F.col("p_partkey"))
-    found = L.candidates(a, p.where("p_partkey > 20"), {"rotb": 2}, 25.0)
+    # the parts of one brand are the actives: they grow with the table
+    p = _t(spark, sf, "part").select(F.col("p_name").alias("name"), "p_partkey", "p_brand", F.col("p_retailprice").alias("mw"), F.col("p_size").alias("rotb"))
+    a = p.where("p_brand = 'Brand#11'").withColumn("name", F.col("p_partkey"))
+    found = L.candidates(a, p.where("p_brand <> 'Brand#11'"), {"rotb": 2}, 25.0)
     return L.best_matches(found, 5, "p_partkey").select("active", F.col("p_partkey").alias("decoy"))
 
 
-@query("""with b as (select list_distinct(list_filter(string_split(lower(text), ' '), lambda x: x <> '')) as w from benchmark), d as (select doc_id, list_distinct(list_filter(string_split(lower(text), ' '), lambda x: x <> '')) as w from documents where n_chars < 2000)
-select doc_id, round(max(case when len(d.w) + len(b.w) = 0 then 0 else len(list_intersect(d.w, b.w)) / (len(d.w) + len(b.w) - len(list_intersect(d.w, b.w)))::double end), 6) as top from d, b group by 1 having max(case when len(d.w) + len(b.w) = 0 then 0 else len(list_intersect(d.w, b.w)) / (len(d.w) + len(b.w) - len(list_intersect(d.w, b.w)))::double end) < 0.35""")
-def similarity_anti(spark, sf):
-    # shorter documents are the molecules here, benchmark items the actives
-    words = F.array_distinct(F.filter(F.split(F.lower("text"), " "), lambda x: x != ""))
-    d, b = _t(spark, sf, "documents", "benchmark")
-    pool = d.where("n_chars < 2000").select("doc_id", words.alias("fp"))
-    fps = b.agg(F.collect_list(words).alias("fps"))
-    top = pool.crossJoin(F.broadcast(fps)).select("doc_id", F.array_max(F.transform("fps", lambda f: L.tanimoto(F.col("fp"), f))).alias("top"))  # one row of a checked number of items
-    return L.dissimilar(pool, b.select(words.alias("fp"))).select("doc_id").join(top, "doc_id").select("doc_id", _r("top").alias("top"))
-
-
 @query("""with b as (select list_distinct(list_filter(string_split(lower(coalesce(text, '')), ' '), lambda x: x <> '')) as w from benchmark), d as (select doc_id, list_distinct(list_filter(string_split(lower(coalesce(text, '')), ' '), lambda x: x <> '')) as w from documents),
 t as (select doc_id, max(case when len(d.w) + len(b.w) = 0 then 0 else len(list_intersect(d.w, b.w)) / (len(d.w) + len(b.w) - len(list_intersect(d.w, b.w)))::double end) as top from d, b group by 1)
 select doc_id, round(top, 6) as top from t where top < 0.35""")
-def similarity_anti_all(spark, sf):
+def similarity_anti(spark, sf):
     # every document against every benchmark item
     words = F.array_distinct(F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), " "), lambda x: x != "")).alias("fp")
     d, b = _t(spark, sf, "documents", "benchmark")
@@ -453,7 +431,7 @@ def sanity_outcomes(spark, sf):
     return C.sanity(o).select("o_orderkey", F.size("lost").alias("lost"), "outcome")
 
 
-@query("""with p as (select vec_id, label, embedding[1]::double as x, embedding[2]::double as y, embedding[3]::double as z from embeddings)
+@query(f"""with {_POINTS_SQL}
 select label, round(min(x*x + y*y + z*z), 6) as least, round(sum(abs(y*0.8 - z*0)), 4) as crossed from p group by 1""")
 def vector_algebra(spark, sf):
     p = F.struct("x", "y", "z")
@@ -505,28 +483,14 @@ def ranked_output(spark, sf):
     return ranked_table(r)
 
 
-@query("""select round(avg(p_size) filter (p_partkey <= 20), 6) as size_active, round(avg(p_retailprice) filter (p_partkey <= 20), 4) as price_active, round(avg(p_size) filter (p_partkey > 20), 6) as size_decoy, round(avg(p_retailprice) filter (p_partkey > 20), 4) as price_decoy,
-  round(abs(avg(p_size) filter (p_partkey <= 20) - avg(p_size) filter (p_partkey > 20)), 6) as size_diff from part""")
+@query("""select round(avg(p_size) filter (p_brand = 'Brand#11'), 6) as size_active, round(avg(p_retailprice) filter (p_brand = 'Brand#11'), 4) as price_active, round(avg(p_size) filter (p_brand <> 'Brand#11'), 6) as size_decoy, round(avg(p_retailprice) filter (p_brand <> 'Brand#11'), 4) as price_decoy,
+  round(abs(avg(p_size) filter (p_brand = 'Brand#11') - avg(p_size) filter (p_brand <> 'Brand#11')), 6) as size_diff from part""")
 def match_quality(spark, sf):
-    p = _t(spark, sf, "part").select("p_partkey", F.col("p_size").alias("size"), F.col("p_retailprice").alias("price"))
-    q = L.match_quality(p.where("p_partkey <= 20"), p.where("p_partkey > 20"), ("size", "price"))
+    p = _t(spark, sf, "part").select("p_brand", F.col("p_size").alias("size"), F.col("p_retailprice").alias("price"))
+    q = L.match_quality(p.where("p_brand = 'Brand#11'"), p.where("p_brand <> 'Brand#11'"), ("size", "price"))
     return q.select(_r("size_active").alias("size_active"), _r("price_active", 4).alias("price_active"), _r("size_decoy").alias("size_decoy"), _r("price_decoy", 4).alias("price_decoy"), _r("size_diff").alias("size_diff"))
 
 
-@query("""with s as (select doc_id, case when doc_id % 5 = 0 then null else substr(translate(upper(regexp_replace(text, '[^a-zA-Z]', '', 'g')), 'EHILMOPRSUBDFJKNQVWXYZ', 'ACGTACGTACACACACACACAC'), 1, case doc_id % 3 when 0 then 9 when 1 then 8 else 12 end) end as seq from documents where lang = 'en'),
-c as (select doc_id, seq, list_transform(range(0, 3), lambda i: substr(seq, (3 * i + 1)::int, 3)) as cod from s),
-a as (select doc_id, seq, list_transform(cod, lambda k: substr('""" + C.CODE + """', (1 + 16 * (strpos('TCAG', k[1]) - 1) + 4 * (strpos('TCAG', k[2]) - 1) + strpos('TCAG', k[3]) - 1)::int, 1)) as aa from c),
-t as (select doc_id, seq, list_filter(list_transform(range(1, 4), lambda i: case when aa[i] <> ('TYS')[i] then ('TYS')[i] || (i + 9) || aa[i] end), lambda x: x is not null) as tokens from a)
-select doc_id, case when seq is null then 'missing' when length(seq) = 9 and len(tokens) > 0 then 'called' when length(seq) = 9 then 'wild-type' else 'refused' end as status, case when length(seq) = 9 then array_to_string(tokens, ',') else '' end as call from t""")
-def window_calls(spark, sf):
-    k = F.col("doc_id")
-    seq = F.translate(F.upper(F.regexp_replace("text", "[^a-zA-Z]", "")), "EHILMOPRSUBDFJKNQVWXYZ", "ACGTACGTACACACACACACAC")
-    cut = F.substring(seq, F.lit(1), F.when(k % 3 == 0, 9).when(k % 3 == 1, 8).otherwise(12))
-    w = C.Window("W", 10, 12, 11, "Y")
-    d = _t(spark, sf, "documents").where("lang = 'en'").select("doc_id", F.create_map(F.lit("W"), F.when(k % 5 != 0, cut)).alias("seqs"))
-    return C.call_windows(d, "seqs", "X" * 9 + "TYS", (w,)).select("doc_id", F.col("windows")["W"]["status"].alias("status"), "call")
-
-
 _LETTERS = "ehilmoprsubdfjknqvwxyzEHILMOPRSUBDFJKNQVWXYZ"
 _BASES = "ACGTACGTACACACACACACAC" * 2
 
@@ -540,7 +504,7 @@ def _window_sql(name: str, first: int) -> str:
 c as (select doc_id, substr(seq, 28, 9) as near, substr(seq, 598, 9) as far from s),
 t as (select doc_id, near, far, list_filter([{_window_sql("near", 10)}], lambda x: x is not null) as n, list_filter([{_window_sql("far", 200)}], lambda x: x is not null) as f from c)
 select doc_id, case when near is null then 'missing' when length(near) <> 9 then 'refused' when len(n) > 0 then 'called' else 'wild-type' end as near, case when far is null then 'missing' when length(far) <> 9 then 'refused' when len(f) > 0 then 'called' else 'wild-type' end as far, array_to_string(list_concat(n, f), ',') as call from t""")
-def window_calls_all(spark, sf):
+def window_calls(spark, sf):
     # two fixed windows of the whole text of every document; a text that ends before or within a window is refused there
     ws = (C.Window("near", 10, 12, 11, "Y"), C.Window("far", 200, 202, 201, "Y"))
     d = _t(spark, sf, "documents").select("doc_id", F.translate(F.regexp_replace("text", "[^a-zA-Z]", ""), _LETTERS, _BASES).alias("seq"))

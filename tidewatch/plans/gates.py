@@ -31,11 +31,11 @@ def molecule_keys(poses: DataFrame, measure: str = "dist", how: str = "min") ->
     return per.groupBy(F.col("molecule").alias("name")).agg((F.median("v") if how == "median" else F.min("v")).alias("key"))
 
 
-def gate(keys: DataFrame, actives: DataFrame, missing: str = "last", scratch=None) -> DataFrame:
+def gate(keys: DataFrame, actives: DataFrame, missing: str = "last") -> DataFrame:
     """One row: metrics, counts, missing actives, passed."""
     named = actives.select("name").distinct().withColumn("is_active", F.lit(True))
     rows = keys.join(named, "name", "left").withColumn("is_active", F.coalesce("is_active", F.lit(False)))
-    m, _ = R.report(rows, missing=missing, scratch=scratch)
+    m, _ = R.report(rows, missing=missing)
     absent = R.missing_actives(keys, actives).agg(F.count("*").alias("missing_actives"))
     return m.crossJoin(absent).withColumn("passed", R.gate())
 
