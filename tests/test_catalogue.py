@@ -8,7 +8,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from tidewatch.plans import catalogue
+from tidewatch.plans import catalogue, catalogue_files
 
 DATA = "/root/testdata/sf0.001"
 
@@ -25,7 +25,7 @@ def plain(v):
     return None if v is None or isinstance(v, float) and math.isnan(v) else round(v, 5) + 0.0 if isinstance(v, float) else v
 
 
-@pytest.mark.parametrize("name", sorted(catalogue.QUERIES))
+@pytest.mark.parametrize("name", sorted(catalogue.SQL))
 def test_query(spark, con, name):
     got = catalogue.QUERIES[name](spark, DATA)
     cols = sorted(got.columns)
@@ -41,6 +41,17 @@ def test_query(spark, con, name):
         assert all(p == q or isinstance(p, float) and q is not None and math.isclose(p, float(q), abs_tol=2e-5) for p, q in zip(x, y)), (x, y)
 
 
+def test_greedy_decoys(spark):
+    """Against a walk over the actives in turn."""
+    parts = spark.read.parquet(f"{DATA}/part.parquet").orderBy("p_partkey").collect()
+    used, want = set(), set()
+    for a in (p for p in parts if p["p_brand"] == "Brand#11"):
+        near = [p["p_partkey"] for p in parts if p["p_brand"] != "Brand#11" and abs(p["p_retailprice"] - a["p_retailprice"]) <= 25 and abs(p["p_size"] - a["p_size"]) <= 2 and p["p_partkey"] not in used][:5]
+        used |= set(near)
+        want |= {(str(a["p_partkey"]), str(k)) for k in near}
+    assert {tuple(r) for r in catalogue_files.greedy_decoys(spark, DATA).collect()} == want
+
+
 def test_entry(spark):
     df = entry.entry(spark)
     assert df.columns and df.count() >= 0

@@ -8,7 +8,7 @@ import sys
 import pytest
 
 REPO = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-ASK = "import __spark_entry__ as e; from tidewatch.plans import catalogue as c; assert set(c.QUERIES) == set(e.queries()) and set(c.SQL) == set(e.oracle_sql()); print(len(e.queries()))"
+ASK = "import __spark_entry__ as e; from tidewatch.plans import catalogue as c, catalogue_files; assert set(c.QUERIES) == set(e.queries()) and set(c.SQL) == set(e.oracle_sql()); print(len(e.queries()))"
 
 
 @pytest.mark.parametrize("also", [[], ["corpus_pipeline.py"]])

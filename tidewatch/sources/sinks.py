@@ -42,6 +42,25 @@ def write_snapshot(records: DataFrame, path: str, **options) -> str:
     return h.hexdigest()
 
 
+def write_parts(records: DataFrame, path: str, columns: tuple[str, ...] = SNAPSHOT_COLUMNS, key: str = "isolate_key") -> str:
+    """The canonical text as part files whose names follow the order of key, each with the header; returns content_digest().
+
+    For snapshots of any size: a range-partitioned sort, written by tasks.  write_snapshot() makes one file for small ones.
+    """
+    text = records.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in columns])
+    order = [key, *[c for c in columns if c != key]]
+    text.repartitionByRange(*order).sortWithinPartitions(*order).write.csv(path, sep="\t", header=True, escape='"', emptyValue="")
+    return content_digest(text, columns)
+
+
+def content_digest(records: DataFrame, columns: tuple[str, ...] = SNAPSHOT_COLUMNS) -> str:
+    """A digest of the rows that depends on neither order nor partitions: sums over the rows' own digests, taken by tasks."""
+    row = F.sha2(F.to_json(F.struct(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in columns])), 256)
+    part = lambda i: F.sum(F.conv(row.substr(15 * i + 1, 15), 16, 10).cast("decimal(38,0)")).alias(f"p{i}")
+    sums = records.agg(F.count("*").alias("n"), *[part(i) for i in range(4)]).first()
+    return hashlib.sha256(":".join(map(str, sums)).encode()).hexdigest()
+
+
 def write_working_copy(records: DataFrame, path: str, release: str) -> None:
     """Parquet, partitioned by release; a release that is written again replaces itself only."""
     records.withColumn("release", F.lit(release)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("release").parquet(path)
