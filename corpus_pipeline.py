@@ -1,4 +1,9 @@
-"""From raw documents to token ids: five stages, each one operator over all that the stage before kept."""
+"""From raw documents to token ids: five stages, each one operator over all that the stage before kept.
+
+In every stage each row is judged by its own text, also where rows share a doc_id or have none.  Null and empty texts are
+kept, very long ones are read whole, repeated rows are treated alike (near_duplicates keeps one of them), empty tables
+stay empty, and further columns of any name stay as they are (bpe replaces columns with its own names).
+"""
 
 from __future__ import annotations
 
@@ -16,27 +21,27 @@ def _recount(docs: DataFrame) -> DataFrame:
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are predicted toxic go."""
+    """Documents that are predicted toxic go; texts without words stay."""
     return toxicity.reject(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays."""
+    """One row of each group of near duplicates stays, that with the smallest doc_id; texts without words are no group and all stay."""
     return minhash.keep_one(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Benchmark passages are cut out; documents that are mostly benchmark go."""
+    """Benchmark passages are cut out; documents that are mostly benchmark go; n_chars follows the text."""
     return _recount(decontam.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Live-looking secrets are masked; widely copied examples stay."""
+    """Live-looking secrets are masked; widely copied examples stay; every row stays, n_chars follows the text."""
     return _recount(secrets.redact(docs))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of the remaining texts."""
+    """Token ids of the remaining texts; a null or empty text has none."""
     return bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
@@ -48,7 +53,8 @@ STAGES = [
     ("bpe", encode),
 ]
 
-#: Restoration, classification and byte-pair merges can't be written in SQL; tests hold each stage against brute force.
+#: Restoration, classification and byte-pair merges can't be written in SQL.  Tests hold what stages call against brute force
+#: (groups, cuts, masks, ids, and the lattice decoder against all paths) and toxicity's scores against held-out labels.
 ORACLE_SQL = None
 
 
