@@ -140,7 +140,8 @@ def _apply(df: DataFrame, column: str, fields: dict[str, pa.DataType], make):
 def encode(docs: DataFrame, vocabulary: str) -> DataFrame:
     """docs with token_ids (array of int) and n_tokens of text; null texts are empty, special strings in texts become their ids.
 
-    A column of docs that has one of these names is replaced.
+    Empty texts have no ids; very long texts and words are encoded whole; equal texts and repeated rows have equal ids, row
+    by row; an empty table stays empty.  A column of docs that has one of these names is replaced, all others stay.
     """
 
     def make(texts):
@@ -152,7 +153,7 @@ def encode(docs: DataFrame, vocabulary: str) -> DataFrame:
 
 
 def decode(df: DataFrame, vocabulary: str) -> DataFrame:
-    """df with decoded, the text of token_ids; null ids give an empty text."""
+    """df with decoded, the text of token_ids; null or no ids give an empty text; other columns and rows stay, a column named decoded is replaced."""
 
     def make(ids):
         return ([codec(vocabulary).decode(",".join(map(str, x or []))) for x in ids],)
