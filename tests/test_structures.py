@@ -70,6 +70,13 @@ def test_structure(spark, files):
     assert S.residues(mutant).where("pos = 132").first()["resname"] == "PHE" and S.residues(mutant).where("pos = 132").select(F.size("atoms")).first()[0] == 1
 
 
+def test_mutation_specs():
+    assert S.parse_mutation("Y132F") == ("TYR", 132, "PHE") and S.parse_mutation(" k143a ") == ("LYS", 143, "ALA")
+    for spec in ("", "Y132", "132F", "Y132W", "Y-1F", "Y132F, K143A"):
+        with pytest.raises(ValueError):
+            S.parse_mutation(spec)
+
+
 def test_verdict_branches(spark, files):
     rec, lig = S.lines(spark, str(files / "receptor.pdb")), S.ligand_atoms(S.lines(spark, str(files / "ligand.pdb")))
     tokens = spark.createDataFrame([("y132f",), ("K143R",), ("F126L",), ("V125A",), ("TR34",), ("Y133F",), ("K132R",), (None,)], "token string")
