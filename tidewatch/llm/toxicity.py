@@ -17,7 +17,7 @@ else covers all rows.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -169,19 +169,28 @@ def features(word: str) -> list[str]:
     return [word, *(f"{word[:k]}*" for k in (4, 5, 6) if len(word) > k)]
 
 
-def _count_features(model):
+def _read(model):
+    """Texts with labels to their distinct words, in all readings."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer = Restorer(model.value)
         for batch in batches:
-            n: dict[str, list[int]] = {}
-            for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
-                for f in {f for w in restorer.words(text) for f in features(w)}:
-                    n.setdefault(f, [0, 0])[toxic] += 1
-            yield pa.RecordBatch.from_arrays([pa.array(n, pa.string()), pa.array([x[1] for x in n.values()], pa.int64()), pa.array([x[0] for x in n.values()], pa.int64())], names=["feature", "toxic", "clean"])
+            for part in chunks(batch, "text"):
+                words = [sorted(restorer.words(t)) for t in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(words, pa.list_(pa.string())), part.column("toxic")], names=["words", "toxic"])
 
     return run
 
 
+def _count_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        n: dict[str, list[int]] = {}
+        for words, toxic in zip(batch.column("words").to_pylist(), batch.column("toxic").to_pylist()):
+            for f in {f for w in words for f in features(w)}:
+                n.setdefault(f, [0, 0])[toxic] += 1
+        yield pa.RecordBatch.from_arrays([pa.array(n, pa.string()), pa.array([x[1] for x in n.values()], pa.int64()), pa.array([x[0] for x in n.values()], pa.int64())], names=["feature", "toxic", "clean"])
+
+
 class Scorer:
     def __init__(self, model: np.ndarray, known: dict[str, tuple[int, int]], prior: float, weights: list[float] | None):
         self.restorer, self.known, self.prior, self.weights = Restorer(model), known, prior, weights
@@ -207,8 +216,7 @@ class Scorer:
             self.kept[w] = best
         return best
 
-    def numbers(self, text: str | None, own: int | None = None) -> list[float]:
-        words = self.restorer.words(text)
+    def numbers(self, words: Collection[str], own: int | None = None) -> list[float]:
         if own is None:
             found = [x for x in map(self.word, words) if x > 0]
         else:
@@ -218,7 +226,7 @@ class Scorer:
         return [1.0, top[0], top[1], float(np.log1p(sum(found))), float(np.log1p(len(words))) / 10]
 
     def score(self, text: str | None) -> float:
-        z = float(np.dot(self.weights, self.numbers(text)))
+        z = float(np.dot(self.weights, self.numbers(self.restorer.words(text))))
         return 1 / (1 + np.exp(-z)) if z > -700 else 0.0
 
 
@@ -227,7 +235,7 @@ def _numbers(broadcast):
         scorer = Scorer(*broadcast.value, None)
         for batch in batches:
             y = batch.column("toxic").to_pylist()
-            yield pa.RecordBatch.from_arrays([pa.array([scorer.numbers(t, own) for t, own in zip(batch.column("text").to_pylist(), y)], pa.list_(pa.float64())), pa.array(y, pa.int32())], names=["x", "y"])
+            yield pa.RecordBatch.from_arrays([pa.array([scorer.numbers(w, own) for w, own in zip(batch.column("words").to_pylist(), y)], pa.list_(pa.float64())), pa.array(y, pa.int32())], names=["x", "y"])
 
     return run
 
@@ -267,11 +275,13 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, hold_out=(4, 2), f
     there = taught.count()
     if there > 1.1 * fit_rows:
         taught = taught.where(F.pmod("_at", F.lit(1_000_000)) < int(1_000_000 * fit_rows / there))
-    taught = taught.select("text", "toxic")
+    lm = spark.sparkContext.broadcast(model)
+    # texts are read once; what follows needs their words only
+    texts, taught = taught, scratch.table(taught.select("text", "toxic").mapInArrow(_read(lm), "words array<string>, toxic int"))
+    scratch.drop(texts)
     n, toxic = taught.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     prior = (toxic + 0.5) / (n + 1)
-    lm = spark.sparkContext.broadcast(model)
-    counted = taught.mapInArrow(_count_features(lm), "feature string, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    counted = taught.mapInArrow(_count_features, "feature string, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     strong = counted.where((F.col("toxic") + F.col("clean") >= LEAST_ROWS) & (F.col("toxic") >= 2 * prior * (F.col("toxic") + F.col("clean"))))
     known = {r["feature"]: (r["toxic"], r["clean"]) for r in strong.collect()}
     parts = spark.sparkContext.broadcast((model, known, prior))
