@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Collection, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -45,12 +46,15 @@ _SYMBOL[128:] = OTHER
 SUBSTITUTE, DOUBLE, REPEAT, KEEP, SPLIT = 1.5, 3.0, 0.3, 6.0, 0.5
 
 # letters apart, of any number; a sign beside a letter; a letter twice
-_SUSPECT = re.compile(r"(?<![a-z0-9@$|])[a-z0-9@$!|+](?:[ .\-_*]+[a-z0-9@$!|+])+(?![a-z0-9@$|])|[0-9@$!|+][a-z]|[a-z][0-9@$!|+]|([a-z])\1")
+_LETTERS_APART = r"(?<![a-z0-9@$|])[a-z0-9@$!|+](?:[ .\-_*]+[a-z0-9@$!|+])+(?![a-z0-9@$|])"
+_APART = re.compile(_LETTERS_APART)
+_SUSPECT = re.compile(_LETTERS_APART + r"|[0-9@$!|+][a-z]|[a-z][0-9@$!|+]|([a-z])\1")
 _TWICE = re.compile(r"(.)[ .\-_*]*\1")
 #: Ways of reading, as they stand before a token's name in the memory of readings.
 DOUBLED, APART = "2 ", "1 "
 _PLAIN = frozenset("abcdefghijklmnopqrstuvwxyz")
 _LETTER = re.compile("[a-z]")
+_PAIR, _TRIPLE = re.compile(r"([a-z])\1"), re.compile(r"([a-z])\1\1")
 _TOKEN_CHAR = frozenset("abcdefghijklmnopqrstuvwxyz0123456789@$!|+")
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -99,15 +103,33 @@ def options_of(raw: str, way: str = "") -> list[list[tuple[int | None, str, floa
     return out
 
 
+class Remembered(dict):
+    """What a function gives for a key; forgotten as a whole beyond KEPT_WORDS entries."""
+
+    def __init__(self, function):
+        self.function = function
+
+    def __missing__(self, key):
+        found = self.function(key)
+        if len(key) <= 40:
+            if len(self) >= KEPT_WORDS:
+                self.clear()
+            self[key] = found
+        return found
+
+
 class Restorer:
     def __init__(self, model: np.ndarray):
         self.model = model.tolist()
         self.kept: dict[str, str] = {}
+        self.units = Remembered(self.unit)
 
     def token(self, raw: str, way: str = "") -> str:
         """The likeliest reading of one disguised token (lower case); way: of those with letters doubled, or the first letter apart."""
         if way + raw in self.kept:
             return self.kept[way + raw]
+        if _PLAIN.issuperset(raw) and not _TRIPLE.search(raw):
+            return raw if way == DOUBLED else self._letters(raw)
         model = self.model
         states: dict[tuple[int, int], tuple[float, tuple]] = {(EDGE, EDGE): (0.0, ())}
         for options in options_of(raw, way):
@@ -130,6 +152,22 @@ class Restorer:
             self.kept[way + raw] = text
         return text
 
+    def _letters(self, raw: str) -> str:
+        """The likeliest reading of letters none of which stands more than twice in a row: what token() finds by search.
+
+        Whether the second of a pair is kept or not, the state after the next letter is the same, so each pair is
+        decided by itself, by the trigrams that differ.
+        """
+        out, at, model = [], 0, self.model
+        for m in _PAIR.finditer(raw):
+            i = m.start()
+            c, before = ord(raw[i]) - 97, ord(raw[i - 1]) - 97 if i else EDGE
+            after = ord(raw[i + 2]) - 97 if i + 2 < len(raw) else EDGE
+            if model[before][c][after] - DOUBLE > model[before][c][c] + model[c][c][after]:
+                out.append(raw[at : i + 1])
+                at = i + 2
+        return "".join([*out, raw[at:]]) if at else raw
+
     def text(self, low: str, others: set[str] | None = None) -> str:
         """Lower-cased text with its disguised tokens restored; one linear pass.  Other readings of tokens go to others."""
         out, at = [], 0
@@ -145,23 +183,45 @@ class Restorer:
                 while e < len(low) and low[e] in _TOKEN_CHAR:
                     e += 1
             raw = low[s:e]
-            out += [low[at:s], self.token(raw)]
+            likeliest, *rest = self.readings(raw)
+            out += [low[at:s], likeliest]
             if others is not None:
-                if _TWICE.search(raw):
-                    others.add(self.token(raw, DOUBLED))
-                if len(raw) > 2 and raw[1] in " .-_*":
-                    others.add(self.token(raw, APART))
+                others.update(rest)
             at = e
         return "".join([*out, low[at:]]) if at else low
 
+    def readings(self, raw: str) -> list[str]:
+        """All readings of a disguised token, the likeliest first."""
+        found = [self.token(raw)]
+        if _TWICE.search(raw) and (doubled := self.token(raw, DOUBLED)) != found[0]:
+            found.append(doubled)
+        if len(raw) > 2 and raw[1] in " .-_*":
+            found.append(self.token(raw, APART))
+        return found
+
+    def unit(self, unit: str) -> tuple[str, ...]:
+        """Distinct words of a lower-cased text without white space, in all readings."""
+        if not _SUSPECT.search(unit):
+            return (unit,) if unit.isalpha() else tuple(set(_WORD.findall(unit)))
+        others: set[str] = set()
+        back = self.text(unit, others)
+        return tuple({w for t in (unit, back, *others) for w in _WORD.findall(t)})
 
     def words(self, text: str | None) -> set[str]:
-        """Distinct words of a text as written and as restored, in all readings: a wrong one hides none."""
+        """Distinct words of a text as written and as restored, in all readings: a wrong one hides none.
+
+        Only letters with spaces between them reach over white space; all else is read once for each distinct unit.
+        """
         low = (text or "").lower()
-        others: set[str] = set()
-        back = self.text(low, others)
-        found = set(_WORD.findall(back)).union(*map(_WORD.findall, others))
-        return found if back == low else found | set(_WORD.findall(low))
+        found: set[str] = set().union(*map(self.units.__getitem__, set(low.split())))
+        out, at = [], 0
+        for m in _APART.finditer(low):
+            if " " in (raw := m.group()) and _LETTER.search(raw):
+                likeliest, *rest = self.readings(raw)
+                out += [low[at : m.start()], likeliest]
+                at = m.end()
+                found.update(*map(_WORD.findall, rest))
+        return found.union(_WORD.findall("".join([*out, low[at:]]))) if at else found
 
 
 def features(word: str) -> list[str]:
@@ -194,7 +254,7 @@ def _count_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 class Scorer:
     def __init__(self, model: np.ndarray, known: dict[str, tuple[int, int]], prior: float, weights: list[float] | None):
         self.restorer, self.known, self.prior, self.weights = Restorer(model), known, prior, weights
-        self.kept: dict[str, float] = {}
+        self.evidence = {own: Remembered(partial(self.word, own=own)) for own in (None, 0, 1)}
         self.base = np.log(prior / (1 - prior))
 
     def odds(self, toxic: float, clean: float) -> float:
@@ -204,23 +264,14 @@ class Scorer:
 
     def word(self, w: str, own: int | None = None) -> float:
         """Evidence of a word; own: the label of the row it stands in, if that row was counted (it is left out then)."""
-        if own is None and w in self.kept:
-            return self.kept[w]
         best = 0.0
         for f in features(w):
             if n := self.known.get(f):
                 best = max(best, self.odds(n[0] - (own == 1), n[1] - (own == 0)))
-        if own is None:
-            if len(self.kept) >= KEPT_WORDS:
-                self.kept.clear()
-            self.kept[w] = best
         return best
 
     def numbers(self, words: Collection[str], own: int | None = None) -> list[float]:
-        if own is None:
-            found = [x for x in map(self.word, words) if x > 0]
-        else:
-            found = [x for w in words if (x := self.word(w, own)) > 0]
+        found = [x for x in map(self.evidence[own].__getitem__, words) if x > 0]
         found.sort(reverse=True)
         top = found[:2] + [0.0] * (2 - len(found[:2]))
         return [1.0, top[0], top[1], float(np.log1p(sum(found))), float(np.log1p(len(words))) / 10]
