@@ -17,6 +17,7 @@ else covers all rows.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Collection, Iterator
 from functools import partial
 
@@ -34,6 +35,7 @@ THRESHOLD = 0.3
 #: Fitted rows a word needs, and weight of the prior.  Features are as many as fitted rows give, hence bounded by FIT_ROWS.
 LEAST_ROWS, PRIOR_ROWS = 5, 4.0
 KEPT_WORDS = 300_000
+PREFIXES = (4, 5, 6)
 
 # fixed values: what characters stand for in disguised words
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "bg", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t"}
@@ -54,6 +56,8 @@ _TWICE = re.compile(r"(.)[ .\-_*]*\1")
 DOUBLED, APART = "2 ", "1 "
 _PLAIN = frozenset("abcdefghijklmnopqrstuvwxyz")
 _LETTER = re.compile("[a-z]")
+#: Letters with nothing but punctuation around them.
+_ONE = re.compile(r"[^\w@$!|+]*([a-z]+)[^\w@$!|+]*")
 _PAIR, _TRIPLE = re.compile(r"([a-z])\1"), re.compile(r"([a-z])\1\1")
 _TOKEN_CHAR = frozenset("abcdefghijklmnopqrstuvwxyz0123456789@$!|+")
 _WORD = re.compile(r"[^\W\d_]+")
@@ -201,6 +205,9 @@ class Restorer:
 
     def unit(self, unit: str) -> tuple[str, ...]:
         """Distinct words of a lower-cased text without white space, in all readings."""
+        if (m := _ONE.fullmatch(unit)) and not _TRIPLE.search(word := m[1]):
+            short = self._letters(word)
+            return (word,) if short == word else (word, short)
         if not _SUSPECT.search(unit):
             return (unit,) if unit.isalpha() else tuple(set(_WORD.findall(unit)))
         others: set[str] = set()
@@ -226,7 +233,7 @@ class Restorer:
 
 def features(word: str) -> list[str]:
     """The word, and its beginnings of 4 to 6 letters where it is longer."""
-    return [word, *(f"{word[:k]}*" for k in (4, 5, 6) if len(word) > k)]
+    return [word, *(f"{word[:k]}*" for k in PREFIXES if len(word) > k)]
 
 
 def _read(model):
@@ -236,7 +243,7 @@ def _read(model):
         restorer = Restorer(model.value)
         for batch in batches:
             for part in chunks(batch, "text"):
-                words = [sorted(restorer.words(t)) for t in part.column("text").to_pylist()]
+                words = [list(restorer.words(t)) for t in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([pa.array(words, pa.list_(pa.string())), part.column("toxic")], names=["words", "toxic"])
 
     return run
@@ -244,16 +251,19 @@ def _read(model):
 
 def _count_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        n: dict[str, list[int]] = {}
+        n: tuple[Counter, Counter] = Counter(), Counter()
         for words, toxic in zip(batch.column("words").to_pylist(), batch.column("toxic").to_pylist()):
-            for f in {f for w in words for f in features(w)}:
-                n.setdefault(f, [0, 0])[toxic] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(n, pa.string()), pa.array([x[1] for x in n.values()], pa.int64()), pa.array([x[0] for x in n.values()], pa.int64())], names=["feature", "toxic", "clean"])
+            n[toxic].update(set(words).union(*([f"{w[:k]}*" for w in words if len(w) > k] for k in PREFIXES)))
+        found = [*n[0].keys() | n[1].keys()]
+        counts = [pa.array([n[label][f] for f in found], pa.int64()) for label in (1, 0)]
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), *counts], names=["feature", "toxic", "clean"])
 
 
 class Scorer:
     def __init__(self, model: np.ndarray, known: dict[str, tuple[int, int]], prior: float, weights: list[float] | None):
         self.restorer, self.known, self.prior, self.weights = Restorer(model), known, prior, weights
+        # a word has evidence only if it is known or begins like a known beginning
+        self.starts = {f[: PREFIXES[0]] for f in known if f.endswith("*")}
         self.evidence = {own: Remembered(partial(self.word, own=own)) for own in (None, 0, 1)}
         self.base = np.log(prior / (1 - prior))
 
@@ -271,7 +281,8 @@ class Scorer:
         return best
 
     def numbers(self, words: Collection[str], own: int | None = None) -> list[float]:
-        found = [x for x in map(self.evidence[own].__getitem__, words) if x > 0]
+        known, starts, evidence = self.known, self.starts, self.evidence[own]
+        found = [x for w in words if (w in known or w[: PREFIXES[0]] in starts) and (x := evidence[w]) > 0]
         found.sort(reverse=True)
         top = found[:2] + [0.0] * (2 - len(found[:2]))
         return [1.0, top[0], top[1], float(np.log1p(sum(found))), float(np.log1p(len(words))) / 10]
