@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontam, embed_dedup, lattice_lm, minhash, secrets, token_counts, toxicity, warc
+from . import bpe, chat, decontam, embed_dedup, lattice_lm, minhash, periodic, secrets, token_counts, toxicity, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -52,6 +52,10 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.render(_read(spark, sf_dir, "conversations"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.report(periodic.with_repeats(_read(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
@@ -63,6 +67,7 @@ QUERIES = {
     "op8_warc_round_trip": op8_warc_round_trip,
     "op3_lattice_lm": op3_lattice_lm,
     "op1_chat_format": op1_chat_format,
+    "op11_periodic_runs": op11_periodic_runs,
 }
 
 SQL = {
@@ -71,4 +76,5 @@ SQL = {
     "op7_secret_scan": secrets.SQL,
     "op9_embedding_near_dedup": embed_dedup.SQL,
     "op8_warc_round_trip": warc.SQL,
+    "op11_periodic_runs": periodic.SQL,
 }
