@@ -49,9 +49,9 @@ def _length(n: int) -> np.uint64:
 
 
 class Words:
-    """buf: lower-cased bytes; start, end: byte places of words; doc: row of each word; first: where each row's words begin (rows + 1)."""
+    """buf: bytes, lower-cased if ``lower``; start, end: byte places of words; doc: row of each word; first: where each row's words begin (rows + 1)."""
 
-    def __init__(self, texts: pa.Array, is_word: np.ndarray = NOT_SPACE):
+    def __init__(self, texts: pa.Array, is_word: np.ndarray = NOT_SPACE, lower: bool = True):
         if isinstance(texts, pa.ChunkedArray):
             texts = texts.combine_chunks()
         if texts.null_count:
@@ -63,7 +63,7 @@ class Words:
         lo, hi = int(off[0]), int(off[-1])
         raw = np.frombuffer(data, dtype=np.uint8, count=hi)[lo:] if hi > lo else np.zeros(0, np.uint8)
         self.offsets, self.rows = off - lo, n
-        self.buf = LOWER[raw]
+        self.buf = LOWER[raw] if lower else raw
         w = is_word[self.buf]
         if len(w):
             before = np.empty_like(w)

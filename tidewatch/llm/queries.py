@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontam, embed_dedup, lattice_lm, minhash, periodic, secrets, token_counts, toxicity, warc
+from . import bpe, chat, decontam, embed_dedup, lattice_lm, minhash, periodic, secrets, substring_dedup, token_counts, toxicity, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -56,6 +56,10 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.report(periodic.with_repeats(_read(spark, sf_dir, "documents")))
 
 
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.report(_read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
@@ -68,6 +72,7 @@ QUERIES = {
     "op3_lattice_lm": op3_lattice_lm,
     "op1_chat_format": op1_chat_format,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_substring_dedup": op12_substring_dedup,
 }
 
 SQL = {
@@ -77,4 +82,5 @@ SQL = {
     "op9_embedding_near_dedup": embed_dedup.SQL,
     "op8_warc_round_trip": warc.SQL,
     "op11_periodic_runs": periodic.SQL,
+    "op12_substring_dedup": substring_dedup.SQL,
 }
