@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontam, embed_dedup, lattice_lm, minhash, periodic, secrets, substring_dedup, token_counts, toxicity, warc
+from . import bpe, chat, collocations, decontam, embed_dedup, lattice_lm, minhash, periodic, secrets, substring_dedup, token_counts, toxicity, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -60,6 +60,10 @@ def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.report(_read(spark, sf_dir, "documents"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.top_collocations(_read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
@@ -73,6 +77,7 @@ QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op11_periodic_runs": op11_periodic_runs,
     "op12_substring_dedup": op12_substring_dedup,
+    "op13_collocations": op13_collocations,
 }
 
 SQL = {
@@ -83,4 +88,5 @@ SQL = {
     "op8_warc_round_trip": warc.SQL,
     "op11_periodic_runs": periodic.SQL,
     "op12_substring_dedup": substring_dedup.SQL,
+    "op13_collocations": collocations.SQL,
 }

@@ -96,7 +96,7 @@ def _bits(seeds: DataFrame, most: int) -> _Bits:
     bits = min(most, max(15, math.ceil(math.log2(16 * max(1, seeds.count())))))
     at = F.shiftrightunsigned("h", 64 - bits) + 1  # numbered from 1 by the functions
     pages = seeds.select(F.bitmap_bucket_number(at).alias("page"), F.bitmap_bit_position(at).alias("at")).groupBy("page").agg(F.bitmap_construct_agg("at").alias("held"))
-    return _Bits(bits, [(r["page"] - 1, bytes(r["held"])) for r in pages.toLocalIterator()])
+    return _Bits(bits, [(r["page"] - 1, bytes(r["held"])) for r in pages.collect()])
 
 
 def _window_rows(size: int, seeds):
