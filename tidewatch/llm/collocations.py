@@ -18,13 +18,13 @@ a window whose limit every task applies to its own rows first.
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,6 +34,8 @@ from .shared import Scratch, chunks
 U = np.uint64
 LEAST, LONGEST, TOP, SHARE = 10, 3, 2000, 50
 SKETCH_ROWS, MAX_CELL_BITS = 2, 27
+#: Bytes of text that a task counts at least, where there are so many for each core.
+TASK_BYTES = 64 << 20
 #: Cells of a block of the sketch.
 BLOCK = 1 << 16
 _CHUNK = 4 << 20
@@ -83,6 +85,22 @@ def _cells(h: np.ndarray, row: int, bits: int) -> np.ndarray:
     return (bt.mix(h + U(0x9E3779B97F4A7C15 * (row + 1) % 2**64)) >> U(64 - bits)).astype(np.int64)
 
 
+def _packed(block: np.ndarray) -> bytes:
+    """A block as a bit for each cell and the counts of those that aren't empty, both as Huffman codes."""
+    some = np.packbits(block > 0).tobytes()
+    code = zlib.compressobj(strategy=zlib.Z_HUFFMAN_ONLY)
+    return code.compress(len(block).to_bytes(4, "little") + some + block[block > 0].tobytes()) + code.flush()
+
+
+def _unpacked(cells: bytes, kind: type) -> np.ndarray:
+    raw = zlib.decompress(cells)
+    n = int.from_bytes(raw[:4], "little")
+    some = np.unpackbits(np.frombuffer(raw, dtype=np.uint8, count=-(-n // 8), offset=4), count=n).astype(bool)
+    out = np.zeros(n, dtype=np.uint64)
+    out[some] = np.frombuffer(raw, dtype=kind, offset=4 + -(-n // 8))
+    return out
+
+
 def _sketch(longest: int, least: int, rows: int, bits: int):
     """One sketch of a task's texts, as compressed blocks that aren't empty."""
     kind = np.uint8 if least < 256 else np.uint32
@@ -102,12 +120,11 @@ def _sketch(longest: int, least: int, rows: int, bits: int):
                     if len(first):
                         table[r, at[first]] = np.minimum(table[r, at[first]].astype(np.int64) + np.add.reduceat(m, first), least).astype(kind)
         size = min(BLOCK, 1 << bits)
-        pack = zstandard.ZstdCompressor(level=1)
         for r in range(rows):
             for b in range((1 << bits) // size):
                 block = table[r, b * size : (b + 1) * size]
                 if block.any():
-                    yield pa.RecordBatch.from_arrays([pa.array([r * ((1 << bits) // size) + b], pa.int32()), pa.array([pack.compress(block.tobytes())], pa.binary())], names=["block", "cells"])
+                    yield pa.RecordBatch.from_arrays([pa.array([r * ((1 << bits) // size) + b], pa.int32()), pa.array([_packed(block)], pa.binary())], names=["block", "cells"])
 
     return run
 
@@ -117,7 +134,6 @@ def _merge(least: int):
     kind = np.uint8 if least < 256 else np.uint32
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor()
         now, sums = None, None
 
         def full() -> pa.RecordBatch:
@@ -125,7 +141,7 @@ def _merge(least: int):
 
         for batch in batches:
             for block, cells in zip(batch.column("block").to_pylist(), batch.column("cells").to_pylist()):
-                got = np.frombuffer(unpack.decompress(cells), dtype=kind).astype(np.uint64)
+                got = _unpacked(cells, kind)
                 if block == now:
                     sums = np.minimum(sums + got, least)
                     continue
@@ -158,7 +174,7 @@ class _Full:
 
 
 def _survivors(longest: int, full):
-    """(lang, phrase, size, f) of the n-grams that may be frequent, and with size 0 the number of words; counted within chunks."""
+    """(lang, phrase, f) of the n-grams that may be frequent, and with an empty phrase the number of words; counted within chunks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: _Full = full.value
@@ -167,34 +183,37 @@ def _survivors(longest: int, full):
                 grams = _Grams(part, longest)
                 langs = pa.array(grams.langs, pa.string())
 
-                def rows(lang: np.ndarray, phrase: pa.Array, size: int, f: np.ndarray) -> pa.RecordBatch:
-                    return pa.RecordBatch.from_arrays([langs.take(pa.array(lang)), phrase.cast(pa.string()), pa.array(np.full(len(f), size, dtype=np.int32)), pa.array(f, pa.int64())], names=["lang", "phrase", "size", "f"])
+                def rows(lang: np.ndarray, phrase: pa.Array, f: np.ndarray) -> pa.RecordBatch:
+                    return pa.RecordBatch.from_arrays([langs.take(pa.array(lang)), phrase.cast(pa.string()), pa.array(f, pa.int64())], names=["lang", "phrase", "f"])
 
                 n = np.bincount(grams.lang, minlength=len(grams.langs))
                 some = np.flatnonzero(n)
-                yield rows(some, pa.array([""] * len(some), pa.string()), 0, n[some])
+                yield rows(some, pa.array([""] * len(some), pa.string()), n[some])
                 for k, (h, at) in grams.by_size.items():
                     h, first, n = np.unique(h, return_index=True, return_counts=True)
                     keep = known(h)
                     at, n = at[first[keep]], n[keep]
                     if len(at):
-                        yield rows(grams.lang[at], grams.text(at, k), k, n)
+                        yield rows(grams.lang[at], grams.text(at, k), n)
 
     return run
 
 
-def frequent(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, sketch_rows: int = SKETCH_ROWS, max_cell_bits: int = MAX_CELL_BITS) -> tuple[DataFrame, Scratch]:
+def frequent(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, sketch_rows: int = SKETCH_ROWS, max_cell_bits: int = MAX_CELL_BITS, task_bytes: int = TASK_BYTES) -> tuple[DataFrame, Scratch]:
     """(lang, phrase, size, f): exact counts of all n-grams of up to ``longest`` words with at least ``least`` occurrences, and with size 0 the words of each lang."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "collocations")
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text")).where("text is not null")
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = min(max_cell_bits, max(10, math.ceil(math.log2(max(1, size / 32)))))
+    # larger tasks count more of a phrase before the shuffle, and send fewer sketches
+    texts = texts.coalesce(max(spark.sparkContext.defaultParallelism, math.ceil(size / task_bytes)))
     blocks = texts.mapInArrow(_sketch(longest, least, sketch_rows, bits), "block int, cells binary")
     merged = blocks.repartition("block").sortWithinPartitions("block").mapInArrow(_merge(least), "block int, cells binary")
     held = spark.sparkContext.broadcast(_Full(sketch_rows, bits, [(r["block"], bytes(r["cells"])) for r in merged.collect()]))
-    counted = texts.mapInArrow(_survivors(longest, held), "lang string, phrase string, size int, f long")
-    out = scratch.table(counted.groupBy("lang", "phrase", "size").agg(F.sum("f").alias("f")).where((F.col("f") >= least) | (F.col("size") == 0)))
+    counted = texts.mapInArrow(_survivors(longest, held), "lang string, phrase string, f long")
+    exact = counted.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where((F.col("f") >= least) | (F.col("phrase") == ""))
+    out = scratch.table(exact.withColumn("size", F.when(F.col("phrase") == "", 0).otherwise(F.size(F.split("phrase", " ")))))
     held.unpersist()
     return out, scratch
 
