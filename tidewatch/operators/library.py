@@ -7,12 +7,20 @@ rdkit can be imported.
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from ..scratch import Scratch, fresh
+from ..scratch import Scratch
+from .similarity import Index
 
 MAX_HEAVY, PER_ACTIVE, MAX_SIMILARITY, MW_WINDOW = 45, 50, 0.35, 25.0
+#: Actives in one index that is broadcast.
+LARGEST = 10_000
 TOLERANCE = {"logp": 1.0, "rotb": 2, "hbd": 1, "hba": 2}
 
 
@@ -69,36 +77,68 @@ def candidates(actives: DataFrame, pool: DataFrame, tolerance: dict = TOLERANCE,
     return dealt.join(a, ["_b", "_o", "_s"]).where(close).drop("_b", "_o", "_s", "a_mw", *[f"a_{p}" for p in tolerance])
 
 
+def _blocks(actives: DataFrame, largest: int, scratch: Scratch) -> list:
+    """Indexes of up to about ``largest`` actives each, as broadcast variables; at least one."""
+    sets = scratch.table(actives.select(F.array_distinct("fp").alias("fp")))
+    blocks = max(1, -(-sets.count() // largest))
+    sc = sets.sparkSession.sparkContext
+    part = lambda b: sets if blocks == 1 else sets.where(F.pmod(F.xxhash64("fp"), F.lit(blocks)) == b)
+    return [sc.broadcast(Index([r["fp"] or [] for r in part(b).toLocalIterator()])) for b in range(blocks)]
+
+
+def _rows(batch: pa.RecordBatch) -> Iterator[tuple[list, int]]:
+    for fp in batch.column("fp").to_pylist():
+        mine = set(fp or ())
+        yield mine, len(mine)
+
+
+def _top(block, by: str, enough: float | None):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tops = [block.value.top(bits, n, enough) for bits, n in _rows(batch)]
+            yield pa.RecordBatch.from_arrays([batch.column(by), pa.array(tops, pa.float64())], names=[by, "top"])
+
+    return run
+
+
+def _below(block, most: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([block.value.top(bits, n, most, most) < most for bits, n in _rows(batch)], pa.bool_()))
+
+    return run
+
+
 def tanimoto(a: Column, b: Column) -> Column:
     """Similarity of two sets of on-bits; 0 for two empty ones."""
     both = F.size(F.array_intersect(a, b))
     return F.coalesce(both / F.nullif(F.size(a) + F.size(b) - both, F.lit(0)), F.lit(0.0))
 
 
-def dissimilar(pool: DataFrame, actives: DataFrame, most: float = MAX_SIMILARITY, **options) -> DataFrame:
-    """Rows of pool below ``most`` similarity to every active."""
-    row, top = fresh(pool.columns, "row", "top")
-    rows = Scratch(pool.sparkSession, "dissimilar").table(pool.withColumn(row, F.monotonically_increasing_id()))
-    best = best_similarity(rows.select(row, "fp"), actives, row, **options).withColumnRenamed("top", top)
-    return rows.join(best.where(F.col(top) < most), row, "left_semi").select(pool.columns)
+def dissimilar(pool: DataFrame, actives: DataFrame, most: float = MAX_SIMILARITY, largest: int = LARGEST) -> DataFrame:
+    """Rows of pool below ``most`` similarity to every active, with all their columns; a row without bits shares nothing.
+
+    Blocks of actives follow each other; a row that a block rules out is not looked at again.
+    """
+    scratch = Scratch(pool.sparkSession, "dissimilar")
+    blocks = _blocks(actives, largest, scratch)
+    for b, block in enumerate(blocks):
+        pool = pool.mapInArrow(_below(block, most), pool.schema)
+        pool = pool if b == len(blocks) - 1 else scratch.table(pool)
+    return pool
 
 
-def best_similarity(pool: DataFrame, actives: DataFrame, by: str, largest: int = 10_000) -> DataFrame:
+def best_similarity(pool: DataFrame, actives: DataFrame, by: str, largest: int = LARGEST, enough: float | None = None) -> DataFrame:
     """(by, top): the greatest similarity of each row of pool to any active; 0 if it shares nothing, the greatest of rows of one name.
 
-    Counts shared bits through the actives' postings, so bits that no active has cost one look-up.  Postings of
-    up to ``largest`` actives are broadcast, those of more are joined.
+    enough: a row may end with any similarity from there on, which saves looking for the greatest.  Rows meet
+    actives inside tasks (see Index); what is shuffled is one figure for each row and block of ``largest`` actives.
     """
-    small = actives.limit(largest + 1).count() <= largest
-    bits = actives.select(F.monotonically_increasing_id().alias("_item"), F.array_distinct("fp").alias("_fp"))
-    postings = bits.select(F.explode("_fp").alias("_bit"), F.struct("_item", F.size("_fp").alias("n")).alias("_at"))
-    postings = F.broadcast(postings.groupBy("_bit").agg(F.collect_list("_at").alias("_at"))) if small else postings.select("_bit", F.array("_at").alias("_at"))
-    rows = pool.select(by, F.array_distinct("fp").alias("_fp")).withColumn("_row", F.monotonically_increasing_id())
-    rows = rows.select(by, "_row", F.coalesce(F.size("_fp"), F.lit(0)).alias("_n"), F.explode_outer("_fp").alias("_bit"))
-    # bits that no active has only have to keep their row: one null item for each row is enough
-    pairs = rows.join(postings, "_bit", "left").select(by, "_row", "_n", F.explode_outer("_at").alias("_at")).groupBy("_row", by, "_n", "_at").agg(F.count("*").alias("_both"))
-    share = F.when(F.col("_at").isNull(), 0.0).otherwise(F.col("_both") / (F.col("_n") + F.col("_at.n") - F.col("_both")))
-    return pairs.groupBy(by).agg(F.max(share).alias("top"))
+    scratch = Scratch(pool.sparkSession, "similarity")
+    rows = pool.select(F.col(by).alias(by), F.col("fp").alias("fp"))
+    schema = StructType([rows.schema[by], StructField("top", DoubleType())])
+    tops = [rows.mapInArrow(_top(block, by, enough), schema) for block in _blocks(actives, largest, scratch)]
+    return functools.reduce(DataFrame.unionByName, tops).groupBy(by).agg(F.max("top").alias("top"))
 
 
 def best_matches(matched: DataFrame, per_active: int = PER_ACTIVE, order: str = "line") -> DataFrame:

@@ -321,7 +321,7 @@ def similarity_anti(spark, sf):
     # every document against every benchmark item
     words = F.array_distinct(F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), " "), lambda x: x != "")).alias("fp")
     d, b = _t(spark, sf, "documents", "benchmark")
-    return L.best_similarity(d.select("doc_id", words), b.select(words), "doc_id").where(F.col("top") < L.MAX_SIMILARITY).select("doc_id", _r("top").alias("top"))
+    return L.best_similarity(d.select("doc_id", words), b.select(words), "doc_id", enough=L.MAX_SIMILARITY).where(F.col("top") < L.MAX_SIMILARITY).select("doc_id", _r("top").alias("top"))
 
 
 @query("select reason, count(*) as n from (select case when lang = 'fr' then 'unparseable' when n_chars // 50 > 45 then 'too many heavy atoms' when doc_id % 3 = 0 then 'no aromatic nitrogen' else 'kept' end as reason from documents) group by 1")
