@@ -16,9 +16,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..scratch import Scratch
+from .ranking import numbered
 from .similarity import Index
 
 MAX_HEAVY, PER_ACTIVE, MAX_SIMILARITY, MW_WINDOW = 45, 50, 0.35, 25.0
+#: Rows of a pool that a sweep reads first.
+SEGMENT = 8192
 #: Actives in one index that is broadcast.
 LARGEST = 10_000
 TOLERANCE = {"logp": 1.0, "rotb": 2, "hbd": 1, "hba": 2}
@@ -57,24 +60,87 @@ def split_domain(molecules: DataFrame) -> tuple[DataFrame, DataFrame]:
     return m.where("reason = 'kept'").drop("reason"), m.where("reason != 'kept'")
 
 
-def candidates(actives: DataFrame, pool: DataFrame, tolerance: dict = TOLERANCE, mw: float = MW_WINDOW, salt: int = 8) -> DataFrame:
-    """(active, decoy columns) whose properties all lie within tolerance.
+def _band(actives: DataFrame, pool: DataFrame, tolerance: dict, mw: float, salt: int, also: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs within tolerance (actives: active, a_mw, a_<property>) that agree in the columns ``also``.
 
-    A band join: weights, and the first property of tolerance, go into buckets as wide as their tolerance; each active
-    looks into its own and the neighbouring ones, so the join is an equi-join.  Buckets are salted, as
-    weights crowd.
+    Weights, and the first property of tolerance, go into buckets as wide as their tolerance; each active
+    looks into its own and the neighbouring ones, so the join is an equi-join.  Buckets are salted, as weights crowd.
     """
     first, width = next(iter(tolerance.items())) if tolerance else (None, 1)
-    bucket = F.floor(F.col("mw") / mw)
-    other = F.floor(F.col(first) / width) if first else F.lit(0)
+    bucket = lambda of: F.floor(F.col(f"{of}mw") / mw)
+    other = lambda of: F.floor(F.col(f"{of}{first}") / width) if first else F.lit(0)
     around = lambda c: F.explode(F.array(c - 1, c, c + 1))
-    a = actives.select(F.col("name").alias("active"), F.col("mw").alias("a_mw"), *[F.col(p).alias(f"a_{p}") for p in tolerance], around(bucket).alias("_b"), other.alias("_o"))
-    a = a.withColumn("_o", around(F.col("_o")) if first else F.col("_o")).withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
+    a = actives.withColumn("_b", around(bucket("a_"))).withColumn("_o", around(other("a_")) if first else other("a_")).withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
     close = F.abs(F.col("mw") - F.col("a_mw")) <= mw
     for p, t in tolerance.items():
         close = close & (F.abs(F.col(p) - F.col(f"a_{p}")) <= t)
-    dealt = pool.withColumn("_b", bucket).withColumn("_o", other).withColumn("_s", F.pmod(F.xxhash64("name"), F.lit(salt)).cast("int"))
-    return dealt.join(a, ["_b", "_o", "_s"]).where(close).drop("_b", "_o", "_s", "a_mw", *[f"a_{p}" for p in tolerance])
+    dealt = pool.withColumn("_b", bucket("")).withColumn("_o", other("")).withColumn("_s", F.pmod(F.xxhash64("name"), F.lit(salt)).cast("int"))
+    return dealt.join(a, ["_b", "_o", "_s", *also]).where(close).drop("_b", "_o", "_s")
+
+
+def _asking(actives: DataFrame, tolerance: dict, *more: Column) -> DataFrame:
+    return actives.select(F.col("name").alias("active"), F.col("mw").alias("a_mw"), *[F.col(p).alias(f"a_{p}") for p in tolerance], *more)
+
+
+def candidates(actives: DataFrame, pool: DataFrame, tolerance: dict = TOLERANCE, mw: float = MW_WINDOW, salt: int = 8) -> DataFrame:
+    """(active, decoy columns) whose properties all lie within tolerance: every pair, so its size grows with the square of a crowded band.
+
+    matches() takes the first few of each active without making all pairs.
+    """
+    return _band(_asking(actives, tolerance), pool, tolerance, mw, salt).drop("a_mw", *[f"a_{p}" for p in tolerance])
+
+
+def matches(actives: DataFrame, pool: DataFrame, per_active: int = PER_ACTIVE, order: str = "line", tolerance: dict = TOLERANCE, mw: float = MW_WINDOW, turn: str | None = None, salt: int = 8, first: int = SEGMENT) -> DataFrame:
+    """(active, name): up to per_active rows of pool within tolerance of each active (by its name), in the order of ``order`` and name.
+
+    turn: a column of actives that orders them; then each molecule (smiles, a column of pool) serves one active only, as if actives chose
+    one after the other, each its first free molecules (of rows of one smiles the first).  Without it a row may serve many.
+
+    A sweep.  Rows of pool are numbered once in their order and fall into segments that grow eightfold.  An active reads
+    one segment at a time, a key of the band join, from where it stopped, and takes no more rows than it
+    lacks; tasks drop what is beyond that before rows are shuffled.  Who has enough reads no further.  So pairs are made
+    where they are needed, a small multiple of per_active for each active, but for actives with few matches.
+
+    With turns, all choose at once; of those who chose one molecule the earliest keeps it, and the others, who lack one again, read
+    on.  A molecule's holder only ever gets earlier, so what an earlier one holds need not be offered any more, and once nobody
+    lacks molecules and has rows left, the outcome is that of taking turns.  It takes as many rounds as chains of conflicts
+    are long; a round is joins and aggregations, and its results are written.
+    """
+    scratch = Scratch(pool.sparkSession, "matches")
+    smiles = ["smiles"] if turn else []
+    columns = list(dict.fromkeys([order, "name", "mw", *tolerance, *smiles]))
+    rows = numbered(pool.select(*columns), [F.col(order).asc(), F.col("name").asc()], "at").withColumn("at", F.col("at").cast("long"))
+    segment = F.when(F.col("at") <= first, 0).otherwise(F.ceil(F.log(F.col("at") / first) / F.log(F.lit(8.0)) - 1e-9).cast("int"))
+    rows = scratch.table(rows.withColumn("segment", segment))
+    last = rows.agg(F.max("segment")).first()[0]
+    chosen = ["active", "turn", "at", "name", *smiles]
+    place = F.col(turn).cast("long") if turn else F.lit(0).cast("long")
+    everyone = _asking(actives, tolerance, place.alias("turn"))
+    held = everyone.join(rows.limit(0).select("at", "name", *smiles), F.lit(False)).select(*chosen)
+    if last is None:
+        return held.select("active", "name")
+    everyone = scratch.table(everyone.select("*", F.lit(0).alias("segment"), F.lit(0).cast("long").alias("seen"), F.lit(per_active).cast("long").alias("lacks")))
+    while True:
+        reading = everyone.where((F.col("lacks") > 0) & (F.col("segment") <= last))
+        if reading.isEmpty():
+            return held.select("active", "name")
+        offered = rows.join(held.select("smiles", F.col("turn").alias("holder")), "smiles", "left") if turn else rows
+        pairs = _band(reading, offered, tolerance, mw, salt, ("segment",)).where(F.col("at") > F.col("seen"))
+        if turn:
+            pairs = pairs.where(F.col("holder").isNull() | (F.col("holder") > F.col("turn")))
+        now = pairs.withColumn("n", F.row_number().over(Window.partitionBy("active").orderBy("at"))).where((F.col("n") <= per_active) & (F.col("n") <= F.col("lacks")))
+        now = scratch.table(now.select(*chosen))
+        every = held.unionByName(now)
+        if turn:
+            every = every.groupBy("smiles").agg(F.min(F.struct("turn", "at", "active", "name")).alias("k")).select("k.*", "smiles").select(*chosen)
+        before, held = (everyone, held), scratch.table(every)
+        got = now.groupBy("active").agg(F.count("*").alias("got"), F.max("at").alias("to"))
+        has = held.groupBy("active").agg(F.count("*").alias("has"))
+        read = (F.col("lacks") > 0) & (F.col("segment") <= last)
+        ended = read & (F.coalesce("got", F.lit(0)) < F.col("lacks"))
+        moved = everyone.join(got, "active", "left").withColumn("seen", F.coalesce("to", "seen")).withColumn("segment", F.col("segment") + ended.cast("int"))
+        everyone = scratch.table(moved.join(has, "active", "left").withColumn("lacks", per_active - F.coalesce("has", F.lit(0))).drop("got", "to", "has"))
+        scratch.drop(*before, now)
 
 
 def _blocks(actives: DataFrame, largest: int, scratch: Scratch) -> list:

@@ -308,10 +308,8 @@ def codon_call(spark, sf):
 @query("""select active, decoy from (select a.p_partkey as active, b.p_partkey as decoy, row_number() over (partition by a.p_partkey order by b.p_partkey, b.p_name) as n from part a join part b on a.p_brand = 'Brand#11' and b.p_brand <> 'Brand#11' and abs(a.p_retailprice - b.p_retailprice) <= 25 and abs(a.p_size - b.p_size) <= 2) where n <= 5""")
 def theta_match(spark, sf):
     # the parts of one brand are the actives: they grow with the table
-    p = _t(spark, sf, "part").select(F.col("p_name").alias("name"), "p_partkey", "p_brand", F.col("p_retailprice").alias("mw"), F.col("p_size").alias("rotb"))
-    a = p.where("p_brand = 'Brand#11'").withColumn("name", F.col("p_partkey"))
-    found = L.candidates(a, p.where("p_brand <> 'Brand#11'"), {"rotb": 2}, 25.0)
-    return L.best_matches(found, 5, "p_partkey").select("active", F.col("p_partkey").alias("decoy"))
+    p = _t(spark, sf, "part").select(F.col("p_partkey").alias("name"), F.col("p_partkey").alias("line"), "p_brand", F.col("p_retailprice").alias("mw"), F.col("p_size").alias("rotb"))
+    return L.matches(p.where("p_brand = 'Brand#11'"), p.where("p_brand <> 'Brand#11'"), 5, tolerance={"rotb": 2}).select("active", F.col("name").alias("decoy"))
 
 
 @query("""with b as (select list_distinct(list_filter(string_split(lower(coalesce(text, '')), ' '), lambda x: x <> '')) as w from benchmark), d as (select doc_id, list_distinct(list_filter(string_split(lower(coalesce(text, '')), ' '), lambda x: x <> '')) as w from documents),

@@ -224,9 +224,7 @@ def best_pose(spark, sf):
 def greedy_decoys(spark, sf):
     """Decoys of one brand's parts, each used once, in the order of part keys; no SQL, as turns depend on each other (tested against a walk)."""
     p = _t(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("name"), F.col("p_partkey").cast("string").alias("smiles"), F.col("p_partkey").alias("line"), "p_brand", F.col("p_retailprice").alias("mw"), F.col("p_size").alias("rotb"))
-    actives = p.where("p_brand = 'Brand#11'")
-    found = L.candidates(actives, p.where("p_brand <> 'Brand#11'"), {"rotb": 2}, 25.0)
-    return L.greedy_matches(found, actives.select(F.col("name").alias("active"), F.col("line").alias("turn")), 5)
+    return L.matches(p.where("p_brand = 'Brand#11'"), p.where("p_brand <> 'Brand#11'"), 5, tolerance={"rotb": 2}, turn="line")
 
 
 QUERIES["greedy_decoys"] = greedy_decoys
