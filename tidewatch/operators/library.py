@@ -111,7 +111,7 @@ def matches(actives: DataFrame, pool: DataFrame, per_active: int = PER_ACTIVE, o
     columns = list(dict.fromkeys([order, "name", "mw", *tolerance, *smiles]))
     rows = numbered(pool.select(*columns), [F.col(order).asc(), F.col("name").asc()], "at").withColumn("at", F.col("at").cast("long"))
     segment = F.when(F.col("at") <= first, 0).otherwise(F.ceil(F.log(F.col("at") / first) / F.log(F.lit(8.0)) - 1e-9).cast("int"))
-    rows = scratch.table(rows.withColumn("segment", segment))
+    rows = rows.withColumn("segment", segment)
     last = rows.agg(F.max("segment")).first()[0]
     chosen = ["active", "turn", "at", "name", *smiles]
     place = F.col(turn).cast("long") if turn else F.lit(0).cast("long")
@@ -130,17 +130,18 @@ def matches(actives: DataFrame, pool: DataFrame, per_active: int = PER_ACTIVE, o
             pairs = pairs.where(F.col("holder").isNull() | (F.col("holder") > F.col("turn")))
         now = pairs.withColumn("n", F.row_number().over(Window.partitionBy("active").orderBy("at"))).where((F.col("n") <= per_active) & (F.col("n") <= F.col("lacks")))
         now = scratch.table(now.select(*chosen))
-        every = held.unionByName(now)
-        if turn:
-            every = every.groupBy("smiles").agg(F.min(F.struct("turn", "at", "active", "name")).alias("k")).select("k.*", "smiles").select(*chosen)
-        before, held = (everyone, held), scratch.table(every)
         got = now.groupBy("active").agg(F.count("*").alias("got"), F.max("at").alias("to"))
-        has = held.groupBy("active").agg(F.count("*").alias("has"))
         read = (F.col("lacks") > 0) & (F.col("segment") <= last)
         ended = read & (F.coalesce("got", F.lit(0)) < F.col("lacks"))
         moved = everyone.join(got, "active", "left").withColumn("seen", F.coalesce("to", "seen")).withColumn("segment", F.col("segment") + ended.cast("int"))
-        everyone = scratch.table(moved.join(has, "active", "left").withColumn("lacks", per_active - F.coalesce("has", F.lit(0))).drop("got", "to", "has"))
-        scratch.drop(*before, now)
+        before, held = held, held.unionByName(now)
+        if turn:
+            held = scratch.table(held.groupBy("smiles").agg(F.min(F.struct("turn", "at", "active", "name")).alias("k")).select("k.*", "smiles").select(*chosen))
+            scratch.drop(before)
+            moved = moved.join(held.groupBy("active").agg(F.count("*").alias("has")), "active", "left").withColumn("lacks", per_active - F.coalesce("has", F.lit(0))).drop("has")
+        else:
+            moved = moved.withColumn("lacks", F.col("lacks") - F.coalesce("got", F.lit(0)))
+        everyone = scratch.table(moved.drop("got", "to"))
 
 
 def _blocks(actives: DataFrame, largest: int, scratch: Scratch) -> list:
