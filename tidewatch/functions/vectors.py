@@ -39,4 +39,4 @@ def distance(a: Column, b: Column) -> Column:
 def folded_angle(a: Column, b: Column) -> Column:
     """Degrees between two directions regardless of sense, 0 to 90; null if one is zero."""
     cos = F.abs(dot(a, b)) / F.nullif(norm(a) * norm(b), F.lit(0.0))
-    return F.degrees(F.acos(F.least(cos, F.lit(1.0))))
+    return F.degrees(F.acos(F.when(cos > 1.0, 1.0).otherwise(cos)))  # least() would pass over a null

@@ -26,7 +26,18 @@ def pose_features(poses: DataFrame, point: tuple, normal: tuple | None = None, b
     """
     p = V.vec(*point)
     near = F.when(F.col("atom").startswith("N"), F.struct(V.distance(F.struct("x", "y", "z"), p).alias("d"), F.col("x").alias("x"), F.col("y").alias("y"), F.col("z").alias("z")))
-    out = poses.groupBy(*by).agg(F.min(near).alias("near")).withColumn("dist", F.col("near.d"))
+    return _measured(poses.groupBy(*by).agg(F.min(near).alias("near")), p, normal)
+
+
+def model_features(models: DataFrame, point: tuple, normal: tuple | None = None) -> DataFrame:
+    """The same for rows that hold a pose each, as an array column atoms, which is dropped; nothing is shuffled."""
+    p = V.vec(*point)
+    near = F.array_min(F.transform(F.filter("atoms", lambda a: a["atom"].startswith("N")), lambda a: F.struct(V.distance(a, p).alias("d"), a["x"].alias("x"), a["y"].alias("y"), a["z"].alias("z"))))
+    return _measured(models.withColumn("near", near), p, normal).drop("atoms")
+
+
+def _measured(out: DataFrame, p: Column, normal: tuple | None) -> DataFrame:
+    out = out.withColumn("dist", F.col("near.d"))
     if normal is not None:
         theta = V.folded_angle(V.sub(F.col("near"), p), V.vec(*normal))
         out = out.withColumn("theta", theta).withColumn("s", F.col("dist") * (1 + F.sin(F.radians(F.col("theta")))))

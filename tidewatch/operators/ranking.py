@@ -6,6 +6,8 @@ written, then offsets of its partitions; no task ever sees all rows.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,19 +36,34 @@ def rank_rows(df: DataFrame, key: str = "key", name: str = "name", out: str = "r
     return numbered(df, [F.col(key).asc_nulls_last(), F.col(name).asc()], out)
 
 
-def metrics(ranked: DataFrame, rank: str = "rank", active: str = "is_active") -> DataFrame:
-    """One row: n, n_active, auc, ef1, ef5, ef10, bedroc of ranks 1..n, best first; null where all or no rows are active.
+def rank_lists(df: DataFrame, by: tuple[str, ...], key: str = "key", name: str = "name", out: str = "rank") -> DataFrame:
+    """rank_rows() of many lists at once, a list for each value of ``by``: one range sort by (by, key, name).
+
+    A list's first place in the common order is taken from the places of its rows, so a list may be of any size, and
+    lists need not be of like size.
+    """
+    at, least = fresh([*df.columns, out], "at", "least")
+    placed = numbered(df, [*[F.col(c).asc() for c in by], F.col(key).asc_nulls_last(), F.col(name).asc()], at)
+    same = [F.col(c).alias(n) for c, n in zip(by, fresh(placed.columns, *[f"of_{c}" for c in by]))]
+    first = placed.groupBy(*same).agg(F.min(at).alias(least))  # one row for each list
+    on = functools.reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(n)) for c, n in zip(by, first.columns)])
+    return placed.join(first, on).withColumn(out, F.col(at) - F.col(least) + 1).select(*df.columns, out)
+
+
+def metrics(ranked: DataFrame, rank: str = "rank", active: str = "is_active", by: tuple[str, ...] = ()) -> DataFrame:
+    """One row (for each list, by ``by``): n, n_active, auc, ef1, ef5, ef10, bedroc of ranks 1..n, best first; null where all or no rows are active.
 
     Everything follows from the ranks of the actives: the AUC from their sum,
     enrichment from how many lie in the top, BEDROC from a sum of exponentials.
     """
     rk, a = F.col(rank).cast("double"), F.coalesce(F.col(active), F.lit(False))
     # ranks 1..n have no gap, so their number is known before any other term
-    n_row = ranked.agg(F.count("*").alias("n"), F.count_if(a).alias("n_active"))
-    acts = ranked.where(a).select(rk.alias("rk")).crossJoin(F.broadcast(n_row))  # one row
+    n_row = ranked.groupBy(*by).agg(F.count("*").alias("n"), F.count_if(a).alias("n_active"))
+    acts = ranked.where(a).select(*by, rk.alias("rk"))
+    acts = acts.join(n_row, [*by]) if by else acts.crossJoin(F.broadcast(n_row))  # one row
     n = F.col("n").cast("double")
     top = lambda f: F.count_if(F.col("rk") <= F.ceil(n * F.lit(f).cast("double")))
-    sums = acts.agg(F.sum("rk").alias("rank_sum"), *[top(f).alias(f"top{round(100 * f)}") for f in FRACTIONS], F.sum(F.exp(-ALPHA * F.col("rk") / n)).alias("exp_sum"))
+    sums = acts.groupBy(*by).agg(F.sum("rk").alias("rank_sum"), *[top(f).alias(f"top{round(100 * f)}") for f in FRACTIONS], F.sum(F.exp(-ALPHA * F.col("rk") / n)).alias("exp_sum"))
     m = F.col("n_active").cast("double")
     ok = (F.col("n_active") > 0) & (F.col("n_active") < F.col("n"))
     # decoys above each active: rank - 1 - actives above; summed over actives
@@ -56,8 +73,8 @@ def metrics(ranked: DataFrame, rank: str = "rank", active: str = "is_active") ->
     rie = F.col("exp_sum") / m / ((1 - e) / (F.exp(ALPHA / n) - 1) / n)
     low = (1 - F.exp(ALPHA * share)) / (share * (1 - F.exp(F.lit(ALPHA))))
     high = (1 - F.exp(-ALPHA * share)) / (share * (1 - e))
-    out = n_row.crossJoin(sums)
-    return out.select("n", "n_active", F.when(ok, auc).alias("auc"), *[F.when(ok, ef(f)).alias(f"ef{round(100 * f)}") for f in FRACTIONS], F.when(ok, (rie - low) / (high - low)).alias("bedroc"))
+    out = n_row.join(sums, [*by], "left") if by else n_row.crossJoin(sums)
+    return out.select(*by, "n", "n_active", F.when(ok, auc).alias("auc"), *[F.when(ok, ef(f)).alias(f"ef{round(100 * f)}") for f in FRACTIONS], F.when(ok, (rie - low) / (high - low)).alias("bedroc"))
 
 
 def report(df: DataFrame, key: str = "key", name: str = "name", active: str = "is_active", missing: str = "last", top: int = 15) -> tuple[DataFrame, DataFrame]:

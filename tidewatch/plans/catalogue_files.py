@@ -15,6 +15,7 @@ from ..operators import verdict as V
 from ..scratch import Scratch
 from ..sources import feeds, sinks, structures
 from . import catalogue as base
+from . import gates
 from .catalogue import QUERIES, SQL, _r, _t, query
 
 
@@ -84,6 +85,14 @@ def _atom_line(serial, name, resname, pos, x, y, z, record: str = "ATOM", chain:
     return F.format_string("%-6s%5d %-4s %3s %s%4d    %8.3f%8.3f%8.3f", F.lit(record), serial, name, resname, F.lit(chain), pos, x, y, z)
 
 
+def _remark():
+    return F.when(F.col("vec_id") % 4 != 0, F.format_string("REMARK VINA RESULT: %8.1f  0.0  0.0", -(F.col("vec_id") % 90) / 10)).otherwise("REMARK none")
+
+
+#: A receptor: an iron and four ring nitrogens around it in a tilted plane.
+_RECEPTOR = [f"HETATM{n:>5} {name:<4} HEM A 600    {x:8.3f}{y:8.3f}{z:8.3f}{'':22}{name[:1] if name != 'FE' else name:>2}" for n, (name, x, y, z) in enumerate((("FE", 1, -2, 0.5), ("NA", 2, -2, 0.5), ("NB", 1, -1.2, 1.1), ("NC", 0, -2, 0.5), ("ND", 1, -2.8, -0.1)))]
+
+
 # coordinates as a file holds them: three decimals
 _FILED_SQL = base._POINTS_SQL + ", q as (select vec_id, label, i, round(10 * x, 3) as x, round(10 * y, 3) as y, round(10 * z, 3) as z from p)"
 
@@ -100,16 +109,51 @@ def pose_files(spark, sf):
     q, path = _filed(spark, sf), _folder(spark, "poses")
     line = lambda kind, at, value: q.where("i = 0").select("label", F.struct("vec_id", F.lit(at).alias("at"), F.lit(0).alias("i")).alias("at"), value.alias("value"))  # noqa: E731, ARG005
     atoms = q.select("label", F.struct("vec_id", F.lit(2).alias("at"), "i").alias("at"), _atom_line(F.col("i"), F.when(F.col("i") % 2 == 0, "N1").otherwise("C1"), F.lit("LIG"), F.lit(1), "x", "y", "z", "HETATM").alias("value"))
-    remark = F.when(F.col("vec_id") % 4 != 0, F.format_string("REMARK VINA RESULT: %8.1f  0.0  0.0", -(F.col("vec_id") % 90) / 10)).otherwise("REMARK none")
-    rows = line("m", 0, F.lit("MODEL 1")).unionByName(line("r", 1, remark)).unionByName(atoms).unionByName(line("e", 3, F.lit("ENDMDL")))
+    rows = line("m", 0, F.lit("MODEL 1")).unionByName(line("r", 1, _remark())).unionByName(atoms).unionByName(line("e", 3, F.lit("ENDMDL")))
     _one_file_each(rows, "label", "at", path)
-    lines = structures.lines(spark, path)
-    features = G.pose_features(structures.poses(lines), (0.0, 0.0, 0.0))
-    both = features.join(structures.scores(lines), ["file", "model"], "left")
+    found = structures.models(spark, path).withColumn("atoms", structures.model_atoms(F.col("text"))).drop("text")
+    placed = structures.placed(Scratch(spark, "models").table(G.model_features(found, (0.0, 0.0, 0.0))))
+    both = placed.where("closed").select("file", "model", "dist").join(structures.placed_scores(placed), ["file", "model"], "left")
     out = G.constrained_best(both, ("file",)).join(both.groupBy("file").agg(F.count("score").alias("n_scored")), "file")
     return out.select(F.regexp_extract("file", r"/label=(\d+)/", 1).cast("int").alias("label"), "n_poses", _r("best_dist", 4).alias("best_dist"), "n_scored", _r("best_score", 4).alias("best_score"))
 
 
+_GATE_SQL = f"""with {_FILED_SQL}, v as (select *, printf('m%02d', (vec_id % 40)::int) as name, (label % 3)::int as seed from q),
+a as (select name, seed, vec_id, sqrt((x - 1) * (x - 1) + (y + 2) * (y + 2) + (z - 0.5) * (z - 0.5)) as d, abs((y + 2) * -0.6 + (z - 0.5) * 0.8) as up from v where i % 2 = 0),
+pose as (select name, seed, vec_id, d as dist, d * (1 + sin(radians(degrees(acos(least(1, up / nullif(d, 0))))))) as s from a qualify row_number() over (partition by name, seed, vec_id order by d) = 1),
+placed as (select *, row_number() over (partition by name, seed order by vec_id) as model from pose),
+sc as (select name, seed, row_number() over (partition by name, seed order by vec_id) as model, -round((vec_id % 90) / 10.0, 1)::double as score from pose where vec_id % 4 <> 0),
+per as (select p.name, p.seed, min(dist) as dist, min(s) as s, arg_min({{'s': score}}, p.model).s as score from placed p left join sc using (name, seed, model) group by 1, 2),
+whole as (select name, min(dist) as dist, median(dist) as mdist, median(s) as ms, arg_min({{'s': score}}, seed).s as score from per group by 1),
+ranked as (select *, row_number() over (order by dist, name) - 1 as r1, case when score is not null then row_number() over (order by score nulls last, name) - 1 end as r2 from whole),
+lists as (select 'distance' as mode, null::int as seed, name, dist as key from whole union all select 'min', null, name, dist from whole union all select 'median', null, name, mdist from whole union all select 'axial', null, name, ms from whole
+  union all select 'score', null, name, score from whole union all select 'combined', null, name, (r1 + r2)::double from ranked union all select 'seed', seed, name, dist from per),
+rk as (select *, row_number() over (partition by mode, seed order by key nulls last, name) as r, substr(name, 2)::int % 7 = 0 as a from lists),
+c as (select mode, seed, count(*)::double as n, count(*) filter (a)::double as k, count(key) as rankable from rk group by 1, 2),
+t as (select rk.mode, rk.seed, sum(r) filter (a) as rs, count(*) filter (a and r <= ceil(n * 0.01::double)) as t1, count(*) filter (a and r <= ceil(n * 0.05::double)) as t5, count(*) filter (a and r <= ceil(n * 0.1::double)) as t10, sum(exp(-20 * r / n)) filter (a) as es
+  from rk join c on rk.mode = c.mode and rk.seed is not distinct from c.seed group by 1, 2)
+select c.mode, c.seed, n::bigint as n, k::bigint as n_active, rankable, (7 - k)::bigint as missing_actives, round(1 - (rs - k * (k + 1) / 2) / (k * (n - k)), 6) as auc, round(t1 * n / (ceil(n * 0.01::double) * k), 6) as ef1, round(t5 * n / (ceil(n * 0.05::double) * k), 6) as ef5, round(t10 * n / (ceil(n * 0.1::double) * k), 6) as ef10,
+  round((es / k / ((1 - exp(-20)) / (exp(20 / n) - 1) / n) - (1 - exp(20 * k / n)) / (k / n * (1 - exp(20)))) / ((1 - exp(-20 * k / n)) / (k / n * (1 - exp(-20))) - (1 - exp(20 * k / n)) / (k / n * (1 - exp(20)))), 6) as bedroc
+from c join t on c.mode = t.mode and c.seed is not distinct from t.seed"""
+
+
+@query(_GATE_SQL)
+def gate_modes(spark, sf):
+    """Pose files of 40 molecules in three replicates, a model for each vector, against a receptor whose iron and ring plane are read from its file; one molecule of the actives has no file."""
+    q, path, receptor = _filed(spark, sf), _folder(spark, "gates"), _folder(spark, "receptor")
+    v = q.withColumn("name", F.format_string("m%02d", (F.col("vec_id") % 40).cast("int"))).withColumn("seed", (F.col("label") % 3).cast("int"))
+    at = lambda k: F.struct("vec_id", F.lit(k).alias("k"), "i").alias("at")
+    head, tail = (v.where("i = 0").select("name", "seed", at(k), value.alias("value")) for k, value in ((0, F.array(F.lit("MODEL 1"), _remark())), (2, F.array(F.lit("ENDMDL")))))
+    atoms = v.select("name", "seed", at(1), F.array(_atom_line(F.col("i"), F.when(F.col("i") % 2 == 0, "N1").otherwise("C1"), F.lit("LIG"), F.lit(1), "x", "y", "z", "HETATM")).alias("value"))
+    rows = head.unionByName(atoms).unionByName(tail).repartition("name", "seed").sortWithinPartitions("name", "seed", "at")
+    rows.select("name", "seed", F.explode("value").alias("value")).write.partitionBy("name", "seed").text(path)
+    spark.createDataFrame([(x,) for x in _RECEPTOR], "value string").coalesce(1).write.text(receptor)
+    of = lambda file: (F.regexp_extract(file, "/name=([^/]+)/", 1), F.regexp_extract(file, r"/seed=(\d+)/", 1).cast("int"))
+    poses = gates.screen(spark, path, receptor, axial=True, parts=of)
+    actives = spark.range(0, 49, 7).select(F.format_string("m%02d", F.col("id").cast("int")).alias("name"))
+    return gates.gate_modes(poses, actives).select("mode", "seed", "n", "n_active", "rankable", "missing_actives", *[_r(c).alias(c) for c in ("auc", "ef1", "ef5", "ef10", "bedroc")])
+
+
 _RESIDUES = ("TYR", "VAL", "LYS", "PHE")
 _STRUCTURE_SQL = f"""{_FILED_SQL}, res as (select vec_id as pos, ['TYR','VAL','LYS','PHE'][vec_id % 4 + 1] as resname, case i when 0 then 'OH' when 1 then 'CG1' when 2 then 'CG2' else 'C' || i end as atom, x, y, z from q),
 lig as (select x, y, z from q where vec_id % 50 = 0 and i = 0),

@@ -1,7 +1,8 @@
 """Fixed-width structure and pose files as rows, and sequences.
 
-Lines are cut with substring expressions and numbered within their file, so all
-parsing runs in the JVM; a file is one row only until it is split into lines.
+Lines are cut with substring expressions, so all parsing runs in the JVM.  Pose files are read as records, one
+for each model, that tasks find in any part of a file (models); structure files, which are small, are numbered
+line by line, and one is a row until it is split into lines (lines).
 """
 
 from __future__ import annotations
@@ -64,6 +65,55 @@ def score_lists(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.transform(got, lambda x: x.try_cast("double")).alias("scores"))
 
 
+def models(spark: SparkSession, path: str) -> DataFrame:
+    """(file, split, seq, number, closed, text, scores): one row for each model of pose files, which many tasks may read.
+
+    Records end where a line begins with MODEL, so a task finds the models that begin in its part of a
+    file.  split is where that part begins, and (split, seq) is their order in the file.  number is the one
+    written after MODEL.  text has the model's lines up to its last ENDMDL; a model that no ENDMDL
+    closes has none and isn't closed.  scores are the fourth words of all score remarks of the record; one more record,
+    without a number, has those before a file's first MODEL.
+    """
+    raw = spark.read.option("lineSep", "\nMODEL").option("recursiveFileLookup", True).option("pathGlobFilter", "*").text(path)
+    v = F.col("value")
+    number = F.nullif(F.regexp_extract(v, r"^(?:MODEL)?[ \t]+(\d+)", 1), F.lit("")).try_cast("int")
+    upto = F.length(v) - F.length(F.substring_index(v, "\nENDMDL", -1)) - len("\nENDMDL")
+    closed = number.isNotNull() & v.contains("\nENDMDL")
+    got = F.regexp_extract_all(v, F.lit(r"(?m)^REMARK\s+VINA\s+RESULT:?\s+(\S+)"), 1)
+    return raw.select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("seq"), number.alias("number"),
+        closed.alias("closed"), F.when(closed, F.substring(v, F.lit(1), upto)).alias("text"), F.transform(got, lambda x: x.try_cast("double")).alias("scores"),
+    )
+
+
+def model_atoms(text: Column) -> Column:
+    """Heavy atoms of a model's text as an array of (atom, x, y, z)."""
+    cut = lambda line, start, n: F.trim(F.substring(line, F.lit(start), F.lit(n)))
+    number = lambda line, start: F.nullif(cut(line, start, 8), F.lit("")).try_cast("double")
+    element = lambda line: F.upper(F.when(cut(line, 77, 2) != "", cut(line, 77, 2)).otherwise(F.substring(cut(line, 13, 4), 1, 1)))
+    mine = F.filter(F.split(text, "\r?\n"), lambda line: cut(line, 1, 6).isin("ATOM", "HETATM") & (element(line) != "H"))
+    return F.transform(mine, lambda line: F.struct(cut(line, 13, 4).alias("atom"), number(line, 31).alias("x"), number(line, 39).alias("y"), number(line, 47).alias("z")))
+
+
+def placed(found: DataFrame) -> DataFrame:
+    """Rows (file, split, seq, closed, scores, ...) with model, the place among the closed models of the file from 1, and scored, how many scores stand in the file before.
+
+    Places are counted within splits, which are of bounded size, and added up over the splits of a file, of which there are few.
+    """
+    here = Window.partitionBy("file", "split").orderBy("seq")
+    n = F.coalesce(F.size("scores"), F.lit(0)).cast("long")
+    counted = found.withColumn("model", F.sum(F.col("closed").cast("long")).over(here)).withColumn("scored", F.sum(n).over(here) - n)
+    above = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    per = found.groupBy("file", "split").agg(F.sum(F.col("closed").cast("long")).alias("m"), F.sum(n).alias("s"))
+    per = per.select("file", "split", *[F.coalesce(F.sum(c).over(above), F.lit(0)).alias(f"_{c}") for c in "ms"])
+    return counted.join(per, ["file", "split"]).withColumn("model", F.when(F.col("closed"), F.col("model") + F.col("_m")).cast("int")).withColumn("scored", F.col("scored") + F.col("_s")).drop("_m", "_s")
+
+
+def placed_scores(rows: DataFrame) -> DataFrame:
+    """(file, model, score): the scores of placed() rows by their place in the file."""
+    return rows.select("file", "scored", F.posexplode("scores").alias("at", "score")).select("file", (F.col("scored") + F.col("at") + 1).cast("int").alias("model"), "score")
+
+
 def iron(df: DataFrame):
     """(x, y, z) of the first HETATM whose element is FE; a structure without one is an error."""
     row = atoms(df).where("record = 'HETATM' and element = 'FE'").agg(F.min_by(F.struct("x", "y", "z"), "line").alias("p")).first()["p"]
