@@ -57,9 +57,11 @@ ECHINOCANDIN_PANEL = {pos: entry for w in WINDOWS for pos, entry in w.panel.item
 
 def translate(cds: Column) -> Column:
     """array of residues: codons of a sequence, X for any codon with an uncertain base; a partial codon at the end is left out."""
-    codes = F.create_map(*[F.lit(x) for k, v in CODONS.items() for x in (k, v)])
-    # all codons in one pass over the sequence: cutting each by its place would be quadratic
-    return F.transform(F.regexp_extract_all(cds, F.lit("(?s)..."), F.lit(0)), lambda c: F.coalesce(F.element_at(codes, c), F.lit("X")))
+    # all codons in one pass over the sequence: cutting each by its place would be quadratic; a codon's place in one text of
+    # all codons, each with its separator, gives its residue, and a codon with another letter has none
+    codes, residues = F.lit("".join(f"{k};" for k in CODONS)), F.array(*map(F.lit, CODONS.values()))
+    at = F.transform(F.regexp_extract_all(F.regexp_replace(cds, "(?s)[^ACGT]", "N"), F.lit("..."), F.lit(0)), lambda c: F.instr(codes, c))
+    return F.transform(at, lambda i: F.coalesce(F.get(residues, F.shiftright(i + 3, 2) - 1), F.lit("X")))
 
 
 def clean(seq: Column) -> Column:
@@ -92,12 +94,11 @@ def check_reference(cds: str, sha256: str | None, anchors: dict[int, str], waive
 
 def _compared(residues: Column, protein: str, first: int, panel: dict) -> Column:
     """struct<tokens, panel_hits, uncalled> of residues against the reference's, from position ``first`` on."""
-    ref = F.array(*[F.lit(x) for x in protein])
-    places = F.zip_with(ref, residues, lambda r, o: F.struct(r.alias("r"), o.alias("o")))
-    at = F.transform(places, lambda x, i: F.struct((i + first).alias("pos"), x["r"].alias("r"), x["o"].alias("o")))
-    uncalled = F.transform(F.filter(at, lambda x: x["o"] == "X"), lambda x: x["pos"])
-    tokens = F.transform(F.filter(at, lambda x: (x["o"] != "X") & (x["o"] != x["r"])), lambda x: F.concat(x["r"], x["pos"].cast("string"), x["o"]))
-    return F.struct(tokens.alias("tokens"), F.filter(tokens, lambda t: X.is_panel_token(t, panel)).alias("panel_hits"), uncalled.alias("uncalled"))
+    ref = F.array(*[F.struct(F.lit(x).alias("r"), F.lit(f"{x}{i}").alias("at"), F.lit(i).alias("pos")) for i, x in enumerate(protein, first)])
+    tokens = F.array_compact(F.zip_with(ref, residues, lambda r, o: F.when((o != "X") & (o != r["r"]), F.concat(r["at"], o))))
+    uncalled = F.array_compact(F.zip_with(ref, residues, lambda r, o: F.when(o == "X", r["pos"])))
+    hits = [f"{wt}{pos}{x}" for pos, (wt, muts) in panel.items() for x in muts]
+    return F.struct(tokens.alias("tokens"), F.filter(tokens, lambda t: t.isin(*hits) if hits else F.lit(False)).alias("panel_hits"), uncalled.alias("uncalled"))
 
 
 def call(df: DataFrame, seq: str, reference: str, panel: dict | None = None) -> DataFrame:
@@ -107,12 +108,13 @@ def call(df: DataFrame, seq: str, reference: str, panel: dict | None = None) ->
     multiple of 3, or another protein length (trailing stops don't count).
     """
     panel = AZOLE_PANEL if panel is None else panel
-    s, whole = F.col("_s"), F.col("_whole")
-    # trailing stops go: find the last residue that is none
-    joined = F.regexp_replace(F.array_join(whole, ""), r"\*+$", "")
-    n = len(reference)
-    reason = F.when(s == "", "empty consensus").when(F.length(s) % 3 != 0, F.format_string("length %d is no multiple of 3: a frame shift is refused, not guessed", F.length(s))).when(F.length(joined) != n, F.format_string("protein length %d instead of %d: insertions and deletions are refused", F.length(joined), F.lit(n)))
-    out = df.withColumn("_s", clean(F.col(seq))).withColumn("_whole", translate(s)).withColumn("reason", reason).withColumn("_c", F.when(F.col("reason").isNull(), _compared(F.slice(whole, 1, n), reference, 1, panel)))
+    s, whole, n = F.col("_s"), F.col("_whole"), len(reference)
+    # trailing stops go.  Only a sequence that ends with one, or that has the right length, has to be translated
+    stops = F.substring(s, -3, 3).isin(*[k for k, v in CODONS.items() if v == "*"])
+    wanted = (F.length(s) % 3 == 0) & (stops | (F.length(s) == 3 * n))
+    residues = F.when(stops, F.length(F.regexp_replace(F.array_join(whole, ""), r"\*+$", ""))).otherwise(F.expr("length(_s) div 3").cast("int"))
+    reason = F.when(s == "", "empty consensus").when(F.length(s) % 3 != 0, F.format_string("length %d is no multiple of 3: a frame shift is refused, not guessed", F.length(s))).when(residues != n, F.format_string("protein length %d instead of %d: insertions and deletions are refused", residues, F.lit(n)))
+    out = df.withColumn("_s", clean(F.col(seq))).withColumn("_whole", F.when(wanted, translate(s))).withColumn("reason", reason).withColumn("_c", F.when(F.col("reason").isNull(), _compared(F.slice(whole, 1, n), reference, 1, panel)))
     none = lambda kind: F.array().cast(f"array<{kind}>")
     out = out.select(
         *df.columns, F.when(F.col("reason").isNull(), "ok").otherwise("refused").alias("status"), "reason", F.coalesce("_c.tokens", none("string")).alias("tokens"), F.coalesce("_c.panel_hits", none("string")).alias("panel_hits"), F.coalesce("_c.uncalled", none("int")).alias("uncalled"),

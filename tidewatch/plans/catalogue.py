@@ -305,6 +305,30 @@ def codon_call(spark, sf):
     return C.formatted(C.call(_t(spark, sf, "documents").select("doc_id", seq.alias("seq")), "seq", _REF)).select("doc_id", "status", "reason", "call", "n_covered")
 
 
+_LETTERS = "ehilmoprsubdfjknqvwxyzEHILMOPRSUBDFJKNQVWXYZ"
+_BASES = "ACGTACGTACACACACACACAC" * 2
+_WINDOW_REF = "MKTAYIAKQRNDGLSVEHWFPCKIARTMYQGLDSNVPEHW"
+#: Positions of the windows that count as a panel: wild type and known changes.
+_WINDOW_PANEL = {4: ("A", {"R", "S", "T"}), 10: ("R", {"L", "P"}), 33: ("D", {"S", "R"})}
+_PANEL_SQL = " or ".join(f"c = '{wt}{pos}{x}'" for pos, (wt, muts) in _WINDOW_PANEL.items() for x in sorted(muts))
+
+
+@query(f"""with s as (select doc_id, upper(translate(regexp_replace(regexp_replace(coalesce(text, ''), '[\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]', '', 'g'), '[^\\x00-\\x7F]', 'N', 'g'), '{_LETTERS}', '{_BASES}')) as t from documents),
+q as (select doc_id, unnest(range(0, greatest(1, (length(t) + 119) // 120))) as part, t from s), v as (select doc_id, part, substr(t, (120 * part + 1)::int, 120) as seq from q),
+r as (select doc_id, part, seq, rtrim(array_to_string(list_transform(range(0, length(seq) // 3), lambda i: case when contains(substr(seq, (3 * i + 1)::int, 3), 'N') then 'X' else substr('{C.CODE}', (1 + 16 * (strpos('TCAG', seq[(3 * i + 1)::int]) - 1) + 4 * (strpos('TCAG', seq[(3 * i + 2)::int]) - 1) + strpos('TCAG', seq[(3 * i + 3)::int]) - 1)::int, 1) end), ''), '*') as prot from v),
+w as (select *, case when seq = '' then 'empty consensus' when length(seq) % 3 <> 0 then 'length ' || length(seq) || ' is no multiple of 3: a frame shift is refused, not guessed' when length(prot) <> 40 then 'protein length ' || length(prot) || ' instead of 40: insertions and deletions are refused' end as reason from r),
+c as (select *, case when reason is null then list_filter(list_transform(range(1, 41), lambda i: case when prot[i] <> 'X' and prot[i] <> ('{_WINDOW_REF}')[i] then ('{_WINDOW_REF}')[i] || i || prot[i] end), lambda x: x is not null) else [] end as calls, case when reason is null then list_filter([4, 10, 33], lambda i: prot[i] = 'X') else [] end as lost from w)
+select doc_id, part::int as part, case when reason is null then 'ok' else 'refused' end as status, reason, array_to_string(calls, ',') as call, array_to_string(list_filter(calls, lambda c: {_PANEL_SQL}), ',') as panel, (case when reason is null then length(replace(prot, 'X', '')) else 0 end)::int as n_covered,
+  case when reason is not null then 'failed' when len(lost) > 0 then 'partial(panel-uncalled:' || array_to_string(lost, '+') || ')' when len(calls) > 0 then 'called' else 'wild-type' end as source from c""")
+def codon_windows(spark, sf):
+    """Every text as consecutive sequences of the reference's length; letters beyond ASCII are uncertain bases, the rest of a text is too short and refused."""
+    seq = F.translate(F.regexp_replace(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x00-\x40\x5B-\x60\x7B-\x7F]", ""), r"[^\x00-\x7F]", "N"), _LETTERS, _BASES)
+    d = _t(spark, sf, "documents").select("doc_id", F.posexplode_outer(F.regexp_extract_all(seq, F.lit("(?s).{1,120}"), F.lit(0))).alias("part", "seq"))
+    got = C.formatted(C.call(d.withColumn("part", F.coalesce("part", F.lit(0))), "seq", _WINDOW_REF, _WINDOW_PANEL))
+    source = F.regexp_replace(F.regexp_replace("source", "^sra-recaller:", ""), r"^failed.*", "failed")
+    return got.select("doc_id", "part", "status", "reason", "call", F.array_join("panel_hits", ",").alias("panel"), "n_covered", source.alias("source"))
+
+
 @query("""select active, decoy from (select a.p_partkey as active, b.p_partkey as decoy, row_number() over (partition by a.p_partkey order by b.p_partkey, b.p_name) as n from part a join part b on a.p_brand = 'Brand#11' and b.p_brand <> 'Brand#11' and abs(a.p_retailprice - b.p_retailprice) <= 25 and abs(a.p_size - b.p_size) <= 2) where n <= 5""")
 def theta_match(spark, sf):
     # the parts of one brand are the actives: they grow with the table
@@ -489,10 +513,6 @@ def match_quality(spark, sf):
     return q.select(_r("size_active").alias("size_active"), _r("price_active", 4).alias("price_active"), _r("size_decoy").alias("size_decoy"), _r("price_decoy", 4).alias("price_decoy"), _r("size_diff").alias("size_diff"))
 
 
-_LETTERS = "ehilmoprsubdfjknqvwxyzEHILMOPRSUBDFJKNQVWXYZ"
-_BASES = "ACGTACGTACACACACACACAC" * 2
-
-
 def _window_sql(name: str, first: int) -> str:
     aa = lambda i: f"substr('{C.CODE}', (1 + 16 * (strpos('TCAG', {name}[{3 * i + 1}]) - 1) + 4 * (strpos('TCAG', {name}[{3 * i + 2}]) - 1) + strpos('TCAG', {name}[{3 * i + 3}]) - 1)::int, 1)"
     return ", ".join(f"case when length({name}) = 9 and {aa(i)} <> '{r}' then '{r}{first + i}' || {aa(i)} end" for i, r in enumerate("TYS"))

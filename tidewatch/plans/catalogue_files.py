@@ -64,17 +64,18 @@ def molecule_file(spark, sf):
 @query("select s_name as name, s_nationkey::varchar as nation from supplier")
 def commented_table(spark, sf):
     path = _folder(spark, "commented")
-    note = spark.createDataFrame([(-3, "# suppliers"), (-2, ""), (-1, "name\tnation")], "at long, value string")
-    rows = _t(spark, sf, "supplier").select(F.col("s_suppkey").alias("at"), F.concat_ws("\t", "s_name", F.col("s_nationkey").cast("string")).alias("value"))
-    one = note.unionByName(rows).withColumn("f", F.lit("t"))  # a table of one file, as its readers expect
-    return feeds.read_commented(spark, _one_file_each(one, "f", "at", path) + "/f=t")
+    s = _t(spark, sf, "supplier").withColumn("f", F.col("s_nationkey"))
+    row = s.select("f", F.col("s_suppkey").alias("at"), F.concat_ws("\t", "s_name", F.col("s_nationkey").cast("string")).alias("value"))
+    # a file for each nation, each with its own comments and header
+    head = s.select("f").distinct().select("f", F.posexplode(F.array(*map(F.lit, ("# suppliers", "", "name\tnation")))).alias("at", "value")).withColumn("at", F.col("at").cast("long") - 3)
+    return feeds.read_commented(spark, _one_file_each(head.unionByName(row), "f", "at", path)).drop("f")
 
 
-@query("""select r_regionkey as region, case when count(*) filter (n_nationkey % 3 = 0) = 1 then 'ok' else 'refused' end as status, string_agg(upper(replace(n_name, ' ', '')), '' order by n_nationkey) filter (n_nationkey % 3 = 0) as joined
-from nation join region on n_regionkey = r_regionkey group by 1 having count(*) filter (n_nationkey % 3 = 0) > 0""")
+@query("""select n_regionkey * 100 + length(n_name) as region, case when count(*) = 1 then 'ok' else 'refused' end as status, string_agg(upper(replace(n_name, ' ', '')), '' order by n_nationkey) as joined from nation group by 1""")
 def sequence_files(spark, sf):
+    """A file for all nations of one region whose names are of one length: some files have one record, others several."""
     path = _folder(spark, "fasta")
-    n = _t(spark, sf, "nation").where("n_nationkey % 3 = 0").select(F.col("n_regionkey").alias("region"), "n_nationkey", F.concat(F.lit(">s"), F.col("n_nationkey").cast("string"), F.lit("\n"), F.lower("n_name")).alias("value"))
+    n = _t(spark, sf, "nation").select((F.col("n_regionkey") * 100 + F.length("n_name")).alias("region"), "n_nationkey", F.concat(F.lit(">s"), F.col("n_nationkey").cast("string"), F.lit("\n"), F.lower("n_name")).alias("value"))
     _one_file_each(n, "region", "n_nationkey", path)
     at = F.regexp_extract("file", r"/region=(\d+)/", 1).cast("int").alias("region")
     single, every = (structures.sequences(spark, f"{path}/region=*", single=x) for x in (True, False))
@@ -161,14 +162,14 @@ d as (select r.pos, r.resname, r.atom, min(sqrt((r.x-l.x)*(r.x-l.x) + (r.y-l.y)*
 
 
 def _structure(spark, sf) -> tuple[DataFrame, DataFrame]:
-    """(residues, ligand): vectors as residues, written as a structure file and read back; another file of ligand atoms."""
+    """(residues, ligand): vectors as residues, written as structure files by ranges of positions and read back; other files of ligand atoms."""
     q, path = _filed(spark, sf), _folder(spark, "structure")
     i, resname = F.col("i"), F.element_at(F.array(*map(F.lit, _RESIDUES)), (F.col("vec_id") % 4 + 1).cast("int"))
     name = F.when(i == 0, "OH").when(i == 1, "CG1").when(i == 2, "CG2").otherwise(F.concat(F.lit("C"), i.cast("string")))
-    atoms = q.select(F.lit("receptor").alias("part"), F.struct("vec_id", "i").alias("at"), _atom_line(i, name, resname, F.col("vec_id"), "x", "y", "z").alias("value"))
-    ligand = q.where("vec_id % 50 = 0 and i = 0").select(F.lit("ligand").alias("part"), F.struct("vec_id", "i").alias("at"), _atom_line(i, F.lit("C1"), F.lit("LIG"), F.lit(1), "x", "y", "z", "HETATM").alias("value"))
-    _one_file_each(atoms.unionByName(ligand), "part", "at", path)
-    of = lambda part: structures.lines(spark, f"{path}/part={part}")
+    dealt = q.repartitionByRange("vec_id").sortWithinPartitions("vec_id", "i")
+    dealt.select(_atom_line(i, name, resname, F.col("vec_id"), "x", "y", "z").alias("value")).write.text(f"{path}/receptor")
+    dealt.where("vec_id % 50 = 0 and i = 0").select(_atom_line(i, F.lit("C1"), F.lit("LIG"), F.lit(1), "x", "y", "z", "HETATM").alias("value")).write.text(f"{path}/ligand")
+    of = lambda part: structures.lines(spark, f"{path}/{part}")
     return structures.residues(structures.select_chain(of("receptor"))), structures.ligand_atoms(of("ligand"))
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..operators.store import INDEX_COLUMNS, SNAPSHOT_COLUMNS
+from .structures import lines
 
 RAW_COLUMNS = ("target_acc", "Run", "geo_loc_name", "target_creation_date", "collection_date", "biosample_acc", "asm_acc", "lat_lon")
 RUN_LOG = "kind string, status string, started string, finished string, git_commit string, tools map<string,string>, items array<map<string,string>>, error string"
@@ -49,8 +50,7 @@ class ReleaseSource(DataSource):
                 import urllib.request
 
                 with urllib.request.urlopen(url) as f:
-                    lines = csv.DictReader(io.TextIOWrapper(f, "utf-8", "replace", newline=""), delimiter="\t")
-                    for row in lines:
+                    for row in csv.DictReader(io.TextIOWrapper(f, "utf-8", "replace", newline=""), delimiter="\t"):
                         yield tuple(row.get(c) for c in RAW_COLUMNS)
 
         return Reader()
@@ -106,10 +106,9 @@ def read_runs(spark: SparkSession, path: str, kind: str | None = None) -> DataFr
 
 def read_molecules(spark: SparkSession, path: str) -> DataFrame:
     """A molecule list: file, line (as text order), smiles, name; lines without exactly two fields come with status malformed."""
-    lines = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("line", "text")).where("text != ''")
     parts = F.split("text", "\t")
     ok = F.size(parts) == 2
-    return lines.select("file", "line", F.when(ok, F.get(parts, F.lit(0))).alias("smiles"), F.when(ok, F.get(parts, F.lit(1))).alias("name"), F.when(ok, "ok").otherwise("malformed").alias("status"))
+    return lines(spark, path).where("text != ''").select("file", "line", F.when(ok, F.get(parts, F.lit(0))).alias("smiles"), F.when(ok, F.get(parts, F.lit(1))).alias("name"), F.when(ok, "ok").otherwise("malformed").alias("status"))
 
 
 def read_state(column):

@@ -1,8 +1,7 @@
 """Fixed-width structure and pose files as rows, and sequences.
 
-Lines are cut with substring expressions, so all parsing runs in the JVM.  Pose files are read as records, one
-for each model, that tasks find in any part of a file (models); structure files, which are small, are numbered
-line by line, and one is a row until it is split into lines (lines).
+Lines are cut with substring expressions, so all parsing runs in the JVM.  Files are read in parts: as records, one
+for each model, that a task finds in any part of a pose file (models), or as numbered lines (lines).
 """
 
 from __future__ import annotations
@@ -14,9 +13,16 @@ from pyspark.sql import functions as F
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line, text) of text files."""
-    whole = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*")
-    return whole.select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("line", "text"))
+    """(file, line, text) of text files, which many tasks may read; lines are numbered from 0 in their file.
+
+    A line's number is its place in the part of the file that its task reads, and what earlier parts hold: one row for each part.
+    """
+    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*").text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("seq"), F.regexp_replace("value", "\r$", "").alias("text"))
+    per = raw.groupBy("file", "split").agg(F.min("seq").alias("first"), F.count("*").alias("n"))
+    above = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.select("file", "split", "first", F.coalesce(F.sum("n").over(above), F.lit(0)).alias("before"))
+    return raw.join(per, ["file", "split"]).select("file", (F.col("seq") - F.col("first") + F.col("before")).cast("int").alias("line"), "text")
 
 
 def _cut(start: int, length: int) -> Column:
