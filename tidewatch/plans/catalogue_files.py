@@ -13,7 +13,7 @@ from ..operators import seqcall as C
 from ..operators import store as S
 from ..operators import verdict as V
 from ..scratch import Scratch
-from ..sources import feeds, sinks, structures
+from ..sources import feeds, release, sinks, structures
 from . import catalogue as base
 from . import gates
 from .catalogue import QUERIES, SQL, _r, _t, query
@@ -155,6 +155,18 @@ def gate_modes(spark, sf):
     return gates.gate_modes(poses, actives).select("mode", "seed", "n", "n_active", "rankable", "missing_actives", *[_r(c).alias(c) for c in ("auc", "ef1", "ef5", "ef10", "bedroc")])
 
 
+@query("""with t as (select 'key' || chr(9) || 'status' || chr(9) || 'priority' || chr(10) || string_agg(o_orderkey || chr(9) || o_orderstatus || chr(9) || o_orderpriority || chr(10), '' order by o_orderkey::varchar, o_orderstatus, o_orderpriority) as x, count(*) as n from orders),
+l as (select x, n, length(x) as size, list_transform(range(0, (length(x) + 4095) // 4096), lambda i: sha256(substr(x, (4096 * i + 1)::int, 4096))) as leaves from t)
+select sha256(size || ':4096:' || sha256(array_to_string(leaves, ''))) as digest, size as bytes, n as n_rows, 'ok' as state, true as any_parts from l""")
+def release_digest(spark, sf):
+    """A release's root, which the SQL takes from the whole text; the same for one part and for many, and found again by reading the files."""
+    o = _t(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("key"), F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority"))
+    one, many = _folder(spark, "release"), _folder(spark, "release")
+    a = release.write_release(o, one, tuple(o.columns), "key", 1, 4096)
+    b = release.write_release(o, many, tuple(o.columns), "key", leaf_bytes=4096)
+    return release.read_release(spark, many).agg(F.lit(b["digest"]).alias("digest"), F.lit(b["bytes"]).cast("long").alias("bytes"), F.count("*").alias("n_rows"), F.lit(release.verify_release(spark, many)).alias("state"), F.lit(a["digest"] == b["digest"]).alias("any_parts"))
+
+
 _RESIDUES = ("TYR", "VAL", "LYS", "PHE")
 _STRUCTURE_SQL = f"""{_FILED_SQL}, res as (select vec_id as pos, ['TYR','VAL','LYS','PHE'][vec_id % 4 + 1] as resname, case i when 0 then 'OH' when 1 then 'CG1' when 2 then 'CG2' else 'C' || i end as atom, x, y, z from q),
 lig as (select x, y, z from q where vec_id % 50 = 0 and i = 0),
