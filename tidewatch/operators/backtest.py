@@ -49,22 +49,40 @@ def steps(records: DataFrame) -> DataFrame:
     return creation_range(records).select(F.explode(T.month_steps("first", "last")).alias("as_of"))
 
 
-def replay_signals(records: DataFrame, as_ofs: DataFrame, window_days: int = E.WINDOW_DAYS, min_count: int = E.MIN_COUNT, min_delta: float = E.MIN_DELTA, backlog_fraction: float = E.BACKLOG_FRACTION) -> tuple[DataFrame, DataFrame]:
-    """(coverage, signals) of every as_of date at once.
+def counts(records: DataFrame, weight: Column | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What a replay needs of records: (created, n), (day, called) and (token, day, n, datable, archival).
 
-    Counts up to a date are prefix sums.  A record adds once to the first step at
-    or after its creation, and once to each of the few steps whose recent window
-    holds it; a running sum over steps gives every baseline.  Cost is linear in
-    records, not records times steps.
+    A record counts ``weight`` times (once by default), so changes of a release are counts as well, with -1 for
+    rows that are gone.  As long as days and tokens, not as records.
     """
-    # steps are few (months); their sorted array is one literal-sized row
-    line = as_ofs.agg(F.array_sort(F.collect_set("as_of")).alias("line"))
     datable, archival = E.lag_years()
     day = F.try_to_date(T.iso_day("target_creation_date"), "yyyy-MM-dd")
-    rows = records.select(day.alias("day"), X.is_called("erg11_call").alias("called"), X.tokens("erg11_call").alias("tokens"), datable.alias("datable"), archival.alias("archival")).where("day is not null")
-    # per day first: what follows is as long as days and tokens, not as records
-    by_day = rows.where("called").groupBy("day").agg(F.count("*").alias("called"))
-    by_token = rows.withColumn("token", F.explode("tokens")).groupBy("token", "day").agg(F.count("*").alias("n"), F.count_if("datable").alias("datable"), F.count_if(F.col("datable") & F.col("archival")).alias("archival"))
+    w = F.lit(1).cast("long") if weight is None else weight.cast("long")
+    rows = records.select(w.alias("w"), T.parse_day("target_creation_date").alias("created"), day.alias("day"), X.is_called("erg11_call").alias("called"), X.tokens("erg11_call").alias("tokens"), datable.alias("datable"), archival.alias("archival"))
+    known = rows.where("day is not null")
+    total = lambda c: F.coalesce(F.sum(F.when(c, F.col("w"))), F.lit(0))
+    return (
+        rows.where("created is not null").groupBy("created").agg(F.sum("w").alias("n")),
+        known.where("called").groupBy("day").agg(F.sum("w").alias("called")),
+        known.withColumn("token", F.explode("tokens")).groupBy("token", "day").agg(F.sum("w").alias("n"), total(F.col("datable")).alias("datable"), total(F.col("datable") & F.col("archival")).alias("archival")),
+    )
+
+
+def replay_signals(records: DataFrame, as_ofs: DataFrame, **options) -> tuple[DataFrame, DataFrame]:
+    """(coverage, signals) of every as_of date at once; cost is linear in records, not records times steps.  Options as for replay_counts()."""
+    _, by_day, by_token = counts(records)
+    return replay_counts(by_day, by_token, as_ofs, **options)
+
+
+def replay_counts(by_day: DataFrame, by_token: DataFrame, as_ofs: DataFrame, window_days: int = E.WINDOW_DAYS, min_count: int = E.MIN_COUNT, min_delta: float = E.MIN_DELTA, backlog_fraction: float = E.BACKLOG_FRACTION) -> tuple[DataFrame, DataFrame]:
+    """replay_signals() from counts().
+
+    Counts up to a date are prefix sums.  A day's count adds once to the first step at
+    or after it, and once to each of the few steps whose recent window
+    holds it; a running sum over steps gives every baseline.  So any later part of the steps can be had by itself.
+    """
+    # steps are few (months); their sorted array is one literal-sized row
+    line = as_ofs.agg(F.array_sort(F.collect_set("as_of")).alias("line"))
 
     def spread(df: DataFrame, keys: list[str], measures: list[str]) -> DataFrame:
         placed = df.crossJoin(F.broadcast(line))  # one row
@@ -87,8 +105,11 @@ def replay_signals(records: DataFrame, as_ofs: DataFrame, window_days: int = E.W
 
 def walk_forward(records: DataFrame, as_ofs: DataFrame | None = None, target: str | None = None, **options) -> DataFrame:
     """One row for each as_of: callable (something recent is called), n_signals, hit (the target, or any token, is flagged)."""
-    as_ofs = steps(records) if as_ofs is None else as_ofs
-    cov, signals = replay_signals(records, as_ofs, **options)
+    return walked(*replay_signals(records, steps(records) if as_ofs is None else as_ofs, **options), target)
+
+
+def walked(cov: DataFrame, signals: DataFrame, target: str | None = None) -> DataFrame:
+    """Coverage and signals of steps as walk_forward() rows."""
     hit = (F.col("token") == target) if target else F.lit(True)
     found = signals.groupBy("as_of").agg(F.count("*").alias("n_signals"), F.bool_or(hit).alias("hit"))
     return cov.join(found, "as_of", "left").select("as_of", "baseline_called", "recent_called", (F.col("recent_called") > 0).alias("callable"), F.coalesce("n_signals", F.lit(0)).alias("n_signals"), F.coalesce("hit", F.lit(False)).alias("hit"))

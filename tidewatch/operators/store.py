@@ -52,6 +52,17 @@ def diff(old: DataFrame, new: DataFrame, key: str = "isolate_key", version: str
     return a.join(b, key, "full_outer").select(key, status.alias("status")).where("status is not null")
 
 
+def changes(old: DataFrame, new: DataFrame, key: str = "isolate_key") -> DataFrame:
+    """Rows of new that old lacks with weight 1 and rows of old that new lacks with weight -1, by whole rows: what added, removed and revised records change.
+
+    key: rows are compared key by key, so both sides meet in one join on it; a key stands once in a snapshot.
+    """
+    row = lambda df, n: df.select(F.col(key).alias("_k"), F.struct(*df.columns).alias(n))
+    both = row(old, "_old").join(row(new.select(*old.columns), "_new"), "_k", "full_outer").where(~F.col("_old").eqNullSafe(F.col("_new")))
+    sides = F.filter(F.array(F.struct(F.col("_old").alias("r"), F.lit(-1).alias("weight")), F.struct(F.col("_new").alias("r"), F.lit(1).alias("weight"))), lambda x: x["r"].isNotNull())
+    return both.select(F.explode(sides).alias("c")).select("c.r.*", "c.weight")
+
+
 def as_of(records: DataFrame, date: str, created: str = "target_creation_date") -> DataFrame:
     """records with placed: baseline (created up to date), later, or unplaceable (no usable date)."""
     day = T.day_prefix(created)

@@ -179,8 +179,8 @@ def topk_nations(spark, sf):
     return S.top_values(j, "n_name", 5)
 
 
-def _order_records(spark, sf):
-    return _t(spark, sf, "orders").select(F.date_format("o_orderdate", "yyyy-MM-dd").alias("target_creation_date"), F.date_format("o_orderdate", "yyyy").alias("collection_date"), F.when(F.col("o_orderkey") % 9 == 0, "").otherwise(F.concat(F.substring("o_orderpriority", 1, 1), F.lit("7"), "o_orderstatus")).alias("erg11_call"))
+def _order_records(spark, sf, *more: str):
+    return _t(spark, sf, "orders").select(*more, F.date_format("o_orderdate", "yyyy-MM-dd").alias("target_creation_date"), F.date_format("o_orderdate", "yyyy").alias("collection_date"), F.when(F.col("o_orderkey") % 9 == 0, "").otherwise(F.concat(F.substring("o_orderpriority", 1, 1), F.lit("7"), "o_orderstatus")).alias("erg11_call"))
 
 
 @query("""with r as (select o_orderdate::date as d, case when o_orderkey % 9 = 0 then '' else substr(o_orderpriority, 1, 1) || '7' || o_orderstatus end as call from orders),

@@ -9,6 +9,7 @@ from ..functions import text as X
 from ..operators import geometry as G
 from ..operators import library as L
 from ..operators import ranking as R
+from ..operators import replay
 from ..operators import seqcall as C
 from ..operators import store as S
 from ..operators import verdict as V
@@ -119,6 +120,19 @@ def pose_files(spark, sf):
     return out.select(F.regexp_extract("file", r"/label=(\d+)/", 1).cast("int").alias("label"), "n_poses", _r("best_dist", 4).alias("best_dist"), "n_scored", _r("best_score", 4).alias("best_score"))
 
 
+@query(SQL["walk_forward"])
+def incremental_replay(spark, sf):
+    """Three releases of the orders, each taken in as its changes: some orders come late, some come with another token or date first, some stand in the first two releases only."""
+    k = F.col("isolate_key")
+    third = base._order_records(spark, sf, "o_orderkey").withColumnRenamed("o_orderkey", "isolate_key")
+    second = third.where(k % 7 != 0).withColumn("erg11_call", F.when(k % 11 == 0, "9Z9").otherwise(F.col("erg11_call"))).unionByName(third.where(k % 50 == 0).withColumn("isolate_key", -k).withColumn("erg11_call", F.lit("3X3")))
+    first = second.where(k % 5 != 0).withColumn("target_creation_date", F.when(k % 13 == 0, "1999-02-03").otherwise(F.col("target_creation_date")))
+    kept = replay.Replay(spark, _folder(spark, "replay"), target="17O", window_days=60, min_delta=0.02)
+    for old, new in ((third.limit(0), first), (first, second), (second, third)):
+        kept.update(S.changes(old, new))
+    return kept.walk().withColumn("as_of", F.date_format("as_of", "yyyy-MM-dd"))
+
+
 _GATE_SQL = f"""with {_FILED_SQL}, v as (select *, printf('m%02d', (vec_id % 40)::int) as name, (label % 3)::int as seed from q),
 a as (select name, seed, vec_id, sqrt((x - 1) * (x - 1) + (y + 2) * (y + 2) + (z - 0.5) * (z - 0.5)) as d, abs((y + 2) * -0.6 + (z - 0.5) * 0.8) as up from v where i % 2 = 0),
 pose as (select name, seed, vec_id, d as dist, d * (1 + sin(radians(degrees(acos(least(1, up / nullif(d, 0))))))) as s from a qualify row_number() over (partition by name, seed, vec_id order by d) = 1),
