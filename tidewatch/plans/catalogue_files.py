@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..operators import alerts as A
 from ..operators import geometry as G
 from ..operators import library as L
 from ..operators import ranking as R
@@ -15,6 +16,7 @@ from ..operators import store as S
 from ..operators import verdict as V
 from ..scratch import Scratch
 from ..sources import feeds, release, sinks, structures
+from ..streaming import delivery
 from . import catalogue as base
 from . import gates
 from .catalogue import QUERIES, SQL, _r, _t, query
@@ -120,6 +122,23 @@ def pose_files(spark, sf):
     return out.select(F.regexp_extract("file", r"/label=(\d+)/", 1).cast("int").alias("label"), "n_poses", _r("best_dist", 4).alias("best_dist"), "n_scored", _r("best_score", 4).alias("best_score"))
 
 
+@query("""with e as (select strftime(ts, '%Y-%m-%d') as release, 'K' || (user_id % 97) || 'R' as token, case when event_type = 'error' then 0 when event_id % 3 = 0 then 1 else 2 end as r from events),
+a as (select release, token, min(r) as r from e group by 1, 2),
+b as (select *, min(r) over (partition by token order by release rows between unbounded preceding and 1 preceding) as p from a)
+select release, token, ['act-now', 'watch', 'context'][r + 1] as tier, ['act-now', 'watch', 'context'][p + 1] as prior from b where p is null or r < p""")
+def delivery_news(spark, sf):
+    """Alerts of every day's events as releases that a stream delivers: early days first, the query ends, and starts again for the others."""
+    day, path, out, checkpoint = F.date_format("ts", "yyyy-MM-dd"), *(_folder(spark, n) for n in ("alerts", "news", "memory"))
+    rank = F.when(F.col("event_type") == "error", 0).when(F.col("event_id") % 3 == 0, 1).otherwise(2)
+    tier = F.element_at(F.array(*map(F.lit, A.TIERS)), rank + 1)
+    alerts = _t(spark, sf, "events").select(day.alias("release"), F.concat(F.lit("K"), (F.col("user_id") % 97).cast("string"), F.lit("R")).alias("token"), tier.alias("tier")).distinct()
+    span = alerts.agg(F.min("release").alias("a"), F.max("release").alias("z")).select(F.date_add(F.col("a").cast("date"), F.expr("cast(datediff(z, a) div 2 as int)")).cast("string")).first()[0]
+    for part in (F.col("release") <= span, F.col("release") > span):
+        alerts.where(part).write.mode("append").parquet(path)
+        delivery.deliver_news(spark.readStream.schema(alerts.schema).parquet(path), out, checkpoint).awaitTermination()
+    return spark.read.schema("release string, token string, tier string, prior string").parquet(out)
+
+
 @query(SQL["walk_forward"])
 def incremental_replay(spark, sf):
     """Three releases of the orders, each taken in as its changes: some orders come late, some come with another token or date first, some stand in the first two releases only."""
