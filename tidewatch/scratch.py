@@ -9,6 +9,7 @@ returned frame still reads is deleted when the application ends.
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
 import uuid
 
@@ -35,6 +36,24 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Whether shuffle files go as soon as the query that wrote them has ended.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def _cleaned(spark: SparkSession):
+    """Within: a query's shuffle files are removed when it ends, not when the driver happens to collect garbage."""
+    before = spark.conf.get(_CLEAN, None)
+    if before is None:  # not in this version of Spark
+        yield
+        return
+    spark.conf.set(_CLEAN, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEAN, before)
+
+
 _left: list[tuple[SparkSession, str]] = []
 
 
@@ -69,9 +88,10 @@ class Scratch:
         return f"{self.path}/{self.n}"
 
     def table(self, df: DataFrame) -> DataFrame:
-        """Write df, return the written table: computed once, and safe from lost executors."""
+        """Write df, return the written table: computed once, and safe from lost executors.  What df shuffled is removed."""
         path, schema = self.new_path(), df.schema
-        df.write.option("compression", "zstd").parquet(path)
+        with _cleaned(self.spark):
+            df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(schema).parquet(path)
         out._scratch_path = path
         return out
