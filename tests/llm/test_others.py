@@ -138,11 +138,11 @@ def vectors():
     return out
 
 
-@pytest.mark.parametrize("tile,wide", [(16, 16), (1024, 4096)])
-def test_embeddings(spark, tile, wide):
+@pytest.mark.parametrize("tile,block", [(16, 32), (1024, 512)])
+def test_embeddings(spark, tile, block):
     rows = vectors()
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").withColumn("node", F.lit(1)).withColumn("size", F.lit(1)).withColumn("component", F.lit(1)).withColumn("v", F.lit(1))
-    got = sorted(map(tuple, embed_dedup.near_duplicates(df, window=16, wide=wide, tile=tile, recall=0.9999).collect()), key=str)
+    got = sorted(map(tuple, embed_dedup.near_duplicates(df, window=16, block=block, tile=tile, recall=0.9999).collect()), key=str)
 
     def usable(r):
         return r[2] is not None and r[1] and all(x is not None and np.isfinite(x) for x in r[1]) and any(r[1])
@@ -171,8 +171,8 @@ def test_embeddings(spark, tile, wide):
     assert embed_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("wide,window", [(100, 8), (10_000, 64)])
-def test_pairs_of_a_dense_topic_are_found(spark, wide, window):
+@pytest.mark.parametrize("block,window", [(128, 8), (512, 64)])
+def test_pairs_of_a_dense_topic_are_found(spark, block, window):
     rnd = np.random.default_rng(7)
     n, pairs = 2000, 100
     unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
@@ -183,7 +183,7 @@ def test_pairs_of_a_dense_topic_are_found(spark, wide, window):
     v[n - pairs :] = 0.94 * v[:pairs] + np.sqrt(1 - 0.94**2) * side
     link = np.triu(v @ v.T >= 0.93, 1)
     rows = [(i, x.tolist(), 1) for i, x in enumerate(v)]
-    got = {r["vec_id"]: r["n_links"] for r in embed_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), window=window, wide=wide).collect()}
+    got = {r["vec_id"]: r["n_links"] for r in embed_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), window=window, block=block).collect()}
     want = (link | link.T).sum(axis=1)
     assert sum(got.values()) >= 0.99 * want.sum() and all(got[i] <= want[i] for i in range(n))
 

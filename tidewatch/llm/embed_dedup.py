@@ -2,15 +2,18 @@
 
 In each pass a vector's key is the signs of random projections, concatenated; rows
 are range-sorted by (pass, label, key) with their vectors, and each is compared in
-place with its neighbours: all rows of its block and the ``window`` rows after that.
+place with its neighbours: all rows of its block and a window of rows after that.
 Rows at the ends of a partition are written aside and compared across the border.
-Verified pairs are united over all passes.  Vectors are
-centred by their label's mean first.  The number of passes is measured: the first
-passes show how many leading bits it takes until a vector's window covers all that
-share them, and so how likely a pair at the threshold meets; each label takes
-as many passes as make that probability ``recall``.  A label of at most ``wide`` rows
-takes one pass with a window as wide as the label.  A label so dense that its
-passes would compare more pairs than there are is compared in exact tiles.
+Verified pairs are united over all passes.  Vectors of large labels are
+centred by their label's mean first.
+
+Passes and windows are measured.  The first pass shows, for windows of several widths, how many
+leading bits it takes until a vector's window covers all that share them, and so how likely a pair at the threshold
+meets; each label takes the width and the number of passes that reach the probability ``recall`` with the fewest
+comparisons.  Where vectors crowd, windows grow before passes do.  Both are bounded: a pass compares
+a vector with at most BLOCK rows and the widest window, whatever the label's size, so work stays linear, and a
+label so crowded that even the most passes fall short of ``recall`` has the recall those give.  A label that fits into a block is
+whole in its window at once: rows of such a label are never dealt to two partitions.
 
 A window is bounded, a group of copies is not.  So windows only have to tie a
 group together: they yield spanning links, at most one for each row of a block.
@@ -22,6 +25,7 @@ tiles, with all members.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
 from collections.abc import Iterator
@@ -39,11 +43,12 @@ from .shared import Scratch, components
 
 COSINE = 0.93
 WINDOW, BLOCK, BITS, RECALL, TILE = 64, 512, 62, 0.995, 1024
-#: Rows of a label up to which one pass has a window as wide as the label.
-WIDE = 4096
-#: Numbers of passes a label may take, and up to how many it takes in any case.
-LADDER = [2 * k for k in (1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64, 96, 128, 192, 256, 512, 1024)]
-FEW = 16
+#: Windows a label may take, as multiples of the narrowest.
+WIDTHS = (1, 4, 16)
+#: Numbers of passes a label may take.
+LADDER = [2 * k for k in (1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64)]
+#: Rows from which on a label's vectors are centred by its mean.
+CENTRED = 4096
 #: Passes whose rows are sorted at once; each holds all vectors.
 TOGETHER = 2
 U = np.uint64
@@ -125,22 +130,28 @@ def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _keys(seeds: list[int], bits: int, means, cosine: float):
+    """Rows (grp, node, v, n) once for each pass, with their key; rows without n belong to labels that one pass covers whole.
+
+    slice: by what rows are dealt to partitions, the key, or nothing for labels that stay together.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict = {}
         for batch in batches:
             grp = np.array(batch.column("grp").to_pylist())
             for g in np.unique(grp):
                 rows = batch.filter(pa.array(grp == g))
-                v = _unit(rows.column("v")) - means.value[g]
+                whole = rows.column("n")[0].as_py() is None
+                v = _unit(rows.column("v")) - means.value.get(g, 0.0)
                 dim = v.shape[1]
                 # the chance that a pair at the threshold agrees in a bit, from its distance and the vector's length here
                 far = 1 - np.minimum(2.0, (1 - cosine) / np.maximum((v * v).sum(axis=1), 1e-12))
                 agree = pa.array(1 - np.arccos(far) / np.pi)
-                for s in seeds:
+                for s in seeds[:1] if whole else seeds:
                     if (s, dim) not in planes:
                         planes[s, dim] = _planes(s, bits, dim)
                     key = ((v @ planes[s, dim]) > 0) @ (1 << np.arange(bits - 1, -1, -1, dtype=np.int64))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), s), pa.int32()), rows.column("grp"), pa.array(key), rows.column("node"), agree, rows.column("v")], names=["pass", "grp", "key", "node", "agree", "v"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), s), pa.int32()), rows.column("grp"), pa.array(np.zeros_like(key) if whole else key), pa.array(key), rows.column("node"), agree, rows.column("v")], names=["pass", "grp", "slice", "key", "node", "agree", "v"])
 
     return run
 
@@ -162,14 +173,14 @@ def _forest(node: np.ndarray, v: np.ndarray, cosine: float) -> list[tuple[int, i
     return out
 
 
-_PLACED = "a long, b long, meets double, border int, place int, grp string, v array<{}>"
+_PLACED = "a long, b long, meets array<double>, border int, place int, grp string, v array<{}>"
 
 
-def _neighbours(cosine: float, window: int, measure: bool, kind: pa.DataType):
-    """Of a sorted partition: spanning links within blocks and windows (a, b); with measure, each row's chance to meet a
-    pair at the threshold (a, meets); and its first and last rows, to be compared across borders (border, place, grp, a, v)."""
+def _neighbours(cosine: float, window: int, measure: tuple[int, ...], kind: pa.DataType, size: int):
+    """Of a sorted partition: spanning links within blocks of ``size`` rows and windows (a, b); each row's chance to meet a
+    pair at the threshold with each of the windows in measure (a, meets); and its first and last rows, to be compared across borders (border, place, grp, a, v)."""
     names = ["a", "b", "meets", "border", "place", "grp", "v"]
-    kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32(), pa.string(), pa.list_(kind)]
+    kinds = [pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.int32(), pa.int32(), pa.string(), pa.list_(kind)]
 
     def batch_of(n: int, **cols) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([cols[x].cast(k) if x in cols else pa.nulls(n, k) for x, k in zip(names, kinds)], names=names)
@@ -182,13 +193,16 @@ def _neighbours(cosine: float, window: int, measure: bool, kind: pa.DataType):
             yield batch_of(len(a), a=pa.array(a), b=pa.array(b))
         if measure:
             key, agree = t["key"].to_numpy(), t["agree"].to_numpy()
-            bits = np.zeros(len(node))
-            if len(node) > window:
-                # leading bits shared with the rows just at the window's ends; all that share more lie within
-                shared = BITS - np.frexp((key[window:] ^ key[:-window]).astype(float))[1] + 1
-                bits[:-window] = shared
-                bits[window:] = np.maximum(bits[window:], shared)
-            yield batch_of(len(node), a=pa.array(node), meets=pa.array(agree**bits))
+            chances = np.ones((len(node), len(measure)))
+            for m, w in enumerate(measure):
+                bits = np.zeros(len(node))
+                if len(node) > w:
+                    # leading bits shared with the rows just at the window's ends; all that share more lie within
+                    shared = BITS - np.frexp((key[w:] ^ key[:-w]).astype(float))[1] + 1
+                    bits[:-w] = shared
+                    bits[w:] = np.maximum(bits[w:], shared)
+                chances[:, m] = agree**bits
+            yield batch_of(len(node), a=pa.array(node), meets=pa.ListArray.from_arrays(pa.array(np.arange(len(node) + 1) * len(measure), pa.int32()), pa.array(chances.ravel())))
 
     def border(t: pa.Table, number: int, last: bool) -> pa.RecordBatch:
         n = t.num_rows
@@ -212,9 +226,10 @@ def _neighbours(cosine: float, window: int, measure: bool, kind: pa.DataType):
                     held = None
                 part = whole.slice(a, z - a)
                 held, of = part if held is None else pa.concat_tables([held, part]), g
-                while held.num_rows >= 2 * BLOCK + window:
-                    yield from block(held.slice(0, BLOCK + window))
-                    held = held.slice(BLOCK)
+                # a window is measured only where the block holds rows beyond it
+                while held.num_rows >= 2 * size + max([window, *measure]):
+                    yield from block(held.slice(0, size + max([window, *measure])))
+                    held = held.slice(size)
         if held is not None:
             yield from block(held)
         if first and me:
@@ -248,26 +263,6 @@ def _pairs(out: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def _whole_groups(cosine: float):
-    """Rows sorted by group, of small groups: spanning links of each."""
-
-    def flush(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
-        t = pa.Table.from_batches(rows)
-        return _pairs(_forest(t["node"].to_numpy(), _unit(t["v"]), cosine))
-
-    return _by_first(flush, "grp")
-
-
-def _tile_links(cosine: float):
-    """Rows of a tile: a spanning forest of its links."""
-
-    def flush(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
-        t = pa.Table.from_batches(rows)
-        return _pairs(_forest(t["node"].to_numpy(), _unit(t["v"]), cosine))
-
-    return _by_first(flush, "tile")
-
-
 def _by_first(flush, key: str):
     """Batches of rows sorted by a key, as calls of flush with the batches of one key's rows."""
 
@@ -316,52 +311,52 @@ def _tile_counts(cosine: float):
     return _by_first(flush, "tile")
 
 
-def _links(firsts: DataFrame, scratch: Scratch, kind: str, cosine: float, window: int, recall: float, tile: int, wide: int) -> DataFrame:
+def _links(firsts: DataFrame, scratch: Scratch, kind: str, cosine: float, window: int, recall: float, size: int) -> DataFrame:
     """(a, b): links that tie nodes together, for firsts (node, grp, v)."""
     spark = firsts.sparkSession
-    groups = scratch.table(firsts.groupBy("grp").agg(F.count("*").alias("n")))
-    few = firsts.join(groups.where(F.col("n") <= wide), "grp").select("grp", "node", "v").repartition("grp").sortWithinPartitions("grp")
-    links = scratch.table(few.mapInArrow(_whole_groups(cosine), "a long, b long"))
-    # larger groups are fewer than rows / wide
-    large = {r["grp"]: r["n"] for r in groups.where(F.col("n") > wide).collect()}
-    if not large:
-        return links
-    of = lambda names: F.broadcast(spark.createDataFrame([(g, large[g]) for g in names], "grp string, n long"))  # noqa: E731  as many rows as large groups
-    taken = scratch.table(firsts.join(of(large), "grp").select("grp", "node", "v"))
-    sums: dict[str, dict[int, float]] = {g: {} for g in large}
-    for r in taken.select("grp", "v").mapInArrow(_sums, "grp string, at int, total double").groupBy("grp", "at").agg(F.sum("total").alias("total")).collect():
-        sums[r["grp"]][r["at"]] = r["total"]
+    # labels that a block doesn't hold are fewer than rows / size
+    large = {r["grp"]: r["n"] for r in firsts.groupBy("grp").agg(F.count("*").alias("n")).where(F.col("n") > size).collect()}
+    of = lambda names: F.broadcast(spark.createDataFrame([(g, large[g]) for g in names], "grp string, n long"))
+    taken = scratch.table(firsts.select("grp", "node", "v").join(of(large), "grp", "left"))
+    sums: dict[str, dict[int, float]] = {}
+    for r in taken.where(F.col("n") > CENTRED).select("grp", "v").mapInArrow(_sums, "grp string, at int, total double").groupBy("grp", "at").agg(F.sum("total").alias("total")).collect():
+        sums.setdefault(r["grp"], {})[r["at"]] = r["total"]
     means = spark.sparkContext.broadcast({g: np.array([t for _, t in sorted(x.items())]) / large[g] for g, x in sums.items()})
     arrow = pa.float32() if kind == "float" else pa.float64()
-    at, needed = 0, dict.fromkeys(large, TOGETHER)
-    while going := [g for g in needed if needed[g] > at]:
-        seeds = list(range(at, at + TOGETHER))
-        keyed = taken.join(of(going), "grp").select("node", "grp", "v").mapInArrow(_keys(seeds, BITS, means, cosine), f"pass int, grp string, key long, node long, agree double, v array<{kind}>")
-        order = ["pass", "grp", "key", "node"]
-        placed = keyed.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_neighbours(cosine, window, at == 0, arrow), _PLACED.format(kind))
-        placed = scratch.table(placed)
-        across = placed.where("border is not null").repartition("border").sortWithinPartitions("border").mapInArrow(_across(cosine, window), "a long, b long")
-        links = links.unionByName(placed.where("b is not null").select("a", "b")).unionByName(scratch.table(across))
-        if at == 0:
-            meets = placed.where("meets is not null").groupBy("a").agg(F.avg("meets").alias("meets")).join(taken.select(F.col("node").alias("a"), "grp"), "a")
-            missed = meets.groupBy("grp").agg(*[F.avg(F.pow(1 - F.col("meets"), F.lit(k))).alias(f"p{k}") for k in LADDER]).collect()  # one row for each large group
-            for r in missed:
-                enough = next((k for k in LADDER if r[f"p{k}"] <= 1 - recall), math.inf)
-                enough = max(enough, passes_needed(large[r["grp"]], cosine, window, recall))
-                needed[r["grp"]] = enough if enough <= FEW or 2 * enough * window < large[r["grp"]] else 0
-            dense = [g for g, k in needed.items() if k == 0]
-            if dense:
-                # whole groups, block with block
-                split = taken.join(of(dense), "grp").withColumn("k", F.ceil(F.col("n") / tile).cast("int")).withColumn("b", F.pmod(F.xxhash64("node"), "k").cast("int"))
-                split = split.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).withColumn("tile", F.xxhash64("grp", F.least("i", "b"), F.greatest("i", "b")))
-                links = links.unionByName(scratch.table(split.select("tile", "node", "v").repartition("tile").sortWithinPartitions("tile").mapInArrow(_tile_links(cosine), "a long, b long")))
-        at += TOGETHER
-        # shuffle files of finished passes hold all vectors; they go when the driver collects its garbage
-        spark.sparkContext._jvm.System.gc()
-    return links
-
-
-def near_duplicates(vectors: DataFrame, cosine: float = COSINE, window: int = WINDOW, recall: float = RECALL, tile: int = TILE, wide: int = WIDE) -> DataFrame:
+    widths = tuple(window * w for w in WIDTHS)
+    found: list[DataFrame] = []
+
+    def compared(rows: DataFrame, seeds: list[int], width: int, measure: tuple[int, ...] = ()) -> DataFrame:
+        """Passes over rows; their links are added to found."""
+        keyed = rows.mapInArrow(_keys(seeds, BITS, means, cosine), f"pass int, grp string, slice long, key long, node long, agree double, v array<{kind}>")
+        dealt = keyed.repartitionByRange("pass", "grp", "slice").sortWithinPartitions("pass", "grp", "key", "node")
+        placed = scratch.table(dealt.mapInArrow(_neighbours(cosine, width, measure, arrow, size), _PLACED.format(kind)))
+        across = placed.where("border is not null").repartition("border").sortWithinPartitions("border").mapInArrow(_across(cosine, width), "a long, b long")
+        found.extend([placed.where("b is not null").select("a", "b"), scratch.table(across)])
+        return placed
+
+    first = compared(taken, list(range(TOGETHER)), window, widths)
+    needed: dict[tuple[int, int], list[str]] = {}
+    if large:
+        meets = first.where("meets is not null").groupBy("a").agg(*[F.avg(F.col("meets")[m]).alias(f"m{m}") for m in range(len(widths))]).join(taken.where("n is not null").select(F.col("node").alias("a"), "grp"), "a")
+        missed = meets.groupBy("grp").agg(*[F.avg(F.pow(1 - F.col(f"m{m}"), F.lit(k))).alias(f"p{m}_{k}") for m in range(len(widths)) for k in LADDER])
+        for r in missed.collect():  # one row for each large label
+            ways = []
+            for m, width in enumerate(widths):
+                enough = next((k for k in LADDER if r[f"p{m}_{k}"] <= 1 - recall and k >= passes_needed(large[r["grp"]], cosine, width, recall)), None)
+                if enough:
+                    ways.append(((enough - (TOGETHER if not m else 0)) * (size + 2 * width), enough, width))
+            _, enough, width = min(ways, default=(0, LADDER[-1], widths[-1]))
+            needed.setdefault((enough, width), []).append(r["grp"])
+    for width in widths:
+        at = TOGETHER
+        while going := [g for (k, w), names in needed.items() if w == width and k > at - (TOGETHER if width > window else 0) for g in names]:
+            compared(taken.drop("n").join(of(going), "grp"), list(range(at, at + TOGETHER)), width)
+            at += TOGETHER
+    return functools.reduce(DataFrame.unionByName, found)
+
+
+def near_duplicates(vectors: DataFrame, cosine: float = COSINE, window: int = WINDOW, recall: float = RECALL, tile: int = TILE, block: int = BLOCK) -> DataFrame:
     """Links of vectors of equal label: vec_id, n_links, component_id, kept; one row per row of vectors.
 
     vectors: vec_id, embedding (array of numbers), label; others are ignored.  Vectors
@@ -369,7 +364,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, window: int = WI
     a null label, link with nothing; so do vectors of different lengths.  Rows of equal vectors are linked.  Rows
     that share a vec_id are separate vectors with one name; repeated rows
     give repeated rows.  A null vec_id is counted in n_links, and has its class's component.
-    An empty table gives an empty one.
+    An empty table gives an empty one.  Pairs of one cosine with the threshold are linked.
     """
     scratch = Scratch(vectors.sparkSession, "embed")
     given = vectors.schema["embedding"].dataType
@@ -379,7 +374,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, window: int = WI
     # equal vectors of a label are one class, named by its hash
     firsts = ids.where("grp is not null").groupBy("c1", "c2").agg(F.min("vec_id").alias("low"), F.count("*").alias("size"), F.any_value("grp").alias("grp"), F.any_value("v").alias("v"))
     firsts = scratch.table(firsts.withColumn("node", F.col("c1")))
-    comps = scratch.table(components(scratch, _links(firsts.select("node", "grp", "v"), scratch, kind, cosine, window, recall, tile, wide)))
+    comps = scratch.table(components(scratch, _links(firsts.select("node", "grp", "v"), scratch, kind, cosine, window, recall, block)))
 
     # links within components: by the pivot's angles where these prove them, by tiles for the rest
     members = scratch.table(comps.join(firsts.select("node", "size", "low", "v"), "node"))
@@ -417,3 +412,18 @@ n as (select a as rid, count(*) as n_links from links group by 1)
 select v.vec_id, coalesce(n.n_links, 0)::bigint as n_links, r.component as component_id, v.vec_id = r.component as kept
 from v join reach r using (rid) left join n using (rid)
 """
+
+
+def with_copies(vectors: DataFrame) -> DataFrame:
+    """vectors with changed copies (vec_id + 10**9, a tenth of each next component added) of those whose vec_id is divisible by 3, and copies of those copies of every ninth."""
+    rows = vectors.select("vec_id", "label", F.col("embedding").cast("array<double>").alias("embedding"))
+    copy = lambda df: df.select((F.col("vec_id") + 10**9).alias("vec_id"), "label", F.transform("embedding", lambda x, i: x + 0.1 * F.get("embedding", (i + 1) % F.size("embedding"))).alias("embedding"))
+    once = copy(rows.where("vec_id % 3 = 0"))
+    return rows.unionByName(once).unionByName(copy(once.where("(vec_id - 1000000000) % 9 = 0")))
+
+
+COPIES_SQL = SQL.replace("from embeddings)", "from given)").replace("with v as", """with e0 as (select vec_id, label, list_transform(embedding, lambda x: x::double) as embedding from embeddings),
+e1 as (select vec_id + 1000000000 as vec_id, label, list_transform(range(1, len(embedding) + 1), lambda i: embedding[i] + 0.1::double * embedding[i % len(embedding) + 1]) as embedding from e0 where vec_id % 3 = 0),
+e2 as (select vec_id + 1000000000 as vec_id, label, list_transform(range(1, len(embedding) + 1), lambda i: embedding[i] + 0.1::double * embedding[i % len(embedding) + 1]) as embedding from e1 where (vec_id - 1000000000) % 9 = 0),
+given as (select * from e0 union all select * from e1 union all select * from e2),
+v as""", 1)

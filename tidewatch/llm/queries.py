@@ -64,6 +64,11 @@ def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.top_collocations(_read(spark, sf_dir, "documents"))
 
 
+def embedding_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op9's operator where there are links: all vectors, and changed copies of every third."""
+    return embed_dedup.near_duplicates(embed_dedup.with_copies(_read(spark, sf_dir, "embeddings")))
+
+
 QUERIES = {
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
@@ -75,6 +80,7 @@ QUERIES = {
     "op8_warc_round_trip": op8_warc_round_trip,
     "op3_lattice_lm": op3_lattice_lm,
     "op1_chat_format": op1_chat_format,
+    "embedding_copies": embedding_copies,
     "op11_periodic_runs": op11_periodic_runs,
     "op12_substring_dedup": op12_substring_dedup,
     "op13_collocations": op13_collocations,
@@ -86,6 +92,7 @@ SQL = {
     "op7_secret_scan": secrets.SQL,
     "op9_embedding_near_dedup": embed_dedup.SQL,
     "op8_warc_round_trip": warc.SQL,
+    "embedding_copies": embed_dedup.COPIES_SQL,
     "op11_periodic_runs": periodic.SQL,
     "op12_substring_dedup": substring_dedup.SQL,
     "op13_collocations": collocations.SQL,
