@@ -34,7 +34,7 @@ FIT_ROWS = 60_000
 THRESHOLD = 0.3
 #: Fitted rows a word needs, and weight of the prior.  Features are as many as fitted rows give, hence bounded by FIT_ROWS.
 LEAST_ROWS, PRIOR_ROWS = 5, 4.0
-KEPT_WORDS = 300_000
+KEPT_WORDS = 500_000
 PREFIXES = (4, 5, 6)
 
 # fixed values: what characters stand for in disguised words
@@ -292,6 +292,16 @@ class Scorer:
         return 1 / (1 + np.exp(-z)) if z > -700 else 0.0
 
 
+#: The fitted values this Python worker last scored with, and its scorer: what it has read serves all its tasks.
+_scoring: list = [None, None]
+
+
+def _scorer(fitted: tuple) -> Scorer:
+    if _scoring[0] is not fitted:
+        _scoring[:] = [fitted, Scorer(*fitted)]
+    return _scoring[1]
+
+
 def _numbers(broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(*broadcast.value, None)
@@ -359,7 +369,8 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, hold
     Only text enters a score.  Null and empty texts get the score of a text
     without words; a very long text is read whole, in one pass; equal texts have equal scores, and repeated rows
     are scored each.  Without usable labels all scores follow from the prior; an empty table stays
-    empty.  Columns of docs named score or predicted are replaced.
+    empty.  Columns of docs named score or predicted, in any case, are replaced; others of any name stay.  Ties: a
+    score that equals the threshold counts as toxic.
     """
     scratch = Scratch(docs.sparkSession, "toxicity")
     fitted = fit(docs, labels, scratch, hold_out, fit_rows)
@@ -367,7 +378,7 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, hold
     schema = docs.withColumn("score", F.lit(0.0)).withColumn("predicted", F.lit(0)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(*fitted.value)
+        scorer = _scorer(fitted.value)
         for batch in batches:
             for part in chunks(batch, "text"):
                 s = np.array([scorer.score(t) for t in part.column("text").to_pylist()], dtype=float)
