@@ -447,6 +447,53 @@ def test_restored_tokens_are_the_likeliest():
         assert math.isclose(best[r.token(raw, way)], max(best.values()), abs_tol=1e-9), (raw, way)
 
 
+def test_plain_letters_are_decided_as_by_search():
+    """Words of plain letters: deciding pair by pair equals the search over the whole lattice, on 3,000 random words."""
+    import numpy as np
+
+    model = np.log(np.random.default_rng(6).dirichlet(np.ones(toxicity.SYMBOLS) * 0.3, (toxicity.SYMBOLS, toxicity.SYMBOLS)))
+    plain, rnd = toxicity.Restorer(model), random.Random(2)
+    letters = toxicity._PLAIN
+    words = {"".join(rnd.choice("aabbcdeest") * rnd.choice((1, 1, 2)) for _ in range(rnd.randrange(1, 9))) for _ in range(4000)}
+    words = sorted(w for w in words if not toxicity._TRIPLE.search(w))[:3000]
+    assert len(words) > 2000
+    quick = [plain.token(w) for w in words]
+    toxicity._PLAIN = frozenset()  # nothing is plain: all words take the search
+    try:
+        found = toxicity.Restorer(model)
+        searched = [found.token(w) for w in words]
+    finally:
+        toxicity._PLAIN = letters
+    assert quick == searched and any(a != w for a, w in zip(quick, words))
+
+
+def test_scores_by_a_second_way(spark):
+    """Evidence, numbers and the logistic score of texts, from the fitted values alone, by plain loops."""
+    rows = [(i, ("you idiot and moron stupid clown " if i % 3 == 0 else "a calm and friendly reply about gardens ") * (1 + i % 4) + f"word{i % 7}") for i in range(90)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    y = spark.createDataFrame([(i, 0, int(i % 3 == 0)) for i in range(90)], "doc_id long, quality int, toxic int")
+    model, known, prior, weights = toxicity.fit(d, y, toxicity.Scratch(spark, "t")).value
+    base = math.log(prior / (1 - prior))
+
+    def one(text):
+        seen = toxicity.Restorer(model).words(text)
+        evidence = []
+        for w in seen:
+            best = 0.0
+            for f in [w] + [w[:k] + "*" for k in toxicity.PREFIXES if len(w) > k]:
+                if f in known:
+                    p = (known[f][0] + toxicity.PRIOR_ROWS * prior) / (sum(known[f]) + toxicity.PRIOR_ROWS)
+                    best = max(best, math.log(p / (1 - p)) - base)
+            evidence += [best] if best > 0 else []
+        top = [*sorted(evidence, reverse=True), 0.0, 0.0]
+        x = [1.0, top[0], top[1], math.log1p(sum(evidence)), math.log1p(len(seen)) / 10]
+        return 1 / (1 + math.exp(-sum(a * b for a, b in zip(weights, x))))
+
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(d, y).collect()}
+    assert all(math.isclose(got[i], one(t), rel_tol=1e-9) for i, t in rows)
+    assert min(got[i] for i in got if i % 3 == 0) > max(got[i] for i in got if i % 3)
+
+
 def test_disguises_are_evidence(spark):
     d = spark.createDataFrame([(i, "you are an idiot and a stupid clown, hate and die, shit, ass and dumbass, book") for i in range(60)], "doc_id long, text string")
     r = toxicity.Restorer(toxicity.language_model(d))
@@ -482,3 +529,14 @@ def test_empty_tables(docs, labels, spark):
     assert decontam.report(none, bench).count() == 0 and decontam.report(docs, bench.limit(0)).where("contaminated").count() == 0
     assert token_counts.token_counts(none, P.path("word_bpe_49k.json")).count() == 0 and bpe.round_trip(none, P.path("byte_bpe_50k.json")).count() == 0
     assert secrets.report(none).count() == 0 and secrets.redact(none).count() == 0
+    path = P.path("byte_bpe_50k.json")
+    assert bpe.encode(none, path).count() == 0 and bpe.decode(bpe.encode(none, path), path).count() == 0
+
+
+def test_a_window_of_very_many_items(spark):
+    """One window that thousands of items share, in one block and in several."""
+    items = spark.createDataFrame([(f"i{k}", "one two three four five six seven eight nine ten" + (f" own{k}" if k % 2 else "")) for k in range(3000)], "item_id string, text string")
+    d = spark.createDataFrame([(1, "x one two three four five six seven eight nine ten y"), (2, "nothing"), (3, "two three four five six seven eight nine ten own7")], "doc_id long, text string")
+    for block in (1 << 26, 20_000):
+        got = {r["doc_id"]: (r["n_hit"], r["n_items"]) for r in decontam.report(d, items, block_bytes=block).collect()}
+        assert got == {1: (10, 3000), 2: (0, 0), 3: (10, 1)}

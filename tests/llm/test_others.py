@@ -212,6 +212,20 @@ def test_recall_of_sorted_passes_at_default_settings(spark):
     assert np.mean([got[i] == want[i] for i in planted]) >= 0.98
 
 
+def test_ties_at_the_threshold_in_a_label_of_many_rows(spark):
+    """Pairs whose cosine is the threshold itself are links, just below it are none; in a label larger than a block."""
+    rnd = np.random.default_rng(5)
+    n = 700
+    v = rnd.standard_normal((n, 16)) * np.r_[np.zeros(4), np.ones(12)]
+    rows = [(i, x.tolist(), 1) for i, x in enumerate(v)]
+    e = np.eye(16)
+    pairs = [(e[0] * 5, e[0] * 4 + e[1] * 3), (e[2] * 5, e[2] * 4 + e[3] * 3.0001)]  # cosines 0.8, and a little less
+    rows += [(1000 + 2 * k + j, x.tolist(), 1) for k, p in enumerate(pairs) for j, x in enumerate(p)]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embed_dedup.near_duplicates(d, cosine=0.8, block=128).collect()}
+    assert got[1000] == (1, 1000) and got[1001] == (1, 1000) and got[1002] == (0, 1002) and got[1003] == (0, 1003)
+
+
 def test_passes_follow_the_number_of_rows():
     a, b, c = (embed_dedup.passes_needed(n, 0.93, 64, 0.995) for n in (1_000, 1_000_000, 1_000_000_000))
     assert a < b < c

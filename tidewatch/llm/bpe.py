@@ -164,7 +164,8 @@ def decode(df: DataFrame, vocabulary: str) -> DataFrame:
 def round_trip(docs: DataFrame, vocabulary: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of encoding and decoding each text; one row per row of docs.
 
-    Null texts are empty (no ids, the digest of nothing); repeated rows give repeated rows.
+    Null texts are empty (no ids, the digest of nothing); repeated rows give repeated rows; very long texts are
+    encoded whole; an empty table gives an empty one; further columns, whatever their names, are ignored.
     """
 
     def make(texts):

@@ -129,7 +129,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, block_
     bytes [from, to) of the text; items the sorted ids (as strings) of items
     with a window in the text.  Null and wordless texts have no words and no hits;
     null and wordless items have no windows; items that share a window are all
-    found; an item without an id counts as the id ''.  Repeated rows give repeated rows.
+    found; an item without an id counts as the id ''.  Repeated rows give repeated rows; very long texts are scanned
+    whole; without docs there are no rows, without items no hits.
     """
     scratch = Scratch(docs.sparkSession, "decontam")
     known, blocks = _known(benchmark, n, block_bytes, scratch)

@@ -181,7 +181,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: float = THRE
     linked when their shingle sets have at least ``threshold`` similarity;
     component_id is the smallest doc_id reachable over links.
 
-    Null and blank texts have no shingles and link with nothing.  Rows that share a doc_id count as one
+    An empty table gives an empty one; very long texts are read whole.  Null and blank texts have no shingles and link with nothing.  Rows that share a doc_id count as one
     document (all get the same component), and repeated rows give repeated rows.  A null
     doc_id joins its class's component, or has none (null), and is kept only then.
     """

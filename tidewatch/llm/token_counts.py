@@ -130,7 +130,7 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = LIMIT) -> DataFr
     docs: doc_id, text; other columns are ignored.  vocabulary: path of a
     lower-casing word-end BPE file.  Special strings in a text count as one token
     each; nothing is added.  Null texts are empty; empty texts have no tokens;
-    repeated rows give repeated rows.
+    repeated rows give repeated rows; very long texts are counted whole; an empty table gives an empty one.
     """
     importable(docs.sparkSession)
 
