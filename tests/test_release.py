@@ -79,3 +79,13 @@ def test_a_failed_write_leaves_the_old_release(spark, rows, tmp_path):
     with open(part, "wb") as f:
         f.write(raw)
     assert L.verify_release(spark, path) == "changed" and L.verify_release(spark, f"{tmp_path}/none") == "missing"
+
+
+def test_split_in_one_pass(spark, tmp_path):
+    """Each row to one place, null to the excluded; a place without rows is an empty table, and old rows go."""
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (None, "c")], "k int, kept string")
+    for cond, want in ((F.col("k") == 1, ["a"]), (F.col("k") > 0, ["a", "b"]), (F.lit(True), ["a", "b", "c"])):
+        sinks.write_split(df, cond, f"{tmp_path}/x/kept", f"{tmp_path}/x/out")
+        got = [sorted(r["kept"] for r in spark.read.schema(df.schema).parquet(f"{tmp_path}/x/{n}").collect()) for n in ("kept", "out")]
+        assert got == [want, [x for x in "abc" if x not in want]]
+    assert sorted(os.listdir(tmp_path / "x")) == ["kept", "out"]

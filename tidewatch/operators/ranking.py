@@ -7,6 +7,7 @@ written, then offsets of its partitions; no task ever sees all rows.
 from __future__ import annotations
 
 import functools
+import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -108,6 +109,65 @@ def missing_actives(molecules: DataFrame, actives: DataFrame, name: str = "name"
     return actives.select(name).distinct().join(molecules.select(name), name, "left_anti")
 
 
+def _uniform(*parts: Column | str) -> Column:
+    """A number in [0, 1) that depends on its parts only: 52 bits of their text's digest."""
+    text = F.concat_ws(":", *[F.col(p).cast("string") if isinstance(p, str) else p.cast("string") for p in parts])
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("double") / float(1 << 52)
+
+
+def _above(ranked: DataFrame, rank: str, active: str, name: str) -> DataFrame:
+    """(name, above): for each active the share of the others that stand before it; their mean is 1 - AUC."""
+    a = F.coalesce(F.col(active), F.lit(False))
+    total = ranked.agg((F.count("*") - F.count_if(a)).alias("_others"))
+    acts = numbered(ranked.where(a).select(F.col(name).alias("name"), F.col(rank).cast("long").alias("_rank")), [F.col("_rank").asc(), F.col("name").asc()], "_at")
+    return acts.crossJoin(F.broadcast(total)).select("name", ((F.col("_rank") - F.col("_at")) / F.nullif(F.col("_others"), F.lit(0))).alias("above"))  # one row
+
+
+#: Cumulative probabilities of a Poisson variable of mean 1, up to where they reach 1 in double precision.
+_POISSON = [sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) for k in range(17)]
+
+
+def bootstrap_auc(ranked: DataFrame, replicates: int = 2000, seed: int = 0, level: float = 0.95, rank: str = "rank", active: str = "is_active", name: str = "name") -> DataFrame:
+    """One row: replicates, auc_mean, auc_lo, auc_hi, an interval of the AUC when the actives are drawn anew.
+
+    In a replicate each active counts as often as a Poisson variable of mean 1 says, which follows from seed,
+    replicate and name alone.  No replicate exists as a table: what is shuffled is one sum for each of them and task.
+    Replicates without an active are left out; without actives or others all is null.
+    """
+    u = _uniform(F.lit(seed), "b", "name")
+    weight = functools.reduce(Column.__add__, [(u >= F.lit(c)).cast("int") for c in _POISSON])
+    drawn = _above(ranked, rank, active, name).withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("w", weight)
+    per = drawn.groupBy("b").agg((1 - F.sum(F.col("w") * F.col("above")) / F.nullif(F.sum("w"), F.lit(0))).alias("auc"))
+    tail = (1 - level) / 2
+    return per.agg(F.count("auc").alias("replicates"), F.avg("auc").alias("auc_mean"), F.percentile("auc", F.lit(tail)).alias("auc_lo"), F.percentile("auc", F.lit(1 - tail)).alias("auc_hi"))
+
+
+def permutation_test(ranked: DataFrame, replicates: int = 20_000, seed: int = 0, rank: str = "rank", active: str = "is_active") -> DataFrame:
+    """One row: n, n_active, auc, replicates, p_value, the share of random places for the actives that are at least as good.
+
+    A replicate draws as many different ranks as there are actives: the j-th is at random among the first n - m + j, or, where that
+    is taken, n - m + j itself.  It is one row that becomes one sum, so neither rows nor replicates are multiplied; the draws of a replicate,
+    as many as actives, are all it holds.  p_value counts the given ranking as one more draw, so it is never 0.
+    """
+    row = metrics(ranked, rank, active).select("n", "n_active", "auc").first()
+    n, m, auc = row["n"], row["n_active"], row["auc"]
+    spark = ranked.sparkSession
+    if auc is None:
+        return spark.createDataFrame([(n, m, None, 0, None)], "n long, n_active long, auc double, replicates int, p_value double")
+
+    def draw(taken: Column, j: Column) -> Column:
+        to = F.lit(n - m) + j
+        at = F.least((F.floor(_uniform(F.lit(seed), F.col("id"), j) * to) + 1).cast("long"), to)
+        return F.concat(taken, F.array(F.when(F.array_contains(taken, at), to).otherwise(at)))
+
+    ranks = F.aggregate(F.sequence(F.lit(1).cast("long"), F.lit(m).cast("long")), F.array().cast("array<long>"), draw)
+    total = spark.range(1, replicates + 1).select(F.aggregate(ranks, F.lit(0).cast("long"), lambda a, r: a + r).alias("total"))
+    # a better AUC is a smaller sum of ranks
+    given = round((1 - auc) * m * (n - m)) + m * (m + 1) // 2
+    out = total.agg(F.count("*").cast("int").alias("replicates"), ((F.count_if(F.col("total") <= given) + 1) / (F.count("*") + 1)).alias("p_value"))
+    return out.select(F.lit(n).cast("long").alias("n"), F.lit(m).cast("long").alias("n_active"), F.lit(auc).alias("auc"), "replicates", "p_value")
+
+
 def replicate_stats(df: DataFrame, molecule: str, value: str) -> DataFrame:
     """Over replicates: n, min, spread (0 for up to one value), exact median; null values are skipped."""
     return df.groupBy(molecule).agg(F.count(value).alias("n"), F.min(value).alias("best"), F.coalesce(F.max(value) - F.min(value), F.lit(0.0)).alias("spread"), F.median(value).alias("median"))

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import temporal as T
+from ..scratch import hadoop
 from . import backtest as B
 from . import emergence as E
 
@@ -33,8 +34,7 @@ class Replay:
         self.touched: datetime.date | None = None
 
     def _fs(self, path: str):
-        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        return at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), at
+        return hadoop(self.spark, path)
 
     def version(self) -> int:
         """The newest complete version; 0: none."""

@@ -229,6 +229,18 @@ def top_actives(spark, sf):
     return R.report(_cohort(spark, sf))[1].select("name", "rank")
 
 
+_POISSON_SQL = " + ".join(f"(u >= {c!r}::double)::int" for c in R._POISSON)
+
+
+@query(f"""with {_RANKED_SQL}, act as (select name, (r - row_number() over (order by r)) / (n - k) as above from rk, c where a),
+drawn as (select b, above, ('0x' || substr(md5('7:' || b || ':' || name), 1, 13))::bigint / 4503599627370496.0::double as u from act, range(1, 201) t(b)),
+w as (select b, above, {_POISSON_SQL} as w from drawn), per as (select b, 1 - sum(w * above) / nullif(sum(w), 0) as auc from w group by 1)
+select count(auc)::bigint as replicates, round(avg(auc), 6) as auc_mean, round(quantile_cont(auc, 0.025), 6) as auc_lo, round(quantile_cont(auc, 0.975), 6) as auc_hi from per""")
+def gate_interval(spark, sf):
+    found = R.bootstrap_auc(R.rank_rows(_cohort(spark, sf)), 200, 7)
+    return found.select("replicates", *[_r(c).alias(c) for c in ("auc_mean", "auc_lo", "auc_hi")])
+
+
 @query(f"with {_RANKED_SQL} select auc, ef1, coalesce(auc >= 0.7 and ef1 >= 5, false) as passed from met")
 def ranking_gate(spark, sf):
     return R.metrics(R.rank_rows(_cohort(spark, sf))).withColumn("passed", R.gate()).select(_r("auc").alias("auc"), _r("ef1").alias("ef1"), "passed")

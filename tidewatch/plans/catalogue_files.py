@@ -171,9 +171,8 @@ select c.mode, c.seed, n::bigint as n, k::bigint as n_active, rankable, (7 - k):
 from c join t on c.mode = t.mode and c.seed is not distinct from t.seed"""
 
 
-@query(_GATE_SQL)
-def gate_modes(spark, sf):
-    """Pose files of 40 molecules in three replicates, a model for each vector, against a receptor whose iron and ring plane are read from its file; one molecule of the actives has no file."""
+def _screen(spark, sf) -> DataFrame:
+    """Pose files of 40 molecules in three replicates, a model for each vector, against a receptor whose iron and ring plane are read from its file."""
     q, path, receptor = _filed(spark, sf), _folder(spark, "gates"), _folder(spark, "receptor")
     v = q.withColumn("name", F.format_string("m%02d", (F.col("vec_id") % 40).cast("int"))).withColumn("seed", (F.col("label") % 3).cast("int"))
     at = lambda k: F.struct("vec_id", F.lit(k).alias("k"), "i").alias("at")
@@ -183,9 +182,25 @@ def gate_modes(spark, sf):
     rows.select("name", "seed", F.explode("value").alias("value")).write.partitionBy("name", "seed").text(path)
     spark.createDataFrame([(x,) for x in _RECEPTOR], "value string").coalesce(1).write.text(receptor)
     of = lambda file: (F.regexp_extract(file, "/name=([^/]+)/", 1), F.regexp_extract(file, r"/seed=(\d+)/", 1).cast("int"))
-    poses = gates.screen(spark, path, receptor, axial=True, parts=of)
+    return gates.screen(spark, path, receptor, axial=True, parts=of)
+
+
+@query(_GATE_SQL)
+def gate_modes(spark, sf):
+    """Gates of all modes and replicates; one molecule of the actives has no file."""
     actives = spark.range(0, 49, 7).select(F.format_string("m%02d", F.col("id").cast("int")).alias("name"))
-    return gates.gate_modes(poses, actives).select("mode", "seed", "n", "n_active", "rankable", "missing_actives", *[_r(c).alias(c) for c in ("auc", "ef1", "ef5", "ef10", "bedroc")])
+    return gates.gate_modes(_screen(spark, sf), actives).select("mode", "seed", "n", "n_active", "rankable", "missing_actives", *[_r(c).alias(c) for c in ("auc", "ef1", "ef5", "ef10", "bedroc")])
+
+
+@query(_GATE_SQL[: _GATE_SQL.index("ranked as (")] + "n as (select name, count(*) as n_poses from pose group by 1) select row_number() over (order by dist nulls last, name)::int as rank, name, round(dist, 6) as dist, score, n_poses from whole join n using (name)")
+def screen_ranking(spark, sf):
+    return gates.rank_screen(_screen(spark, sf)).select("rank", "name", _r("dist").alias("dist"), "score", "n_poses")
+
+
+@query("select 'PDG000000067.' || max(c_custkey) as release, count(*) as listed from customer")
+def latest_release(spark, sf):
+    listing = _t(spark, sf, "customer").select(F.format_string('<a href="PDG000000067.%d/">PDG000000067.%d</a>', "c_custkey", "c_custkey").alias("value"))
+    return listing.agg(F.lit(feeds.latest_release(listing)).alias("release"), F.count("*").alias("listed"))
 
 
 @query("""with t as (select 'key' || chr(9) || 'status' || chr(9) || 'priority' || chr(10) || string_agg(o_orderkey || chr(9) || o_orderstatus || chr(9) || o_orderpriority || chr(10), '' order by o_orderkey::varchar, o_orderstatus, o_orderpriority) as x, count(*) as n from orders),
@@ -207,7 +222,7 @@ d as (select r.pos, r.resname, r.atom, min(sqrt((r.x-l.x)*(r.x-l.x) + (r.y-l.y)*
 
 
 def _structure(spark, sf) -> tuple[DataFrame, DataFrame]:
-    """(residues, ligand): vectors as residues, written as structure files by ranges of positions and read back; other files of ligand atoms."""
+    """(receptor lines, ligand lines): vectors as residues, written as structure files by ranges of positions and read back; other files of ligand atoms."""
     q, path = _filed(spark, sf), _folder(spark, "structure")
     i, resname = F.col("i"), F.element_at(F.array(*map(F.lit, _RESIDUES)), (F.col("vec_id") % 4 + 1).cast("int"))
     name = F.when(i == 0, "OH").when(i == 1, "CG1").when(i == 2, "CG2").otherwise(F.concat(F.lit("C"), i.cast("string")))
@@ -215,12 +230,13 @@ def _structure(spark, sf) -> tuple[DataFrame, DataFrame]:
     dealt.select(_atom_line(i, name, resname, F.col("vec_id"), "x", "y", "z").alias("value")).write.text(f"{path}/receptor")
     dealt.where("vec_id % 50 = 0 and i = 0").select(_atom_line(i, F.lit("C1"), F.lit("LIG"), F.lit(1), "x", "y", "z", "HETATM").alias("value")).write.text(f"{path}/ligand")
     of = lambda part: structures.lines(spark, f"{path}/{part}")
-    return structures.residues(structures.select_chain(of("receptor"))), structures.ligand_atoms(of("ligand"))
+    return structures.select_chain(of("receptor")), of("ligand")
 
 
 @query(f"with {_STRUCTURE_SQL} select pos::int as pos, resname, count(*)::int as n_atoms, round(min(dist), 4) as dist, min(dist) <= 4.5 as contact from d group by 1, 2")
 def structure_contacts(spark, sf):
-    residues, ligand = _structure(spark, sf)
+    receptor, ligand = _structure(spark, sf)
+    residues, ligand = structures.residues(receptor), structures.ligand_atoms(ligand)
     atoms = residues.select("pos", "resname", F.explode("atoms").alias("a")).select("pos", "resname", "a.x", "a.y", "a.z")
     near = G.min_distance(atoms, ligand, ("pos", "resname"))
     return residues.select("pos", "resname", F.size("atoms").alias("n_atoms")).join(near, ["pos", "resname"]).select("pos", "resname", "n_atoms", _r("dist", 4).alias("dist"), (F.col("dist") <= G.CONTACT_CUTOFF).alias("contact"))
@@ -237,12 +253,38 @@ def structure_verdicts(spark, sf):
     k, n = F.col("p_size") % 5, F.col("p_size").cast("string")
     around = lambda a, z: F.concat(F.lit(a), n, F.lit(z))
     token = F.when(k == 0, around("Y", "F")).when(k == 1, around("V", "A")).when(k == 2, around("K", "R")).when(k == 3, around("F", "L")).otherwise(around("TR", ""))
-    residues, ligand = _structure(spark, sf)
-    mapped = V.map_tokens(_t(spark, sf, "part").select(token.alias("token")).distinct(), residues, ligand, (0.0, 0.0, 0.0))
+    receptor, ligand = _structure(spark, sf)
+    mapped = V.map_tokens(_t(spark, sf, "part").select(token.alias("token")).distinct(), structures.residues(receptor), structures.ligand_atoms(ligand), (0.0, 0.0, 0.0))
     e = V.estimate(mapped, {"V6A": {"direction": "weaker-fit"}})
     return e.select("token", "mappable", "build_class", _r("dist_to_ligand", 4).alias("dist"), "contact", F.array_join(F.transform("lost_contacts", lambda x: x["atom"]), ",").alias("lost"), "branch", "confidence", "direction")
 
 
+@query(f"""with {_STRUCTURE_SQL}, m as (select pos, case when pos = 8 then 'PHE' else resname end as resname, atom from res where not (pos = 8 and atom = 'OH')),
+c as (select count(*) as n_whole from res), k as (select count(*) as n_mutant from m)
+select resname, count(*) as n_atoms, count(distinct pos) as n_residues, any_value(n_whole) as n_whole, any_value(n_mutant) as n_mutant from m, c, k group by 1""")
+def mutant_structure(spark, sf):
+    """A residue of a structure file loses an atom and changes its name; the mutant's atoms against the structure's."""
+    receptor, _ = _structure(spark, sf)
+    wild, pos, mutant = structures.parse_mutation("Y8F")
+    gone = V.DELETIONS[wild, mutant]
+    made = structures.mutate(receptor, pos, gone, mutant)
+    atoms, whole = (structures.atoms(x, False) for x in (made, receptor))
+    sizes = whole.agg(F.count("*").alias("n_whole")).crossJoin(atoms.agg(F.count("*").alias("n_mutant")))  # one row each
+    return atoms.groupBy("resname").agg(F.count("*").alias("n_atoms"), F.count_distinct("pos").alias("n_residues")).crossJoin(F.broadcast(sizes))
+
+
+@query(f"""with s as (select doc_id, upper(translate(regexp_replace(coalesce(text, ''), '[^a-zA-Z]', '', 'g'), '{base._LETTERS}', '{base._BASES}')) as t from documents),
+q as (select doc_id, unnest(range(0, greatest(1, (length(t) + 119) // 120))) as part, t from s), v as (select doc_id, part, substr(t, (120 * part + 1)::int, 120) as seq from q)
+select doc_id, part::int as part, case when length(seq) = 120 then substr(seq, 13, 9) end as near, case when length(seq) = 120 then substr(seq, 91, 12) end as far, case when length(seq) <> 120 then 'length ' || length(seq) || ' instead of 120: windows can''t be anchored' end as reason from v""")
+def window_slices(spark, sf):
+    """Windows cut from every text, taken as sequences of the reference's length; what is shorter has none."""
+    seq = F.translate(F.regexp_replace(F.coalesce("text", F.lit("")), "[^a-zA-Z]", ""), base._LETTERS, base._BASES)
+    d = _t(spark, sf, "documents").select("doc_id", F.posexplode_outer(F.regexp_extract_all(seq, F.lit("(?s).{1,120}"), F.lit(0))).alias("part", "seq")).withColumn("part", F.coalesce("part", F.lit(0)))
+    ws = (C.Window("near", 5, 7, 6, "A"), C.Window("far", 31, 34, 32, "T"))
+    cut = C.slice_windows(d, "seq", 120, ws)
+    return cut.select("doc_id", "part", *[F.col("window_seqs")[w.name].alias(w.name) for w in ws], "reason")
+
+
 @query("select user_id, 'K' || (user_id % 9) || 'R' as token, case user_id % 4 when 0 then 'act-now' when 1 then 'watch' else 'context' end as tier from (select distinct user_id from events) where user_id % 4 <> 3")
 def delivery_state_texts(spark, sf):
     u = F.col("user_id")

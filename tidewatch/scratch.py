@@ -57,10 +57,15 @@ def _cleaned(spark: SparkSession):
 _left: list[tuple[SparkSession, str]] = []
 
 
+def hadoop(spark: SparkSession, path: str):
+    """(file system, path) as Hadoop's own objects."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
 def _delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    fs, at = hadoop(spark, path)
+    fs.delete(at, True)
 
 
 @atexit.register

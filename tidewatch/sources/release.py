@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.store import SNAPSHOT_COLUMNS
-from ..scratch import importable
+from ..scratch import hadoop, importable
 
 LEAF_BYTES, FAN = 1 << 20, 1024
 MANIFEST = "manifest.json"
@@ -40,14 +40,9 @@ def _line(columns: tuple[str, ...]) -> Column:
     return F.concat_ws("\t", *map(field, columns))
 
 
-def _hadoop(spark: SparkSession, path: str):
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
-
-
 def parts(spark: SparkSession, path: str) -> list[tuple[str, int]]:
     """(path, bytes) of the data files of a folder, or of one file; numbers in names count as numbers."""
-    fs, at = _hadoop(spark, path)
+    fs, at = hadoop(spark, path)
     found = [(str(s.getPath().toString()), int(s.getLen())) for s in fs.listStatus(at) if s.isFile()]
     natural = lambda p: [int(x) if x.isdigit() else x for x in re.split(r"(\d+)", p.rpartition("/")[2])]
     return sorted([f for f in found if not f[0].rpartition("/")[2].startswith(("_", ".", MANIFEST))], key=lambda f: natural(f[0]))
@@ -119,7 +114,7 @@ def write_release(records: DataFrame, path: str, columns: tuple[str, ...] = SNAP
     every, by = head.unionByName(rows), ["kind", *order]
     dealt = every.repartitionByRange(partitions, *by) if partitions else every.repartitionByRange(*by)
     staging = f"{path.rstrip('/')}.{uuid.uuid4().hex[:12]}.staging"
-    fs, at = _hadoop(spark, staging)
+    fs, at = hadoop(spark, staging)
     try:
         dealt.sortWithinPartitions(*by).select(_line(columns).alias("value")).write.text(staging)
         files = parts(spark, staging)
@@ -127,7 +122,7 @@ def write_release(records: DataFrame, path: str, columns: tuple[str, ...] = SNAP
         out = fs.create(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{staging}/{MANIFEST}"))
         out.write(bytearray(json.dumps(manifest).encode()))
         out.close()
-        place, old = _hadoop(spark, path)[1], _hadoop(spark, f"{staging}.old")[1]
+        place, old = hadoop(spark, path)[1], hadoop(spark, f"{staging}.old")[1]
         had = fs.exists(place)
         if had and not fs.rename(place, old):
             raise OSError(f"{path} can't be replaced")
@@ -150,7 +145,7 @@ def read_manifest(spark: SparkSession, path: str) -> dict:
 
 def verify_release(spark: SparkSession, path: str) -> str:
     """ok, changed (other bytes or parts than the manifest's) or missing."""
-    fs, at = _hadoop(spark, f"{path}/{MANIFEST}")
+    fs, at = hadoop(spark, f"{path}/{MANIFEST}")
     if not fs.exists(at):
         return "missing"
     want, files = read_manifest(spark, path), parts(spark, path)

@@ -5,12 +5,14 @@ from __future__ import annotations
 import csv
 import hashlib
 import io
+import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.store import SNAPSHOT_COLUMNS
+from ..scratch import fresh, hadoop
 
 
 def canonical_lines(records: DataFrame, columns: tuple[str, ...] = SNAPSHOT_COLUMNS, key: str = "isolate_key") -> Iterator[str]:
@@ -77,17 +79,26 @@ def ranked_table(ranked: DataFrame, distance: str = "dist", score: str = "score"
 
 
 def write_split(df: DataFrame, keep: Column, kept: str, excluded: str) -> None:
-    """Rows to two places, each row to exactly one (null counts as excluded)."""
-    k = F.coalesce(keep, F.lit(False))
-    df.where(k).write.mode("overwrite").parquet(kept)
-    df.where(~k).write.mode("overwrite").parquet(excluded)
-
-
-def candidate_report(ranked: DataFrame, top: int = 10) -> str:
-    """A table of all ranked rows and details of the first ones; for cohorts of bounded size."""
-    rows = [r.asDict() for r in ranked.orderBy("rank").collect()]
+    """Rows to two places, each row to exactly one (null counts as excluded), in one pass over df; both places are replaced."""
+    spark, (side,) = df.sparkSession, fresh(df.columns, "kept")
+    staging = f"{kept.rstrip('/')}.{uuid.uuid4().hex[:12]}.staging"
+    fs, at = hadoop(spark, staging)
+    df.withColumn(side, F.coalesce(keep, F.lit(False))).write.partitionBy(side).parquet(staging)
+    for value, path in (("true", kept), ("false", excluded)):
+        part, place = hadoop(spark, f"{staging}/{side}={value}")[1], hadoop(spark, path)[1]
+        fs.delete(place, True)
+        if not fs.exists(part):
+            spark.createDataFrame([], df.schema).write.parquet(path)
+        elif not (fs.exists(place.getParent()) or fs.mkdirs(place.getParent())) or not fs.rename(part, place):
+            raise OSError(f"{path} can't be written")
+    fs.delete(at, True)
+
+
+def candidate_report(ranked: DataFrame, top: int = 10, listed: int = 1000) -> str:
+    """A table of the first ``listed`` ranked rows and details of the first ``top``; no more reach the driver, all are counted."""
+    rows, total = [r.asDict() for r in ranked.where(F.col("rank") <= listed).orderBy("rank").collect()], ranked.count()
     cols = list(rows[0]) if rows else ranked.columns
-    out = ["# Candidates", "", f"{len(rows)} rows", "", "| " + " | ".join(cols) + " |", "|" + "---|" * len(cols)]
+    out = ["# Candidates", "", f"{total} rows" + (f", the first {listed} of them" if total > listed else ""), "", "| " + " | ".join(cols) + " |", "|" + "---|" * len(cols)]
     out += ["| " + " | ".join("" if r[c] is None else str(r[c]) for c in cols) + " |" for r in rows]
     for r in rows[:top]:
         out += ["", f"## {r['rank']}. {r.get('name', '')}", *[f"- {c}: {r[c]}" for c in cols if c not in ("rank", "name")]]
