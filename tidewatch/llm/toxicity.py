@@ -34,7 +34,7 @@ FIT_ROWS = 60_000
 THRESHOLD = 0.3
 #: Fitted rows a word needs, and weight of the prior.  Features are as many as fitted rows give, hence bounded by FIT_ROWS.
 LEAST_ROWS, PRIOR_ROWS = 5, 4.0
-KEPT_WORDS = 500_000
+KEPT_WORDS = 400_000
 PREFIXES = (4, 5, 6)
 
 # fixed values: what characters stand for in disguised words
