@@ -453,17 +453,17 @@ def test_plain_letters_are_decided_as_by_search():
 
     model = np.log(np.random.default_rng(6).dirichlet(np.ones(toxicity.SYMBOLS) * 0.3, (toxicity.SYMBOLS, toxicity.SYMBOLS)))
     plain, rnd = toxicity.Restorer(model), random.Random(2)
-    letters = toxicity._PLAIN
+    triple = toxicity._TRIPLE
     words = {"".join(rnd.choice("aabbcdeest") * rnd.choice((1, 1, 2)) for _ in range(rnd.randrange(1, 9))) for _ in range(4000)}
-    words = sorted(w for w in words if not toxicity._TRIPLE.search(w))[:3000]
+    words = sorted(w for w in words if not triple.search(w))[:3000]
     assert len(words) > 2000
     quick = [plain.token(w) for w in words]
-    toxicity._PLAIN = frozenset()  # nothing is plain: all words take the search
+    toxicity._TRIPLE = re.compile("")  # as if every word had a triple: all take the search
     try:
         found = toxicity.Restorer(model)
         searched = [found.token(w) for w in words]
     finally:
-        toxicity._PLAIN = letters
+        toxicity._TRIPLE = triple
     assert quick == searched and any(a != w for a, w in zip(quick, words))
 
 
