@@ -40,7 +40,7 @@ def test_index_equals_all_pairs(sets, step):
         similarity.STEP = before
 
 
-@pytest.mark.parametrize("largest", [50, 10_000])
+@pytest.mark.parametrize("largest", [150, 10_000])
 def test_dissimilar_equals_all_pairs(spark, sets, largest):
     known, rows = sets
     pool = spark.createDataFrame([(i, sorted(x)) for i, x in enumerate(rows)] + [(-1, None)], "id int, fp array<string>").withColumn("top", F.lit("kept"))
