@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from tidewatch.operators import geometry as G
 from tidewatch.operators import seqcall as C
 from tidewatch.operators import verdict as V
-from tidewatch.plans import gates
+from tidewatch.plans import catalogue_files, gates
 from tidewatch.sources import structures as S
 
 
@@ -160,3 +160,15 @@ def test_sequence_queries_read_all_documents(spark, tmp_path):
     assert sorted(got) == [1, 2, 3] and (str(n) in got[1]["reason"] or n % 3 == 0)
     near = {r["doc_id"]: r for r in catalogue.QUERIES["window_calls"](spark, str(tmp_path)).collect()}
     assert near[1]["far"] in ("called", "wild-type") and near[2]["near"] == "refused" and near[3]["far"] in ("called", "wild-type")
+
+
+def test_positions_beyond_four_digits(spark):
+    """Hybrid-36 fields, as structures with more than 9,999 residues have them; written, read and mutated by position."""
+    known = {"  -1": -1, "9999": 9999, "A000": 10_000, "A001": 10_001, "A00Z": 10_035, "ZZZZ": 1_223_055, "a000": 1_223_056, "zzzz": 2_436_111}
+    rows = spark.createDataFrame(list(known.items()), "f string, n int")
+    got = rows.select("f", "n", S.position(F.trim("f")).alias("read"), S.position_field(F.col("n")).alias("written")).collect()
+    assert all(r["read"] == r["n"] and r["written"] == r["f"] for r in got)
+    assert [r[0] for r in spark.createDataFrame([("A0",), ("Aa00",), ("",), ("1B",)], "f string").select(S.position(F.col("f"))).collect()] == [None] * 4
+    made = spark.createDataFrame([(k, 9_998 + k) for k in range(4)], "line int, n int").withColumn("text", catalogue_files._atom_line(F.lit(1), F.lit("OH"), F.lit("TYR"), F.col("n"), F.lit(1.5), F.lit(-2.0), F.lit(3.25)))
+    read = S.atoms(S.mutate(made, 10_001, (), "PHE")).select("pos", "resname", "x", "y", "z").orderBy("pos").collect()
+    assert [tuple(r) for r in read] == [(p, "PHE" if p == 10_001 else "TYR", 1.5, -2.0, 3.25) for p in range(9_998, 10_002)]

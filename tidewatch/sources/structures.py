@@ -29,6 +29,20 @@ def _cut(start: int, length: int) -> Column:
     return F.trim(F.substring("text", start, length))
 
 
+def position(field: Column) -> Column:
+    """Number of a four-column residue field in hybrid-36: decimal up to 9999, then A000 to ZZZZ, then a000 to zzzz; else null."""
+    first = 10 * 36**3
+    past = F.when(field.rlike("^[A-Z][0-9A-Z]{3}$"), 10_000 - first).when(field.rlike("^[a-z][0-9a-z]{3}$"), 10_000 + 16 * 36**3)
+    return F.when(past.isNotNull(), F.conv(field, 36, 10).try_cast("int") + past).otherwise(F.nullif(field, F.lit("")).try_cast("int"))
+
+
+def position_field(pos: Column) -> Column:
+    """The four columns that position() reads; a number that no field holds, below -999 or beyond zzzz, is an error."""
+    n = pos.cast("long")
+    upper, lower = (F.conv((n - 10_000 + past).cast("string"), 10, 36) for past in (10 * 36**3, -16 * 36**3))
+    return F.when(n.between(-999, 9_999), F.lpad(n.cast("string"), 4, " ")).when(n.between(10_000, 9_999 + 26 * 36**3), upper).when(n.between(10_000, 9_999 + 52 * 36**3), F.lower(lower)).otherwise(F.raise_error(F.format_string("residue %d has no field", n)))
+
+
 def atoms(df: DataFrame, heavy: bool = True) -> DataFrame:
     """Atom rows of lines: record, atom name, residue name and position, chain, element, x, y, z.
 
@@ -39,7 +53,7 @@ def atoms(df: DataFrame, heavy: bool = True) -> DataFrame:
     name, element = _cut(13, 4), _cut(77, 2)
     number = lambda a, n: F.nullif(_cut(a, n), F.lit("")).try_cast("double")
     out = df.where(record.isin("ATOM", "HETATM")).select(
-        *[c for c in df.columns if c != "text"], record.alias("record"), name.alias("atom"), _cut(18, 3).alias("resname"), _cut(22, 1).alias("chain"), F.nullif(_cut(23, 4), F.lit("")).try_cast("int").alias("pos"),
+        *[c for c in df.columns if c != "text"], record.alias("record"), name.alias("atom"), _cut(18, 3).alias("resname"), _cut(22, 1).alias("chain"), position(_cut(23, 4)).alias("pos"),
         F.upper(F.when(element != "", element).otherwise(F.substring(name, 1, 1))).alias("element"), number(31, 8).alias("x"), number(39, 8).alias("y"), number(47, 8).alias("z"), "text",
     )
     return out.where("element != 'H'") if heavy else out
@@ -182,7 +196,7 @@ def parse_mutation(spec: str) -> tuple[str, int, str]:
 
 def mutate(df: DataFrame, pos: int, deleted: tuple[str, ...], resname: str, chain: str = "A") -> DataFrame:
     """Lines with some atoms of one residue deleted and the residue renamed (a structure's deletion mutant)."""
-    here = (F.trim(F.substring("text", 1, 6)) == "ATOM") & (F.substring("text", 22, 1) == chain) & (_cut(23, 4).try_cast("int") == pos)
+    here = (F.trim(F.substring("text", 1, 6)) == "ATOM") & (F.substring("text", 22, 1) == chain) & (position(_cut(23, 4)) == pos)
     renamed = F.concat(F.substring("text", 1, 17), F.lpad(F.lit(resname), 3, " "), F.expr("substring(text, 21)"))
     return df.where(~F.coalesce(here & _cut(13, 4).isin(*deleted), F.lit(False))).withColumn("text", F.when(here, renamed).otherwise(F.col("text")))
 
