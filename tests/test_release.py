@@ -89,3 +89,13 @@ def test_split_in_one_pass(spark, tmp_path):
         got = [sorted(r["kept"] for r in spark.read.schema(df.schema).parquet(f"{tmp_path}/x/{n}").collect()) for n in ("kept", "out")]
         assert got == [want, [x for x in "abc" if x not in want]]
     assert sorted(os.listdir(tmp_path / "x")) == ["kept", "out"]
+
+
+def test_one_node_over_many_leaves(spark, rows, tmp_path):
+    """More leaves than a node of the tree takes: one node over all of them, in their order, which the manifest remembers."""
+    m = L.write_release(rows, f"{tmp_path}/flat", COLUMNS, "key", 3, 8, None)
+    text = text_of(spark, f"{tmp_path}/flat")
+    leaves = [hashlib.sha256(text[i : i + 8]).hexdigest() for i in range(0, len(text), 8)]
+    assert len(leaves) > L.FAN and m["fan"] is None
+    assert m["digest"] == hashlib.sha256(f"{len(text)}:8:{hashlib.sha256(''.join(leaves).encode()).hexdigest()}".encode()).hexdigest()
+    assert L.verify_release(spark, f"{tmp_path}/flat") == "ok"

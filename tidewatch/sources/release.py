@@ -6,8 +6,8 @@ release's name once all of them and the manifest are there; a release is therefo
 drivers are lost.
 
 The digest is a tree.  Leaves are the SHA-256 of consecutive blocks of the text, cut by bytes and not by parts,
-so any number of parts gives the same leaves; nodes are the SHA-256 of up to FAN digests below them as text; the root
-takes in the length.  It is computed from the files, by tasks that each read some blocks, for releases and for any other files.
+so any number of parts gives the same leaves; nodes are the SHA-256 of up to FAN digests below them as text (or one node is that
+of all leaves); the root takes in the length.  It is computed from the files, by tasks that each read some blocks, for releases and for any other files.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.store import SNAPSHOT_COLUMNS
-from ..scratch import hadoop, importable
+from ..scratch import Scratch, hadoop, importable
 
 LEAF_BYTES, FAN = 1 << 20, 1024
 MANIFEST = "manifest.json"
@@ -78,8 +78,19 @@ def _leaves(files, leaf_bytes: int):
     return run
 
 
-def tree_digest(spark: SparkSession, files: list[tuple[str, int]], leaf_bytes: int = LEAF_BYTES, fan: int = FAN) -> str:
-    """Root over files (path, bytes) as if they were one; no files count as no bytes."""
+def _flat(level: DataFrame) -> str:
+    """The SHA-256 of all leaf digests in order.  A hash of one text can't be parted, so they are streamed, in rows of FAN digests and one partition at a time."""
+    scratch, h = Scratch(level.sparkSession, "leaves"), hashlib.sha256()
+    leaves = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "digest"))), lambda x: x["digest"]), "")
+    rows = scratch.table(level.groupBy(F.expr(f"id div {FAN}").alias("id")).agg(leaves.alias("leaves")))
+    for r in rows.sort("id").toLocalIterator():
+        h.update(r["leaves"].encode())
+    scratch.drop(rows)
+    return h.hexdigest()
+
+
+def tree_digest(spark: SparkSession, files: list[tuple[str, int]], leaf_bytes: int = LEAF_BYTES, fan: int | None = FAN) -> str:
+    """Root over files (path, bytes) as if they were one; no files count as no bytes.  fan: None for one node over all leaves."""
     importable(spark)
     ends = np.cumsum([0, *[n for _, n in files]])[1:]
     total = int(ends[-1]) if len(ends) else 0
@@ -87,12 +98,12 @@ def tree_digest(spark: SparkSession, files: list[tuple[str, int]], leaf_bytes: i
     if n:
         held = spark.sparkContext.broadcast(([p for p, _ in files], ends))
         level = spark.range(0, n, 1, min(n, max(spark.sparkContext.defaultParallelism, n // 64))).mapInArrow(_leaves(held, leaf_bytes), "id long, digest string")
-        while True:
+        while fan:
             node = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "digest"))), lambda x: x["digest"]), "")
             level, n = level.groupBy(F.expr(f"id div {fan}").alias("id")).agg(F.sha2(node, 256).alias("digest")), -(-n // fan)
             if n == 1:
                 break
-        top = level.first()["digest"]
+        top = level.first()["digest"] if fan else _flat(level)
         held.unpersist()
     return hashlib.sha256(f"{total}:{leaf_bytes}:{top}".encode()).hexdigest()
 
@@ -102,7 +113,7 @@ def file_digests(spark: SparkSession, path: str, leaf_bytes: int = LEAF_BYTES) -
     return {f[0]: tree_digest(spark, [f], leaf_bytes) for f in parts(spark, path)}
 
 
-def write_release(records: DataFrame, path: str, columns: tuple[str, ...] = SNAPSHOT_COLUMNS, key: str = "isolate_key", partitions: int | None = None, leaf_bytes: int = LEAF_BYTES) -> dict:
+def write_release(records: DataFrame, path: str, columns: tuple[str, ...] = SNAPSHOT_COLUMNS, key: str = "isolate_key", partitions: int | None = None, leaf_bytes: int = LEAF_BYTES, fan: int | None = FAN) -> dict:
     """Write the canonical text of records as a release; returns its manifest: digest, bytes, leaf_bytes, parts.
 
     A release that is there already is replaced by the whole new one, or stays if anything fails.
@@ -118,7 +129,7 @@ def write_release(records: DataFrame, path: str, columns: tuple[str, ...] = SNAP
     try:
         dealt.sortWithinPartitions(*by).select(_line(columns).alias("value")).write.text(staging)
         files = parts(spark, staging)
-        manifest = {"digest": tree_digest(spark, files, leaf_bytes), "bytes": sum(n for _, n in files), "leaf_bytes": leaf_bytes, "parts": [[p.rpartition("/")[2], n] for p, n in files], "columns": list(columns)}
+        manifest = {"digest": tree_digest(spark, files, leaf_bytes, fan), "bytes": sum(n for _, n in files), "leaf_bytes": leaf_bytes, "fan": fan, "parts": [[p.rpartition("/")[2], n] for p, n in files], "columns": list(columns)}
         out = fs.create(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{staging}/{MANIFEST}"))
         out.write(bytearray(json.dumps(manifest).encode()))
         out.close()
@@ -149,7 +160,7 @@ def verify_release(spark: SparkSession, path: str) -> str:
     if not fs.exists(at):
         return "missing"
     want, files = read_manifest(spark, path), parts(spark, path)
-    same = [[p.rpartition("/")[2], n] for p, n in files] == want["parts"] and tree_digest(spark, files, want["leaf_bytes"]) == want["digest"]
+    same = [[p.rpartition("/")[2], n] for p, n in files] == want["parts"] and tree_digest(spark, files, want["leaf_bytes"], want.get("fan", FAN)) == want["digest"]
     return "ok" if same else "changed"
 
 
