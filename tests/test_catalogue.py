@@ -56,3 +56,16 @@ def test_entry(spark):
     df = entry.entry(spark)
     assert df.columns and df.count() >= 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_places_follow_the_table(spark, tmp_path):
+    """Rows of one line number are placed in the table's order, whichever part is read first: Spark reads the larger part first."""
+    schema = "l_orderkey long, l_linenumber int, l_quantity double, l_discount double"
+    made = [[(1, 1, 10.0, 0.0), (1, 2, 20.0, 0.5)], [(1, 2, 30.0, 0.5), (1, 2, 40.0, 0.0), (1, 3, 50.0, 0.5), *[(k, 1, float(k), 0.5) for k in range(2, 5000)]]]
+    for i, rows in enumerate(made):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/x{i}")
+        os.makedirs(f"{tmp_path}/lineitem.parquet", exist_ok=True)
+        os.rename(glob.glob(f"{tmp_path}/x{i}/part-*.parquet")[0], f"{tmp_path}/lineitem.parquet/part-{i}.parquet")
+    # lines 1, 2, 2, 2, 3 against scores 20, 30, 50
+    got = catalogue.QUERIES["positional_join"](spark, str(tmp_path)).where("l_orderkey = 1").collect()
+    assert [(r["v"], r["n"]) for r in got] == [(1 * 20 + 2 * 30 + 2 * 50, 3)]

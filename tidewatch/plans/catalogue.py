@@ -476,10 +476,11 @@ def vector_algebra(spark, sf):
 @query("""with x as (select l_orderkey, list(l_linenumber::int order by l_linenumber) as a, list(l_quantity order by l_linenumber) filter (l_discount >= 0.02) as b from lineitem group by 1)
 select l_orderkey, sum(a[i] * b[i]) as v, count(*) as n from (select *, unnest(range(1, least(len(a), coalesce(len(b), 0)) + 1)) as i from x) group by 1""")
 def positional_join(spark, sf):
-    # poses and scores by place: what has no partner on either side is left out
-    l = _t(spark, sf, "lineitem")
-    w = Window.partitionBy("file").orderBy("l_linenumber")
-    place = lambda df, v, n: df.select(F.col("l_orderkey").alias("file"), "l_linenumber", F.col(v).alias(n)).withColumn("model", F.row_number().over(w)).drop("l_linenumber")
+    # poses and scores by place: what has no partner on either side is left out; rows of one line number stay in the table's order
+    l = _t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_discount", F.col("_metadata.file_path").alias("part"), F.col("_metadata.row_index").alias("row"))
+    by = ["l_linenumber", "part", "row"]
+    w = Window.partitionBy("file").orderBy(*by)
+    place = lambda df, v, n: df.select(F.col("l_orderkey").alias("file"), *by, F.col(v).alias(n)).withColumn("model", F.row_number().over(w)).drop(*by)
     both = G.with_scores(place(l.withColumn("line", F.col("l_linenumber")), "line", "dist"), place(l.where("l_discount >= 0.02"), "l_quantity", "score"))
     return both.groupBy(F.col("file").alias("l_orderkey")).agg(F.sum(F.col("dist") * F.col("score")).alias("v"), F.count("*").alias("n"))
 
