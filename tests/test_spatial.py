@@ -4,6 +4,7 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidewatch.operators import geometry as G
 
@@ -69,3 +70,18 @@ def test_few_pairs_meet(spark):
     finally:
         G.Scratch.table = table
     assert 0 < sum(rows) < 2000 * 4000 / 50
+
+
+def test_few_groups_are_not_keys_of_pairs(spark):
+    """Three groups with many points: pairs of points and cells are not dealt out by group, which would be a task for each."""
+    from tidewatch.scratch import Scratch
+
+    at = [F.sin(F.col("id") * k).alias(n) for k, n in ((1.3, "x"), (2.7, "y"), (3.1, "z"))]
+    points, others = spark.range(3000).select((F.col("id") % 3).alias("label"), *at), spark.range(5000, 6500).select(*at)
+    plans, table = [], Scratch.table
+    Scratch.table = lambda self, df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or table(self, df)
+    try:
+        assert G.min_distance(points, others, ("label",)).count() == 3
+    finally:
+        Scratch.table = table
+    assert any("away" in p for p in plans) and not any("SortMergeJoin [g#" in p for p in plans)

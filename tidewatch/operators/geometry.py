@@ -137,7 +137,8 @@ def min_distance(points: DataFrame, others: DataFrame, by: tuple[str, ...], bloc
     level, block = 0, max(1, block)
     open_, found = start.select(*pair[:4], *[F.lit(0).alias(c) for c in "abc"], F.lit(cells.n).alias("held")), []
     seed = min(cells.DEPTH, math.ceil(math.log(cells.n, 8)))
-    bounds = least(start.select(*pair[:4], *cells.at(seed)).join(cells.nodes(seed, seed).select("a", "b", "c", "one"), ["a", "b", "c"]), F.col("one"))
+    # written, so that the planner knows its size: a few groups are broadcast, instead of all pairs being dealt out by them
+    bounds = scratch.table(least(start.select(*pair[:4], *cells.at(seed)).join(cells.nodes(seed, seed).select("a", "b", "c", "one"), ["a", "b", "c"]), F.col("one")))
     while True:
         if cells.n > block:
             nodes = cells.nodes(level + 2, level)
@@ -154,7 +155,7 @@ def min_distance(points: DataFrame, others: DataFrame, by: tuple[str, ...], bloc
             found.append(close)
             break
         found.append(scratch.table(close))
-        bounds = bounds.unionByName(found[-1]).groupBy("g").agg(F.min("bound").alias("bound"))
+        bounds = scratch.table(bounds.unionByName(found[-1]).groupBy("g").agg(F.min("bound").alias("bound")))
     dist = functools.reduce(DataFrame.unionByName, found).groupBy("g").agg(F.min("bound").alias("dist")).where(F.col("dist") <= limit)
     return groups.join(dist, "g", "left").select(*named, "dist")
 
