@@ -80,8 +80,10 @@ def test_few_groups_are_not_keys_of_pairs(spark):
     points, others = spark.range(3000).select((F.col("id") % 3).alias("label"), *at), spark.range(5000, 6500).select(*at)
     plans, table = [], Scratch.table
     Scratch.table = lambda self, df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or table(self, df)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "8k")
     try:
         assert G.min_distance(points, others, ("label",)).count() == 3
     finally:
         Scratch.table = table
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert any("away" in p for p in plans) and not any("SortMergeJoin [g#" in p for p in plans)
