@@ -4,13 +4,15 @@ import collections
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tidewatch.llm import collocations, periodic, substring_dedup
+from tidewatch.llm import bytetext, collocations, periodic, substring_dedup
 
 CLASHING = ("runs", "n_words", "collapsed", "h", "place", "digest", "ident", "firsts", "kept", "part", "phrase", "f", "size", "best", "w", "g", "a", "p", "row", "doc")
 
@@ -254,3 +256,29 @@ def test_scores_are_exact_beyond_64_bits(spark):
 def test_collocations_of_nothing(spark):
     assert collocations.top_collocations(spark.createDataFrame([], "doc_id long, text string, lang string")).count() == 0
     assert collocations.top_collocations(spark.createDataFrame([(1, None, None), (2, " ", "en")], "doc_id long, text string, lang string")).count() == 0
+
+
+def test_collocations_take_bounded_memory():
+    """Sketches and counts of a task: numpy's peak over 8 MB of text; hashes of words stay what they are in any block."""
+    rnd = random.Random(5)
+    some = ["".join(rnd.choices("abcdefgh", k=rnd.randrange(1, 9))) + rnd.choice(["", "", "", ",", "\n"]) for _ in range(3000)]
+    texts = [" ".join(rnd.choices(some, k=4000)) for _ in range(400)]
+    batch = pa.RecordBatch.from_arrays([pa.array(["en"] * len(texts)), pa.array(texts)], names=["lang", "text"])
+
+    class Every:
+        value = staticmethod(lambda h: np.ones(len(h), dtype=bool))
+
+    for run in (collocations._sketch(3, 10, 2, 16), collocations._survivors(3, Every)):
+        tracemalloc.start()
+        for out in run(iter([batch])):
+            assert out.num_rows <= 1 << 16
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 130e6, f"{peak / 1e6:.0f} MB"
+    words = bytetext.Words(pa.array([*texts[:3], "x" * 1000, "", "a b"]))
+    whole = words.hashes()
+    for size in (1, 7, 999):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(bytetext, "HASH_BYTES", size, raising=False)
+            assert (words.hashes() == whole).all()
+    assert len(set(whole.tolist())) == len({words.text(i, i + 1) for i in range(len(whole))})

@@ -38,7 +38,10 @@ SKETCH_ROWS, MAX_CELL_BITS = 2, 27
 TASK_BYTES = 64 << 20
 #: Cells of a block of the sketch.
 BLOCK = 1 << 16
-_CHUNK = 4 << 20
+#: Bytes of text at once: sketched, and counted (more of a phrase before the shuffle).
+_SKETCH_CHUNK, _CHUNK = 1 << 20, 4 << 20
+#: Counts that a task hands over at once.
+_ROWS = 1 << 16
 
 #: Bytes that end a piece, and bytes of words.
 PIECE_END = np.zeros(256, dtype=bool)
@@ -58,10 +61,9 @@ class _Grams:
         salt = np.array([bt.mix(np.array([int.from_bytes(hashed[:8], "little")], dtype=U))[0] for hashed in map(_name, self.langs)], dtype=U)
         h = w.hashes()
         # joined: whether a word goes on in the piece of the word before it
-        ends = np.zeros(len(w.buf) + 1, dtype=np.int64)
-        np.cumsum(PIECE_END[w.buf], out=ends[1:])
+        ends = np.flatnonzero(PIECE_END[w.buf])
         joined = np.zeros(len(h), dtype=bool)
-        joined[1:] = (ends[w.start[1:]] == ends[w.end[:-1]]) & (w.doc[1:] == w.doc[:-1])
+        joined[1:] = (np.searchsorted(ends, w.start[1:]) == np.searchsorted(ends, w.end[:-1])) & (w.doc[1:] == w.doc[:-1])
         self.by_size = {}
         acc, ok = h * bt._MULTIPLIERS[0], np.ones(len(h), dtype=bool)
         for k in range(1, longest + 1):
@@ -108,7 +110,7 @@ def _sketch(longest: int, least: int, rows: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros((rows, 1 << bits), dtype=kind)
         for batch in batches:
-            for part in chunks(batch, "text", _CHUNK):
+            for part in chunks(batch, "text", _SKETCH_CHUNK):
                 grams = _Grams(part, longest)
                 h, n = np.unique(np.concatenate([g for g, _ in grams.by_size.values()]), return_counts=True)
                 n = np.minimum(n, least)
@@ -193,8 +195,9 @@ def _survivors(longest: int, full):
                     h, first, n = np.unique(h, return_index=True, return_counts=True)
                     keep = known(h)
                     at, n = at[first[keep]], n[keep]
-                    if len(at):
-                        yield rows(grams.lang[at], grams.text(at, k), n)
+                    for i in range(0, len(at), _ROWS):
+                        some = at[i : i + _ROWS]
+                        yield rows(grams.lang[some], grams.text(some, k), n[i : i + _ROWS])
 
     return run
 
