@@ -1,3 +1,5 @@
+import itertools
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -172,3 +174,16 @@ def test_positions_beyond_four_digits(spark):
     made = spark.createDataFrame([(k, 9_998 + k) for k in range(4)], "line int, n int").withColumn("text", catalogue_files._atom_line(F.lit(1), F.lit("OH"), F.lit("TYR"), F.col("n"), F.lit(1.5), F.lit(-2.0), F.lit(3.25)))
     read = S.atoms(S.mutate(made, 10_001, (), "PHE")).select("pos", "resname", "x", "y", "z").orderBy("pos").collect()
     assert [tuple(r) for r in read] == [(p, "PHE" if p == 10_001 else "TYR", 1.5, -2.0, 3.25) for p in range(9_998, 10_002)]
+
+
+def test_codons_are_translated_by_text_functions(spark):
+    """Every codon with any base unknown, beside python's own translation; no function is called codon by codon."""
+    codons = ["".join(c) for c in itertools.product("ACGTNé😀", repeat=3)]
+    rows = [(i, "".join(codons[i:] + codons[:i]) + "ACGTA"[: i % 3]) for i in range(0, len(codons), 7)] + [(-1, ""), (-2, "AC")]
+    got = spark.createDataFrame(rows, "i long, s string").select("i", "s", C.translate(F.col("s")).alias("p"), C.residues_of(F.col("s")).alias("t"))
+    for r in got.collect():
+        assert "".join(r["p"]) == r["t"] == C.protein_of(r["s"]) and len(r["p"]) == len(r["s"]) // 3
+    plan = got.select("t")._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan
+    padded = spark.createDataFrame([(" \t\n\x0b\x0c\r acgu \r\n",), (None,), (" ",)], "s string").select(C.clean(F.col("s")))
+    assert [r[0] for r in padded.collect()] == ["ACGT", "", ""]

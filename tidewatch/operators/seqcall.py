@@ -55,17 +55,31 @@ WINDOWS = (Window("HS1", 635, 643, 639, "S", {639: ("S", {"F", "P", "Y"})}), Win
 ECHINOCANDIN_PANEL = {pos: entry for w in WINDOWS for pos, entry in w.panel.items()}
 
 
+#: Codons as one character each, and their residues: bases, N among them, are hexadecimal digits, and a codon is 0 and three of these.
+_DIGITS = dict(zip(f"{BASES}N", "12345"))
+_CODED = {chr(int("".join(_DIGITS[x] for x in (a, b, c)), 16)): CODONS.get(a + b + c, "X") for a in _DIGITS for b in _DIGITS for c in _DIGITS}
+
+
+def residues_of(cds: Column) -> Column:
+    """A sequence's residues as text: X for any codon with an uncertain base; a partial codon at the end is left out."""
+    # codons become single characters by way of UTF-16, so that one translate() in generated code maps them all; a function
+    # for each codon is interpreted, and takes several times as long
+    bases = F.translate(F.regexp_replace(cds, "(?s)[^ACGT]", "N"), "".join(_DIGITS), "".join(_DIGITS.values()))
+    packed = F.regexp_replace(F.substring(bases, F.lit(1), F.length(bases) - F.length(bases) % 3), "(...)", "0$1")
+    return F.translate(F.decode(F.unhex(packed), "UTF-16BE"), "".join(_CODED), "".join(_CODED.values()))
+
+
 def translate(cds: Column) -> Column:
-    """array of residues: codons of a sequence, X for any codon with an uncertain base; a partial codon at the end is left out."""
-    # all codons in one pass over the sequence: cutting each by its place would be quadratic; a codon's place in one text of
-    # all codons, each with its separator, gives its residue, and a codon with another letter has none
-    codes, residues = F.lit("".join(f"{k};" for k in CODONS)), F.array(*map(F.lit, CODONS.values()))
-    at = F.transform(F.regexp_extract_all(F.regexp_replace(cds, "(?s)[^ACGT]", "N"), F.lit("..."), F.lit(0)), lambda c: F.instr(codes, c))
-    return F.transform(at, lambda i: F.coalesce(F.get(residues, F.shiftright(i + 3, 2) - 1), F.lit("X")))
+    """residues_of() as an array."""
+    return _each(residues_of(cds))
+
+
+def _each(residues: Column) -> Column:
+    return F.when(residues == "", F.array().cast("array<string>")).otherwise(F.split(residues, ""))
 
 
 def clean(seq: Column) -> Column:
-    return F.translate(F.upper(X.ws_strip(F.coalesce(seq, F.lit("")))), "U", "T")
+    return F.replace(F.upper(F.trim(F.coalesce(seq, F.lit("")), F.lit(" \t\n\x0b\x0c\r"))), F.lit("U"), F.lit("T"))
 
 
 def protein_of(cds: str) -> str:
@@ -92,13 +106,25 @@ def check_reference(cds: str, sha256: str | None, anchors: dict[int, str], waive
     return cds, protein
 
 
+def _differ(residues: Column, protein: str, first: int) -> Column:
+    """Tokens of residues that aren't the reference's, from position ``first`` on."""
+    ref = F.array(*[F.struct(F.lit(x).alias("r"), F.lit(f"{x}{i}").alias("at")) for i, x in enumerate(protein, first)])
+    return F.array_compact(F.zip_with(ref, residues, lambda r, o: F.when((o != "X") & (o != r["r"]), F.concat(r["at"], o))))
+
+
+def _uncalled(residues: Column, protein: str, first: int) -> Column:
+    return F.array_compact(F.zip_with(F.array(*[F.lit(i) for i in range(first, first + len(protein))]), residues, lambda i, o: F.when(o == "X", i)))
+
+
+def _hits(tokens: Column, panel: dict) -> Column:
+    hits = [f"{wt}{pos}{x}" for pos, (wt, muts) in panel.items() for x in muts]
+    return F.filter(tokens, lambda t: t.isin(*hits) if hits else F.lit(False))
+
+
 def _compared(residues: Column, protein: str, first: int, panel: dict) -> Column:
     """struct<tokens, panel_hits, uncalled> of residues against the reference's, from position ``first`` on."""
-    ref = F.array(*[F.struct(F.lit(x).alias("r"), F.lit(f"{x}{i}").alias("at"), F.lit(i).alias("pos")) for i, x in enumerate(protein, first)])
-    tokens = F.array_compact(F.zip_with(ref, residues, lambda r, o: F.when((o != "X") & (o != r["r"]), F.concat(r["at"], o))))
-    uncalled = F.array_compact(F.zip_with(ref, residues, lambda r, o: F.when(o == "X", r["pos"])))
-    hits = [f"{wt}{pos}{x}" for pos, (wt, muts) in panel.items() for x in muts]
-    return F.struct(tokens.alias("tokens"), F.filter(tokens, lambda t: t.isin(*hits) if hits else F.lit(False)).alias("panel_hits"), uncalled.alias("uncalled"))
+    tokens = _differ(residues, protein, first)
+    return F.struct(tokens.alias("tokens"), _hits(tokens, panel).alias("panel_hits"), _uncalled(residues, protein, first).alias("uncalled"))
 
 
 def call(df: DataFrame, seq: str, reference: str, panel: dict | None = None) -> DataFrame:
@@ -112,13 +138,16 @@ def call(df: DataFrame, seq: str, reference: str, panel: dict | None = None) ->
     # trailing stops go.  Only a sequence that ends with one, or that has the right length, has to be translated
     stops = F.substring(s, -3, 3).isin(*[k for k, v in CODONS.items() if v == "*"])
     wanted = (F.length(s) % 3 == 0) & (stops | (F.length(s) == 3 * n))
-    residues = F.when(stops, F.length(F.regexp_replace(F.array_join(whole, ""), r"\*+$", ""))).otherwise(F.expr("length(_s) div 3").cast("int"))
+    residues = F.when(stops, F.length(F.rtrim(whole, F.lit("*")))).otherwise(F.expr("length(_s) div 3").cast("int"))
     reason = F.when(s == "", "empty consensus").when(F.length(s) % 3 != 0, F.format_string("length %d is no multiple of 3: a frame shift is refused, not guessed", F.length(s))).when(residues != n, F.format_string("protein length %d instead of %d: insertions and deletions are refused", residues, F.lit(n)))
-    out = df.withColumn("_s", clean(F.col(seq))).withColumn("_whole", F.when(wanted, translate(s))).withColumn("reason", reason).withColumn("_c", F.when(F.col("reason").isNull(), _compared(F.slice(whole, 1, n), reference, 1, panel)))
     none = lambda kind: F.array().cast(f"array<{kind}>")
+    ok = F.col("reason").isNull()
+    out = df.withColumn("_s", clean(F.col(seq))).withColumn("_whole", F.when(wanted, residues_of(s))).withColumn("reason", reason).withColumn("_whole", F.substring(whole, 1, n))
+    out = out.withColumn("_tokens", F.when(ok, _differ(_each(whole), reference, 1)).otherwise(none("string")))
+    out = out.withColumn("_uncalled", F.when(ok & F.contains(whole, F.lit("X")), _uncalled(_each(whole), reference, 1)).otherwise(none("int")))
     out = out.select(
-        *df.columns, F.when(F.col("reason").isNull(), "ok").otherwise("refused").alias("status"), "reason", F.coalesce("_c.tokens", none("string")).alias("tokens"), F.coalesce("_c.panel_hits", none("string")).alias("panel_hits"), F.coalesce("_c.uncalled", none("int")).alias("uncalled"),
-        F.when(F.col("reason").isNull(), n - F.size("_c.uncalled")).otherwise(0).alias("n_covered"), F.lit(n).alias("n_residues"),
+        *df.columns, F.when(ok, "ok").otherwise("refused").alias("status"), "reason", F.col("_tokens").alias("tokens"), _hits(F.col("_tokens"), panel).alias("panel_hits"), F.col("_uncalled").alias("uncalled"),
+        F.when(ok, n - F.size("_uncalled")).otherwise(0).alias("n_covered"), F.lit(n).alias("n_residues"),
     )
     return out.withColumn("uncalled_panel", F.filter("uncalled", lambda p: p.isin(*panel) if panel else F.lit(False)))
 

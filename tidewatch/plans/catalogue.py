@@ -334,7 +334,7 @@ select doc_id, part::int as part, case when reason is null then 'ok' else 'refus
   case when reason is not null then 'failed' when len(lost) > 0 then 'partial(panel-uncalled:' || array_to_string(lost, '+') || ')' when len(calls) > 0 then 'called' else 'wild-type' end as source from c""")
 def codon_windows(spark, sf):
     """Every text as consecutive sequences of the reference's length; letters beyond ASCII are uncertain bases, the rest of a text is too short and refused."""
-    seq = F.translate(F.regexp_replace(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x00-\x40\x5B-\x60\x7B-\x7F]", ""), r"[^\x00-\x7F]", "N"), _LETTERS, _BASES)
+    seq = F.translate(F.regexp_replace(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x00-\x40\x5B-\x60\x7B-\x7F]+", ""), r"[^\x00-\x7F]", "N"), _LETTERS, _BASES)
     d = _t(spark, sf, "documents").select("doc_id", F.posexplode_outer(F.regexp_extract_all(seq, F.lit("(?s).{1,120}"), F.lit(0))).alias("part", "seq"))
     got = C.formatted(C.call(d.withColumn("part", F.coalesce("part", F.lit(0))), "seq", _WINDOW_REF, _WINDOW_PANEL))
     source = F.regexp_replace(F.regexp_replace("source", "^sra-recaller:", ""), r"^failed.*", "failed")
