@@ -71,3 +71,12 @@ def test_changes(spark):
     a = spark.createDataFrame([("1", "x"), ("2", "y"), ("3", None), ("4", "z")], "isolate_key string, v string")
     b = spark.createDataFrame([("1", "x"), ("2", "Y"), ("3", None), ("5", "w")], "isolate_key string, v string")
     assert rows_of(S.changes(a, b)) == sorted([("2", "y", -1), ("2", "Y", 1), ("4", "z", -1), ("5", "w", 1)], key=str)
+
+
+def test_an_update_works_out_its_changes_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+    weigh = F.udf(lambda k: seen.add(1) or 1, "int")
+    rows = [(f"i{i}", f"2021-{i % 12 + 1:02d}-10", "2019", "Y132F") for i in range(30)]
+    records = spark.createDataFrame(rows, KIND)
+    kept = Replay(spark, str(tmp_path / "r"), window_days=60).update(records.withColumn("weight", weigh("isolate_key")))
+    assert seen.value == len(rows) and rows_of(kept.walk()) == rows_of(B.walk_forward(records, window_days=60))

@@ -67,7 +67,10 @@ class Replay:
         put = lambda df, name: df.write.parquet(f"{folder}/{name}")
         new = lambda name: spark.read.parquet(f"{folder}/{name}")
 
-        deltas = dict(zip(TABLES, B.counts(changed, F.col("weight"))))
+        # the changes, often a join of two releases, are worked out once; counts of equal records add up
+        what = ["target_creation_date", "collection_date", "erg11_call"]
+        put(changed.groupBy(*what).agg(F.sum("weight").alias("weight")).where("weight != 0"), "changed")
+        deltas = dict(zip(TABLES, B.counts(new("changed"), F.col("weight"))))
         first = []
         for name, keys, day in (("created", ["created"], "created"), ("days", ["day"], "day"), ("tokens", ["token", "day"], "day")):
             delta = deltas[name]
@@ -81,6 +84,8 @@ class Replay:
             every = new(f"delta_{name}") if not before else self._table(name).unionByName(new(f"delta_{name}"))
             put(every.groupBy(*keys).agg(*[F.sum(m).alias(m) for m in measures]).where(some), name)
 
+        fs.delete(self._fs(f"{folder}/changed")[1], True)
+
         span = new("created").agg(F.min("created").alias("first"), F.max("created").alias("last"))
         steps = [r["as_of"] for r in span.select(F.explode(T.month_steps("first", "last")).alias("as_of")).collect()]  # months
         known = {r["as_of"] for r in self.coverage().select("as_of").collect()} if before else set()
